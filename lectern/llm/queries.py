@@ -7,6 +7,7 @@ import importlib
 #: Name of the query: module.
 MODULES = {
     "op1_mixing": "mixing",
+    "op2_quality": "quality",
     "op10_packing": "packing",
 }
 
