@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_mixing": "mixing",
     "op2_quality": "quality",
+    "op3_pii": "pii",
     "op10_packing": "packing",
 }
 
