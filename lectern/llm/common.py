@@ -51,7 +51,7 @@ def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     """
     if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
-    rows = big.withColumn("_salt", (F.rand(7) * salt).cast("int"))
+    rows = big.withColumn("_salt", (F.monotonically_increasing_id() % salt).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return rows.join(spread, [*on, "_salt"], how).drop("_salt")
 

@@ -9,6 +9,7 @@ MODULES = {
     "op1_mixing": "mixing",
     "op2_quality": "quality",
     "op3_pii": "pii",
+    "op4_toxicity": "toxicity",
     "op10_packing": "packing",
 }
 
