@@ -1,6 +1,7 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings of 4 to 6 bytes. Which terms can tell the classes apart is counted over the
+Terms are words and their beginnings of 4 to 6 bytes, and further ones for a term that a text has at least 2 or
+4 times. Near copies among the labelled documents count once (NEAR of SEEDS word minima agree). Which terms can tell the classes apart is counted over the
 labelled documents: a term stays if its chi-square exceeds 2 ln(number of terms) + 6, the level that chance
 would hardly reach among so many. Labelled examples become normalised TF-IDF vectors over those terms. Their
 postings are cut into blocks of BLOCK examples with the largest weight in each; a search adds up these bounds,
@@ -19,6 +20,7 @@ similarities prefer the smaller doc_id; equal rows are scored each; an empty tab
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,7 +32,8 @@ from .common import written
 from .quality import labelled, remainder
 
 MAX_EXAMPLES, MAX_TERMS, K, BLOCK, LEAST_DF = 8000, 512, 16, 64, 3
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS, TIMES = (4, 5, 6), (2, 4)
+SEEDS, NEAR = 16, 10
 #: ASCII letters stay and so do bytes of other letters; all else separates words.
 _APART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -43,13 +46,39 @@ def terms(word: bytes) -> list[bytes]:
     return [word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
+def repeated(counts: Counter) -> Counter:
+    """counts, and for what occurs at least so many times a further term."""
+    return counts + Counter({b"%b#%d" % (t, k): 1 for t, c in counts.items() for k in TIMES if c >= k})
+
+
+def signature(text: str | None) -> np.ndarray:
+    """Minima of SEEDS hashes over the distinct words."""
+    own = np.fromiter({zlib.crc32(w) for w in words(text)} or {0}, np.uint64)
+    odd = (np.arange(1, SEEDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    mixed = (own[:, None] + np.uint64(1)) * odd
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed * np.uint64(0xBF58476D1CE4E5B9)).min(0).view(np.int64)
+
+
+def apart(rows: list[tuple[int, list[int]]]) -> list[int]:
+    """Ids of rows (id, signature) without those of which NEAR minima agree with an earlier one that stays."""
+    seen: dict[tuple[int, int], list[int]] = {}
+    out = []
+    for id_, own in rows:
+        if max(Counter(k for x in enumerate(own) for k in seen.get(x, ())).values(), default=0) < NEAR:
+            for x in enumerate(own):
+                seen.setdefault(x, []).append(len(out))
+            out.append(id_)
+    return out
+
+
 class Index:
     """Labelled examples: terms with idf, blocks of postings with their largest weights, and the calibration."""
 
     def __init__(self, vocabulary: list[bytes], df: list[int], n: int, examples: list[tuple[int, Counter, int]]):
         self.place = {t: i for i, t in enumerate(vocabulary)}
         self.idf = np.array([math.log((1 + n) / (1 + d)) + 1 for d in df])
-        self.starts = {(t[1:] if t[:1] == b"^" else t)[: min(BEGINNINGS)] for t in vocabulary}
+        self.starts = {t.removeprefix(b"^").partition(b"#")[0][: min(BEGINNINGS)] for t in vocabulary}
         vectors = [(i, self.vector(c), y) for i, c, y in examples]
         none = [y for _, v, y in vectors if not v]
         self.base = (sum(none) + 1) / (len(none) + 2) if none else 0.5
@@ -70,8 +99,8 @@ class Index:
         least = min(BEGINNINGS)
         out: Counter = Counter()
         for w in [w for w in found if w[:least] in self.starts]:
-            out.update(self.place[t] for t in terms(w) if t in self.place)
-        return out
+            out.update(terms(w))
+        return Counter({self.place[t]: c for t, c in repeated(out).items() if t in self.place})
 
     def vector(self, counts: Counter) -> dict[int, float]:
         raw = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
@@ -138,13 +167,21 @@ class Index:
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_EXAMPLES) -> Index:
     """docs: doc_id (an integer), text; labels: doc_id, toxic."""
-    sample = written(labelled(docs, labels, "toxic", may_learn, limit, ["text"]), "toxic-examples")
+    sample = written(labelled(docs, labels, "toxic", may_learn, limit, ["text"]), "toxic-labelled")
+
+    def sign(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([signature(t).tolist() for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], ["id", "own"])
+
+    signed = sorted(map(tuple, sample.mapInArrow(sign, "id long, own array<long>").collect()))  # at most limit rows
+    kept = docs.sparkSession.createDataFrame([(i,) for i in apart(signed)], "doc_id long")
+    sample = written(sample.join(F.broadcast(kept), "doc_id"), "toxic-examples")
 
     def count(batches):
         for b in batches:
             all_, toxic = Counter(), Counter()
             for text, y in zip(b.column("text").to_pylist(), b.column("_label").to_pylist(), strict=True):
-                own = {t for w in set(words(text)) for t in terms(w)}
+                own = repeated(Counter(t for w in words(text) for t in terms(w))).keys()
                 all_.update(own)
                 if y:
                     toxic.update(own)
