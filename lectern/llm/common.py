@@ -62,3 +62,76 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def weighted_lookup(big: DataFrame, small: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """big joined with small (written, one row a key), whose column `rows` counts big's rows of the key.
+
+    Keys with a large share of big are few by their counts; their rows meet a broadcast table and never a shuffle.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), on)
+    total = small.agg(F.sum(rows)).first()[0]
+    heavy = F.col(rows) >= max(1000, total // 2000)  # so at most 2000 keys
+    few = small.where(heavy)
+    there = big.join(F.broadcast(few), on)
+    rest = big.join(F.broadcast(few.select(*on)), on, "left_anti").join(small.where(~heavy), on)
+    return there.unionByName(rest)
+
+
+def grouped(batches, keys: list[str]):
+    """The tables of rows with equal keys, from batches that are sorted by them. Holds one group at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+
+    def flush():
+        return pa.Table.from_batches(held)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [np.asarray(b.column(k)) for k in keys]
+        changes = np.zeros(b.num_rows, bool)
+        for c in columns:
+            changes[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(changes).tolist(), b.num_rows]
+        first = tuple(c[0] for c in columns)
+        if held and first != last:
+            yield flush()
+            held = []
+        for a, z in zip(starts, starts[1:], strict=False):
+            if a and held:
+                yield flush()
+                held = []
+            held.append(b.slice(a, z - a))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield flush()
+
+
+class Forest:
+    """Union-find over 0 to n - 1; a root is the smallest of its set."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def join_all(self, near) -> None:
+        """near: a square or oblong boolean matrix of pairs given as (rows, columns, matrix)."""
+        rows, columns, matrix = near
+        for i, r in enumerate(rows):
+            for j in matrix[i].nonzero()[0]:
+                self.join(int(r), int(columns[j]))

@@ -10,6 +10,7 @@ MODULES = {
     "op2_quality": "quality",
     "op3_pii": "pii",
     "op4_toxicity": "toxicity",
+    "op5_ngram_join": "ngram_join",
     "op10_packing": "packing",
 }
 
