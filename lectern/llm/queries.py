@@ -11,6 +11,8 @@ MODULES = {
     "op3_pii": "pii",
     "op4_toxicity": "toxicity",
     "op5_ngram_join": "ngram_join",
+    "op7_ann": "ann",
+    "op9_vector_dedup": "vector_dedup",
     "op10_packing": "packing",
 }
 
