@@ -11,7 +11,9 @@ MODULES = {
     "op3_pii": "pii",
     "op4_toxicity": "toxicity",
     "op5_ngram_join": "ngram_join",
+    "op6_html": "html_diff",
     "op7_ann": "ann",
+    "op8_warc": "warc",
     "op9_vector_dedup": "vector_dedup",
     "op10_packing": "packing",
 }
