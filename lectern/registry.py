@@ -1,11 +1,227 @@
-"""Queries of the library by name, with the SQL that gives the same rows."""
+"""Queries of the library by name, with the SQL that gives the same rows.
+
+A query binds logical tables and applies operators; QUERIES holds it with its SQL (None where SQL can't say it).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.functions import json_recovery, text
+from lectern.operators import dashboard, dedup, engagement, graph, library, media, recommendations
+from lectern.plans.bindings import Tables, sql
+from lectern.streaming import live
+
+QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
+NOW = "2024-01-30 00:00:00"
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f, oracle
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for name, (_, s) in QUERIES.items() if s}
+
+
+# --- catalogue ---------------------------------------------------------------------------------------------------
+
+_FIRST = "first_d as (select * from (select *, row_number() over (partition by media_id, kind order by batch_index) as rn from details) where rn = 1)"
+_TITLED = f"{_FIRST}, titled as (select m.*, d.lecture_title, d.subject_area, d.pdf_report_path from media m left join first_d d on d.media_id = m.id and d.kind = case when m.media_type = 'live' then 'video' else m.media_type end)"
+_TITLES = f"{_TITLED}, titles as (select id as media_id, user_id, batch_stem, coalesce(nullif(lecture_title, ''), nullif(batch_stem, ''), 'Unknown') as title from titled)"
+_STATES = f"{_TITLED}, newest as (select * from (select *, row_number() over (partition by user_id, batch_stem order by uploaded_at desc, id desc) as rn from titled) where rn = 1), fc as (select media_id, count(*) as n from flashcards group by 1), qc as (select media_id, count(*) as n from quiz_questions group by 1), states as (select id, user_id, batch_stem, case when media_type = 'image' then 'images' else media_type end as input_type, lecture_title, subject_area, uploaded_at, coalesce(fc.n, 0) as flashcard_count, coalesce(qc.n, 0) as quiz_count, (nt.media_id is not null or pdf_report_path is not null) as summary_ready, coalesce(fc.n, 0) > 0 as flashcards_ready, coalesce(qc.n, 0) > 0 as quiz_ready, media_type = 'video' as audio_ready from newest m left join fc on fc.media_id = m.id left join qc on qc.media_id = m.id left join (select distinct media_id from notes) nt on nt.media_id = m.id)"
+_STATE_TABLES = ("media", "details", "flashcards", "quiz_questions", "notes")
+
+
+def _states(t: Tables) -> DataFrame:
+    return media.states(t.media(), t.details(), t.flashcards(), t.quiz_questions(), t.notes())
+
+
+def _titles(t: Tables) -> DataFrame:
+    return media.titles(t.media(), t.details())
+
+
+query("media_states", sql(f"with {_STATES} select * from states", *_STATE_TABLES))(_states)
+query("media_titles", sql(f"with {_TITLES} select * from titles", "media", "details"))(_titles)
+query("flashcard_counts", sql("select media_id, count(*) as flashcard_count from flashcards group by 1", "flashcards"))(lambda t: media.counts(t.flashcards(), "flashcard_count"))
+query("first_image", sql(f"with {_FIRST} select media_id, kind, batch_index, lecture_title from first_d", "details"))(lambda t: media.first_image(t.details()).select("media_id", "kind", "batch_index", "lecture_title"))
+query("newest_per_stem", sql("select id, user_id, batch_stem, uploaded_at from (select *, row_number() over (partition by user_id, batch_stem order by uploaded_at desc, id desc) as rn from media) where rn = 1", "media"))(lambda t: media.newest_per_stem(t.media()).select("id", "user_id", "batch_stem", "uploaded_at"))
+query("stem_lookup", sql("select id, user_id, batch_stem from (select *, row_number() over (partition by user_id order by (batch_stem = 'lec_5') desc, uploaded_at desc, id desc) as rn from media where batch_stem = 'lec_5' or regexp_replace(regexp_extract(storage_path, '([^/]*)$', 1), '\\.[^.]*$', '') = '101_clip.v1') where rn = 1 and batch_stem = 'lec_5'", "media"))(lambda t: media.stem_lookup(t.media(), "lec_5").where("batch_stem = 'lec_5'").select("id", "user_id", "batch_stem"))
+query("status_totals", sql(f"with {_STATES} select count(*) as total, " + ", ".join(f"count(*) filter (input_type = '{k}') as total_{k}" for k in ("video", "audio", "images", "document", "live")) + ", coalesce(sum(flashcard_count), 0)::bigint as flashcards from states", *_STATE_TABLES))(lambda t: media.status_totals(_states(t)))
+query("status_preferred", sql("with a as (select id, user_id, batch_stem from media where id % 3 = 0), b as (select id, user_id, batch_stem from media where id % 3 <> 0) select * from a union all select * from b where not exists (select 1 from a where a.user_id = b.user_id and a.batch_stem = b.batch_stem)", "media"))(
+    lambda t: media.prefer(*(t.media().where(c).select("id", "user_id", "batch_stem") for c in ("id % 3 = 0", "id % 3 <> 0")), ["user_id", "batch_stem"])
+)
+query("library_search", sql(f"with {_STATES} select id, user_id, batch_stem, lecture_title, input_type, uploaded_at, summary_ready from states where contains(lower(coalesce(lecture_title, batch_stem)), 'lecture 1') and summary_ready", *_STATE_TABLES))(lambda t: library.search(_states(t), "LECTURE 1", "processed"))
+
+# --- engagement --------------------------------------------------------------------------------------------------
+
+_DERIVED = "derived as (select user_id, media_id, session_id, max(reviewed_at) as completed_at, count(*) as total, sum(correct::int)::bigint as correct_count, sum(correct::int) / count(*) * 100 as accuracy_score from progress where item_type = 'quiz_question' group by 1, 2, 3)"
+_HISTORY = f"{_TITLES}, {_DERIVED}, history as (select o.user_id, completed_at, round(score, 1) as score, coalesce(title, 'Unknown') as title from (select *, row_number() over (partition by user_id, completed_at order by source, media_id desc, score desc) as rn from (select user_id, media_id, completed_at, accuracy_score as score, 0 as source from quiz_sessions union all select user_id, media_id, completed_at, accuracy_score, 1 from derived where accuracy_score is not null)) o left join titles t on t.media_id = o.media_id where rn = 1)"
+_REVIEWS = "reviews as (select user_id, media_id, card_index, count(*) as reviews, round(avg(confidence), 2) as avg_confidence, count(*) filter (correct) as correct_count, max(reviewed_at) as last_reviewed, coalesce(avg(confidence) <= 3, true) as needs_review from progress where item_type = 'flashcard' group by 1, 2, 3)"
+
+
+def _history(t: Tables) -> DataFrame:
+    return engagement.quiz_history(t.quiz_sessions(), t.progress(), _titles(t))
+
+
+query("progress_summary", sql("with p as (select user_id, count(*) as total_reviews, count(*) filter (correct) as correct_count, count(*) filter (item_type = 'flashcard') as flashcard_reviews, count(*) filter (item_type = 'quiz_question') as quiz_reviews, round(avg(confidence), 2) as avg_confidence from progress group by 1) select *, case when avg_confidence > 0 then round(avg_confidence / 5.0 * 100, 1) else 0.0 end as avg_confidence_pct from p", "progress"))(lambda t: engagement.progress_summary(t.progress()))
+query("derived_sessions", sql(f"with {_DERIVED} select user_id, media_id, session_id, completed_at, total, correct_count, round(accuracy_score, 6) as accuracy_score from derived", "progress"))(lambda t: engagement.derived_sessions(t.progress()).withColumn("accuracy_score", F.round("accuracy_score", 6)))
+query("quiz_history", sql(f"with {_HISTORY} select * from history", "media", "details", "progress", "quiz_sessions"))(_history)
+query("quiz_accuracy", sql(f"with {_HISTORY} select user_id, count(*) as total_quizzes, round(avg(score), 1) as quiz_accuracy_pct from history group by 1", "media", "details", "progress", "quiz_sessions"))(lambda t: engagement.quiz_accuracy(_history(t)))
+query("card_review_summary", sql(f"with {_REVIEWS} select * from reviews", "progress"))(lambda t: engagement.card_reviews(t.progress()))
+query("due_cards", sql(f"with {_REVIEWS}, due as (select m.user_id, c.media_id, c.card_index, c.question, case when r.needs_review is null then 0 else 1 end as priority, r.last_reviewed from flashcards c join media m on m.id = c.media_id left join reviews r on r.user_id = m.user_id and r.media_id = c.media_id and r.card_index = c.card_index where coalesce(r.needs_review, true)) select user_id, position, media_id, card_index, question, priority, last_reviewed from (select *, row_number() over (partition by user_id order by priority, last_reviewed nulls first, media_id, card_index) as position from due) where position <= 20", "media", "flashcards", "progress"))(lambda t: engagement.due_cards(t.flashcards(), t.media(), engagement.card_reviews(t.progress())))
+query("latest_scores", sql("select user_id, media_id, position, accuracy_score, completed_at from (select *, row_number() over (partition by user_id, media_id order by completed_at desc, accuracy_score desc) as position from quiz_sessions) where position <= 5", "quiz_sessions"))(lambda t: engagement.latest_scores(t.quiz_sessions()))
+query("plan_context", sql("with s as (select user_id, media_id, string_agg(accuracy_score::int::varchar, ',' order by position) as scores from (select *, row_number() over (partition by user_id, media_id order by completed_at desc, accuracy_score desc) as position from quiz_sessions) where position <= 5 group by 1, 2), c as (select media_id, count(*) as total_cards from flashcards group by 1), p as (select user_id, media_id, count(*) as reviewed, round(avg(coalesce(confidence, 0)), 4) as avg_confidence from progress where item_type = 'flashcard' group by 1, 2) select s.user_id, s.media_id, scores, coalesce(total_cards, 0) as total_cards, coalesce(reviewed, 0) as reviewed, coalesce(avg_confidence, 0.0) as avg_confidence from s left join c using (media_id) left join p on p.user_id = s.user_id and p.media_id = s.media_id", "quiz_sessions", "flashcards", "progress"))(lambda t: engagement.plan_context(t.quiz_sessions(), t.flashcards(), t.progress()))
+
+# --- recommendations ---------------------------------------------------------------------------------------------
+
+_URGENCY = "case when {0} < 40 then 'critical' when {0} < 60 then 'high' else 'medium' end"
+_MATERIAL = "material as (select m.user_id, m.id as media_id, coalesce(c.n, 0) as cards, coalesce(q.n, 0) as questions from media m left join (select media_id, count(*) as n from flashcards group by 1) c on c.media_id = m.id left join (select media_id, count(*) as n from quiz_questions group by 1) q on q.media_id = m.id where c.n is not null or q.n is not null)"
+_UNTESTED = "untested as (select * from material m where not exists (select 1 from quiz_sessions s where s.user_id = m.user_id and s.media_id = m.media_id))"
+_UNREVIEWED = "unreviewed as (select * from material m where cards > 0 and not exists (select 1 from progress p where p.item_type = 'flashcard' and p.user_id = m.user_id and p.media_id = m.media_id))"
+_WORST = "worst as (select user_id, media_id, min(accuracy_score) as worst_score from quiz_sessions group by 1, 2 having min(accuracy_score) < 70)"
+_WITH_MATERIAL = ("media", "flashcards", "quiz_questions", "quiz_sessions", "progress")
+
+
+def _material(t: Tables) -> DataFrame:
+    return recommendations.material(t.media(), t.flashcards(), t.quiz_questions())
+
+
+query("worst_quiz_per_lecture", sql(f"with {_TITLES}, {_WORST} select w.user_id, w.media_id, title, worst_score, {_URGENCY.format('worst_score')} as urgency from worst w join titles t on t.user_id = w.user_id and t.media_id = w.media_id", "media", "details", "quiz_sessions"))(lambda t: recommendations.worst_quizzes(t.quiz_sessions(), _titles(t)))
+query("untested_media", sql(f"with {_MATERIAL}, {_UNTESTED} select * from untested", *_WITH_MATERIAL))(lambda t: recommendations.untested(_material(t), t.quiz_sessions()))
+query("unreviewed_media", sql(f"with {_MATERIAL}, {_UNREVIEWED} select * from unreviewed", *_WITH_MATERIAL))(lambda t: recommendations.unreviewed(_material(t), t.progress()))
+query("study_recommendations", sql(f"with {_TITLES}, {_WORST}, {_MATERIAL}, {_UNTESTED}, {_UNREVIEWED}, cand as (select user_id, media_id, 1 as pass, {_URGENCY.format('worst_score')} as urgency, 'low_score' as type, worst_score as score, 'Scored ' || round(worst_score)::int || '% — needs revision' as reason from (select *, row_number() over (partition by user_id order by worst_score, media_id) as rn from worst) where rn <= 5 union all select user_id, media_id, 2, 'medium', 'untested', 0.0::double, questions || ' quiz questions — never attempted' from untested union all select user_id, media_id, 3, 'low', 'unreviewed', 0.0::double, cards || ' flashcards — never reviewed' from unreviewed), one as (select * from (select *, row_number() over (partition by user_id, media_id order by pass) as rn from cand) where rn = 1), top as (select *, row_number() over (partition by user_id order by case urgency when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end, score, pass, media_id) as position from one) select p.user_id, position, p.media_id, title, reason, urgency, type, score from top p join titles t on t.media_id = p.media_id and t.user_id = p.user_id where position <= 5", "media", "details", "flashcards", "quiz_questions", "quiz_sessions", "progress"))(
+    lambda t: recommendations.recommendations(t.media(), _titles(t), t.quiz_sessions(), t.flashcards(), t.quiz_questions(), t.progress())
+)
+
+# --- dashboard ---------------------------------------------------------------------------------------------------
+
+_BAG = "bag as (select user_id, id::varchar as key, case when media_type = 'image' then 'images' else media_type end as input_type, uploaded_at as created_at from media union all select user_id, session_id, 'live', started_at from live_lectures)"
+_SUBJECT = "case " + " ".join(f"when contains(s, '{x}') then split_part(s, '{x}', 1)" for x in text.SEPARATORS) + " else s end"
+_TITLE_SQL = "array_to_string(list_transform(regexp_extract_all({0}, '(\\pL+|\\PL+)'), lambda r: case when r[1] = 'ß' then 'Ss' else upper(r[1]) end || lower(r[2:])), '')"
+_SUBJECTS = f"subjects as (select {_TITLE_SQL.format('trim(x)')} as subject from (select {_SUBJECT} as x from (select trim(subject_area) as s from details)) where trim(x) <> '')"
+
+
+def _bag(t: Tables, dedupe: bool = False) -> DataFrame:
+    return dashboard.with_live(t.media(), t.live_lectures(), dedupe)
+
+
+_KINDS = ("video", "audio", "images", "document", "live")
+query("type_counts_48h", sql(f"with {_BAG}, c as (select user_id, " + ", ".join(f"count(*) filter (input_type = '{k}') as total_{k}" for k in _KINDS) + ", " + ", ".join(f"count(*) filter (input_type = '{k}' and created_at >= timestamp '1998-08-01' - interval 48 hours) as recent_{k}" for k in _KINDS if k != "live") + f" from bag group by 1) select *, ({' + '.join(f'total_{k}' for k in _KINDS)})::bigint as total_all, ({' + '.join(f'recent_{k}' for k in _KINDS if k != 'live')})::bigint as recent_all from c", "media", "live_lectures"))(lambda t: dashboard.type_counts(_bag(t), F.expr("timestamp_ntz '1998-08-01 00:00:00'")))
+query("recent_lectures", sql(f"with {_BAG} select user_id, position, key, input_type, created_at from (select *, row_number() over (partition by user_id order by created_at desc, key) as position from bag) where position <= 10", "media", "live_lectures"))(lambda t: dashboard.recent(_bag(t)))
+query("live_counted_once", sql("with bag as (select user_id, id::varchar as key, case when media_type = 'image' then 'images' else media_type end as input_type from media where media_type <> 'live' union all select user_id, session_id, 'live' from live_lectures) select user_id, input_type, count(*) as n from bag group by 1, 2", "media", "live_lectures"))(lambda t: _bag(t, True).groupBy("user_id", "input_type").agg(F.count("*").alias("n")))
+query("subject_distribution", sql(f"with {_SUBJECTS} select subject, count(*) as n from subjects group by 1", "details"))(lambda t: dashboard.subject_distribution(t.details()))
+query("subject_share", sql(f"with {_SUBJECTS} select subject, count(*) as n, round(count(*) / sum(count(*)) over () * 100, 6) as pct from subjects group by 1", "details"))(lambda t: dashboard.shares(dashboard.subject_distribution(t.details())))
+
+# --- transcripts -------------------------------------------------------------------------------------------------
+
+_WORDS = "len(list_filter(regexp_split_to_array({0}, '[ \\t\\r\\n]+'), lambda x: x <> ''))"
+query("transcript_full_text", sql("select media_id, string_agg(text, ' ' order by segment_index) as full_text from segments group by 1", "segments"))(lambda t: library.transcripts(t.segments()))
+query("transcript_stats", sql(f"select media_id, sum({_WORDS.format('text')})::bigint as word_count, count(*) as segment_count, max_by(end_time, segment_index) as duration_sec from segments group by 1", "segments"))(lambda t: library.transcript_stats(t.segments()))
+query("transcript_view", sql(f"select m.id as media_id, user_id, batch_stem, word_count, segment_count, duration_sec, full_text from media m join (select media_id, sum({_WORDS.format('text')})::bigint as word_count, count(*) as segment_count, max_by(end_time, segment_index) as duration_sec, string_agg(text, ' ' order by segment_index) as full_text from segments group by 1) s on s.media_id = m.id where media_type in ('video', 'audio')", "media", "segments"))(lambda t: library.transcript_view(t.media(), t.segments()))
+query("segment_search", sql("select media_id, segment_index, start_time, text from segments where contains(lower(text), 'er')", "segments"))(lambda t: library.segment_search(t.segments(), "ER"))
+query("note_line_search", sql("select media_id, array_to_string(list_filter(string_split(content, chr(10)), lambda x: contains(lower(x), 'status')), chr(10)) as content from notes", "notes"))(lambda t: library.note_lines(t.notes(), "STATUS"))
+query("last_five_messages", "select conv_id, turn, role, text, from_end from (select *, row_number() over (partition by conv_id order by turn desc, role, text) as from_end from conversations) where from_end <= 5")(lambda t: library.last(t.raw("conversations"), ["conv_id"], "turn", 5, ["role", "text"]))
+query("last_frames", sql("select media_id, frame_id, pos, concept, from_end from (select *, row_number() over (partition by media_id order by frame_id desc, pos, concept) as from_end from concepts) where from_end <= 20", "concepts"))(lambda t: library.last(t.concepts(), ["media_id"], "frame_id", 20, ["pos", "concept"]))
+query("users_media", sql("select id, user_id, media_type from media where user_id in (1, 2, 3, 5, 8)", "media"))(lambda t: library.of_users(t.media(), [1, 2, 3, 5, 8]).select("id", "user_id", "media_type"))
+query("cards_of_media", sql("select f.media_id, card_index, question from flashcards f where media_id in (select id from media where media_type = 'video')", "media", "flashcards"))(lambda t: library.of_media(t.flashcards(), t.media().where("media_type = 'video'")).select("media_id", "card_index", "question"))
+
+# --- text --------------------------------------------------------------------------------------------------------
+
+
+def on_documents(name: str, made: Callable[[], dict], oracle: str | None) -> None:
+    """A query that adds the columns made() to doc_id; oracle: SQL of the same columns over documents."""
+    query(name, f"select doc_id, {oracle} from documents" if oracle else None)(lambda t: t.documents().select("doc_id", *(c.alias(n) for n, c in made().items())))
+
+
+def _text():
+    return F.col("text")
+
+
+on_documents("document_stats", lambda: {"word_count": text.words(_text()), "char_count": F.length(_text()).cast("long")}, f"{_WORDS.format('text')}::bigint as word_count, length(text) as char_count")
+on_documents("importance_class", lambda: {"importance": text.importance(F.substring(_text(), 1, 50))}, "case when length(regexp_replace(text[1:50], '[^A-Za-z0-9]', '', 'g')) < 30 then 'low' when length(regexp_replace(text[1:50], '[^A-Za-z0-9]', '', 'g')) < 50 then 'medium' else 'high' end as importance")
+on_documents("title_case", lambda: {"title": text.title(F.substring(_text(), 1, 80))}, f"{_TITLE_SQL.format('text[1:80]')} as title")
+on_documents("token_budget", lambda: {"budget": text.token_budget(_text(), F.lit(2048))}, "greatest(64, least(2048, 4096 - length(text) // 4 - 64))::int as budget")
+on_documents("prefix_truncation", lambda: {"text": text.truncated(_text())}, "case when length(text) > 800 then text[1:800] || ' [truncated]' else text end as text")
+on_documents("middle_truncation", lambda: {"label": text.middle_cut(F.concat(F.col("source"), F.lit("_"), _text()))}, "case when length(source || '_' || text) > 40 then (source || '_' || text)[1:20] || '…' || right(text, 20) else source || '_' || text end as label")
+on_documents("time_labels", lambda: {"clock": text.clock(F.col("n_chars")), "label": text.minutes_label(F.col("n_chars")), "rate": text.sampling_rate(F.col("n_chars"))}, "printf('%02d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) as clock, case when n_chars >= 60 then printf('%dm %ds', n_chars // 60, n_chars % 60) else printf('%ds', n_chars) end as label, case when n_chars > 2400 then 0.1::double when n_chars > 1200 then 0.2::double else 0.5::double end as rate")
+on_documents("xml_escape", lambda: {"escaped": text.xml_escape(_text())}, "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as escaped")
+on_documents("language_prefix", lambda: {"prompt": text.in_language(F.lit("Explain"), F.col("lang"))}, "case lang when 'de' then 'Answer in German.' || chr(10) || chr(10) || 'Explain' when 'fr' then 'Answer in French.' || chr(10) || chr(10) || 'Explain' when 'es' then 'Answer in Spanish.' || chr(10) || chr(10) || 'Explain' else 'Explain' end as prompt")
+on_documents("headings", lambda: {"headings": F.array_join(text.headings(_text()), "|")}, f"array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x[1] = '#' or (length(x) > 4 and upper(x) = x and lower(x) <> x and {_WORDS.format('x').replace('lambda x: x', 'lambda y: y')} <= 8))[1:20], lambda x: case when x[1] = '#' then regexp_replace(x, '^#+[ \\t]*', '') else x end), '|') as headings")
+on_documents("document_chunks", lambda: {"chunks": F.size(text.chunks(_text())), "first": F.get(text.chunks(_text()), F.lit(0)), "pieces": F.size(text.chunks(_text(), strict_size=True))}, None)
+on_documents("paragraphs", lambda: {"paragraphs": F.array_join(text.paragraphs(_text()), "\n\n")}, None)
+query("path_functions", sql("select id, regexp_replace(regexp_extract(storage_path, '([^/]*)$', 1), '\\.[^.]*$', '') as stem, " + _TITLE_SQL.format("translate(regexp_replace(regexp_extract(storage_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '_-', '  ')") + " as title, regexp_replace(batch_stem, '^[^_]*_', '') as display from media", "media"))(lambda t: t.media().select("id", text.path_stem(F.col("storage_path")).alias("stem"), text.filename_title(F.col("storage_path")).alias("title"), text.display_name(F.col("batch_stem")).alias("display")))
+query("grades", sql("select user_id, media_id, accuracy_score, case when accuracy_score >= 90 then 'A' when accuracy_score >= 80 then 'B' when accuracy_score >= 70 then 'C' when accuracy_score >= 60 then 'D' else 'F' end as grade from quiz_sessions", "quiz_sessions"))(lambda t: t.quiz_sessions().select("user_id", "media_id", "accuracy_score", text.grade(F.col("accuracy_score")).alias("grade")))
+query("sample_points", sql("select media_id, unnest(list_transform([0.10, 0.25, 0.60, 0.85, 0.95], lambda p: round(p::double * max_end, 3))) as at_sec from (select media_id, max(end_time) as max_end from segments group by 1)", "segments"))(lambda t: t.segments().groupBy("media_id").agg(F.max("end_time").alias("e")).select("media_id", F.explode(text.sample_points(F.col("e"))).alias("at_sec")))
+query("uniform_sample", sql("select media_id, segment_index from (select *, count(*) over (partition by media_id) as n from segments) where n <= 10 or segment_index in (select unnest(list_transform(range(10), lambda i: i * n // 10)))", "segments"))(lambda t: live.uniform_sample(t.segments(), ["media_id"], "segment_index").select("media_id", "segment_index"))
+query("json_replies", None)(lambda t: json_recovery.replies(t.flashcards().select("media_id", F.concat(F.lit('```json\n{"flashcards":[{"qestion":"'), "question", F.lit('","answer":"'), "answer", F.lit('"},]}\n```')).alias("reply"))).selectExpr("media_id", "size(cards.flashcards) as n", "cards.flashcards[0].question as question"))
+
+# --- deduplication -----------------------------------------------------------------------------------------------
+
+_COS = "list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])))"
+_VECTOR_PAIRS = f"pairs as (select a.label as grp, a.vec_id as i, b.vec_id as j, {_COS} as sim from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where {_COS} >= 0.3)"
+query("embedding_pairs", f'with {_VECTOR_PAIRS} select grp as "group", i, j, round(sim, 6) as sim from pairs')(lambda t: dedup.vector_pairs(t.embeddings(), 0.3).withColumn("sim", F.round("sim", 6)))
+query("embedding_dedup", f"with {_VECTOR_PAIRS}, near as (select label as grp, vec_id as id, coalesce((select list(i) from pairs p where p.grp = e.label and p.j = e.vec_id), []) as ns from embeddings e), scans as (select grp, list_reduce(list_transform(list(struct_pack(id := id, ns := ns) order by id), lambda x: [x.id] || x.ns), lambda acc, x: case when list_has_any(acc, x[2:]) then acc else acc || [x[1]] end, []::bigint[]) as leaders from near group by 1) select grp as \"group\", unnest(leaders) as leader from scans")(
+    lambda t: dedup.clusters(t.embeddings(), dedup.vector_pairs(t.embeddings(), 0.3)).select("group", "leader").distinct()
+)
+
+
+def _phrases(t: Tables) -> DataFrame:
+    return t.raw("part").select((F.col("p_partkey") % 40).cast("long").alias("group"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+
+
+_TFIDF = "items as (select p_partkey % 40 as grp, p_partkey as id, lower(p_name || ' ' || p_type) as t from part), toks as (select grp, id, regexp_extract_all(t, '\\b\\w\\w+\\b') as w from items), tf as (select grp, id, term, count(*) as tf from (select grp, id, unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda k: w[k] || ' ' || w[k + 1])) as term from toks) group by 1, 2, 3), n as (select grp, count(*) as n from items group by 1), df as (select grp, term, count(*) as df from tf group by 1, 2), raw as (select tf.grp, id, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df on df.grp = tf.grp and df.term = tf.term join n on n.grp = tf.grp), vec as (select grp, id, term, w / sqrt(sum(w * w) over (partition by grp, id)) as weight from raw)"
+query("tfidf_weights", f'with {_TFIDF} select grp as "group", id, term, round(weight, 6) as weight from vec')(lambda t: dedup.tfidf(_phrases(t)).withColumn("weight", F.round("weight", 6)))
+query("tfidf_pairs", f'with {_TFIDF} select grp as "group", a.id as i, b.id as j, round(sum(a.weight * b.weight), 6) as sim from vec a join vec b using (grp, term) where a.id < b.id group by 1, 2, 3 having sum(a.weight * b.weight) >= 0.5 - 1e-12')(lambda t: dedup.text_pairs(_phrases(t), 0.5).withColumn("sim", F.round("sim", 6)))
+query("tfidf_dedup", None)(lambda t: dedup.concepts(_phrases(t), 0.5))
+query("formula_dedup", None)(lambda t: dedup.formulas(_phrases(t), 0.6))
+query("definition_dedup", None)(lambda t: dedup.definitions(_phrases(t).withColumn("definition", F.col("text")), 0.6))
+query("exact_dedup", "select grp as \"group\", id, t as text from (select p_partkey % 7 as grp, p_partkey as id, p_brand as t, row_number() over (partition by p_partkey % 7, lower(p_brand) order by p_partkey) as rn from part) where rn = 1")(lambda t: dedup.exact(t.raw("part").select((F.col("p_partkey") % 7).alias("group"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("text"))))
+
+# --- concept graph -----------------------------------------------------------------------------------------------
+
+_EDGES = "one as (select distinct media_id, frame_id, concept from concepts), edges as (select x.media_id, x.concept as a, y.concept as b, count(*) as weight from one x join one y on x.media_id = y.media_id and x.frame_id = y.frame_id and x.concept < y.concept group by 1, 2, 3)"
+_DEGREES = f"{_EDGES}, freqs as (select media_id, concept as node, count(*) as freq, min(row(frame_id, pos, concept)) as first from concepts group by 1, 2), deg as (select media_id, node, count(*) as degree from (select media_id, unnest([a, b]) as node from edges) group by 1, 2), nd as (select f.*, coalesce(degree, 0) as degree from freqs f left join deg d using (media_id, node))"
+_PRUNED = f"{_DEGREES}, kept as (select * from (select *, row_number() over (partition by media_id order by degree desc, first) as position from nd) where position <= 12)"
+
+
+def _edges(t: Tables) -> DataFrame:
+    return graph.cooccurrence(t.concepts())
+
+
+query("concept_frequency", sql("select media_id, concept, count(*) as freq from concepts group by 1, 2", "concepts"))(lambda t: graph.frequency(t.concepts()).drop("first"))
+query("cooccurrence_edges", sql(f"with {_EDGES} select * from edges", "concepts"))(_edges)
+query("heavy_edges", sql(f"with {_EDGES} select * from edges where weight >= 3", "concepts"))(lambda t: graph.cooccurrence(t.concepts(), 3))
+query("graph_degree", sql(f"with {_DEGREES} select * from deg", "concepts"))(lambda t: graph.degrees(_edges(t)))
+query("graph_pruned", sql(f"with {_PRUNED} select media_id, node, freq, degree, position from kept", "concepts"))(lambda t: graph.pruned(t.concepts(), _edges(t), 12))
+query("graph_links", sql(f"with {_PRUNED} select e.media_id, x.position - 1 as source, y.position - 1 as target, 'co_occurs' as relation, weight from edges e join kept x on x.media_id = e.media_id and x.node = a join kept y on y.media_id = e.media_id and y.node = b", "concepts"))(lambda t: graph.exported(graph.pruned(t.concepts(), _edges(t), 12), _edges(t)))
+query("top_central", sql(f"with {_DEGREES} select media_id, position, node, freq, centrality from (select *, row_number() over (partition by media_id order by centrality desc, freq desc, node) as position from (select *, round(degree / greatest(count(*) over (partition by media_id) - 1, 1), 6) as centrality from nd)) where position <= 10", "concepts"))(lambda t: graph.central(t.concepts(), _edges(t)))
+query("graph_nodes", sql("with d as (select media_id, concept as term from concepts where pos = 1 group by 1, 2), f as (select media_id, concept, count(*) as freq from concepts group by 1, 2) select media_id, concept as node, " + _TITLE_SQL.format("concept") + " as label, 'concept' as type, freq from f union all select media_id, 'def:' || term, 'is ' || term, 'definition', 1 from d union all select distinct media_id, '__lecture__', 'L' || media_id, 'lecture', 1 from concepts", "concepts"))(
+    lambda t: graph.nodes(t.concepts(), t.concepts().where("pos = 1").select("media_id", F.col("concept").alias("term"), F.concat(F.lit("is "), "concept").alias("definition")).distinct(), t.concepts().select("media_id", F.concat(F.lit("L"), "media_id").alias("title")).distinct())
+)
+query("graph_covers", sql("select distinct media_id, '__lecture__' as a, concept as b, 1 as weight from concepts where pos = 2", "concepts"))(lambda t: graph.covers(t.concepts().where("pos = 2").select("media_id", F.upper("concept").alias("topic")), graph.nodes(t.concepts())))
+query("graph_defines", sql("select distinct media_id, concept as a, 'def:' || concept as b, 1 as weight from concepts where pos = 1", "concepts"))(lambda t: graph.defines(t.concepts().where("pos = 1").select("media_id", F.col("concept").alias("term")), graph.nodes(t.concepts())))
+
+# --- live sessions -----------------------------------------------------------------------------------------------
+
+_LIVE = "segs as (select 's' || conv_id as session_id, (turn % 4)::int as chunk_index, turn::int as id, (turn // 2)::double as start, (turn // 2 + 1)::double as \"end\", text from conversations)"
+
+
+def _live(t: Tables) -> DataFrame:
+    return t.raw("conversations").select(F.concat(F.lit("s"), "conv_id").alias("session_id"), (F.col("turn") % 4).cast("int").alias("chunk_index"), F.col("turn").cast("int").alias("id"), F.floor(F.col("turn") / 2).cast("double").alias("start"), (F.floor(F.col("turn") / 2) + 1).cast("double").alias("end"), "text")
+
+
+query("live_segments_dedup", f"with {_LIVE}, s as (select session_id, start + chunk_index * 15 as start, \"end\" + chunk_index * 15 as \"end\", id, text from segs) select session_id, start, \"end\", id, text from (select *, row_number() over (partition by session_id, start order by id, text) as rn from s) where rn = 1")(lambda t: live.deduped(live.shifted(_live(t))))
+query("session_counters", f"with {_LIVE} select session_id, count(*) as segments, sum({_WORDS.format('text')})::bigint as words, sum({_WORDS.format('text')}) < 5 as too_short from segs group by 1")(lambda t: live.counters(_live(t)))
+query("chunk_stitch", f"with {_LIVE}, c as (select *, row_number() over (partition by session_id, chunk_index order by id, text) as k from segs where chunk_index <> 1), n as (select session_id, chunk_index, count(*) as n from c group by 1, 2), o as (select *, coalesce(sum(n) over (partition by session_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as before from n) select c.session_id, c.chunk_index, (before + k - 1)::bigint as id, start + c.chunk_index * 300 as start, text from c join o on o.session_id = c.session_id and o.chunk_index = c.chunk_index")(lambda t: live.stitched(_live(t).where("chunk_index <> 1")))
