@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A lookup table of at most so many rows is sent to every executor.
 BROADCAST_ROWS = 50_000
 
+#: A semi-join filters with a broadcast of at most so many keys; with more the join after it does the filtering.
+SEMI_ROWS = 1_000_000
+
 _own: dict[str, str] = {}
 
 
@@ -56,8 +59,9 @@ def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     return rows.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
-def text_of(df: DataFrame, column: str = "text") -> Column:
-    return F.coalesce(df[column], F.lit(""))
+def only(big: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """big without rows that a later join with keys would drop, if the (written) keys are few enough to broadcast."""
+    return big.join(F.broadcast(keys.select(column).distinct()), column, "left_semi") if keys.count() <= SEMI_ROWS else big
 
 
 def parts(spark: SparkSession) -> int:

@@ -13,6 +13,8 @@ more. How many bands of how many rows are used follows from the recall aimed at
    and a spanning forest is kept; no pair becomes a row.
 4. Components of the forests are the groups of near duplicates.
 
+The large joins are merge joins at every size, so that plans don't change between a small and a large corpus.
+
 A link is missed only if no band agrees or the estimate falls below NEARLY: for a pair at the threshold less
 than one in 30,000, less for nearer ones.
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, grouped, lookup, parts, weighted_lookup, written
+from .common import Forest, grouped, lookup, only, parts, weighted_lookup, written
 from .components import components
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99998, 5
@@ -146,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     mix = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("first"), *mix).where("size > 1")
     buckets = written(buckets.groupBy("size", "first", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size", "first"), "buckets")
-    members = written(banded.join(buckets, "bucket"), "members")
+    members = written(banded.join(buckets.hint("merge"), "bucket"), "members")
 
     def estimate(batches):
         for t in grouped(batches, ["bucket"]):
@@ -158,12 +160,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             pairs = [(int(node[i]), int(node[forest.root(i)])) for i in range(k) if forest.root(i) != i]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
 
-    compared = members.where(F.col("size") <= HOT).select("bucket", "node").join(classes.select("node", "signature"), "node")
+    compared = members.where(F.col("size") <= HOT).select("bucket", "node").join(classes.select("node", "signature").hint("merge"), "node")
     compared = compared.repartition(parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(estimate, "u long, v long")
     stars = members.where(F.col("size") > HOT).select(F.col("node").alias("u"), F.col("first").alias("v"))
     groups = written(components(compared.unionByName(stars)).withColumnRenamed("component", "group"), "groups")
 
-    sized = classes.select("node", "key", "rep", "copies", "n").join(groups, "node")
+    sized = classes.select("node", "key", "rep", "copies", "n").join(groups.hint("merge"), "node")
     totals = sized.groupBy("group").agg(F.count("*").alias("classes"), F.sum(F.col("n").cast("long")).alias("grams"))
     totals = written(totals.select("group", F.greatest(F.ceil(F.col("classes") / BLOCK), F.ceil(F.col("grams") / SET_BLOCK)).cast("int").alias("blocks")), "group-sizes")
     wanted = written(lookup(sized, totals, ["group"]), "candidates")
@@ -179,7 +181,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             b = b.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("group"), b.column("blocks"), b.column("copies"), pa.array(found, pa.binary())], ["node", "group", "blocks", "copies", "grams"])
 
-    texts = docs.join(wanted.select(F.col("rep").alias("id"), "node", "group", "blocks", "copies", "key"), "id").mapInArrow(sets, "node long, group long, blocks int, copies long, grams binary")
+    wanted = wanted.select(F.col("rep").alias("id"), "node", "group", "blocks", "copies", "key")
+    texts = only(docs, wanted, "id").join(wanted.hint("merge"), "id").mapInArrow(sets, "node long, group long, blocks int, copies long, grams binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
