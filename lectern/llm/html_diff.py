@@ -19,6 +19,7 @@ Defined cases: null, empty and unparsable html give an empty text; a null url is
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -151,20 +152,17 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
-    """The text of a page's lines after differencing against its neighbours."""
-    texts, shared, copied = [t for t, _ in page], set(), False
+def kept_lines(page: list[tuple[int, int, int]], neighbours: list[list[tuple[int, int, int]]]) -> list[int]:
+    """Positions of the lines (hash, length, kind) that are the page's text after differencing."""
+    names, shared, copied = [x[0] for x in page], set(), False
+    open_ = sum(n for _, n, kind in page if kind == OPEN)
     for other in neighbours:
-        same = {i for i, _ in common(texts, [t for t, _ in other])}
-        open_ = sum(len(t) for t, kind in page if kind == OPEN)
-        copied |= bool(open_) and sum(len(texts[i]) for i in same if page[i][1] == OPEN) > COPY * open_
+        same = {i for i, _ in common(names, [x[0] for x in other])}
+        copied |= bool(open_) and sum(page[i][1] for i in same if page[i][2] == OPEN) > COPY * open_
         shared |= same
-    has_main = any(kind == MAIN for _, kind in page)
-    if has_main:
-        kept = [t for t, kind in page if kind == MAIN]
-    else:
-        kept = [t for i, (t, kind) in enumerate(page) if kind == OPEN and (copied or i not in shared)]
-    return "\n".join(kept)
+    if any(kind == MAIN for _, _, kind in page):
+        return [i for i, (_, _, kind) in enumerate(page) if kind == MAIN]
+    return [i for i, (_, _, kind) in enumerate(page) if kind == OPEN and (copied or i not in shared)]
 
 
 def ranked(rows: DataFrame, group: str, order: list[str], slices: int) -> DataFrame:
@@ -183,34 +181,52 @@ def ranked(rows: DataFrame, group: str, order: list[str], slices: int) -> DataFr
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for each page; pages: page_id, url, html."""
+    """page_id, url, text and n_chars for each page; pages: page_id, url, html.
 
-    def cut(batches):
+    Pages are parsed twice, so that only hashes of lines are sorted and grouped; the lines themselves are shuffled
+    once, to meet their page's verdict, and those of FRAME not at all.
+    """
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = rows.withColumn("content", F.xxhash64("url", "html"))
+
+    def hashed(batches):
         for b in batches:
             found = [lines(h) for h in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[k for _, k in x] for x in found], pa.list_(pa.int32()))], ["page_id", "url", "lines", "kinds"])
+            columns = [[[int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), signed=True) for t, _ in x] for x in found], [[len(t) for t, _ in x] for x in found], [[k for _, k in x] for x in found]]
+            arrays = [pa.array(c, pa.list_(t)) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int8()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("content"), b.column("host"), b.column("path"), *arrays], ["page_id", "content", "host", "path", "names", "lengths", "kinds"])
 
-    id_type = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.mapInArrow(cut, f"page_id {id_type}, url string, lines array<string>, kinds array<int>").withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "page-lines")
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", ""), r"(?:[?#].*|/|\.html?)$", "")
-    keys = rows.select("row", "page_id", host.alias("host"), path.alias("path"))
+    names = rows.withColumns({"host": host, "path": path}).mapInArrow(hashed, f"page_id {id_type}, content long, host string, path string, names array<long>, lengths array<int>, kinds array<byte>")
     slices = parts(pages.sparkSession)
-    keys = ranked(keys, "host", ["path", "page_id", "row"], slices)
+    near = ranked(names, "host", ["path", "page_id", "content"], slices)
     whole = F.greatest(F.floor(F.col("of") / NEIGHBOURS) - 1, F.lit(0))  # the last block takes the rest
-    keys = keys.select("row", "host", F.least(F.floor(F.col("rank") / NEIGHBOURS), whole).alias("block"), "rank")
-    near = rows.join(keys, "row").repartition(slices, "host", "block").sortWithinPartitions("host", "block", "rank")
+    near = near.withColumn("block", F.least(F.floor(F.col("rank") / NEIGHBOURS), whole)).repartition(slices, "host", "block").sortWithinPartitions("host", "block", "rank")
 
     def difference(batches):
         for t in grouped(batches, ["host", "block"]):
-            page = [list(zip(x, k, strict=True)) for x, k in zip(t["lines"].to_pylist(), t["kinds"].to_pylist(), strict=True)]
-            texts = [main_text(p, page[max(i - 1, 0) : i] + page[i + 1 : i + 2]) for i, p in enumerate(page)]
-            yield pa.RecordBatch.from_arrays([t["page_id"].combine_chunks(), t["url"].combine_chunks(), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            page = [list(zip(*x, strict=True)) for x in zip(t["names"].to_pylist(), t["lengths"].to_pylist(), t["kinds"].to_pylist(), strict=True)]
+            kept = []
+            for i, p in enumerate(page):
+                place = np.cumsum([k != FRAME for _, _, k in p]) - 1  # among the lines that are not FRAME
+                kept.append([int(place[j]) for j in kept_lines(p, page[max(i - 1, 0) : i] + page[i + 1 : i + 2])])
+            yield pa.RecordBatch.from_arrays([t["page_id"].combine_chunks(), t["content"].combine_chunks(), pa.array(kept, pa.list_(pa.int32()))], ["_id", "_content", "kept"])
+
+    verdicts = near.select("host", "block", "page_id", "content", "names", "lengths", "kinds").mapInArrow(difference, f"_id {id_type}, _content long, kept array<int>")
+    verdicts = written(verdicts.groupBy("_id", "_content").agg(F.max("kept").alias("kept")), "verdicts")  # repeated rows are alike
+
+    def texts(batches):
+        for b in batches:
+            found = [[t for t, k in lines(h) if k != FRAME] for h in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("content"), pa.array(found, pa.list_(pa.string()))], ["page_id", "url", "content", "lines"])
 
-    return near.select("host", "block", "page_id", "url", "lines", "kinds").mapInArrow(difference, f"page_id {id_type}, url string, text string, n_chars long")
+    told = rows.mapInArrow(texts, f"page_id {id_type}, url string, content long, lines array<string>")
+    told = told.join(verdicts.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")))
+    text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
+    return told.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
