@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, grouped, lookup, only, parts, weighted_lookup, written
+from .common import SEMI_ROWS, Forest, grouped, lookup, only, parts, weighted_lookup, written
 from .components import components
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99998, 5
@@ -224,7 +224,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are not kept; of repeated rows of one id with the same text one stays."""
     marks = written(near_duplicates(docs, **options), "near-duplicates")
-    out = docs.join(marks.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = written(marks.where("not kept").select("doc_id").distinct(), "not-kept")
+    gone = F.broadcast(gone) if gone.count() <= SEMI_ROWS else gone.hint("merge")
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = written(marks.where("kept and doc_id is not null and n_links > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if again.count():
         repeated = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
