@@ -18,6 +18,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ ROUNDS = 8
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])(?!\.\d)"),
+    "card": re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])(?!\.\d)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w-])(?!\.\d)"),
     "phone": re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![\w-])"),
@@ -135,7 +136,7 @@ class Pseudonyms:
 
     def card(self, m: re.Match) -> str | None:
         digits = re.sub(r"\D", "", m[0])
-        if luhn(digits) % 10 or len(set(digits)) == 1:
+        if not 13 <= len(digits) <= 19 or luhn(digits) % 10 or len(set(digits)) == 1:
             return None
         body = digits[0] + f"{self._map(int(digits[1:-1]), 10 ** (len(digits) - 2), f'card {len(digits)}'):0{len(digits) - 2}}"
         return _filled(m[0], body + str(-luhn(f"{body}0") % 10))
@@ -189,7 +190,7 @@ class Pseudonyms:
                 return f"{made.year:04}{m[2]}{made.month:02}{m[2]}{made.day:02}"
             # days that only one reading allows are permuted among themselves, so that the reading can be told again
             clear = [d for d in _days() if (datetime.date.fromordinal(d).day > 12) == (day > 12)]
-            made = datetime.date.fromordinal(clear[self._map(_place(clear, at), len(clear), f"date {day > 12}")])
+            made = datetime.date.fromordinal(clear[self._map(bisect_left(clear, at), len(clear), f"date {day > 12}")])
             first, second = (made.month, made.day) if american else (made.day, made.month)
             return f"{first:02}{m[6]}{second:02}{m[6]}{made.year:04}"
         return None
@@ -203,14 +204,12 @@ class Pseudonyms:
             if kind == "email" and "@" not in text:
                 continue
             for m in pattern.finditer(text):
-                if all(m.end() <= a or b <= m.start() for a, b, _, _ in spans[-400:]) and (len(spans) <= 400 or all(m.end() <= a or b <= m.start() for a, b, _, _ in spans)):
-                    made = getattr(self, kind)(m)
-                    if made is not None:
-                        spans.append((m.start(), m.end(), made, kind))
+                (a, z), at = m.span(), bisect_left(spans, (m.start(),))
+                if (at == len(spans) or z <= spans[at][0]) and (at == 0 or spans[at - 1][1] <= a) and (made := getattr(self, kind)(m)) is not None:
+                    spans.insert(at, (a, z, made, kind))
         if not spans:
             return text, []
         out, at = [], 0
-        spans.sort()
         for a, b, made, _ in spans:
             out += [text[at:a], made]
             at = b
@@ -228,12 +227,6 @@ def _days() -> list[int]:
     return _calendar
 
 
-def _place(days: list[int], day: int) -> int:
-    from bisect import bisect_left
-
-    return bisect_left(days, day)
-
-
 def pseudonymised(docs: DataFrame, key: bytes = KEY, text_column: str = "text", undo: bool = False, kinds: str | None = None) -> DataFrame:
     """docs with the text replaced. kinds: name of a further column, the array of kinds replaced, in order."""
     names = docs.columns
