@@ -13,12 +13,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round first links the larger neighbours of each node to its smallest one, then each node and its smaller
     neighbours to the smallest of those. It ends when every component is a star around its smallest node, after
-    a number of rounds that grows with the logarithm of the nodes. No neighbourhood is gathered in one place:
+    a number of rounds that grows with the logarithm of the nodes. Without edges there are none. No neighbourhood is gathered in one place:
     minima are aggregated before the shuffle, and a frequent node's edges are spread.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, "edges")
-    while True:
+    while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
         large = written(lookup(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")

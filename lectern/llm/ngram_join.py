@@ -236,3 +236,18 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def sql() -> str:
+    """DuckDB SQL for the rows of query(), by a join of all n-grams."""
+    return f"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, ws, list_distinct(case when len(ws) = 0 then [] when len(ws) < {N} then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - {N - 2}), lambda i: array_to_string(ws[i:i + {N - 1}], ' ')) end) as grams from w),
+g as (select doc_id, unnest(grams) as x from s),
+shared as (select a.doc_id as i, b.doc_id as j, count(*) as c from g a join g b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+links as (select i, j from shared join s a on a.doc_id = i join s b on b.doc_id = j where c >= {THRESHOLD} * (len(a.grams) + len(b.grams) - c) - 1e-9),
+reach as (select doc_id as i, doc_id as j from documents union select r.i, l.j from reach r join links l on l.i = r.j),
+comp as (select i as doc_id, min(j) as component_id from reach group by 1),
+n as (select i as doc_id, count(*) as n_links from links group by 1)
+select s.doc_id, case when len(ws) = 0 then s.doc_id else min(s.doc_id) over (partition by array_to_string(ws, ' ')) end as class_id, coalesce(n_links, 0) as n_links, component_id, s.doc_id = component_id as kept
+from s join comp using (doc_id) left join n using (doc_id)"""

@@ -122,3 +122,16 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def sql() -> str:
+    """DuckDB SQL for the rows of query(), by all pairs of a label."""
+    norm = "sqrt(list_dot_product(v, v))"
+    return f"""
+with recursive v as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select vec_id, label, v, {norm} as n from v),
+links as (select a.vec_id as i, b.vec_id as j from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) / (a.n * b.n) >= {THRESHOLD}),
+reach as (select vec_id as i, vec_id as j from embeddings union select r.i, l.j from reach r join links l on l.i = r.j),
+comp as (select i as vec_id, min(j) as component_id from reach group by 1),
+c as (select i as vec_id, count(*) as n_links from links group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from comp left join c using (vec_id)"""

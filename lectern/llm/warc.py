@@ -223,3 +223,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     return read(spark, path)
+
+
+def sql() -> str:
+    """DuckDB SQL for the rows of query()."""
+    base32 = "array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || sha[(i // 8) * 10 + 1:(i // 8) * 10 + 10])::bigint >> (35 - 5 * (i % 8))::bigint) & 31) + 1]), '')"
+    return f"""
+with p as (select page_id, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as sha from pages),
+o as (select *, max(page_id) over (partition by sha) as origin from p)
+select page_id, octet_length(payload) as payload_bytes, {base32} as payload_digest, case when octet_length(payload) < {LEAST} or page_id = origin then 'response' else 'revisit' end as record_type, case when octet_length(payload) < {LEAST} or page_id = origin then null else origin end as refers_to from o"""
