@@ -129,8 +129,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return mix(docs, levels, WEIGHTS, budget())
 
 
-def sql(documents: str = "documents", text_and_all: bool = False) -> str:
-    """DuckDB SQL for the rows of query(); with text_and_all for the documents that the pipeline's stage returns."""
+def sql(documents: str = "documents") -> str:
+    """DuckDB SQL for the rows of query()."""
 
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -140,7 +140,7 @@ def sql(documents: str = "documents", text_and_all: bool = False) -> str:
 
     case = "case " + " ".join(f"when source in ({', '.join(map(quoted, m))}) then {quoted(k)}" for k, m in DOMAINS.items()) + f" else {quoted(OTHER_DOMAIN)} end"
     levels, out = ["domain", "lang", "source"], []
-    out.append(f"toks as (select d.*, coalesce({case}, {quoted(NONE)}) as t_domain, coalesce(lang, {quoted(NONE)}) as t_lang, coalesce(source, {quoted(NONE)}) as t_source, coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0)::bigint as n_tokens from {documents} d)")
+    out.append(f"toks as (select doc_id, coalesce({case}, {quoted(NONE)}) as t_domain, coalesce(lang, {quoted(NONE)}) as t_lang, coalesce(source, {quoted(NONE)}) as t_source, coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0)::bigint as n_tokens from {documents})")
     out.append("leaves as (select t_domain as domain, t_lang as lang, t_source as source, sum(n_tokens)::hugeint as tokens from toks where n_tokens > 0 group by all)")
     out.append(f"b0 as (select (coalesce(sum(tokens), 0) * {BUDGET_PERCENT} // 100)::hugeint as budget from leaves)")
     for i, level in enumerate(levels):
@@ -156,6 +156,4 @@ def sql(documents: str = "documents", text_and_all: bool = False) -> str:
     out.append("plan as (select domain, lang, source, (budget // tokens)::bigint as full_epochs, (budget % tokens)::bigint as rem from leaves join b3 using (domain, lang, source))")
     out.append(f"seq as (select t.*, p.full_epochs, p.rem, sum(n_tokens) over (partition by t_domain, t_lang, t_source order by md5(concat_ws('|', {quoted(SEED)}, full_epochs::varchar, coalesce(doc_id::varchar, {quoted(NONE)}))), doc_id, n_tokens rows between unbounded preceding and current row) - n_tokens as start from toks t join plan p on t_domain = p.domain and t_lang = p.lang and t_source = p.source where n_tokens > 0)")
     out.append("drawn as (select *, unnest(range(full_epochs)) as epoch, n_tokens as take_tokens from seq union all select *, full_epochs as epoch, least(n_tokens, rem - start) as take_tokens from seq where start < rem)")
-    if text_and_all:
-        return ",\n".join(out)
     return "with " + ",\n".join(out) + "\nselect doc_id, t_domain as domain, t_lang as lang, t_source as source, epoch::bigint as epoch, n_tokens, take_tokens::bigint as take_tokens from drawn"

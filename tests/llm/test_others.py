@@ -25,12 +25,13 @@ def levels():
 
 def drawn(spark, rows, **options):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch string, _id int")
-    found = mixing.mix(docs, levels(), mixing.WEIGHTS, mixing.budget(), **options).toPandas()
+    found = mixing.mix(docs, levels(), mixing.WEIGHTS, mixing.budget(), **options)
+    names = sorted(found.columns)
     c = duckdb.connect()
-    c.register("documents", docs.toPandas())
-    key = lambda df: sorted(map(tuple, df[sorted(found.columns)].itertuples(index=False)), key=repr)
-    assert key(found) == key(c.sql(mixing.sql()).df())
-    return found
+    c.register("documents", docs.toArrow())
+    rows = sorted((tuple(r[n] for n in names) for r in found.collect()), key=repr)
+    assert rows == sorted(c.sql(f"select {', '.join(names)} from ({mixing.sql()})").fetchall(), key=repr)
+    return found.toPandas()
 
 
 def test_mixing(spark):
