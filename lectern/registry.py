@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import json_recovery, text
-from lectern.operators import dashboard, dedup, engagement, graph, library, media, recommendations
+from lectern.operators import dashboard, dedup, engagement, graph, lecture, library, media, recommendations
 from lectern.plans.bindings import Tables, sql
 from lectern.streaming import live
 
@@ -137,6 +137,16 @@ query("last_frames", sql("select media_id, frame_id, pos, concept, from_end from
 query("users_media", sql("select id, user_id, media_type from media where user_id in (1, 2, 3, 5, 8)", "media"))(lambda t: library.of_users(t.media(), [1, 2, 3, 5, 8]).select("id", "user_id", "media_type"))
 query("cards_of_media", sql("select f.media_id, card_index, question from flashcards f where media_id in (select id from media where media_type = 'video')", "media", "flashcards"))(lambda t: library.of_media(t.flashcards(), t.media().where("media_type = 'video'")).select("media_id", "card_index", "question"))
 
+# --- lectures ----------------------------------------------------------------------------------------------------
+
+query("notable_slides", sql("select media_id, frame_id, slide_title, position from (select *, row_number() over (partition by media_id order by frame_id) as position from frames where importance in ('high', 'medium') and (trim(coalesce(slide_title, '')) <> '' or len(key_concepts) > 0)) where position <= 35", "frames"))(lambda t: lecture.notable(t.frames()).select("media_id", "frame_id", "slide_title", "position"))
+query("meaningful_frames", sql("select media_id, frame_id from frames where importance <> 'low' or trim(coalesce(ocr_text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''", "frames"))(lambda t: lecture.meaningful(t.frames(), True).select("media_id", "frame_id"))
+query("concept_timeline", sql("with r as (select *, row_number() over (partition by media_id order by frame_id) - 1 as at_, count(*) over (partition by media_id) as of_ from frames), k as (select *, row_number() over (partition by media_id order by frame_id) as k from r where at_ % greatest(1, of_ // least(5, of_)) = 0), c as (select media_id, k, unnest(range(1, least(len(key_concepts), 2) + 1)) as pos, key_concepts from k where k <= 5), f as (select *, row_number() over (partition by media_id, lower(key_concepts[pos]) order by k, pos) as rn from c), o as (select media_id, row_number() over (partition by media_id order by k, pos) as position, key_concepts[pos] as concept from f where rn = 1) select * from o where position <= 6", "frames"))(lambda t: lecture.timeline(t.frames()))
+query("shuffled_cards", sql("select media_id, card_index, row_number() over (partition by media_id order by md5('deck|' || media_id || '|' || card_index), card_index) as position from flashcards", "flashcards"))(lambda t: lecture.shuffled(t.flashcards(), "deck").select("media_id", "card_index", "position"))
+query("deck_progress", sql("select media_id, card_index, floor((card_index + 1) * 100 / count(*) over (partition by media_id) + 0.5)::int as pct from flashcards", "flashcards"))(lambda t: t.flashcards().join(media.counts(t.flashcards(), "n"), "media_id").select("media_id", "card_index", lecture.deck_progress(F.col("card_index") + 1, F.col("n")).alias("pct")))
+query("normalised_segments", sql("select media_id, segment_index, round(start_time, 3) as start_time, round(end_time, 3) as end_time, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text from segments where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''", "segments"))(lambda t: lecture.normalised_segments(t.segments()))
+query("report_content", None)(lambda t: lecture.report(media.titled(t.media(), t.details()), t.frames(), library.transcripts(t.segments())))
+
 # --- text --------------------------------------------------------------------------------------------------------
 
 

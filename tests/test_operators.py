@@ -117,3 +117,13 @@ def test_reviews_and_sessions(spark):
     assert [r["accuracy_score"] for r in writes.scored_sessions(spark.createDataFrame([(0, 0), (4, 1)], "total_questions int, correct_answers int")).collect()] == [0.0, 25.0]
     notes = writes.notes(spark.createDataFrame([(1, "T", "S", ["a", "b"], [])], "media_id long, lecture_title string, summary string, main_topics array<string>, learning_outcomes array<string>"))
     assert notes.first()["content"] == "# T\n\n## Overview\nS\n\n## Topics\n- a\n- b"
+
+
+def test_lecture(spark):
+    from lectern.operators import lecture
+
+    parts = spark.range(1).select(F.array(*(F.struct(F.lit(t).alias("text"), F.lit(c).alias("confidence")) for t, c in (("a", 0.4), (" ", 0.9), ("b", 0.39)))).alias("p"))
+    assert [x["text"] for x in parts.select(lecture.confident(F.col("p")).alias("p")).first()["p"]] == ["a"]
+    frames = spark.createDataFrame([(1, i, "low" if i % 2 else "high", "t" if i else None, [f"C{i % 3}", "c0", "z"], " ") for i in range(10)], "media_id long, frame_id long, importance string, slide_title string, key_concepts array<string>, ocr_text string")
+    assert [r["concept"] for r in lecture.timeline(frames).orderBy("position").collect()] == ["C0", "C2", "C1"]
+    assert lecture.notable(frames, 3).count() == 3 and lecture.meaningful(frames, True).count() == 5 and lecture.meaningful(frames).count() == 10
