@@ -49,22 +49,20 @@ def perturbations(fractions: np.ndarray, n: int) -> list[tuple[tuple[int, int],
     return out
 
 
-def _vectors(column) -> list[np.ndarray]:
-    return [np.asarray(v.values) for v in column]
-
-
-def _nearest(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, units: np.ndarray, unit_query: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """(id, cosine) of the k nearest other than own; equal vectors get equal cosines."""
-    near = (units @ unit_query).round(11)
-    near[ids == own] = -2
-    at = np.arange(len(ids))
-    if len(at) > k:
-        at = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k])
-    at = at[np.lexsort((ids[at], -near[at]))][:k]
-    at = at[near[at] > -2]
-    v = vectors[at]
+def _nearest(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray, near: np.ndarray, k: int, times: int = 1) -> list[tuple[int, float]]:
+    """(id, cosine) of the k nearest other than own. ids and near belong to the given rows of vectors.
+
+    near are cosines in single precision, which only choose what is compared in double precision. A vector may be
+    given so many times. Equal vectors get equal cosines.
+    """
+    most = (k + 1) * times
+    at = np.arange(len(ids)) if len(ids) <= most else np.flatnonzero(near >= np.partition(near, len(near) - most)[len(near) - most] - 1e-5)
+    names, first = np.unique(ids[at], return_index=True)
+    v = vectors[rows[at[first]]]
     cosines = (v * query).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((query * query).sum()))
-    return list(zip(ids[at].tolist(), np.clip(cosines, -1, 1).tolist(), strict=True))
+    order = np.lexsort((names, -cosines.round(14)))
+    order = order[names[order] != own][:k]
+    return list(zip(names[order].tolist(), np.clip(cosines[order], -1, 1).tolist(), strict=True))
 
 
 _FOUND = ["query_id", "vec_id", "score"]
@@ -78,8 +76,8 @@ def _hash(batches, probes: int):
     """(bucket, id, vector), or for probes (bucket, id) rows."""
     made: dict[int, Projections] = {}
     for b in batches:
-        ids, vectors = np.asarray(b.column("id")), _vectors(b.column("vector"))
-        for dim, at, rows in by_dimension(vectors) if len(vectors) else ():
+        ids = np.asarray(b.column("id"))
+        for dim, at, rows in by_dimension(b.column("vector")):
             p = made.setdefault(dim, Projections(dim, TABLES, PROJECTIONS, WIDTH))
             positions = p.positions(unit(rows))
             buckets = p.buckets(positions)
@@ -125,31 +123,34 @@ def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vect
         for t in grouped(batches, ["cell", "piece"]):
             kind, bucket, ids = (np.asarray(t[c].combine_chunks()) for c in ("kind", "bucket", "id"))
             a, z = np.searchsorted(kind, [1, 2])
-            vectors = _vectors(t["vector"].combine_chunks().slice(0, int(z)))
-            if not 0 < a < z:
-                continue
-            starts = np.flatnonzero(np.r_[True, bucket[1:a] != bucket[: a - 1]])
-            ranges = {int(bucket[s]): (int(s), int(e)) for s, e in zip(starts, np.r_[starts[1:], a], strict=True)}
-            units = [unit(v[None])[0] for v in vectors]
-            wanted: dict[int, list[int]] = {}
-            for b, q in zip(bucket[z:].tolist(), ids[z:].tolist(), strict=True):
-                wanted.setdefault(q, []).append(b)
+            order = np.argsort(ids[z:], kind="stable")  # probes by query
+            wanted, asking = bucket[z:][order], ids[z:][order]
             out = []
-            for row in range(a, z):
-                q, dim = int(ids[row]), len(vectors[row])
-                at = np.unique(np.concatenate([np.arange(*ranges.get(b, (0, 0))) for b in wanted.get(q, [0])]))
-                at = [i for i in at.astype(int).tolist() if len(vectors[i]) == dim]
-                if at:
-                    own, first = np.unique(ids[at], return_index=True)  # a vector may lie in several of the tables' buckets
-                    at = [at[i] for i in first]
-                    out += [(q, *f) for f in _nearest(vectors[row], q, own, np.stack([vectors[i] for i in at]), np.stack([units[i] for i in at]), units[row], k)]
+            for _, at, m in by_dimension(t["vector"].combine_chunks().slice(0, int(z))):
+                own = at < a
+                if own.all() or not own.any():
+                    continue
+                held, names, there = m[own], ids[at[own]], bucket[at[own]]
+                queries_ = m[~own]
+                units, asked = unit(held).astype(np.float32), unit(queries_).astype(np.float32)
+                for i, row in enumerate(at[~own]):
+                    q = int(ids[row])
+                    b = wanted[slice(*np.searchsorted(asking, [q, q + 1]))]
+                    starts, ends = np.searchsorted(there, b), np.searchsorted(there, b, "right")
+                    sizes = ends - starts
+                    if not sizes.any():
+                        continue
+                    candidates = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                    near = units[candidates] @ asked[i]
+                    out += [(q, *f) for f in _nearest(queries_[i], q, names[candidates], held, candidates, near, k, TABLES)]
             yield _batch(out)
 
-    found = written(all_.mapInArrow(visit, "query_id long, vec_id long, score double"), "ann-found").distinct()
+    found = written(all_.mapInArrow(visit, "query_id long, vec_id long, score double"), "ann-found")
     few = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= min(k, max(total - 1, 0)))
     short = written(queries.join(few, queries["id"] == few["query_id"], "left_anti").select("id", "vector"), "ann-short")
     if total > 1 and short.count():
-        found = found.unionByName(_exact(rows.select("id", "vector"), short, k)).distinct()
+        found = found.unionByName(_exact(rows.select("id", "vector"), short, k))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -164,13 +165,15 @@ def _exact(rows: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> Da
 
     def compare(batches):
         for t in grouped(batches, ["a", "b"]):
-            kind, ids = np.asarray(t["kind"].combine_chunks()), np.asarray(t["id"].combine_chunks())
-            vectors, n, out = _vectors(t["vector"].combine_chunks()), int((kind == 0).sum()), []
-            for dim, at, m in by_dimension(vectors):
+            kind, ids, out = np.asarray(t["kind"].combine_chunks()), np.asarray(t["id"].combine_chunks()), []
+            n = int((kind == 0).sum())
+            for _, at, m in by_dimension(t["vector"].combine_chunks()):
                 own = at < n
-                u = unit(m)
-                for i in np.flatnonzero(~own) if own.any() else ():
-                    out += [(int(ids[at[i]]), *f) for f in _nearest(m[i], int(ids[at[i]]), ids[at[own]], m[own], u[own], u[i], k)]
+                if own.any():
+                    held, names, every = m[own], ids[at[own]], np.arange(own.sum())
+                    near = unit(m[~own]).astype(np.float32) @ unit(held).astype(np.float32).T if not own.all() else []
+                    for i, row in enumerate(at[~own]):
+                        out += [(int(ids[row]), *f) for f in _nearest(m[~own][i], int(ids[row]), names, held, every, near[i], k)]
             yield _batch(out)
 
     return both.mapInArrow(compare, "query_id long, vec_id long, score double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,12 +42,16 @@ class Projections:
             return (np.floor(positions).astype(np.int64) * self.odd).sum(2) + self.base
 
 
-def by_dimension(vectors: list[np.ndarray]):
-    """(dimension, indices, matrix) for the vectors of each dimension."""
-    dims = np.array([len(v) for v in vectors])
-    for d in np.unique(dims):
-        at = np.flatnonzero(dims == d)
-        yield int(d), at, np.stack([vectors[i] for i in at]).astype(np.float64)
+def by_dimension(column: pa.ListArray):
+    """(dimension, indices, matrix) for the vectors of each dimension; no vector is null or holds null."""
+    ends = np.cumsum(sizes := np.diff(np.asarray(column.offsets)))
+    flat = np.asarray(column.flatten(), np.float64)
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        if len(at) == len(sizes):
+            yield int(d), at, flat.reshape(len(at), d)
+        else:
+            yield int(d), at, flat[(ends[at] - d)[:, None] + np.arange(d)]
 
 
 def same_bucket(distance: float, width: float) -> float:

@@ -56,8 +56,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     def hashed(batches):
         made: dict[int, Projections] = {}
         for b in batches:
-            held = [np.asarray(v.values) for v in b.column("vector")]
-            for dim, at, m in by_dimension(held) if held else ():
+            for dim, at, m in by_dimension(b.column("vector")):
                 p = made.setdefault(dim, Projections(dim, tables, PROJECTIONS, WIDTH))
                 names = p.buckets(p.positions(unit(m)))
                 yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(at, pa.int64())), b.column("label").take(pa.array(at, pa.int64())), pa.array(names.tolist(), pa.list_(pa.int64()))], ["node", "label", "buckets"])
@@ -72,7 +71,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
 
     def matrices(t):
         """(indices, matrix) for each dimension of a group's vectors."""
-        return [(at, m) for _, at, m in by_dimension([np.asarray(v.values) for v in t["vector"].combine_chunks()])]
+        return [(at, m) for _, at, m in by_dimension(t["vector"].combine_chunks())]
 
     def check(batches):
         for t in grouped(batches, ["bucket"]):
