@@ -107,7 +107,7 @@ def definitions(items: DataFrame, threshold: float = 0.88, richest: bool = False
 
 
 def exact(items: DataFrame) -> DataFrame:
-    """First of equal texts in any case (D8): where the reference merges nothing, this merges equal ones."""
+    """First of equal texts in any case."""
     rows = prepared(items)
     order = Window.partitionBy("group", F.lower("text")).orderBy("id")
     return rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("group", "id", "text")
