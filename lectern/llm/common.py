@@ -83,6 +83,13 @@ def weighted_lookup(big: DataFrame, small: DataFrame, on: list[str], rows: str)
     return there.unionByName(rest)
 
 
+def small(batches, rows: int = 256):
+    """The same rows in small batches, so that a task holds few texts as Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def grouped(batches, keys: list[str]):
     """The tables of rows with equal keys, from batches that are sorted by them. Holds one group at a time."""
     import numpy as np

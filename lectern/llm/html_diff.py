@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import grouped, parts, weighted_lookup, written
+from .common import grouped, parts, small, weighted_lookup, written
 
 NEIGHBOURS, COPY = 8, 0.8
 OPEN, MAIN, FRAME = 0, 1, 2
@@ -191,7 +191,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("content", F.xxhash64("url", "html"))
 
     def hashed(batches):
-        for b in batches:
+        for b in small(batches):
             found = [lines(h) for h in b.column("html").to_pylist()]
             columns = [[[int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), signed=True) for t, _ in x] for x in found], [[len(t) for t, _ in x] for x in found], [[k for _, k in x] for x in found]]
             arrays = [pa.array(c, pa.list_(t)) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int8()), strict=True)]
@@ -219,7 +219,7 @@ def extract(pages: DataFrame) -> DataFrame:
     verdicts = written(verdicts.groupBy("_id", "_content").agg(F.max("kept").alias("kept")), "verdicts")  # repeated rows are alike
 
     def texts(batches):
-        for b in batches:
+        for b in small(batches):
             found = [[t for t, k in lines(h) if k != FRAME] for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("content"), pa.array(found, pa.list_(pa.string()))], ["page_id", "url", "content", "lines"])
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEMI_ROWS, Forest, grouped, lookup, only, parts, weighted_lookup, written
+from .common import SEMI_ROWS, Forest, grouped, lookup, only, parts, small, weighted_lookup, written
 from .components import components
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99998, 5
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     def sign(batches):
         minhash = MinHash(count * rows)
-        for b in batches:
+        for b in small(batches):
             keys, signatures, sizes = [], [], []
             for t in b.column("text").to_pylist():
                 words = split(t)
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     wanted = written(lookup(sized, totals, ["group"]), "candidates")
 
     def sets(batches):
-        for b in batches:
+        for b in small(batches):
             keep, found = [], []
             for i, (text, key) in enumerate(zip(b.column("text").to_pylist(), b.column("key").to_pylist(), strict=True)):
                 words = split(text)

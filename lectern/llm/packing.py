@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, written
+from .common import lookup, small, written
 
 CAPACITY, END_ID, BUCKETS = 4096, 1, 256
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps; beyond that it starts anew.
-KEPT = 600_000
+KEPT = 200_000
 
 #: The tokenizer's pre-split, for the lower-case letters and the numbers below U+0180.
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿā-ſ", "0-9²³¹¼½¾"
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def cut(batches):
         encode = tokenizer(path or default_path())
-        for batch in batches:
+        for batch in small(batches):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             take, cols = [], ([], [], [], [], [])
             for row, text in enumerate(texts):
@@ -203,7 +203,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") ->
     within = Window.partitionBy("length", "_b").orderBy(id_column, "piece", "start", "ids_crc32")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1)
     ranked = lookup(ranked, firsts, ["length", "_b"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
-    return ranked.join(slots, ["length", "_rank"]).select(*cut.columns, "sequence_id", "offset")
+    return ranked.join(slots.hint("merge"), ["length", "_rank"])  # as many slots as pieces: never broadcast.select(*cut.columns, "sequence_id", "offset")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Production key of the query; a deployment passes its own.
 KEY = b"lectern pseudonyms 1"
 ROUNDS = 8
@@ -235,7 +237,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text_column: str = "text",
 
     def run(batches):
         pseudonyms = Pseudonyms(key, undo)
-        for b in batches:
+        for b in small(batches):
             done = [(None, []) if t is None else pseudonyms.replace(t) for t in b.column(at).to_pylist()]
             columns = [b.column(i) if i != at else pa.array([d[0] for d in done], pa.string()) for i in range(len(names))]
             if kinds:

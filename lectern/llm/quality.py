@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 MAX_TRAIN = 6000
 HASHED, FACTORS, EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 1 << 12, 8, 12, 300, 128, 0.01, 1e-4, 11
 
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_
     """docs: doc_id, text, n_chars; labels: doc_id, quality. may_learn: a condition on doc_id."""
 
     def extract(batches):
-        for b in batches:
+        for b in small(batches):
             texts = b.column("text").to_pylist()
             for at in range(0, len(texts), 256):
                 x, stats = features(texts[at : at + 256], b.column("n_chars").to_pylist()[at : at + 256])
@@ -145,7 +147,7 @@ def scored(docs: DataFrame, machine: Machine, keep: list[str] | None = None) ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", _score double"
 
     def score(batches):
-        for b in batches:
+        for b in small(batches):
             texts, sizes, out = b.column("_text").to_pylist(), b.column("_n").to_pylist(), []
             for at in range(0, len(texts), 64):
                 out.append(machine.score(*features(texts[at : at + 64], sizes[at : at + 64])))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 from .quality import labelled, remainder
 
 MAX_EXAMPLES, MAX_TERMS, K, BLOCK, LEAST_DF = 8000, 512, 16, 64, 3
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_
     sample = written(labelled(docs, labels, "toxic", may_learn, limit, ["text"]), "toxic-labelled")
 
     def sign(batches):
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([signature(t).tolist() for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], ["id", "own"])
 
     signed = sorted(map(tuple, sample.mapInArrow(sign, "id long, own array<long>").collect()))  # at most limit rows
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_
     sample = written(sample.join(F.broadcast(kept), "doc_id"), "toxic-examples")
 
     def count(batches):
-        for b in batches:
+        for b in small(batches):
             all_, toxic = Counter(), Counter()
             for text, y in zip(b.column("text").to_pylist(), b.column("_label").to_pylist(), strict=True):
                 own = repeated(Counter(t for w in words(text) for t in terms(w))).keys()
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_
     empty = Index(vocabulary, df, n, [])
 
     def extract(batches):
-        for b in batches:
+        for b in small(batches):
             found = [empty.counts(words(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_label").cast(pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "y", "at", "n"])
 
@@ -214,7 +214,7 @@ def scored(docs: DataFrame, index: Index, keep: list[str] | None = None) -> Data
 
     def run(batches):
         kept: dict = {}
-        for b in batches:
+        for b in small(batches):
             done = [index.score(t, kept) for t in b.column("_text").to_pylist()]
             columns = [pa.array([d[0] for d in done], pa.float64()), pa.array([d[1] for d in done], pa.list_(pa.int64())), pa.array([d[2] for d in done], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *columns], [*keep, "_score", "_near", "_similar"])

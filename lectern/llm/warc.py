@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, grouped, new_path, parts, weighted_lookup, written
+from .common import BROADCAST_ROWS, grouped, new_path, parts, small, weighted_lookup, written
 
 SEGMENT, CHUNK, FILE_RECORDS, LEAST = 8192, 2048, 2000, 0
 DATE = "2024-01-01T00:00:00Z"
@@ -105,7 +105,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     first = rows.join(gone, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("sha") == F.col("_s")), "left_anti").select("page_id", "url", "payload")
 
     def write_responses(batches):
-        for b in batches:
+        for b in small(batches):
             made = []
             for p, u, payload in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 made += responses(p, u, payload)
