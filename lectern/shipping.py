@@ -10,9 +10,18 @@ from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python at a time.
+ARROW_ROWS = 1000
+
 
 def ship(spark: SparkSession) -> None:
-    """Once for each application; Spark's own file server hands the archive to each executor."""
+    """Once for each application; Spark's own file server hands the archive to each executor.
+
+    It also lowers the session's rows of an Arrow batch to ARROW_ROWS.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
