@@ -56,7 +56,7 @@ def lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
         return big.join(F.broadcast(small), on, how)
     rows = big.withColumn("_salt", (F.monotonically_increasing_id() % salt).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return rows.join(spread, [*on, "_salt"], how).drop("_salt")
+    return rows.join(spread.hint("merge"), [*on, "_salt"], how).drop("_salt")  # its size estimate knows nothing of the explode
 
 
 def only(big: DataFrame, keys: DataFrame, column: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, small, written
+from .common import small, weighted_lookup, written
 
 CAPACITY, END_ID, BUCKETS = 4096, 1, 256
 TOKENIZER = "word_bpe_49k.json"
@@ -199,10 +199,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") ->
 
     keyed = cut.withColumn("_b", F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = written(keyed.groupBy("length", "_b").count().select("length", "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first")), "pack-ranks")
+    firsts = written(keyed.groupBy("length", "_b").count().select("length", "_b", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first")), "pack-ranks")
     within = Window.partitionBy("length", "_b").orderBy(id_column, "piece", "start", "ids_crc32")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1)
-    ranked = lookup(ranked, firsts, ["length", "_b"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
+    ranked = weighted_lookup(ranked, firsts, ["length", "_b"], "count").withColumn("_rank", F.col("_rank") + F.col("_first"))
     return ranked.join(slots.hint("merge"), ["length", "_rank"])  # as many slots as pieces: never broadcast.select(*cut.columns, "sequence_id", "offset")
 
 
