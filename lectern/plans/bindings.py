@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import importance
+
 #: All columns of lineitem, for a total order among rows of equal keys.
 _LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 _SUBJECTS = ["Physics - Kinematics", "math:algebra - linear", "CS > AI", "bio-chem/organic", "newton's laws", ""]
@@ -86,10 +88,9 @@ class Tables:
         return self.raw("documents")
 
     def frames(self) -> DataFrame:
+        """Whole texts, 50 consecutive documents to a medium, so that media grow in number with the table."""
         d = self.raw("documents")
-        n = F.length(F.regexp_replace(F.substring("text", 1, 50), "[^A-Za-z0-9]", ""))
-        importance = F.when(n < 30, "low").when(n < 50, "medium").otherwise("high")
-        return d.select((F.col("doc_id") % 20).alias("media_id"), F.col("doc_id").alias("frame_id"), F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 30)).alias("slide_title"), F.slice(F.split(F.substring("text", 1, 60), " "), 1, 3).alias("key_concepts"), importance.alias("importance"), F.substring("text", 1, 200).alias("ocr_text"))
+        return d.select(F.floor(F.col("doc_id") / 50).alias("media_id"), F.col("doc_id").alias("frame_id"), F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 30)).alias("slide_title"), F.slice(F.split("text", " ", 4), 1, 3).alias("key_concepts"), importance(F.col("text")).alias("importance"), F.col("text").alias("ocr_text"))
 
     def embeddings(self) -> DataFrame:
         return self.raw("embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern import registry
+from lectern.plans.bindings import Tables
 
 
 def found(spark, name: str, sf_dir) -> list:
@@ -14,3 +15,15 @@ def test_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["importance"] for r in found(spark, "importance_class", tmp_path)} == {0: "medium", 1: "high", 2: "high", 3: "low"}
     assert {r["doc_id"]: r["title"] for r in found(spark, "title_case", tmp_path)} == {0: "- " * 40 + "A" + "a" * 48, 1: "- " * 40 + "B" + "b" * 49, 2: "X " * 60 + "Last One'S", 3: None}
+
+
+def test_frames_of_whole_texts(spark, tmp_path):
+    texts = {i: "- " * 150 + "z" * 60 for i in range(2000)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frames = Tables(spark, str(tmp_path)).frames().collect()
+    assert all(r["importance"] == "high" and r["ocr_text"] == texts[r["frame_id"]] for r in frames)
+    assert len({r["media_id"] for r in frames}) == 40
+    rows = found(spark, "notable_slides", tmp_path)
+    assert len(rows) == 40 * 35 and {r["media_id"] for r in rows} == set(range(40))
+    assert len(found(spark, "meaningful_frames", tmp_path)) == 2000
+    assert len({r["media_id"] for r in found(spark, "concept_timeline", tmp_path)}) == 40
