@@ -214,8 +214,8 @@ query("concept_frequency", sql("select media_id, concept, count(*) as freq from
 query("cooccurrence_edges", sql(f"with {_EDGES} select * from edges", "concepts"))(_edges)
 query("heavy_edges", sql(f"with {_EDGES} select * from edges where weight >= 3", "concepts"))(lambda t: graph.cooccurrence(t.concepts(), 3))
 query("graph_degree", sql(f"with {_DEGREES} select * from deg", "concepts"))(lambda t: graph.degrees(_edges(t)))
-query("graph_pruned", sql(f"with {_PRUNED} select media_id, node, freq, degree, position from kept", "concepts"))(lambda t: graph.pruned(t.concepts(), _edges(t), 12))
-query("graph_links", sql(f"with {_PRUNED} select e.media_id, x.position - 1 as source, y.position - 1 as target, 'co_occurs' as relation, weight from edges e join kept x on x.media_id = e.media_id and x.node = a join kept y on y.media_id = e.media_id and y.node = b", "concepts"))(lambda t: graph.exported(graph.pruned(t.concepts(), _edges(t), 12), _edges(t)))
+query("graph_pruned", sql(f"with {_PRUNED} select media_id, node, freq, degree, position from kept", "concepts"))(lambda t: graph.pruned(t.concepts(), _edges(t)))
+query("graph_links", sql(f"with {_PRUNED} select e.media_id, x.position - 1 as source, y.position - 1 as target, 'co_occurs' as relation, weight from edges e join kept x on x.media_id = e.media_id and x.node = a join kept y on y.media_id = e.media_id and y.node = b", "concepts"))(lambda t: graph.exported(graph.pruned(t.concepts(), _edges(t)), _edges(t)))
 query("top_central", sql(f"with {_DEGREES} select media_id, position, node, freq, centrality from (select *, row_number() over (partition by media_id order by centrality desc, freq desc, node) as position from (select *, round(degree / greatest(count(*) over (partition by media_id) - 1, 1), 6) as centrality from nd)) where position <= 10", "concepts"))(lambda t: graph.central(t.concepts(), _edges(t)))
 query("graph_nodes", sql("with d as (select media_id, concept as term from concepts where pos = 1 group by 1, 2), f as (select media_id, concept, count(*) as freq from concepts group by 1, 2) select media_id, concept as node, " + _TITLE_SQL.format("concept") + " as label, 'concept' as type, freq from f union all select media_id, 'def:' || term, 'is ' || term, 'definition', 1 from d union all select distinct media_id, '__lecture__', 'L' || media_id, 'lecture', 1 from concepts", "concepts"))(
     lambda t: graph.nodes(t.concepts(), t.concepts().where("pos = 1").select("media_id", F.col("concept").alias("term"), F.concat(F.lit("is "), "concept").alias("definition")).distinct(), t.concepts().select("media_id", F.concat(F.lit("L"), "media_id").alias("title")).distinct())
@@ -234,4 +234,4 @@ def _live(t: Tables) -> DataFrame:
 
 query("live_segments_dedup", f"with {_LIVE}, s as (select session_id, start + chunk_index * 15 as start, \"end\" + chunk_index * 15 as \"end\", id, text from segs) select session_id, start, \"end\", id, text from (select *, row_number() over (partition by session_id, start order by id, text) as rn from s) where rn = 1")(lambda t: live.deduped(live.shifted(_live(t))))
 query("session_counters", f"with {_LIVE} select session_id, count(*) as segments, sum({_WORDS.format('text')})::bigint as words, sum({_WORDS.format('text')}) < 5 as too_short from segs group by 1")(lambda t: live.counters(_live(t)))
-query("chunk_stitch", f"with {_LIVE}, c as (select *, row_number() over (partition by session_id, chunk_index order by id, text) as k from segs where chunk_index <> 1), n as (select session_id, chunk_index, count(*) as n from c group by 1, 2), o as (select *, coalesce(sum(n) over (partition by session_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as before from n) select c.session_id, c.chunk_index, (before + k - 1)::bigint as id, start + c.chunk_index * 300 as start, text from c join o on o.session_id = c.session_id and o.chunk_index = c.chunk_index")(lambda t: live.stitched(_live(t).where("chunk_index <> 1")))
+query("chunk_stitch", f"with {_LIVE}, c as (select *, row_number() over (partition by session_id, chunk_index order by id, text) as k from segs where chunk_index <> 1), n as (select session_id, chunk_index, count(*) as n from c group by 1, 2), o as (select *, coalesce(sum(n) over (partition by session_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as before from n) select c.session_id, c.chunk_index, (before + k - 1)::bigint as id, start + c.chunk_index * 300 as start, text from c join o on o.session_id = c.session_id and o.chunk_index = c.chunk_index")(lambda t: live.stitched(_live(t)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lectern import registry
+from lectern.operators import graph
 from lectern.plans.bindings import Tables
 
 
@@ -27,3 +28,21 @@ def test_frames_of_whole_texts(spark, tmp_path):
     assert len(rows) == 40 * 35 and {r["media_id"] for r in rows} == set(range(40))
     assert len(found(spark, "meaningful_frames", tmp_path)) == 2000
     assert len({r["media_id"] for r in found(spark, "concept_timeline", tmp_path)}) == 40
+
+
+def test_whole_graph(spark, tmp_path):
+    brands = [f"B{i:02}" for i in range(90)]
+    spark.createDataFrame([(i, b) for i, b in enumerate(brands)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(7, i, i) for i in range(90)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert len(found(spark, "graph_pruned", tmp_path)) == 80
+    assert len(found(spark, "graph_links", tmp_path)) == 80 * 79 // 2
+    mentions = Tables(spark, str(tmp_path)).concepts()
+    kept = graph.pruned(mentions, graph.cooccurrence(mentions), 3)
+    assert sorted((r["position"], r["node"]) for r in kept.collect()) == [(1, "b00"), (2, "b01"), (3, "b02")]
+    assert graph.exported(kept, graph.cooccurrence(mentions)).count() == 3
+
+
+def test_stitches_every_chunk(spark, tmp_path):
+    spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(8)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = found(spark, "chunk_stitch", tmp_path)
+    assert sorted((r["id"], r["chunk_index"], r["start"], r["text"]) for r in rows) == [(2 * c + k, c, c * 300.0 + (c + 4 * k) // 2, f"t{c + 4 * k}") for c in range(4) for k in range(2)]
