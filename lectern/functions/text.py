@@ -194,14 +194,62 @@ def mermaid(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_extract(text, "(?s)(mindmap.*)", 1), "(?s)```.*$", ""))
 
 
-#: Language code, name, whether it is written from right to left.
-LANGUAGES = [("en", "English", False), ("hi", "Hindi", False), ("ar", "Arabic", True), ("fr", "French", False), ("de", "German", False), ("es", "Spanish", False), ("zh", "Chinese", False), ("ja", "Japanese", False), ("ko", "Korean", False), ("pt", "Portuguese", False), ("ru", "Russian", False), ("it", "Italian", False), ("ur", "Urdu", True), ("fa", "Persian", True), ("he", "Hebrew", True)]
+#: Language code, name, languages to read images in, whether it is written from right to left.
+LANGUAGES = [
+    ("en", "English", ["en"], False),
+    ("hi", "Hindi", ["hi", "en"], False),
+    ("zh", "Chinese (Simp.)", ["ch_sim", "en"], False),
+    ("zh-tw", "Chinese (Trad.)", ["ch_tra", "en"], False),
+    ("ar", "Arabic", ["ar", "en"], True),
+    ("fr", "French", ["fr", "en"], False),
+    ("de", "German", ["de", "en"], False),
+    ("es", "Spanish", ["es", "en"], False),
+    ("pt", "Portuguese", ["pt", "en"], False),
+    ("ru", "Russian", ["ru", "en"], False),
+    ("ja", "Japanese", ["ja", "en"], False),
+    ("ko", "Korean", ["ko", "en"], False),
+    ("ur", "Urdu", ["ur", "en"], True),
+    ("fa", "Persian", ["fa", "en"], True),
+    ("tr", "Turkish", ["tr", "en"], False),
+    ("it", "Italian", ["it", "en"], False),
+    ("nl", "Dutch", ["nl", "en"], False),
+    ("pl", "Polish", ["pl", "en"], False),
+    ("uk", "Ukrainian", ["uk", "en"], False),
+    ("vi", "Vietnamese", ["vi", "en"], False),
+    ("th", "Thai", ["th", "en"], False),
+    ("bn", "Bengali", ["bn", "en"], False),
+    ("ta", "Tamil", ["ta", "en"], False),
+    ("te", "Telugu", ["te", "en"], False),
+    ("mr", "Marathi", ["mr", "en"], False),
+    ("gu", "Gujarati", ["gu", "en"], False),
+    ("kn", "Kannada", ["kn", "en"], False),
+    ("ml", "Malayalam", ["en"], False),
+    ("pa", "Punjabi", ["en"], False),
+    ("id", "Indonesian", ["id", "en"], False),
+    ("ms", "Malay", ["ms", "en"], False),
+    ("he", "Hebrew", ["he", "en"], True),
+    ("sv", "Swedish", ["sv", "en"], False),
+    ("no", "Norwegian", ["no", "en"], False),
+    ("da", "Danish", ["da", "en"], False),
+    ("fi", "Finnish", ["fi", "en"], False),
+    ("el", "Greek", ["el", "en"], False),
+]
+
+
+def _of_language(code: Column, values: dict) -> Column:
+    """By code, English for others. A literal map: no join."""
+    found = F.create_map(*(x for c, v in values.items() for x in (F.lit(c), v)))
+    return F.coalesce(F.try_element_at(found, F.lower(strip(code))), values["en"])
 
 
 def language(code: Column) -> Column:
-    """Name of a language by code; English for others (T22). A literal map: no join."""
-    names = F.create_map(*(F.lit(x) for c, n, _ in LANGUAGES for x in (c, n)))
-    return F.coalesce(F.try_element_at(names, F.lower(strip(code))), F.lit("English"))
+    """Name of a language by code."""
+    return _of_language(code, {c: F.lit(name) for c, name, _, _ in LANGUAGES})
+
+
+def ocr_langs(code: Column) -> Column:
+    """Languages to read images in, by code."""
+    return _of_language(code, {c: F.array(*map(F.lit, langs)) for c, _, langs, _ in LANGUAGES})
 
 
 def in_language(prompt: Column, code: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lectern import registry
+from lectern.functions import text
 from lectern.operators import graph
 from lectern.plans.bindings import Tables
 
@@ -46,3 +49,13 @@ def test_stitches_every_chunk(spark, tmp_path):
     spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(8)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     rows = found(spark, "chunk_stitch", tmp_path)
     assert sorted((r["id"], r["chunk_index"], r["start"], r["text"]) for r in rows) == [(2 * c + k, c, c * 300.0 + (c + 4 * k) // 2, f"t{c + 4 * k}") for c in range(4) for k in range(2)]
+
+
+def test_every_language(spark, tmp_path):
+    assert len({c for c, *_ in text.LANGUAGES}) == 37
+    langs = ["zh", "zh-tw", " TR\n", "ml", "he", "en", "xx", None]
+    spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["Chinese (Simp.)", "Chinese (Trad.)", "Turkish", "Malayalam", "Hebrew"]
+    assert [r["prompt"] for r in sorted(found(spark, "language_prefix", tmp_path))] == [f"Answer in {n}.\n\nExplain" for n in names] + ["Explain"] * 3
+    codes = Tables(spark, str(tmp_path)).documents().orderBy("doc_id")
+    assert [r[0] for r in codes.select(text.ocr_langs(F.col("lang"))).collect()] == [["ch_sim", "en"], ["ch_tra", "en"], ["tr", "en"], ["en"], ["he", "en"], ["en"], ["en"], ["en"]]
