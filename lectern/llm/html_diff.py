@@ -6,12 +6,17 @@
 2. Pages of a host are ordered by URL path and cut into blocks of NEIGHBOURS neighbours, by ranks that are counted
    without gathering a host in one task.
 3. The lines of a page are aligned with those of the page before and the page after it by longest common
-   subsequence, and shared lines are deleted: they belong to the site, not to the page.
+   subsequence, and shared lines are deleted: they belong to the site, not to the page. A page that shares more than
+   COPY of the page's characters is skipped as a copy, and the next one is taken; the last page of the block before
+   and the first of the block after are tried too.
+4. Pages that meet copies only look on in ever larger ranges of blocks, each NEIGHBOURS times as large as the one
+   before. A block or range stands there by two pages that aren't copies, so no task holds a range.
 
 Differencing alone would delete what two articles rightly share (quotations, copies), so two rules follow it:
 MAIN lines stay although shared, and where a page has MAIN lines only these are its text; FRAME lines go although
-unshared. Pages without MAIN lines keep the OPEN lines that differencing leaves, or all of them if a neighbour is
-a copy (more than COPY of the page's characters are shared).
+unshared. Pages without MAIN lines keep the OPEN lines that differencing leaves. Where no page of the host is
+unlike the page, what is taken for copies may be a long menu: the page loses what it shares with the least alike of
+those tried, and keeps all OPEN lines only if these are equal to it.
 
 Defined cases: null, empty and unparsable html give an empty text; a null url is a host and path of its own
 ("" and ""); repeated rows are pages each; equal paths are ordered by page_id; an empty table gives an empty one.
@@ -25,10 +30,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import grouped, parts, small, weighted_lookup, written
+from .common import grouped, lookup, only, parts, small, weighted_lookup, written
 
 NEIGHBOURS, COPY = 8, 0.8
 OPEN, MAIN, FRAME = 0, 1, 2
@@ -152,17 +158,99 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def kept_lines(page: list[tuple[int, int, int]], neighbours: list[list[tuple[int, int, int]]]) -> list[int]:
-    """Positions of the lines (hash, length, kind) that are the page's text after differencing."""
-    names, shared, copied = [x[0] for x in page], set(), False
-    open_ = sum(n for _, n, kind in page if kind == OPEN)
-    for other in neighbours:
-        same = {i for i, _ in common(names, [x[0] for x in other])}
-        copied |= bool(open_) and sum(page[i][1] for i in same if page[i][2] == OPEN) > COPY * open_
-        shared |= same
+def kept_lines(page: list[tuple[int, int, int]], *sides: list[list[tuple[int, int, int]]]) -> tuple[list[int], float]:
+    """Positions of the lines (hash, length, kind) that are the page's text after differencing, and what it shares.
+
+    sides: the pages before and those after, nearest first. Shared is 0 if one of them isn't a copy, else the part
+    of the page's OPEN characters that the least alike of them shares.
+    """
     if any(kind == MAIN for _, _, kind in page):
-        return [i for i, (_, _, kind) in enumerate(page) if kind == MAIN]
-    return [i for i, (_, _, kind) in enumerate(page) if kind == OPEN and (copied or i not in shared)]
+        return [i for i, (_, _, kind) in enumerate(page) if kind == MAIN], 0.0
+    size = lambda x: sum(n for _, n, kind in x if kind == OPEN)
+    names, open_, shared, found, spare, least = [x[0] for x in page], size(page), set(), False, set(), 1.0 + 1e-9
+    if not open_:
+        return [], 0.0
+    for side in sides:
+        for other in side:
+            pairs = common(names, [x[0] for x in other])
+            same, part = {i for i, _ in pairs}, size([page[i] for i, _ in pairs]) / open_
+            if part <= COPY:
+                shared, found = shared | same, True
+                break
+            if part < least and (part < 1 or size([other[j] for _, j in pairs]) <= COPY * size(other)):
+                spare, least = same, part
+    gone = shared if found else spare
+    return [i for i, (_, _, kind) in enumerate(page) if kind == OPEN and i not in gone], 0.0 if found else least
+
+
+def unlike(pages: list[list[tuple[int, int, int]]]) -> list[int]:
+    """The first of the pages, and the first that isn't a copy of it."""
+    size = lambda x: sum(n for _, n, kind in x if kind == OPEN)
+    for i, p in enumerate(pages[1:], 1):
+        pairs = common([x[0] for x in pages[0]], [x[0] for x in p])
+        if min(size([pages[0][i] for i, _ in pairs]) - COPY * size(pages[0]), size([p[j] for _, j in pairs]) - COPY * size(p)) <= 0:
+            return [0, i]
+    return [0]
+
+
+def placed(page: list[tuple[int, int, int]], kept: list[int]) -> list[int]:
+    """Places of the kept positions among the lines that are not FRAME."""
+    place = np.cumsum([k != FRAME for _, _, k in page]) - 1
+    return [int(place[j]) for j in kept]
+
+
+def zipped(names, lengths, kinds) -> list[list[tuple[int, int, int]]]:
+    return [list(zip(*x, strict=True)) for x in zip(names, lengths, kinds, strict=True)]
+
+
+_LINES = "names array<long>, lengths array<int>, kinds array<byte>"
+
+
+def looked_on(seekers: DataFrame, near: DataFrame) -> DataFrame:
+    """_id, _content and kept of pages that met copies only; near: all pages by host, block and rank."""
+    def chosen(batches):
+        for t in grouped(batches, ["host", "block"]):
+            yield from t.take(unlike(zipped(*(t[c].to_pylist() for c in ("names", "lengths", "kinds"))))).combine_chunks().to_batches()
+
+    cut = near.where("not guest").select("host", "block", "rank", "names", "lengths", "kinds")
+    few = written(only(cut, seekers, "host").select(*cut.columns).sortWithinPartitions("host", "block", "rank").mapInArrow(chosen, f"host string, block long, rank long, {_LINES}"), "unlike")
+    columns, top, done, span = seekers.columns, few.agg(F.max("block")).first()[0], None, 1
+    while True:
+        span *= NEIGHBOURS
+        range_ = F.floor(F.col("block") / span)
+        lists = few.groupBy("host", range_.alias("range")).agg(F.array_sort(F.collect_list(F.struct("rank", "block", "names", "lengths", "kinds"))).alias("pages"))
+        lists = written(lists, "ranges")
+
+        def look(batches):
+            for b in small(batches):
+                rows = b.to_pylist()
+                for r in rows:
+                    page, = zipped([r["names"]], [r["lengths"]], [r["kinds"]])
+                    others = [(x["rank"], *zipped([x["names"]], [x["lengths"]], [x["kinds"]])) for x in r["pages"]]
+                    kept, shared = kept_lines(page, [x for k, x in reversed(others) if k < r["rank"]], [x for k, x in others if k > r["rank"]])
+                    if shared < r["shared"]:
+                        r["kept"], r["shared"] = placed(page, kept), shared
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], b.schema.field(c).type) for c in columns], columns)
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seekers.schema)
+        met = lookup(seekers.withColumn("range", range_), lists, ["host", "range"]).select(*columns, "pages")
+        met = written(met.mapInArrow(look, kinds), "looked-on")
+        settled = met if span > top else met.where("shared = 0")
+        settled = settled.select("_id", "_content", "kept")
+        done = settled if done is None else done.unionByName(settled)
+        if span > top:
+            return done
+        seekers = met.where("shared > 0")
+        if seekers.isEmpty():
+            return done
+
+        def fewer(batches):
+            for b in small(batches):
+                for host, pages in zip(b.column("host").to_pylist(), b.column("pages").to_pylist(), strict=True):
+                    own = [pages[i] for i in unlike(zipped(*([x[c] for x in pages] for c in ("names", "lengths", "kinds"))))]
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(own), pa.string()), *(pa.array([x[c] for x in own], t) for c, t in (("block", pa.int64()), ("rank", pa.int64()), ("names", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int8()))))], ["host", "block", "rank", "names", "lengths", "kinds"])
+
+        few = written(lists.select("host", "pages").mapInArrow(fewer, f"host string, block long, rank long, {_LINES}"), "unlike")
 
 
 def ranked(rows: DataFrame, group: str, order: list[str], slices: int) -> DataFrame:
@@ -204,18 +292,28 @@ def extract(pages: DataFrame) -> DataFrame:
     slices = parts(pages.sparkSession)
     near = ranked(names, "host", ["path", "page_id", "content"], slices)
     whole = F.greatest(F.floor(F.col("of") / NEIGHBOURS) - 1, F.lit(0))  # the last block takes the rest
-    near = near.withColumn("block", F.least(F.floor(F.col("rank") / NEIGHBOURS), whole)).repartition(slices, "host", "block").sortWithinPartitions("host", "block", "rank")
+    near = near.withColumn("block", F.least(F.floor(F.col("rank") / NEIGHBOURS), whole))
+    first, last = (F.col("rank") == F.col("block") * NEIGHBOURS) & (F.col("block") > 0), (F.col("rank") % NEIGHBOURS == NEIGHBOURS - 1) & (F.col("block") < whole)
+    at = F.array(F.col("block"), F.when(first, F.col("block") - 1), F.when(last, F.col("block") + 1))
+    near = near.withColumn("_home", F.explode(F.filter(at, lambda x: x.isNotNull()))).withColumn("guest", F.col("_home") != F.col("block")).withColumn("block", F.col("_home"))
+    near = near.repartition(slices, "host", "block").sortWithinPartitions("host", "block", "rank")
 
     def difference(batches):
         for t in grouped(batches, ["host", "block"]):
-            page = [list(zip(*x, strict=True)) for x in zip(t["names"].to_pylist(), t["lengths"].to_pylist(), t["kinds"].to_pylist(), strict=True)]
-            kept = []
-            for i, p in enumerate(page):
-                place = np.cumsum([k != FRAME for _, _, k in p]) - 1  # among the lines that are not FRAME
-                kept.append([int(place[j]) for j in kept_lines(p, page[max(i - 1, 0) : i] + page[i + 1 : i + 2])])
-            yield pa.RecordBatch.from_arrays([t["page_id"].combine_chunks(), t["content"].combine_chunks(), pa.array(kept, pa.list_(pa.int32()))], ["_id", "_content", "kept"])
-
-    verdicts = near.select("host", "block", "page_id", "content", "names", "lengths", "kinds").mapInArrow(difference, f"_id {id_type}, _content long, kept array<int>")
+            page, own = zipped(*(t[c].to_pylist() for c in ("names", "lengths", "kinds"))), [i for i, g in enumerate(t["guest"].to_pylist()) if not g]
+            told = [kept_lines(page[i], page[:i][::-1], page[i + 1 :]) for i in own]
+            seeks = pa.array([shared > 0 for _, shared in told])
+            t = t.take(own)
+            carried = [pc.if_else(seeks, t[c].combine_chunks(), None) for c in ("host", "block", "rank", "names", "lengths", "kinds")]
+            kept = pa.array([placed(page[i], k) for i, (k, _) in zip(own, told, strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([t["page_id"].combine_chunks(), t["content"].combine_chunks(), kept, pa.array([x for _, x in told], pa.float64()), *carried], ["_id", "_content", "kept", "shared", "host", "block", "rank", "names", "lengths", "kinds"])
+
+    near = near.select("host", "block", "rank", "guest", "page_id", "content", "names", "lengths", "kinds")
+    verdicts = written(near.mapInArrow(difference, f"_id {id_type}, _content long, kept array<int>, shared double, host string, block long, rank long, {_LINES}"), "differences")
+    seekers = verdicts.where("shared > 0")
+    verdicts = verdicts.where("shared = 0").select("_id", "_content", "kept")
+    if not seekers.isEmpty():
+        verdicts = verdicts.unionByName(looked_on(seekers, near))
     verdicts = written(verdicts.groupBy("_id", "_content").agg(F.max("kept").alias("kept")), "verdicts")  # repeated rows are alike
 
     def texts(batches):

@@ -254,3 +254,27 @@ def test_registered(spark):
     names = queries.queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def told_apart(spark, bodies: list[str]) -> list[str]:
+    df = spark.createDataFrame([(i, f"http://a.b/{i:04}", page(b)) for i, b in enumerate(bodies)], "page_id long, url string, html string").repartition(3)
+    return [r["text"] for r in sorted(html_diff.extract(df).select("page_id", "text").collect())]
+
+
+def test_pages_below_long_menus(spark):
+    menu = "".join(f"<div>Chapter {i} of the unmarked menu</div>" for i in range(30))
+    assert told_apart(spark, [f"{menu}<div>Short text number {i}</div><div>Imprint</div>" for i in range(9)]) == [f"Short text number {i}" for i in range(9)]
+
+
+@pytest.mark.parametrize("copies", [7, 12, 90])
+def test_pages_among_copies(spark, copies):
+    menu, article = "<div>Menu of the site</div>", "".join(f"<div>Sentence {i} of an article with copies</div>" for i in range(20))
+    bodies = [f"{menu}{article}<div>Seen {i} times</div>" for i in range(copies)] + [f"{menu}<div>Another article, which has its own text {i}</div>" for i in range(2)]
+    told = told_apart(spark, bodies)
+    lines = [f"Sentence {i} of an article with copies" for i in range(20)]
+    assert [t.split("\n") for t in told[:copies]] == [[*lines, f"Seen {i} times"] for i in range(copies)]
+    assert told[copies:] == [f"Another article, which has its own text {i}" for i in range(2)]
+
+
+def test_equal_pages_keep_their_text(spark):
+    assert told_apart(spark, ["<div>Menu</div><div>The only text</div>"] * 20) == ["Menu\nThe only text"] * 20
