@@ -123,9 +123,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     class_id is the smallest id of the documents with the same words; n_links the number of other documents
     linked directly; component_id the smallest id reachable by links; kept whether it is the document's own.
     """
+    return _marked(docs, id_column, text_column, n, threshold, recall, rows).drop("_h")
+
+
+def _marked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """near_duplicates() with _h, the hash of the text, as ids may be null or reused."""
     id_type = docs.schema[id_column].dataType.simpleString()
     count = bands(threshold, recall, rows)
-    docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("h"))
 
     def sign(batches):
         minhash = MinHash(count * rows)
@@ -137,10 +142,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 keys.append(class_key(words))
                 signatures.append(minhash(s) if words else None)
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sizes, pa.int32())], ["id", "key", "signature", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sizes, pa.int32())], ["id", "h", "key", "signature", "n"])
 
-    signed = written(docs.mapInArrow(sign, f"id {id_type}, key binary, signature binary, n int"), "signatures")
-    classes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("signature").alias("signature"), F.any_value("n").alias("n"))
+    signed = written(docs.mapInArrow(sign, f"id {id_type}, h long, key binary, signature binary, n int"), "signatures")
+    classes = signed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "h"))["h"].alias("h"), F.count("*").alias("copies"), F.any_value("signature").alias("signature"), F.any_value("n").alias("n"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * 4 * rows + 1, F.lit(4 * rows))))
@@ -165,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     stars = members.where(F.col("size") > HOT).select(F.col("node").alias("u"), F.col("first").alias("v"))
     groups = written(components(compared.unionByName(stars)).withColumnRenamed("component", "group"), "groups")
 
-    sized = classes.select("node", "key", "rep", "copies", "n").join(groups.hint("merge"), "node")
+    sized = classes.select("node", "key", "rep", "h", "copies", "n").join(groups.hint("merge"), "node")
     totals = sized.groupBy("group").agg(F.count("*").alias("classes"), F.sum(F.col("n").cast("long")).alias("grams"))
     totals = written(totals.select("group", F.greatest(F.ceil(F.col("classes") / BLOCK), F.ceil(F.col("grams") / SET_BLOCK)).cast("int").alias("blocks")), "group-sizes")
     wanted = written(lookup(sized, totals, ["group"]), "candidates")
@@ -175,14 +180,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             keep, found = [], []
             for i, (text, key) in enumerate(zip(b.column("text").to_pylist(), b.column("key").to_pylist(), strict=True)):
                 words = split(text)
-                if class_key(words) == key:  # another document may have the same id
+                if class_key(words) == key:  # another text may have the same hash
                     keep.append(i)
                     found.append(shingles(words, n).tobytes())
             b = b.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("group"), b.column("blocks"), b.column("copies"), pa.array(found, pa.binary())], ["node", "group", "blocks", "copies", "grams"])
 
-    wanted = wanted.select(F.col("rep").alias("id"), "node", "group", "blocks", "copies", "key")
-    texts = only(docs, wanted, "id").join(wanted.hint("merge"), "id").mapInArrow(sets, "node long, group long, blocks int, copies long, grams binary")
+    wanted = wanted.select(F.col("rep").alias("id"), "h", "node", "group", "blocks", "copies", "key")
+    named, bare = wanted.where("id is not null"), wanted.where("id is null").drop("id")
+    texts = only(docs, named, "id").join(named.hint("merge"), ["id", "h"]).drop("id")
+    if not bare.isEmpty():  # classes without any id: each text once
+        texts = texts.unionByName(docs.where("id is null").select("h", "text").distinct().join(bare.hint("merge"), "h"))
+    texts = texts.mapInArrow(sets, "node long, group long, blocks int, copies long, grams binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
@@ -214,19 +223,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     joined = joined.withColumn("component", F.coalesce("component", "node"))
     least = written(joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("of")), "component-ids")
     labelled = written(weighted_lookup(joined, least, ["component"], "of").select("key", F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "component_id"), "linked-classes")
-    bare = signed.select("id", "key")
-    linked = weighted_lookup(bare.where("key is not null"), labelled, ["key"], "copies").select("id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
-    alone = bare.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    bare = signed.select("id", "h", "key")
+    linked = weighted_lookup(bare.where("key is not null"), labelled, ["key"], "copies").select("id", "h", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
+    alone = bare.where("key is null").select("id", "h", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
-    return out.select(F.col("id").alias(id_column), "class_id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_column), "class_id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("h").alias("_h"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are not kept; of repeated rows of one id with the same text one stays."""
-    marks = written(near_duplicates(docs, **options), "near-duplicates")
-    gone = written(marks.where("not kept").select("doc_id").distinct(), "not-kept")
+    marks = written(_marked(docs, **options), "near-duplicates")
+    gone = written(marks.where("not kept").select("doc_id", "_h").distinct(), "not-kept")  # ids may be reused
     gone = F.broadcast(gone) if gone.count() <= SEMI_ROWS else gone.hint("merge")
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.withColumn("_h", F.xxhash64(options.get("text_column", "text"))).join(gone, ["doc_id", "_h"], "left_anti").select(*docs.columns)
     again = written(marks.where("kept and doc_id is not null and n_links > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if again.count():
         repeated = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)

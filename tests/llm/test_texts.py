@@ -178,3 +178,15 @@ def test_one_of_each(spark):
 def test_bands():
     b = ngram_join.bands(0.8, 0.99998, 5)
     assert 1 - (1 - 0.8**5) ** b >= 0.99998 > 1 - (1 - 0.8**5) ** (b - 1)
+
+
+def test_null_and_reused_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, far = " ".join([*base[:-1], "other"]), " ".join(f"v{i}" for i in range(60))
+    schema = "doc_id long, text string"
+    bare = spark.createDataFrame([(None, " ".join(base)), (None, " ".join(base)), (3, near), (4, far), (None, far.upper())], schema)
+    found = sorted((r["doc_id"] or 0, r["n_links"]) for r in ngram_join.near_duplicates(bare).collect())
+    assert found == [(0, 1), (0, 2), (0, 2), (3, 2), (4, 1)]
+    reused = spark.createDataFrame([(1, " ".join(base)), (5, near), (5, far), (5, far + " more text of its own here to differ " * 20)], schema)
+    rows = sorted((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(reused).collect())
+    assert rows == sorted((r["doc_id"], r["text"]) for r in reused.where("doc_id = 1 or text not like '%other'").collect())
