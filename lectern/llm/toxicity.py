@@ -10,8 +10,8 @@ are exact. Their labels vote by similarity; the vote is calibrated by a logistic
 themselves, each without its own label. Documents without any such term have no neighbours and get the share of
 toxic examples among the labelled documents without such terms.
 
-At most MAX_EXAMPLES labelled documents are learned from, those with the smallest hashes of their ids; that and
-MAX_TERMS bound the index, which goes to every executor. Every document is searched, over its whole text.
+At most MAX_EXAMPLES labelled documents are learned from, those with the smallest hashes of their ids; that bounds
+the index, which goes to every executor. Every document is searched, over its whole text.
 
 Defined cases: null texts are empty ones; null labels teach nothing; with no labels each score is 0.5; equal
 similarities prefer the smaller doc_id; equal rows are scored each; an empty table gives an empty result.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import small, written
 from .quality import labelled, remainder
 
-MAX_EXAMPLES, MAX_TERMS, K, BLOCK, LEAST_DF = 8000, 512, 16, 64, 3
+MAX_EXAMPLES, K, BLOCK, LEAST_DF = 8000, 16, 64, 3
 BEGINNINGS, TIMES = (4, 5, 6), (2, 4)
 SEEDS, NEAR = 16, 10
 #: ASCII letters stay and so do bytes of other letters; all else separates words.
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_
     level = 2 * math.log(max(counted.count(), 1)) + 6
     cells = f"(toxic * ({n} - {positive} - df + toxic) - (df - toxic) * ({positive} - toxic))"
     chi = F.expr(f"{n}D * {cells} * {cells} / greatest(1D, df * 1D * ({n} - df) * {positive} * ({n} - {positive}))")
-    chosen = counted.where(F.col("df") >= LEAST_DF).withColumn("chi", chi).where(F.col("chi") > level).orderBy(F.desc("chi"), "term").limit(MAX_TERMS).collect()
+    chosen = counted.where(F.col("df") >= LEAST_DF).withColumn("chi", chi).where(F.col("chi") > level).orderBy(F.desc("chi"), "term").collect()  # those of limit examples
     vocabulary, df = [bytes(r["term"]) for r in chosen], [r["df"] for r in chosen]
     empty = Index(vocabulary, df, n, [])
 

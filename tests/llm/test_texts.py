@@ -190,3 +190,10 @@ def test_null_and_reused_ids(spark):
     reused = spark.createDataFrame([(1, " ".join(base)), (5, near), (5, far), (5, far + " more text of its own here to differ " * 20)], schema)
     rows = sorted((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(reused).collect())
     assert rows == sorted((r["doc_id"], r["text"]) for r in reused.where("doc_id = 1 or text not like '%other'").collect())
+
+
+def test_toxicity_takes_every_term(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"{'qz'[i % 2]}{k:03}" for k in rng.sample(range(300), 150))) for i in range(160)]
+    index = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, None, i % 2) for i, _ in docs], LABELS), F.lit(True))
+    assert {b"%c%03d" % (c, k) for c in b"qz" for k in range(300)} <= set(index.place)
