@@ -203,7 +203,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") ->
     within = Window.partitionBy("length", "_b").orderBy(id_column, "piece", "start", "ids_crc32")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1)
     ranked = weighted_lookup(ranked, firsts, ["length", "_b"], "count").withColumn("_rank", F.col("_rank") + F.col("_first"))
-    return ranked.join(slots.hint("merge"), ["length", "_rank"])  # as many slots as pieces: never broadcast.select(*cut.columns, "sequence_id", "offset")
+    # As many slots as pieces: never broadcast.
+    return ranked.join(slots.hint("merge"), ["length", "_rank"]).select(*cut.columns, "sequence_id", "offset")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

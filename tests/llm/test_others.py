@@ -278,3 +278,8 @@ def test_pages_among_copies(spark, copies):
 
 def test_equal_pages_keep_their_text(spark):
     assert told_apart(spark, ["<div>Menu</div><div>The only text</div>"] * 20) == ["Menu\nThe only text"] * 20
+
+
+def test_packing_adds_two_columns(spark):
+    cut = written(packing.pieces(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")), "t")
+    assert packing.pack(cut).columns == [*cut.columns, "sequence_id", "offset"]
