@@ -1,25 +1,26 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings of 4 to 6 bytes, and further ones for a term that a text has at least 2 or
-4 times. Near copies among the labelled documents count once (NEAR of SEEDS word minima agree). Which terms can tell the classes apart is counted over the
-labelled documents: a term stays if its chi-square exceeds 2 ln(number of terms) + 6, the level that chance
-would hardly reach among so many. Labelled examples become normalised TF-IDF vectors over those terms. Their
-postings are cut into blocks of BLOCK examples with the largest weight in each; a search adds up these bounds,
-visits blocks from the largest bound down and ends when no block can hold a nearer example, so its K nearest
-are exact. Their labels vote by similarity; the vote is calibrated by a logistic curve fitted on the examples
-themselves, each without its own label. Documents without any such term have no neighbours and get the share of
-toxic examples among the labelled documents without such terms.
-
-At most MAX_EXAMPLES labelled documents are learned from, those with the smallest hashes of their ids; that bounds
-the index, which goes to every executor. Every document is searched, over its whole text.
-
-Defined cases: null texts are empty ones; null labels teach nothing; with no labels each score is 0.5; equal
+Every word of the labelled examples is a term; none is left out. A term weighs (1 + ln tf) * idf, times what the
+labels say of it: FLOOR + z^4 / (z^4 + LEVEL^4), where z is the score of the log ratio of its shares in toxic and
+other examples. So words that occur alike in both classes count little, but count, and any text that shares a word
+with an example has neighbours. Examples are unit vectors of these weights; their postings are cut into blocks of
+BLOCK examples with the largest weight of each term in each block. A search adds up these bounds, visits blocks
+from the largest bound down and ends when no block can hold a nearer example, so its K nearest are exact. Their
+labels vote, the nearer the more; a logistic curve fitted on the votes of the examples, each without itself,
+turns votes into scores. The neighbours and their similarities are the evidence.
+
+Bounds, all parameters: at most MAX_EXAMPLES labelled documents are learned from, those with the smallest hashes of
+their ids; that bounds the index, which goes to every executor. Near copies among them (NEAR of SEEDS word minima
+agree) are one example, that with the smallest id, or a copied text would outvote and miscount all others. Every
+document is searched, over its whole text.
+
+Defined cases: null texts are empty ones; null labels teach nothing; with no labels each score is 0.5; a text
+without any word of the examples gets the examples' share of toxic ones, as there is no neighbour; equal
 similarities prefer the smaller doc_id; equal rows are scored each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import small, written
 from .quality import labelled, remainder
 
-MAX_EXAMPLES, K, BLOCK, LEAST_DF = 8000, 16, 64, 3
-BEGINNINGS, TIMES = (4, 5, 6), (2, 4)
+MAX_EXAMPLES, K, BLOCK = 8000, 16, 64
+FLOOR, LEVEL = 0.01, 5.0
 SEEDS, NEAR = 16, 10
 #: ASCII letters stay and so do bytes of other letters; all else separates words.
 _APART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -42,15 +43,6 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_APART).split()
 
 
-def terms(word: bytes) -> list[bytes]:
-    return [word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
-
-
-def repeated(counts: Counter) -> Counter:
-    """counts, and for what occurs at least so many times a further term."""
-    return counts + Counter({b"%b#%d" % (t, k): 1 for t, c in counts.items() for k in TIMES if c >= k})
-
-
 def signature(text: str | None) -> np.ndarray:
     """Minima of SEEDS hashes over the distinct words."""
     own = np.fromiter({zlib.crc32(w) for w in words(text)} or {0}, np.uint64)
@@ -72,61 +64,84 @@ def apart(rows: list[tuple[int, list[int]]]) -> list[int]:
     return out
 
 
-class Index:
-    """Labelled examples: terms with idf, blocks of postings with their largest weights, and the calibration."""
+def told_apart(df: np.ndarray, toxic: np.ndarray, n: int, positive: int) -> np.ndarray:
+    """FLOOR to FLOOR + 1 for each term: how surely its share differs between the classes."""
+    other = df - toxic
+    ratio = np.log((toxic + 0.5) / (positive + 1)) - np.log((other + 0.5) / (n - positive + 1))
+    z4 = (ratio**2 / (1 / (toxic + 0.5) + 1 / (other + 0.5))) ** 2
+    return FLOOR + z4 / (z4 + LEVEL**4)
+
 
-    def __init__(self, vocabulary: list[bytes], df: list[int], n: int, examples: list[tuple[int, Counter, int]]):
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each range of a size, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class Index:
+    """Labelled examples as postings by term and block, with the largest weight of each, and the calibration."""
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray, sizes: np.ndarray, terms: pa.Array, counts: np.ndarray):
+        """ids in rising order, with label y and so many terms each; terms and counts: those of all examples in a row."""
+        n = len(ids)
+        coded = terms.dictionary_encode()
+        term, vocabulary = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
+        row = np.repeat(np.arange(n), sizes)
+        df, toxic = np.bincount(term, minlength=len(vocabulary)), np.bincount(term, y[row], minlength=len(vocabulary))
         self.place = {t: i for i, t in enumerate(vocabulary)}
-        self.idf = np.array([math.log((1 + n) / (1 + d)) + 1 for d in df])
-        self.starts = {t.removeprefix(b"^").partition(b"#")[0][: min(BEGINNINGS)] for t in vocabulary}
-        vectors = [(i, self.vector(c), y) for i, c, y in examples]
-        none = [y for _, v, y in vectors if not v]
-        self.base = (sum(none) + 1) / (len(none) + 2) if none else 0.5
-        vectors = sorted(((i, v, y) for i, v, y in vectors if v), key=lambda x: (sorted(x[1]), x[0]))
-        self.ids, self.y = np.array([x[0] for x in vectors], np.int64), np.array([x[2] for x in vectors], np.float64)
-        at: dict[int, dict[int, list[tuple[int, float]]]] = {}
-        for row, (_, v, _) in enumerate(vectors):
-            for t, w in v.items():
-                at.setdefault(t, {}).setdefault(row // BLOCK, []).append((row % BLOCK, w))
-        self.blocks = -(-len(vectors) // BLOCK)
-        self.postings = {t: {b: (np.array([r for r, _ in p]), np.array([w for _, w in p])) for b, p in blocks.items()} for t, blocks in at.items()}
-        self.bounds = {t: (np.array(list(blocks)), np.array([max(w for _, w in p) for p in blocks.values()])) for t, blocks in at.items()}
+        self.scale = (np.log((1 + n) / (1 + df)) + 1) * told_apart(df, toxic, n, int(y.sum()))
+        self.base = (y.sum() + 1) / (n + 2)
+        weight = (1 + np.log(counts)) * self.scale[term]
+        weight /= np.sqrt(np.bincount(row, weight**2, minlength=n))[row]
+        # examples of one strongest term lie side by side, so that their blocks' bounds differ
+        strongest = np.zeros(n, np.int64)
+        by = np.lexsort((term, weight))
+        strongest[row[by]] = term[by]
+        order = np.lexsort((ids, strongest))
+        new = np.empty(n, np.int64)
+        new[order] = np.arange(n)
+        self.ids, self.y, self.blocks = ids[order], y[order].astype(float), -(-n // BLOCK)
+        by = np.lexsort((new[row], term))
+        self.row, self.weight, term = new[row][by].astype(np.int32), weight[by], term[by]
+        cell = term * max(self.blocks, 1) + self.row // BLOCK
+        self.starts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)]), len(cell))
+        at = self.starts[:-1]
+        self.block = (self.row[at] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
+        self.first = np.searchsorted(term[at], np.arange(len(vocabulary) + 1))
         self.a, self.b = 1.0, 0.0
-        self._calibrate([v for _, v, _ in vectors])
-
-    def counts(self, found: list[bytes]) -> Counter:
-        """How often each term of the vocabulary occurs."""
-        least = min(BEGINNINGS)
-        out: Counter = Counter()
-        for w in [w for w in found if w[:least] in self.starts]:
-            out.update(terms(w))
-        return Counter({self.place[t]: c for t, c in repeated(out).items() if t in self.place})
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        raw = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in sorted(raw.items())}
-
-    def nearest(self, v: dict[int, float], k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and similarities of the k nearest examples that share a term with v, nearest first."""
-        bound = np.zeros(self.blocks)
-        for t, w in v.items():
-            if t in self.bounds:
-                blocks, most = self.bounds[t]
-                bound[blocks] += w * most
-        rows, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(rows) == k and bound[b] < least - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in v.items():
-                if (p := self.postings.get(t, {}).get(int(b))) is not None:
-                    score[p[0]] += w * p[1]
+
+    def vector(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text's words, those of the examples only."""
+        count = Counter(map(self.place.get, found))
+        count.pop(None, None)
+        term = np.fromiter(count.keys(), np.int64, len(count))
+        weight = (1 + np.log(np.fromiter(count.values(), np.float64, len(count)))) * self.scale[term]
+        return term, weight / (np.sqrt(weight @ weight) or 1.0)
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and similarities of the k nearest examples that share a term, nearest first. without: an id to leave out."""
+        sizes = self.first[term + 1] - self.first[term]
+        cells, weights = _ranges(self.first[term], sizes), np.repeat(weight, sizes)
+        block = self.block[cells]
+        bound = np.bincount(block, weights * self.most[cells], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        rows, sims, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
+        while at < self.blocks and bound[order[at]] > 0 and not (len(rows) == k and bound[order[at]] < least - 1e-9):
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[at : at + step]] = True
+            at, step = at + step, step * 2
+            here = chosen[block]
+            some = cells[here]
+            sizes = self.starts[some + 1] - self.starts[some]
+            postings = _ranges(self.starts[some], sizes)
+            score = np.bincount(self.row[postings], self.weight[postings] * np.repeat(weights[here], sizes), minlength=len(self.ids))
             new = np.flatnonzero(score > 0)
-            new = new[new + b * BLOCK != without]
-            rows, sims = np.concatenate([rows, new + b * BLOCK]), np.concatenate([sims, score[new]])
-            order = np.lexsort((self.ids[rows], -sims.round(9)))[:k]
-            rows, sims = rows[order], sims[order]
+            new = new[self.ids[new] != without] if without >= 0 else new
+            if len(new) > 4 * k:
+                new = new[score[new] >= np.partition(score[new], len(new) - k)[len(new) - k] - 1e-8]
+            rows, sims = np.concatenate([rows, new]), np.concatenate([sims, score[new]])
+            best = np.lexsort((self.ids[rows], -sims.round(9)))[:k]
+            rows, sims = rows[best], sims[best]
             least = sims[-1] if len(rows) == k else 0.0
         return rows, sims
 
@@ -135,13 +150,10 @@ class Index:
         near = 1 / (1.001 - np.minimum(sims, 1.0))
         return float((near * (2 * self.y[rows] - 1)).sum() / (near.sum() + 1))
 
-    def _calibrate(self, vectors: list[dict[int, float]]) -> None:
-        if not vectors:
-            return
-        x = np.array([self.vote(*self.nearest(v, without=i)) for i, v in enumerate(vectors)])
-        y = self.y * (1 - 2e-3) + 1e-3
-        a, b = 4.0, 0.0
-        for _ in range(50):  # Newton, with a weak pull towards a = 4, b = 0
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """The curve from the votes x to the labels y, by Newton's method with a weak pull towards a = 4, b = 0."""
+        y, a, b = y * (1 - 2e-3) + 1e-3, 4.0, 0.0
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
             g = np.array([((p - y) * x).sum() + 0.5 * (a - 4), (p - y).sum() + 0.5 * b])
             s = p * (1 - p)
@@ -150,19 +162,14 @@ class Index:
             a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
         self.a, self.b = max(float(a), 0.0), float(b)
 
-    def score(self, text: str | None, kept: dict) -> tuple[float, list[int], list[float]]:
+    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """The score, and as evidence the neighbours' ids and similarities."""
-        counts = self.counts(words(text))
-        if not counts or not len(self.ids):
-            return self.base, [], []
-        key = tuple(sorted(counts.items()))
-        if key not in kept:
-            if len(kept) > 20_000:
-                kept.clear()
-            rows, sims = self.nearest(self.vector(counts))
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * self.vote(rows, sims) + self.b)))) if len(rows) else self.base
-            kept[key] = p, self.ids[rows].tolist(), sims.tolist()
-        return kept[key]
+        term, weight = self.vector(words(text))
+        if not len(term):
+            return float(self.base), [], []
+        rows, sims = self.nearest(term, weight)
+        p = 1 / (1 + np.exp(-np.clip(self.a * self.vote(rows, sims) + self.b, -30, 30)))
+        return float(p), self.ids[rows].tolist(), sims.tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_EXAMPLES) -> Index:
@@ -179,32 +186,26 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_
 
     def count(batches):
         for b in small(batches):
-            all_, toxic = Counter(), Counter()
-            for text, y in zip(b.column("text").to_pylist(), b.column("_label").to_pylist(), strict=True):
-                own = repeated(Counter(t for w in words(text) for t in terms(w))).keys()
-                all_.update(own)
-                if y:
-                    toxic.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(list(all_), pa.binary()), pa.array(list(all_.values()), pa.int64()), pa.array([toxic[t] for t in all_], pa.int64())], ["term", "df", "toxic"])
-
-    sizes = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("_label").cast("long")), F.lit(0)).alias("toxic")).first()
-    n, positive = sizes["n"], sizes["toxic"]
-    counted = sample.mapInArrow(count, "term binary, df long, toxic long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("toxic").alias("toxic"))
-    counted = written(counted, "toxic-terms")
-    level = 2 * math.log(max(counted.count(), 1)) + 6
-    cells = f"(toxic * ({n} - {positive} - df + toxic) - (df - toxic) * ({positive} - toxic))"
-    chi = F.expr(f"{n}D * {cells} * {cells} / greatest(1D, df * 1D * ({n} - df) * {positive} * ({n} - {positive}))")
-    chosen = counted.where(F.col("df") >= LEAST_DF).withColumn("chi", chi).where(F.col("chi") > level).orderBy(F.desc("chi"), "term").collect()  # those of limit examples
-    vocabulary, df = [bytes(r["term"]) for r in chosen], [r["df"] for r in chosen]
-    empty = Index(vocabulary, df, n, [])
-
-    def extract(batches):
+            found = [Counter(words(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_label").cast(pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "y", "terms", "counts"])
+
+    rows = sample.mapInArrow(count, "id long, y int, terms array<binary>, counts array<int>").toArrow()  # at most limit rows
+    rows = rows.sort_by("id").combine_chunks()
+    terms, counts = (rows[c].combine_chunks() if rows.num_rows else pa.array([], pa.list_(t)) for c, t in (("terms", pa.binary()), ("counts", pa.int32())))
+    index = Index(np.asarray(rows["id"], np.int64), (np.asarray(rows["y"]) > 0).astype(np.int64), np.diff(np.asarray(terms.offsets)), terms.flatten(), np.asarray(counts.flatten(), np.float64))
+    if not len(index.ids):
+        return index
+
+    def votes(batches):
         for b in small(batches):
-            found = [empty.counts(words(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_label").cast(pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "y", "at", "n"])
+            ids = b.column("doc_id").cast(pa.int64()).to_pylist()
+            x = [index.vote(*index.nearest(*index.vector(words(t)), without=i)) for i, t in zip(ids, b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("_label").cast(pa.float64())], ["x", "y"])
 
-    rows = sample.mapInArrow(extract, "id long, y int, at array<int>, n array<int>").collect()  # at most limit rows
-    return Index(vocabulary, df, n, sorted((r["id"], Counter(dict(zip(r["at"], r["n"], strict=True))), int(r["y"] > 0)) for r in rows))
+    told = sample.mapInArrow(votes, "x double, y double").toArrow()
+    order = np.lexsort((np.asarray(told["y"]), np.asarray(told["x"])))  # sums in one order whatever the partitions
+    index.calibrate(np.asarray(told["x"])[order], (np.asarray(told["y"])[order] > 0).astype(float))
+    return index
 
 
 def scored(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataFrame:
@@ -213,9 +214,8 @@ def scored(docs: DataFrame, index: Index, keep: list[str] | None = None) -> Data
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", _score double, _near array<long>, _similar array<double>"
 
     def run(batches):
-        kept: dict = {}
         for b in small(batches):
-            done = [index.score(t, kept) for t in b.column("_text").to_pylist()]
+            done = [index.score(t) for t in b.column("_text").to_pylist()]
             columns = [pa.array([d[0] for d in done], pa.float64()), pa.array([d[1] for d in done], pa.list_(pa.int64())), pa.array([d[2] for d in done], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *columns], [*keep, "_score", "_near", "_similar"])
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,17 +50,11 @@ def test_quality(spark, tables):
     rows = quality.scored(docs, quality.fit(docs, labels, quality.may_learn())).collect()
     assert len(rows) == docs.count() and all(0 <= r["_score"] <= 1 for r in rows)
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
-    held = [r for r in rows if r["doc_id"] is not None and r["doc_id"] < 300 and quality_rest(r["doc_id"]) == 1]
+    held = [r for r in rows if r["doc_id"] is not None and r["doc_id"] < 300 and rest(r["doc_id"], 3) == 1]
     assert np.mean([(r["_score"] >= 0.5) == truth[r["doc_id"]] for r in held]) > 0.95
     assert all(r["score"] in (0.0, None) and r["keep"] in ("x", "", None) for r in rows)  # clashing names stay as they were
 
 
-def quality_rest(doc_id: int) -> int:
-    import zlib
-
-    return zlib.crc32(str(doc_id).encode()) % 3
-
-
 def test_quality_without_labels(spark, tables):
     docs, labels = tables
     machine = quality.fit(docs, labels.where("false"), quality.may_learn())
@@ -74,28 +70,41 @@ def test_sum_of_squares_identity():
     assert np.allclose(m.raw(x), pairs)
 
 
+def rest(doc_id, of: int) -> int:
+    return zlib.crc32(str(doc_id).encode()) % of
+
+
 def test_toxicity(spark, tables):
     docs, labels = tables
     index = toxicity.fit(docs, labels, quality.remainder(F.col("doc_id"), 5) != 0)
     rows = toxicity.scored(docs, index).collect()
     assert len(rows) == docs.count() and all(0 <= r["_score"] <= 1 for r in rows)
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    assert np.mean([(r["_score"] >= 0.5) == truth[r["doc_id"]] for r in rows if r["doc_id"] is not None and r["doc_id"] < 300]) > 0.97
+    held = [r for r in rows if r["doc_id"] is not None and r["doc_id"] < 300 and rest(r["doc_id"], 5) == 0]
+    assert np.mean([(r["_score"] >= 0.5) == truth[r["doc_id"]] for r in held]) > 0.9
+    assert not {i for r in rows for i in r["_near"]} & {r["doc_id"] for r in held}  # nothing is learned from them
+    known = set(index.place)
+    for r in rows:  # whatever shares a word with an example has neighbours; nothing else has
+        assert bool(r["_near"]) == (not known.isdisjoint(toxicity.words(r["text"])))
     none = toxicity.fit(docs, labels.where("false"), F.lit(True))
     assert {r["_score"] for r in toxicity.scored(docs, none).collect()} == {0.5}
+    assert toxicity.scored(docs.where("false"), index).count() == 0
 
 
 def test_block_max_is_exact():
     rng = random.Random(4)
-    terms = [b"t%03d" % i for i in range(40)]
-    examples = [(i, Counter({t: rng.randint(1, 3) for t in rng.sample(range(40), 5)}), rng.randint(0, 1)) for i in range(500)]
-    index = toxicity.Index(terms, [50] * 40, 500, [])
-    index = toxicity.Index(terms, [50] * 40, 500, examples)
-    vectors = {i: index.vector(c) for i, c, _ in examples}
-    for _ in range(40):
-        v = index.vector(Counter({t: 1 for t in rng.sample(range(40), 4)}))
-        told = sorted(((round(sum(w * vectors[i].get(t, 0) for t, w in v.items()), 9), -i) for i in vectors), reverse=True)[: toxicity.K]
-        rows, sims = index.nearest(v)
+    texts = [[b"t%03d" % int(40 * rng.random() ** 2) for _ in range(6)] for _ in range(500)]
+    counts = [Counter(t) for t in texts]
+    y = np.array([rng.randint(0, 1) for _ in texts])
+    index = toxicity.Index(np.arange(500), y, np.array([len(c) for c in counts]), pa.array([t for c in counts for t in c], pa.binary()), np.array([float(k) for c in counts for k in c.values()]))
+    vectors = {i: dict(zip(*(x.tolist() for x in index.vector(t)), strict=True)) for i, t in enumerate(texts)}
+    assert all(abs(sum(w * w for w in v.values()) - 1) < 1e-9 for v in vectors.values())
+    for n in range(60):
+        term, weight = index.vector([b"t%03d" % rng.randrange(45) for _ in range(4)])
+        v = dict(zip(term.tolist(), weight.tolist(), strict=True))
+        told = sorted(((round(sum(w * vectors[i].get(t, 0) for t, w in v.items()), 9), -i) for i in vectors if i != n), reverse=True)
+        told = [x for x in told if x[0] > 0][: toxicity.K]
+        rows, sims = index.nearest(term, weight, without=n)
         assert [(round(s, 9), -int(index.ids[r])) for r, s in zip(rows, sims, strict=True)] == told
 
 
