@@ -109,7 +109,7 @@ CTE = {
     "progress": "select event_id, e.user_id, m.media_id, case event_type when 'click' then 'flashcard' when 'purchase' then 'quiz_question' else 'other' end as item_type, (event_id % 7)::int as card_index, case when event_id % 11 <> 0 then (1 + event_id % 5)::int end as confidence, value > 50 as correct, json_extract_string(props, '$.k') as session_id, ts as reviewed_at from events e join (select user_id, of_ from owned where at_ = 0) s on s.user_id = e.user_id join owned m on m.user_id = e.user_id and m.at_ = e.event_id % s.of_",
     "segments": "select conv_id as media_id, row_number() over w - 1 as segment_index, (sum(n) over (w rows between unbounded preceding and current row) - n)::double as start_time, (sum(n) over (w rows between unbounded preceding and current row))::double as end_time, text from (select *, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) as n from conversations) window w as (partition by conv_id order by turn, role, text)",
     "live_lectures": "select id, user_id, 's' || id as session_id, 'Live ' || id as title, case when status = 'F' then 'done' else 'recording' end as state, uploaded_at as started_at from media where media_type = 'live'",
-    "frames": "select doc_id % 20 as media_id, doc_id as frame_id, case when doc_id % 4 <> 0 then text[1:30] end as slide_title, string_split(text[1:60], ' ')[1:3] as key_concepts, case when length(regexp_replace(text[1:50], '[^A-Za-z0-9]', '', 'g')) < 30 then 'low' when length(regexp_replace(text[1:50], '[^A-Za-z0-9]', '', 'g')) < 50 then 'medium' else 'high' end as importance, text[1:200] as ocr_text from documents",
+    "frames": "select doc_id // 50 as media_id, doc_id as frame_id, case when doc_id % 4 <> 0 then text[1:30] end as slide_title, string_split(text, ' ')[1:3] as key_concepts, case when length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) < 30 then 'low' when length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) < 50 then 'medium' else 'high' end as importance, text as ocr_text from documents",
     "concepts": "select l_orderkey % 50 as media_id, l_orderkey as frame_id, l_linenumber as pos, lower(p_brand) as concept from lineitem join part on l_partkey = p_partkey",
 }
 _NEEDS = {"details": ["media"], "progress": ["owned"], "live_lectures": ["media"]}

@@ -160,14 +160,15 @@ def _text():
 
 
 on_documents("document_stats", lambda: {"word_count": text.words(_text()), "char_count": F.length(_text()).cast("long")}, f"{_WORDS.format('text')}::bigint as word_count, length(text) as char_count")
-on_documents("importance_class", lambda: {"importance": text.importance(_text())}, "case when length(regexp_replace(text[1:50], '[^A-Za-z0-9]', '', 'g')) < 30 then 'low' when length(regexp_replace(text[1:50], '[^A-Za-z0-9]', '', 'g')) < 50 then 'medium' else 'high' end as importance")
-on_documents("title_case", lambda: {"title": text.title(_text())}, f"{_TITLE_SQL.format('text[1:80]')} as title")
+on_documents("importance_class", lambda: {"importance": text.importance(_text())}, "case when length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) < 30 then 'low' when length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) < 50 then 'medium' else 'high' end as importance")
+on_documents("title_case", lambda: {"title": text.title(_text())}, f"{_TITLE_SQL.format('text')} as title")
 on_documents("token_budget", lambda: {"budget": text.token_budget(_text(), F.lit(2048))}, "greatest(64, least(2048, 4096 - length(text) // 4 - 64))::int as budget")
 on_documents("prefix_truncation", lambda: {"text": text.truncated(_text())}, "case when length(text) > 800 then text[1:800] || ' [truncated]' else text end as text")
 on_documents("middle_truncation", lambda: {"label": text.middle_cut(F.concat(F.col("source"), F.lit("_"), _text()))}, "case when length(source || '_' || text) > 40 then (source || '_' || text)[1:20] || '…' || right(text, 20) else source || '_' || text end as label")
 on_documents("time_labels", lambda: {"clock": text.clock(F.col("n_chars")), "label": text.minutes_label(F.col("n_chars")), "rate": text.sampling_rate(F.col("n_chars"))}, "printf('%02d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) as clock, case when n_chars >= 60 then printf('%dm %ds', n_chars // 60, n_chars % 60) else printf('%ds', n_chars) end as label, case when n_chars > 2400 then 0.1::double when n_chars > 1200 then 0.2::double else 0.5::double end as rate")
 on_documents("xml_escape", lambda: {"escaped": text.xml_escape(_text())}, "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as escaped")
-on_documents("language_prefix", lambda: {"prompt": text.in_language(F.lit("Explain"), F.col("lang"))}, "case lang when 'de' then 'Answer in German.' || chr(10) || chr(10) || 'Explain' when 'fr' then 'Answer in French.' || chr(10) || chr(10) || 'Explain' when 'es' then 'Answer in Spanish.' || chr(10) || chr(10) || 'Explain' else 'Explain' end as prompt")
+_LANGUAGE_SQL = "case trim(lower(lang)) " + " ".join(f"when '{c}' then 'Answer in {n}.' || chr(10) || chr(10) || 'Explain'" for c, n, _, _ in text.LANGUAGES if n != "English") + " else 'Explain' end"
+on_documents("language_prefix", lambda: {"prompt": text.in_language(F.lit("Explain"), F.col("lang"))}, f"{_LANGUAGE_SQL} as prompt")
 on_documents("headings", lambda: {"headings": F.array_join(text.headings(_text()), "|")}, f"array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x[1] = '#' or (length(x) > 4 and upper(x) = x and lower(x) <> x and {_WORDS.format('x').replace('lambda x: x', 'lambda y: y')} <= 8))[1:20], lambda x: case when x[1] = '#' then regexp_replace(x, '^#+[ \\t]*', '') else x end), '|') as headings")
 on_documents("document_chunks", lambda: {"chunks": F.size(text.chunks(_text())), "first": F.get(text.chunks(_text()), F.lit(0)), "pieces": F.size(text.chunks(_text(), strict_size=True))}, None)
 on_documents("paragraphs", lambda: {"paragraphs": F.array_join(text.paragraphs(_text()), "\n\n")}, None)
@@ -203,7 +204,7 @@ query("exact_dedup", "select grp as \"group\", id, t as text from (select p_part
 
 _EDGES = "one as (select distinct media_id, frame_id, concept from concepts), edges as (select x.media_id, x.concept as a, y.concept as b, count(*) as weight from one x join one y on x.media_id = y.media_id and x.frame_id = y.frame_id and x.concept < y.concept group by 1, 2, 3)"
 _DEGREES = f"{_EDGES}, freqs as (select media_id, concept as node, count(*) as freq, min(row(frame_id, pos, concept)) as first from concepts group by 1, 2), deg as (select media_id, node, count(*) as degree from (select media_id, unnest([a, b]) as node from edges) group by 1, 2), nd as (select f.*, coalesce(degree, 0) as degree from freqs f left join deg d using (media_id, node))"
-_PRUNED = f"{_DEGREES}, kept as (select * from (select *, row_number() over (partition by media_id order by degree desc, first) as position from nd) where position <= 12)"
+_PRUNED = f"{_DEGREES}, kept as (select * from (select *, row_number() over (partition by media_id order by degree desc, first) as position from nd) where position <= 80)"
 
 
 def _edges(t: Tables) -> DataFrame:
@@ -234,4 +235,4 @@ def _live(t: Tables) -> DataFrame:
 
 query("live_segments_dedup", f"with {_LIVE}, s as (select session_id, start + chunk_index * 15 as start, \"end\" + chunk_index * 15 as \"end\", id, text from segs) select session_id, start, \"end\", id, text from (select *, row_number() over (partition by session_id, start order by id, text) as rn from s) where rn = 1")(lambda t: live.deduped(live.shifted(_live(t))))
 query("session_counters", f"with {_LIVE} select session_id, count(*) as segments, sum({_WORDS.format('text')})::bigint as words, sum({_WORDS.format('text')}) < 5 as too_short from segs group by 1")(lambda t: live.counters(_live(t)))
-query("chunk_stitch", f"with {_LIVE}, c as (select *, row_number() over (partition by session_id, chunk_index order by id, text) as k from segs where chunk_index <> 1), n as (select session_id, chunk_index, count(*) as n from c group by 1, 2), o as (select *, coalesce(sum(n) over (partition by session_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as before from n) select c.session_id, c.chunk_index, (before + k - 1)::bigint as id, start + c.chunk_index * 300 as start, text from c join o on o.session_id = c.session_id and o.chunk_index = c.chunk_index")(lambda t: live.stitched(_live(t)))
+query("chunk_stitch", f"with {_LIVE}, c as (select *, row_number() over (partition by session_id, chunk_index order by id, text) as k from segs), n as (select session_id, chunk_index, count(*) as n from c group by 1, 2), o as (select *, coalesce(sum(n) over (partition by session_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as before from n) select c.session_id, c.chunk_index, (before + k - 1)::bigint as id, start + c.chunk_index * 300 as start, text from c join o on o.session_id = c.session_id and o.chunk_index = c.chunk_index")(lambda t: live.stitched(_live(t)))
