@@ -21,6 +21,8 @@ similarities prefer the smaller doc_id; equal rows are scored each; an empty tab
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import zlib
 from collections import Counter
 
@@ -34,6 +36,7 @@ from .quality import labelled, remainder
 
 MAX_EXAMPLES, K, BLOCK = 8000, 16, 64
 FLOOR, LEVEL = 0.01, 5.0
+COMMON = 1 / 16
 SEEDS, NEAR = 16, 10
 #: ASCII letters stay and so do bytes of other letters; all else separates words.
 _APART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -78,68 +81,114 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Labelled examples as postings by term and block, with the largest weight of each, and the calibration."""
+    """Labelled examples as postings by term and block, with the largest weight of each, and the calibration.
+
+    Examples that look alike (by their surest term, their most frequent common term and their size) lie side by
+    side, so that the bounds of blocks differ. The blocks of terms that COMMON of the examples hold are nearly full,
+    so these terms have a weight for each example of a block instead of postings.
+    """
 
     def __init__(self, ids: np.ndarray, y: np.ndarray, sizes: np.ndarray, terms: pa.Array, counts: np.ndarray):
         """ids in rising order, with label y and so many terms each; terms and counts: those of all examples in a row."""
         n = len(ids)
         coded = terms.dictionary_encode()
-        term, vocabulary = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
+        term, self.vocabulary = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
         row = np.repeat(np.arange(n), sizes)
-        df, toxic = np.bincount(term, minlength=len(vocabulary)), np.bincount(term, y[row], minlength=len(vocabulary))
-        self.place = {t: i for i, t in enumerate(vocabulary)}
-        self.scale = (np.log((1 + n) / (1 + df)) + 1) * told_apart(df, toxic, n, int(y.sum()))
-        self.base = (y.sum() + 1) / (n + 2)
-        weight = (1 + np.log(counts)) * self.scale[term]
-        weight /= np.sqrt(np.bincount(row, weight**2, minlength=n))[row]
-        # examples of one strongest term lie side by side, so that their blocks' bounds differ
-        strongest = np.zeros(n, np.int64)
-        by = np.lexsort((term, weight))
-        strongest[row[by]] = term[by]
-        order = np.lexsort((ids, strongest))
+        df, toxic = np.bincount(term, minlength=len(self.vocabulary)), np.bincount(term, y[row], minlength=len(self.vocabulary))
+        sure = told_apart(df, toxic, n, int(y.sum()))
+        self.scale = ((np.log((1 + n) / (1 + df)) + 1) * sure).astype(np.float32)
+        self.base = float((y.sum() + 1) / (n + 2))
+        weight = (1 + np.log(counts)) * self.scale[term].astype(np.float64)
+        weight = (weight / np.sqrt(np.bincount(row, weight**2, minlength=n))[row]).astype(np.float32)
+
+        def top(of: np.ndarray, least: float) -> np.ndarray:
+            found = np.full(n, -1)
+            by = np.lexsort((term, of))
+            by = by[of[by] >= least]
+            found[row[by]] = term[by]
+            return found
+
+        common = df >= max(2, n * COMMON)
+        order = np.lexsort((ids, sizes, top(np.where(common[term], counts, 0), 1), top(sure[term], FLOOR + 0.25)))
         new = np.empty(n, np.int64)
         new[order] = np.arange(n)
-        self.ids, self.y, self.blocks = ids[order], y[order].astype(float), -(-n // BLOCK)
+        self.ids, self.y = ids[order], y[order].astype(float)
         by = np.lexsort((new[row], term))
-        self.row, self.weight, term = new[row][by].astype(np.int32), weight[by], term[by]
-        cell = term * max(self.blocks, 1) + self.row // BLOCK
-        self.starts = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)]), len(cell))
-        at = self.starts[:-1]
-        self.block = (self.row[at] // BLOCK).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
-        self.first = np.searchsorted(term[at], np.arange(len(vocabulary) + 1))
-        self.a, self.b = 1.0, 0.0
+        at, self.weight = new[row][by], weight[by]
+        cell = term[by] * (n // BLOCK + 1) + at // BLOCK
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
+        self.offset, self.size = (at % BLOCK).astype(np.uint8), np.diff(np.append(starts, len(cell))).astype(np.uint8)
+        self.block = (at[starts] // BLOCK).astype(np.int32)
+        self.cells = np.bincount(term[by][starts], minlength=len(self.vocabulary)).astype(np.int32)
+        self.common = np.flatnonzero(common)
+        self.a, self.b, self.shared = 1.0, 0.0, None
+        self._open()
+
+    def _open(self) -> None:
+        """What searches use, from what is sent to executors."""
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self.place = {t: i for i, t in enumerate(self.vocabulary)}
+        self.starts = np.append(0, np.cumsum(self.size, dtype=np.int64))
+        self.first = np.append(0, np.cumsum(self.cells, dtype=np.int64))
+        self.most = np.maximum.reduceat(self.weight, self.starts[:-1]) if len(self.size) else np.zeros(0, np.float32)
+        self.wide = np.full(len(self.vocabulary), -1)
+        self.wide[self.common] = np.arange(len(self.common))
+        self.full = np.zeros((len(self.common), self.blocks * BLOCK), np.float32)
+        for i, t in enumerate(self.common):
+            cells = np.arange(self.first[t], self.first[t + 1])
+            postings = slice(self.starts[cells[0]], self.starts[cells[-1] + 1])
+            self.full[i, np.repeat(self.block[cells] * BLOCK, self.size[cells]) + self.offset[postings]] = self.weight[postings]
+        self.widest = self.full.reshape(len(self.common), self.blocks, BLOCK).max(2, initial=0)
+
+    def __getstate__(self) -> dict:
+        names = "scale base ids y weight offset size block cells common a b".split()
+        return {k: getattr(self, k) for k in names} | {"vocabulary": zlib.compress(pickle.dumps(self.vocabulary), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"vocabulary": pickle.loads(zlib.decompress(state["vocabulary"])), "shared": None}
+        self._open()
 
     def vector(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text's words, those of the examples only."""
         count = Counter(map(self.place.get, found))
         count.pop(None, None)
         term = np.fromiter(count.keys(), np.int64, len(count))
-        weight = (1 + np.log(np.fromiter(count.values(), np.float64, len(count)))) * self.scale[term]
-        return term, weight / (np.sqrt(weight @ weight) or 1.0)
+        weight = (1 + np.log(np.fromiter(count.values(), np.float64, len(count)))) * self.scale[term].astype(np.float64)
+        return term, (weight / (np.sqrt(weight @ weight) or 1.0)).astype(np.float32).astype(np.float64)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and similarities of the k nearest examples that share a term, nearest first. without: an id to leave out."""
+        wide = self.wide[term]
+        full, full_weight = wide[wide >= 0], weight[wide >= 0]
+        term, weight = term[wide < 0], weight[wide < 0]
         sizes = self.first[term + 1] - self.first[term]
         cells, weights = _ranges(self.first[term], sizes), np.repeat(weight, sizes)
         block = self.block[cells]
-        bound = np.bincount(block, weights * self.most[cells], minlength=self.blocks)
+        bound = np.bincount(block, weights * self.most[cells], minlength=self.blocks) + full_weight @ self.widest[full]
+        weights_of = self.full[full]
+        about = full_weight.astype(np.float32) @ weights_of  # in single precision, to choose whose sum is taken in double
         order = np.argsort(-bound, kind="stable")
-        rows, sims, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
+        rows, sims, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 8
         while at < self.blocks and bound[order[at]] > 0 and not (len(rows) == k and bound[order[at]] < least - 1e-9):
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[at : at + step]] = True
+            visited = order[at : at + step]
             at, step = at + step, step * 2
-            here = chosen[block]
+            if len(rows) == k:
+                visited = visited[bound[visited] >= least - 1e-9]
+            place = np.full(self.blocks, -1)
+            place[visited] = np.arange(len(visited))
+            here = np.flatnonzero(place[block] >= 0)
             some = cells[here]
             sizes = self.starts[some + 1] - self.starts[some]
             postings = _ranges(self.starts[some], sizes)
-            score = np.bincount(self.row[postings], self.weight[postings] * np.repeat(weights[here], sizes), minlength=len(self.ids))
-            new = np.flatnonzero(score > 0)
-            new = new[self.ids[new] != without] if without >= 0 else new
+            score = np.bincount(np.repeat(place[block[here]] * BLOCK, sizes) + self.offset[postings], self.weight[postings] * np.repeat(weights[here], sizes), minlength=len(visited) * BLOCK)
+            near = score + about.reshape(-1, BLOCK)[visited].ravel()
+            new = np.flatnonzero(near > 0)
             if len(new) > 4 * k:
-                new = new[score[new] >= np.partition(score[new], len(new) - k)[len(new) - k] - 1e-8]
-            rows, sims = np.concatenate([rows, new]), np.concatenate([sims, score[new]])
+                new = new[near[new] >= np.partition(near[new], len(new) - k - 1)[len(new) - k - 1] - 1e-5]  # one more, if one is left out
+            found = visited[new // BLOCK] * BLOCK + new % BLOCK
+            if without >= 0:
+                new, found = (x[self.ids[found] != without] for x in (new, found))
+            rows, sims = np.concatenate([rows, found]), np.concatenate([sims, score[new] + full_weight @ weights_of[:, found].astype(np.float64)])
             best = np.lexsort((self.ids[rows], -sims.round(9)))[:k]
             rows, sims = rows[best], sims[best]
             least = sims[-1] if len(rows) == k else 0.0
@@ -162,11 +211,18 @@ class Index:
             a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
         self.a, self.b = max(float(a), 0.0), float(b)
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """The score, and as evidence the neighbours' ids and similarities."""
+    def score(self, text: str | None, told: dict | None = None) -> tuple[float, list[int], list[float]]:
+        """The score, and as evidence the neighbours' ids and similarities. told: what exact copies were told before."""
+        if told is not None:
+            key = hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest()
+            if len(told) > 10_000:
+                told.clear()
+            if key not in told:
+                told[key] = self.score(text)
+            return told[key]
         term, weight = self.vector(words(text))
         if not len(term):
-            return float(self.base), [], []
+            return self.base, [], []
         rows, sims = self.nearest(term, weight)
         p = 1 / (1 + np.exp(-np.clip(self.a * self.vote(rows, sims) + self.b, -30, 30)))
         return float(p), self.ids[rows].tolist(), sims.tolist()
@@ -196,7 +252,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_
     if not len(index.ids):
         return index
 
+    index.shared = shared = docs.sparkSession.sparkContext.broadcast(index)  # of at most limit examples
+
     def votes(batches):
+        index = shared.value
         for b in small(batches):
             ids = b.column("doc_id").cast(pa.int64()).to_pylist()
             x = [index.vote(*index.nearest(*index.vector(words(t)), without=i)) for i, t in zip(ids, b.column("text").to_pylist(), strict=True)]
@@ -213,9 +272,13 @@ def scored(docs: DataFrame, index: Index, keep: list[str] | None = None) -> Data
     keep = keep or docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", _score double, _near array<long>, _similar array<double>"
 
+    shared, curve = index.shared or docs.sparkSession.sparkContext.broadcast(index), (index.a, index.b)
+
     def run(batches):
+        index = shared.value
+        (index.a, index.b), told = curve, {}
         for b in small(batches):
-            done = [index.score(t) for t in b.column("_text").to_pylist()]
+            done = [index.score(t, told) for t in b.column("_text").to_pylist()]
             columns = [pa.array([d[0] for d in done], pa.float64()), pa.array([d[1] for d in done], pa.list_(pa.int64())), pa.array([d[2] for d in done], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *columns], [*keep, "_score", "_near", "_similar"])
 
