@@ -83,6 +83,13 @@ def weighted_lookup(big: DataFrame, small: DataFrame, on: list[str], rows: str)
     return there.unionByName(rest)
 
 
+def halves(rows: DataFrame, node: str, blocks: str) -> DataFrame:
+    """rows once for each pair of blocks (lo <= hi) of their group that their own block is part of."""
+    own = F.pmod(F.xxhash64(node), F.col(blocks)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
+
+
 def small(batches, rows: int = 256):
     """The same rows in small batches, so that a task holds few texts as Python objects at a time."""
     for b in batches:

@@ -7,7 +7,8 @@ more. How many bands of how many rows are used follows from the recall aimed at
 1. Documents of equal words form a class; from here on classes count once, however many copies there are.
 2. Each class has a MinHash signature; its band hashes are shuffled. Bands whose buckets hold the same classes
    are one bucket. Within a bucket the signatures are compared, and a spanning forest of the pairs estimated
-   NEARLY or more similar goes on; a bucket of more than HOT classes goes on as a star, uncompared.
+   NEARLY or more similar goes on. A bucket of more than BUCKET_BLOCK classes is dealt to pairs of blocks, each a task's
+   work of its own, so nothing goes on uncompared and no task holds a large bucket.
 3. Connected classes form candidate groups. Every pair within a group is verified on the full sets, by sparse
    set operations or matrix products in blocks of at most BLOCK classes and SET_BLOCK n-grams. Links are counted
    and a spanning forest is kept; no pair becomes a row.
@@ -33,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEMI_ROWS, Forest, grouped, lookup, only, parts, small, weighted_lookup, written
+from .common import SEMI_ROWS, Forest, grouped, halves, lookup, only, parts, small, weighted_lookup, written
 from .components import components
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99998, 5
-NEARLY, HOT, BLOCK, SET_BLOCK = 0.65, 1024, 512, 300_000
+NEARLY, BUCKET_BLOCK, BLOCK, SET_BLOCK = 0.65, 1024, 512, 300_000
 
 
 def bands(threshold: float, recall: float, rows: int) -> int:
@@ -156,19 +157,21 @@ def _marked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     members = written(banded.join(buckets.hint("merge"), "bucket"), "members")
 
     def estimate(batches):
-        for t in grouped(batches, ["bucket"]):
-            node, k = np.asarray(t["node"].combine_chunks()), t.num_rows
+        for t in grouped(batches, ["bucket", "lo", "hi"]):
+            node, tags, k = np.asarray(t["node"].combine_chunks()), np.asarray(t["own"].combine_chunks()), t.num_rows
             s = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u4").reshape(k, -1)
             forest, least = Forest(k), NEARLY * s.shape[1]
-            for at in range(0, k, 64):
-                forest.join_all((np.arange(at, min(at + 64, k)), np.arange(k), (s[at : at + 64, None, :] == s[None, :, :]).sum(2) >= least))
+            left, right = np.flatnonzero(tags == t["lo"][0].as_py()), np.flatnonzero(tags == t["hi"][0].as_py())
+            for at in range(0, len(left) if len(right) else 0, 64):
+                some = left[at : at + 64]
+                forest.join_all((some, right, (s[some, None, :] == s[None, right, :]).sum(2) >= least))
             pairs = [(int(node[i]), int(node[forest.root(i)])) for i in range(k) if forest.root(i) != i]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
 
-    compared = members.where(F.col("size") <= HOT).select("bucket", "node").join(classes.select("node", "signature").hint("merge"), "node")
-    compared = compared.repartition(parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(estimate, "u long, v long")
-    stars = members.where(F.col("size") > HOT).select(F.col("node").alias("u"), F.col("first").alias("v"))
-    groups = written(components(compared.unionByName(stars)).withColumnRenamed("component", "group"), "groups")
+    compared = halves(members.withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")), "node", "blocks").select("bucket", "lo", "hi", "own", "node")
+    compared = compared.join(classes.select("node", "signature").hint("merge"), "node")
+    compared = compared.repartition(parts(docs.sparkSession), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(estimate, "u long, v long")
+    groups = written(components(compared).withColumnRenamed("component", "group"), "groups")
 
     sized = classes.select("node", "key", "rep", "h", "copies", "n").join(groups.hint("merge"), "node")
     totals = sized.groupBy("group").agg(F.count("*").alias("classes"), F.sum(F.col("n").cast("long")).alias("grams"))
@@ -192,9 +195,7 @@ def _marked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     if not bare.isEmpty():  # classes without any id: each text once
         texts = texts.unionByName(docs.where("id is null").select("h", "text").distinct().join(bare.hint("merge"), "h"))
     texts = texts.mapInArrow(sets, "node long, group long, blocks int, copies long, grams binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
+    cells = halves(texts, "node", "blocks")
     cells = cells.repartition(parts(docs.sparkSession), "group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "node")
 
     def verify(batches):

@@ -1,12 +1,14 @@
 """Near-duplicate vectors: Euclidean p-stable hashing of normalised vectors, then exact cosine checks.
 
 Vectors of equal label whose cosine is THRESHOLD or more are linked. For vectors of length one that is a
-distance of sqrt(2 - 2 THRESHOLD) or less; the number of tables of PROJECTIONS quantised projections follows
-from the recall aimed at for that distance.
+distance of sqrt(2 - 2 THRESHOLD) or less; the number of tables of quantised projections follows from the recall
+aimed at for that distance. Projections grow with the logarithm of the largest label (see projections_for()), so
+that buckets of vectors without structure stay near BLOCK however many there are.
 
 1. Equal vectors of a label form a class; from here on classes count once.
-2. Classes are hashed. Buckets of the same classes are one bucket. Within a bucket all cosines are checked, and a
-   spanning forest of the links goes on; a bucket of more than HOT classes goes on as a star, unchecked.
+2. Classes are hashed. Buckets of the same classes are one bucket. Within a bucket all cosines are checked and a
+   spanning forest of the links goes on. A bucket of more than BLOCK classes is dealt to pairs of blocks, each a
+   task's work of its own, so nothing goes on unchecked and no task holds a large bucket.
 3. Connected classes form groups. All cosines within a group are computed, in blocks of at most BLOCK classes;
    links are counted and a spanning forest is kept; no pair becomes a row. So the links found are exact within
    each group.
@@ -26,11 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, grouped, lookup, parts, weighted_lookup, written
+from .common import Forest, grouped, halves, lookup, parts, weighted_lookup, written
 from .components import components
 from .pstable import Projections, by_dimension, tables_for, takes_part, unit
 
-THRESHOLD, RECALL, PROJECTIONS, WIDTH, HOT, BLOCK = 0.98, 0.9999, 8, 1.0, 512, 1024
+THRESHOLD, RECALL, PROJECTIONS, WIDTH, BLOCK = 0.98, 0.9999, 8, 1.0, 1024
+
+
+def projections_for(n: int) -> int:
+    """PROJECTIONS, or so many that the fullest interval of each leaves less than BLOCK of n vectors in a bucket."""
+    fullest = math.erf(WIDTH / 2 / math.sqrt(2))  # of a normal distribution, where an interval is centred on 0
+    return max(PROJECTIONS, math.ceil(math.log(max(n, 1) / BLOCK) / -math.log(fullest)))
 
 
 def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -46,18 +54,20 @@ def linked(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """id, n_links, component_id and kept for each vector."""
     spark = vectors.sparkSession
-    tables = tables_for(math.sqrt(2 - 2 * threshold), WIDTH, PROJECTIONS, recall)
     rows = vectors.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("vector"))
     able = F.col("label").isNotNull() & F.col("id").isNotNull() & takes_part(F.col("vector"))
     rows = written(rows.withColumn("vector", F.when(able, F.col("vector"))).withColumn("key", F.xxhash64("vector")), "vectors")
     classes = rows.where("vector is not null").groupBy("label", "key", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    projections = projections_for(largest)
+    tables = tables_for(math.sqrt(2 - 2 * threshold), WIDTH, projections, recall)
 
     def hashed(batches):
         made: dict[int, Projections] = {}
         for b in batches:
             for dim, at, m in by_dimension(b.column("vector")):
-                p = made.setdefault(dim, Projections(dim, tables, PROJECTIONS, WIDTH))
+                p = made.setdefault(dim, Projections(dim, tables, projections, WIDTH))
                 names = p.buckets(p.positions(unit(m)))
                 yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(at, pa.int64())), b.column("label").take(pa.array(at, pa.int64())), pa.array(names.tolist(), pa.list_(pa.int64()))], ["node", "label", "buckets"])
 
@@ -74,21 +84,23 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
         return [(at, m) for _, at, m in by_dimension(t["vector"].combine_chunks())]
 
     def check(batches):
-        for t in grouped(batches, ["bucket"]):
-            node, forest = np.asarray(t["node"].combine_chunks()), Forest(t.num_rows)
+        for t in grouped(batches, ["bucket", "lo", "hi"]):
+            node, tags, forest = np.asarray(t["node"].combine_chunks()), np.asarray(t["own"].combine_chunks()), Forest(t.num_rows)
+            lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
             for at, m in matrices(t):
-                forest.join_all((at, at, linked(m, m, threshold)))
+                left, right = tags[at] == lo, tags[at] == hi
+                if left.any() and right.any():
+                    forest.join_all((at[left], at[right], linked(m[left], m[right], threshold)))
             pairs = [(int(node[i]), int(node[forest.root(i)])) for i in range(len(node)) if forest.root(i) != i]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
 
-    small = members.where(F.col("size") <= HOT).select("bucket", "node").join(classes.select("node", "vector"), "node")
-    small = small.repartition(parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(check, "u long, v long")
-    stars = members.where(F.col("size") > HOT).select(F.col("node").alias("u"), F.col("first").alias("v"))
-    groups = written(components(small.unionByName(stars)).withColumnRenamed("component", "group"), "groups")
+    cells = halves(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "node", "blocks").select("bucket", "lo", "hi", "own", "node")
+    cells = cells.join(classes.select("node", "vector"), "node")
+    checked = cells.repartition(parts(spark), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(check, "u long, v long")
+    groups = written(components(checked).withColumnRenamed("component", "group"), "groups")
     totals = written(groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "group-sizes")
     wanted = lookup(classes.select("node", "vector", "copies").join(groups, "node"), totals, ["group"])
-    wanted = wanted.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = wanted.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
+    cells = halves(wanted, "node", "blocks")
     cells = cells.repartition(parts(spark), "group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "node")
 
     def count(batches):

@@ -115,9 +115,13 @@ def vectors(n: int, dim: int = 24, seed: int = 0):
 BAD = [(9000, None, 0), (9001, [], 0), (9002, [0.0] * 24, 0), (9003, [1.0] * 23 + [None], 0), (9004, [float("nan")] * 24, 0), (9005, [float("inf")] * 24, 0), (9050, [0.0] * 24, 1), (9006, [1.0, 2.0], 0), (9007, [1.0] * 24, None)]
 
 
-@pytest.mark.parametrize(("hot", "block"), [(512, 1024), (4, 16)])
-def test_vector_dedup(spark, monkeypatch, hot, block):
-    monkeypatch.setattr(vector_dedup, "HOT", hot)
+def test_projections_grow_with_the_label():
+    told = [vector_dedup.projections_for(n) for n in (0, 1, 10**5, 10**7, 10**9)]
+    assert told[:3] == [8, 8, 8] and 8 < told[3] < told[4] < 20
+
+
+@pytest.mark.parametrize("block", [1024, 16, 5])  # as it is, and with split buckets and groups
+def test_vector_dedup(spark, monkeypatch, block):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
     rows = vectors(160)
     df = spark.createDataFrame([(*r, "k") for r in rows + BAD], "vec_id long, embedding array<float>, label int, key string").repartition(3)

@@ -169,8 +169,8 @@ def near_corpus() -> dict:
 def test_near_duplicates(spark, monkeypatch):
     texts = near_corpus()
     docs = spark.createDataFrame([(i, t, "c", 1) for i, t in texts.items()], "doc_id long, text string, class_id string, node int").repartition(3)
-    for hot, block in ((ngram_join.HOT, ngram_join.BLOCK), (3, 4)):  # as it is, and with split groups
-        monkeypatch.setattr(ngram_join, "HOT", hot)
+    for hot, block in ((ngram_join.BUCKET_BLOCK, ngram_join.BLOCK), (3, 4)):  # as it is, and with split groups
+        monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", hot)
         monkeypatch.setattr(ngram_join, "BLOCK", block)
         rows = ngram_join.near_duplicates(docs).collect()
         assert {r["doc_id"]: (r["n_links"], r["component_id"]) for r in rows} == jaccard_truth(texts)
