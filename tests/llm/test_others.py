@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import random
 import struct
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -224,8 +226,59 @@ def test_archives(spark):
     for r, p in zip(rows, pages, strict=True):
         payload = (p[2] or "").encode()
         assert r[4] == warc.digest(payload) and r[5] in (None, payload)
+    for f in sorted(Path(path.removeprefix("file://")).glob("part-*")):  # any gzip reader takes them
+        with gzip.open(f) as g:
+            assert g.read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    plain = new_path(spark, "warc-plain")
+    warc.write(df, plain, gzip=False)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(str, warc.read(spark, plain).select(*columns).collect())) == sorted(map(str, warc.read(spark, path).select(*columns).collect()))
     empty = new_path(spark, "warc-empty")
     warc.write(df.where("false"), empty)
+    assert warc.read(spark, empty).count() == 0
+    bare = new_path(spark, "warc-bare")
+    warc.write(df.select(F.lit(None).cast("long").alias("page_id"), "url", "html"), bare)
+    assert [(r["page_id"], r["record_type"]) for r in warc.read(spark, bare).collect()] == [(None, "response")] * 8
+
+
+def foreign(**fields) -> bytes:
+    """A record as another writer would make it."""
+    block = fields.pop("block")
+    lines = ["WARC/1.0", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items()), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nhello"
+    records = [
+        foreign(WARC_Type="warcinfo", WARC_Record_ID="<i>", block=b"software: x\r\n"),
+        foreign(WARC_Type="response", WARC_Record_ID="<a>", Content_Type="application/http; msgtype=response", block=http),
+        foreign(WARC_Type="request", WARC_Record_ID="<q>", block=b"GET / HTTP/1.1\r\n\r\n"),
+        foreign(WARC_Type="response", WARC_Record_ID="<d>", Content_Type="text/dns", block=b"a.b. 300 IN A 1.2.3.4"),
+        foreign(WARC_Type="revisit", WARC_Record_ID="<r>", WARC_Refers_To="<a>", WARC_Payload_Digest=f"sha1:{warc.digest(b'hello')}", block=b""),
+        foreign(WARC_Type="revisit", WARC_Record_ID="<s>", WARC_Refers_To="<gone>", block=b""),
+        foreign(WARC_Type="revisit", WARC_Record_ID="<t>", block=b""),
+    ]
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))  # a member each
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "none.warc").write_bytes(b"")
+    for name in ("many.warc.gz", "one.warc.gz", "plain.warc", "none.warc"):
+        rows = sorted((r["record_type"], r["payload_bytes"] or 0) for r in warc.read(spark, str(tmp_path / name)).collect())
+        assert rows == ([] if name == "none.warc" else [("response", 5), ("response", 21), ("revisit", 0), ("revisit", 0), ("revisit", 5)]), name
+    (tmp_path / "cut.warc.gz").write_bytes(b"".join(map(gzip.compress, records[:3])) + gzip.compress(records[3])[:-30])
+    told = warc.read(spark, str(tmp_path / "cut.warc.gz"), keep_broken=True).collect()
+    assert sorted(r["record_type"] for r in told) == ["broken", "response"] and all(bool(r["error"]) == (r["record_type"] == "broken") for r in told)
+    with pytest.raises(Exception, match="gzip member"):
+        warc.read(spark, str(tmp_path / "cut.warc.gz"))
+
+
+def test_missing_segment(spark, tmp_path):
+    made = warc.responses(1, "u", b"z" * 30_000)
+    (tmp_path / "x.warc").write_bytes(b"".join(r + b"\r\n\r\n" for i, r in enumerate(made) if i != 1))
+    assert [r["record_type"] for r in warc.read(spark, str(tmp_path), keep_broken=True).collect()] == ["broken"]
+    with pytest.raises(Exception, match="segments"):
+        warc.read(spark, str(tmp_path))
 
 
 def test_broken_archives():
