@@ -77,7 +77,7 @@ def weighted_lookup(big: DataFrame, small: DataFrame, on: list[str], rows: str)
         return big.join(F.broadcast(small), on)
     total = small.agg(F.sum(rows)).first()[0]
     heavy = F.col(rows) >= max(1000, total // 2000)  # so at most 2000 keys
-    few = small.where(heavy)
+    few, big = small.where(heavy), written(big, "looked-up")  # as it is read twice
     there = big.join(F.broadcast(few), on)
     rest = big.join(F.broadcast(few.select(*on)), on, "left_anti").join(small.where(~heavy), on)
     return there.unionByName(rest)

@@ -7,7 +7,8 @@ slots (length, first rank, sequences, offset), is spread into one row a slot on
 takes the slot of its rank among the pieces of its length, by an equality join on (length, rank).
 
 Ranks are counted without a task that sees all pieces of a length: pieces are numbered within buckets of a hash
-of their key, and the buckets' sizes are summed up.
+of their key, and the buckets' sizes are summed up. A length has a bucket for each BUCKET_ROWS of its pieces, as
+counted, so that the whole sequences of long texts don't meet in few tasks.
 
 Defined cases: a null text is an empty one, which is the single id 1; equal rows are packed each; an empty table
 gives an empty result.
@@ -25,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, weighted_lookup, written
+from .common import small, written
 
-CAPACITY, END_ID, BUCKETS = 4096, 1, 256
+CAPACITY, END_ID, BUCKET_ROWS = 4096, 1, 20_000
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps; beyond that it starts anew.
 KEPT = 200_000
@@ -197,12 +198,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") ->
     slots = slots.select("length", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_i", "_n"), "rank0", "sequence0", "offset")
     slots = slots.select("length", (F.col("rank0") + F.col("_n")).alias("_rank"), (F.col("sequence0") + F.col("_n")).alias("sequence_id"), "offset")
 
-    keyed = cut.withColumn("_b", F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
+    buckets = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], "length long, _of long")  # at most capacity rows
+    keyed = cut.join(F.broadcast(buckets), "length").withColumn("_b", F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), F.col("_of"))).drop("_of")
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     firsts = written(keyed.groupBy("length", "_b").count().select("length", "_b", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first")), "pack-ranks")
     within = Window.partitionBy("length", "_b").orderBy(id_column, "piece", "start", "ids_crc32")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1)
-    ranked = weighted_lookup(ranked, firsts, ["length", "_b"], "count").withColumn("_rank", F.col("_rank") + F.col("_first"))
+    # The window has dealt the pieces by the same keys already, and no bucket is large.
+    ranked = ranked.join(firsts, ["length", "_b"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
     # As many slots as pieces: never broadcast.
     return ranked.join(slots.hint("merge"), ["length", "_rank"]).select(*cut.columns, "sequence_id", "offset")
 

@@ -63,7 +63,9 @@ def test_mixing_empty_and_prefix(spark):
 TEXTS = [None, "", "Hello, World! It's 3 o'clock", "ÀÉÎ çà naïve ßtraße", "<|endoftext|> x", "日本語 mixed İstanbul", "a\x1cb c\xa0d", "don't I'll we've 's'the", "x" * 9000, "word " * 9000, "½² ¼kg", "ŉ ĳ ſ ΑΣ", "é é"]
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("rows", [20_000, 3])  # as it is, and with split lengths
+def test_packing(spark, monkeypatch, rows):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", rows)
     from tokenizers import Tokenizer
 
     told = Tokenizer.from_file(packing.default_path())
@@ -337,6 +339,18 @@ def test_equal_pages_keep_their_text(spark):
     assert told_apart(spark, ["<div>Menu</div><div>The only text</div>"] * 20) == ["Menu\nThe only text"] * 20
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_ids_of_whole_documents():
+    """The word-wise path against the tokenizer, over whole texts of four languages."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    told, own = Tokenizer.from_file(packing.default_path()), packing.tokenizer(packing.default_path())
+    texts = [t or "" for t in pq.read_table(f"{SF.replace('0.001', '0.1')}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for text, ids in zip(texts, told.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own(text) == struct.pack(f"<{len(ids.ids)}I", *ids.ids), text[:200]
+
+
 def test_packing_adds_two_columns(spark):
     cut = written(packing.pieces(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")), "t")
     assert packing.pack(cut).columns == [*cut.columns, "sequence_id", "offset"]
