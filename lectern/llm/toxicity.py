@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import small, written
 from .quality import labelled, remainder
 
-MAX_EXAMPLES, K, BLOCK = 8000, 16, 64
+MAX_EXAMPLES, K, BLOCK = 8000, 16, 128
 FLOOR, LEVEL = 0.01, 5.0
 COMMON = 1 / 16
 SEEDS, NEAR = 16, 10
