@@ -1,17 +1,23 @@
 """Approximate nearest neighbours: p-stable hashing with several probes a table, and exact reranking.
 
 Vectors are scaled to length one, where the largest cosine is the smallest Euclidean distance, and hashed into
-TABLES tables of PROJECTIONS quantised projections. A query visits its own bucket and PROBES - 1 perturbed ones
-in the order of their estimated success: by the sum of squared distances to the walls crossed, generated from a
-heap. Buckets are dealt to cells of about CELL vectors; a larger bucket is split over several. A cell holds its
-vectors once, and once each query that probes one of its buckets. The candidates of all a query's buckets there
-are compared exactly, and the K nearest of each cell are merged by query.
+TABLES tables of quantised projections. A query visits its own bucket and perturbed ones in the order of their
+estimated success: by the sum of squared distances to the walls crossed, generated from a heap.
+
+How many projections a table has and how many buckets a query visits is fitted (see fitted()): SAMPLE_QUERIES
+queries are compared with every vector, and of the choices whose probes would have reached RECALL of their nearest
+the one that compares least is taken, with shares of candidates told by SAMPLE_ROWS vectors. Every vector is indexed.
+
+Buckets are dealt to cells of about CELL entries; a larger bucket is split over several. A cell holds its vectors
+in half precision once, and each query once that probes one of its buckets. What may be among the K nearest, with
+a margin for the precision, is then compared exactly, on the original vectors.
 
 A query that finds fewer than K candidates, as in tiny tables, is compared with every vector, in blocks.
 
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part and a
-query of that kind has no rows; vectors of different dimensions are no candidates for each other; ties go to
-the smaller id; rows of one id are one vector (the smallest); an empty table gives an empty result.
+Defined cases: vectors that are null, empty, zero, or hold null, NaN or infinite components take no part and a
+query of that kind has no rows; vectors of different dimensions are no candidates for each other; ties go to the
+smaller id; rows of one id are candidates each, and queries each with ranks of their own; rows without an id take
+no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,162 +27,278 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import grouped, parts, written
+from .common import grouped, lookup, parts, written
 from .pstable import Projections, by_dimension, takes_part, unit
 
-#: Measured: recall 0.95 or more of the 5 nearest among 500 to 50,000 vectors without structure in 64 dimensions.
-TABLES, PROJECTIONS, WIDTH, PROBES, K, CELL = 8, 6, 1.2, 260, 5, 8192
+TABLES, WIDTH, K, CELL = 32, 3.0, 5, 8192
+#: What is fitted: projections of a table, among these, and probes, up to so many.
+PROJECTIONS, MOST_PROBES = (8, 12, 16, 20, 28), 128
+RECALL, SAMPLE_QUERIES, SAMPLE_ROWS = 0.945, 48, 1024
+#: More than twice the error of a cosine of which one vector is in half precision.
+MARGIN = 2e-3
 
 
 def perturbations(fractions: np.ndarray, n: int) -> list[tuple[tuple[int, int], ...]]:
     """The n most promising sets of steps (projection, -1 or 1), the empty one first."""
-    walls = sorted([(f * f, i, -1) for i, f in enumerate(fractions)] + [((1 - f) ** 2, i, 1) for i, f in enumerate(fractions)])
-    out: list[tuple[tuple[int, int], ...]] = [()]
-    heap = [(walls[0][0], (0,))]
+    return [steps for _, steps in ranked(fractions, n)]
+
+
+def ranked(fractions: np.ndarray, n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    """perturbations() with their costs."""
+    walls = sorted([(f * f, i, -1) for i, f in enumerate(fractions.tolist())] + [((1 - f) ** 2, i, 1) for i, f in enumerate(fractions.tolist())])
+    costs, steps = [w[0] for w in walls], [w[1:] for w in walls]
+    out: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+    heap = [(costs[0], (0,))]
     while heap and len(out) < n:
         cost, chosen = heapq.heappop(heap)
-        steps = tuple(walls[c][1:] for c in chosen)
-        if len({s[0] for s in steps}) == len(steps):
-            out.append(steps)
+        if len({steps[c][0] for c in chosen}) == len(chosen):
+            out.append((cost, tuple(steps[c] for c in chosen)))
         last = chosen[-1]
         if last + 1 < len(walls):
-            step = walls[last + 1][0]
-            heapq.heappush(heap, (cost + step, (*chosen, last + 1)))
-            heapq.heappush(heap, (cost - walls[last][0] + step, (*chosen[:-1], last + 1)))
+            heapq.heappush(heap, (cost + costs[last + 1], (*chosen, last + 1)))
+            heapq.heappush(heap, (cost - costs[last] + costs[last + 1], (*chosen[:-1], last + 1)))
     return out
 
 
-def _nearest(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray, near: np.ndarray, k: int, times: int = 1) -> list[tuple[int, float]]:
-    """(id, cosine) of the k nearest other than own. ids and near belong to the given rows of vectors.
+def needed(queries: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
+    """Probes of each table after which a query meets each of its others; MOST_PROBES + 1 for more.
 
-    near are cosines in single precision, which only choose what is compared in double precision. A vector may be
-    given so many times. Equal vectors get equal cosines.
+    queries: positions (n x tables x projections); others: for each query the positions of its others.
     """
-    most = (k + 1) * times
-    at = np.arange(len(ids)) if len(ids) <= most else np.flatnonzero(near >= np.partition(near, len(near) - most)[len(near) - most] - 1e-5)
-    names, first = np.unique(ids[at], return_index=True)
-    v = vectors[rows[at[first]]]
-    cosines = (v * query).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((query * query).sum()))
-    order = np.lexsort((names, -cosines.round(14)))
-    order = order[names[order] != own][:k]
-    return list(zip(names[order].tolist(), np.clip(cosines[order], -1, 1).tolist(), strict=True))
+    out = []
+    for at, there in zip(queries, others, strict=True):
+        fractions = at - np.floor(at)
+        steps = np.floor(there) - np.floor(at)
+        cost = np.where(steps == 0, 0, np.where(steps == -1, fractions**2, np.where(steps == 1, (1 - fractions) ** 2, np.inf))).sum(2)
+        least = np.full(len(there), MOST_PROBES + 1)
+        for t in range(len(at)):
+            known = np.array([c for c, _ in ranked(fractions[t], MOST_PROBES)])
+            first = np.searchsorted(known, cost[:, t] - 1e-12) + 1
+            least = np.minimum(least, np.where(cost[:, t] <= known[-1] + 1e-12, first, MOST_PROBES + 1))
+        out.append(least)
+    return out
+
+
+def fitted(queries: np.ndarray, nearest: list[np.ndarray], some: np.ndarray, total: int) -> tuple[int, int]:
+    """Projections and probes. queries: unit rows; nearest: those of each; some: any rows of the table."""
+    best = (math.inf, PROJECTIONS[0], MOST_PROBES)
+    for projections in PROJECTIONS:
+        p = Projections(queries.shape[1], TABLES, projections, WIDTH)
+        asked, any_ = p.positions(queries), p.positions(some)
+        found = np.concatenate(needed(asked, [p.positions(n) for n in nearest]))
+        probes = next((x for x in range(1, MOST_PROBES + 1) if (found <= x).mean() >= RECALL), None)
+        if probes is None:
+            break  # more projections would need still more
+        share = np.mean([x <= probes for x in needed(asked, [any_] * len(asked))])
+        best = min(best, (share * total + probes * TABLES, projections, probes))
+    return best[1:]
+
+
+_FOUND = pa.schema([("query", pa.int64()), ("uid", pa.int64()), ("about", pa.float32())])
+
+
+def _best(scores: np.ndarray, uids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of what may be among the k largest of an array without own, -inf standing for none."""
+    at = np.flatnonzero((scores > -np.inf) & (uids != own))
+    if len(at) > k:
+        at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k] - MARGIN]
+    return at, scores[at]
+
+
+def _batch(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    flat = [np.concatenate(x) if found else [] for x in ([np.full(len(u), q) for q, u, _ in found], [u for _, u, _ in found], [s for _, _, s in found])]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(flat, _FOUND, strict=True)], schema=_FOUND)
+
 
+def _against(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """What may be among the k nearest of few queries (uid, vector), which go to every task, in every partition of rows."""
+    asked = [(uid, unit(np.array([v]))[0]) for uid, v in queries]
 
-_FOUND = ["query_id", "vec_id", "score"]
+    def compare(batches):
+        for b in batches:
+            uids, out = np.asarray(b.column("uid")), []
+            for dim, at, m in by_dimension(b.column("vector")):
+                own = [(q, v) for q, v in asked if len(v) == dim]
+                scores = unit(m) @ np.array([v for _, v in own]).T if own else np.zeros((len(m), 0))
+                for i, (q, _) in enumerate(own):
+                    near, s = _best(scores[:, i], uids[at], q, k)
+                    out.append((q, uids[at][near], s))
+            yield _batch(out)
+
+    return rows.select("uid", "vector").mapInArrow(compare, "query long, uid long, about float")
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    """Of what was found by query, each vector once, those that may be among the k nearest."""
+    found = found.groupBy("query", "uid").agg(F.max("about").alias("about"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "uid"))
+    least = F.min(F.when(F.col("_rank") <= k, F.col("about"))).over(Window.partitionBy("query"))
+    return found.withColumn("_rank", rank).withColumn("_least", least).where(F.col("about") >= F.col("_least") - MARGIN).select("query", "uid")
+
+
+def _fit(rows: DataFrame, k: int, total: int) -> tuple[int, int]:
+    order = F.xxhash64("uid", F.lit(1))
+    queries = [(r["uid"], r["vector"]) for r in rows.where("is_query").orderBy(order).select("uid", "vector").limit(SAMPLE_QUERIES).collect()]
+    if not queries or total < 3:
+        return PROJECTIONS[0], 1
+    near = written(_nearest(_against(rows, queries, k), k), "ann-sample")
+    near = near.join(rows.select("uid", "vector"), "uid").select("query", "vector").collect()  # of SAMPLE_QUERIES queries
+    some = [r["vector"] for r in rows.orderBy(order, "uid").select("vector").limit(SAMPLE_ROWS).collect()]
+    dims = [len(v) for _, v in queries]
+    dim = max(set(dims), key=lambda d: (dims.count(d), d))
+    own = {}
+    for q, v in queries:
+        told = unit(np.array([r["vector"] for r in near if r["query"] == q] or np.zeros((0, dim)))) if len(v) == dim else []
+        asked = unit(np.array([v]))[0]
+        if len(told) >= min(k, total - 1):
+            own[q] = asked, told[np.argsort(-(told @ asked), kind="stable")[:k]]
+    if not own:
+        return PROJECTIONS[0], MOST_PROBES
+    some = unit(np.array([v for v in some if len(v) == dim] or [q[1] for q in queries if len(q[1]) == dim]))
+    return fitted(np.array([q for q, _ in own.values()]), [n for _, n in own.values()], some, total)
 
 
-def _batch(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], _FOUND)
+def _index(batches, projections: int):
+    """(bucket, uid, half): a row for each vector and table."""
+    made: dict[int, Projections] = {}
+    for b in batches:
+        for dim, at, rows in by_dimension(b.column("vector")):
+            p = made.setdefault(dim, Projections(dim, TABLES, projections, WIDTH))
+            for some in range(0, len(at), 256):
+                units = unit(rows[some : some + 256])
+                buckets = p.buckets(p.positions(units))
+                half = pa.array([v.tobytes() for v in units.astype("<f2")], pa.binary())
+                take = pa.array(np.repeat(np.arange(len(units)), TABLES), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel(), pa.int64()), b.column("uid").take(pa.array(at[some : some + 256], pa.int64())).take(take), half.take(take)], ["bucket", "uid", "half"])
 
 
-def _hash(batches, probes: int):
-    """(bucket, id, vector), or for probes (bucket, id) rows."""
+def _probes(batches, projections: int, probes: int):
+    """(bucket, uid): a row for each bucket that a query visits."""
     made: dict[int, Projections] = {}
     for b in batches:
-        ids = np.asarray(b.column("id"))
+        uids = np.asarray(b.column("uid"))
         for dim, at, rows in by_dimension(b.column("vector")):
-            p = made.setdefault(dim, Projections(dim, TABLES, PROJECTIONS, WIDTH))
+            p = made.setdefault(dim, Projections(dim, TABLES, projections, WIDTH))
             positions = p.positions(unit(rows))
             buckets = p.buckets(positions)
-            if not probes:
-                take = pa.array(np.repeat(at, TABLES), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel(), pa.int64()), b.column("id").take(take), b.column("vector").take(take)], ["bucket", "id", "vector"])
-                continue
+            fractions = positions - np.floor(positions)
             for i, row in enumerate(at):
+                moved = []
                 for t in range(TABLES):
-                    fractions = positions[i, t] - np.floor(positions[i, t])
-                    with np.errstate(over="ignore"):
-                        moved = [int(buckets[i, t] + sum((p.odd[t, j] * np.int64(s) for j, s in steps), np.int64(0))) for steps in perturbations(fractions, probes)]
-                    yield pa.RecordBatch.from_arrays([pa.array(moved, pa.int64()), pa.array([ids[row]] * len(moved), pa.int64())], ["bucket", "id"])
+                    odd, own = p.odd[t].tolist(), int(buckets[i, t])
+                    moved += [own + sum(odd[j] * s for j, s in steps) for steps in perturbations(fractions[i, t], probes)]
+                names = np.array([(x + (1 << 63)) % (1 << 64) - (1 << 63) for x in moved], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), uids[row]))], ["bucket", "uid"])
+
 
+def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, choice: tuple[int, int] | None = None) -> DataFrame:
+    """query_id, rank from 1, vec_id and score, the cosine, of the k nearest found for each query.
 
-def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, probes: int = PROBES) -> DataFrame:
-    """query_id, rank from 1, vec_id and score, the cosine, of the k nearest found for each query."""
+    choice: projections and probes, fitted if not given.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    rows = rows.where(F.col("id").isNotNull() & takes_part(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector"), F.max("is_query").alias("is_query"))
-    rows = written(rows, "vectors")
-    queries = rows.where("is_query").select("id", "vector")
+    rows = written(rows.where(F.col("id").isNotNull() & takes_part(F.col("vector"))).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    queries = rows.where("is_query").select("uid", "vector")
     total = rows.count()
+    projections, probes = choice or _fit(rows, k, total)
     cells = max(1, math.ceil(total * TABLES / CELL))
 
-    index = written(rows.select("id", "vector").mapInArrow(lambda b: _hash(b, 0), "bucket long, id long, vector array<double>"), "ann-index")
+    index = written(rows.select("uid", "vector").mapInArrow(lambda b: _index(b, projections), "bucket long, uid long, half binary"), "ann-index")
     sizes = written(index.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("pieces")), "ann-buckets")
-    split = sizes.where("pieces > 1")  # at most total * TABLES / CELL buckets
+    split = written(sizes.where("pieces > 1"), "ann-split")
     part = F.pmod(F.xxhash64("bucket"), F.lit(cells)).cast("int")
-    held = index.join(F.broadcast(split), "bucket", "left").withColumn("cell", part)
-    held = held.withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id"), F.col("pieces"))).cast("int"))
-    probed = queries.mapInArrow(lambda b: _hash(b, probes), "bucket long, id long").join(sizes, "bucket")
+    held = lookup(index, split, ["bucket"], "left").withColumn("cell", part)
+    held = held.withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("uid"), F.col("pieces"))).cast("int"))
+    probed = queries.mapInArrow(lambda b: _probes(b, projections, probes), "bucket long, uid long").join(sizes, "bucket")
     probed = probed.withColumn("cell", part).withColumn("piece", F.explode(F.when(F.col("pieces") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("pieces")))))
-    probed = written(probed.select("cell", "piece", "bucket", "id"), "ann-probes")
-    visits = probed.select("cell", "piece", "id").distinct().join(queries, "id")
-    none = F.lit(None).cast("array<double>")
-    all_ = held.select("cell", "piece", F.lit(0).alias("kind"), "bucket", "id", "vector")
-    all_ = all_.unionByName(visits.select("cell", "piece", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "id", "vector"))
-    all_ = all_.unionByName(probed.select("cell", "piece", F.lit(2).alias("kind"), "bucket", "id", none.alias("vector")))
-    all_ = all_.repartition(max(parts(spark), cells // 8), "cell", "piece").sortWithinPartitions("cell", "piece", "kind", "bucket", "id")
+    probed = written(probed.select("cell", "piece", "bucket", "uid"), "ann-probes")
+    visits = probed.select("cell", "piece", "uid").distinct().join(queries, "uid")
+    no_half, no_vector = F.lit(None).cast("binary").alias("half"), F.lit(None).cast("array<double>").alias("vector")
+    all_ = held.select("cell", "piece", F.lit(0).alias("kind"), "bucket", "uid", "half", no_vector)
+    all_ = all_.unionByName(visits.select("cell", "piece", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "uid", no_half, "vector"))
+    all_ = all_.unionByName(probed.select("cell", "piece", F.lit(2).alias("kind"), "bucket", "uid", no_half, no_vector))
+    all_ = all_.repartition(max(parts(spark), cells // 8), "cell", "piece").sortWithinPartitions("cell", "piece", "kind", "bucket", "uid")
 
     def visit(batches):
         for t in grouped(batches, ["cell", "piece"]):
-            kind, bucket, ids = (np.asarray(t[c].combine_chunks()) for c in ("kind", "bucket", "id"))
+            kind, bucket, uids = (np.asarray(t[c].combine_chunks()) for c in ("kind", "bucket", "uid"))
             a, z = np.searchsorted(kind, [1, 2])
-            order = np.argsort(ids[z:], kind="stable")  # probes by query
-            wanted, asking = bucket[z:][order], ids[z:][order]
+            order = np.argsort(uids[z:], kind="stable")  # probes by query
+            wanted, asking = bucket[z:][order], uids[z:][order]
+            halves = t["half"].combine_chunks().slice(0, int(a))
+            sizes = np.asarray(pc.binary_length(halves), np.int64) // 2
             out = []
-            for _, at, m in by_dimension(t["vector"].combine_chunks().slice(0, int(z))):
-                own = at < a
-                if own.all() or not own.any():
+            for dim, at, asked in by_dimension(t["vector"].combine_chunks().slice(int(a), int(z - a))):
+                own = np.flatnonzero(sizes == dim)
+                if not len(own):
                     continue
-                held, names, there = m[own], ids[at[own]], bucket[at[own]]
-                queries_ = m[~own]
-                units, asked = unit(held).astype(np.float32), unit(queries_).astype(np.float32)
-                for i, row in enumerate(at[~own]):
-                    q = int(ids[row])
+                there = bucket[own]
+                names, first, local = np.unique(uids[own], return_index=True, return_inverse=True)
+                units = np.frombuffer(b"".join(halves.take(pa.array(own[first])).to_pylist()), "<f2").reshape(-1, dim).astype(np.float32)
+                asked = unit(asked).astype(np.float32)
+                for i, row in enumerate(at):
+                    q = int(uids[a + row])
                     b = wanted[slice(*np.searchsorted(asking, [q, q + 1]))]
                     starts, ends = np.searchsorted(there, b), np.searchsorted(there, b, "right")
-                    sizes = ends - starts
-                    if not sizes.any():
-                        continue
-                    candidates = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                    near = units[candidates] @ asked[i]
-                    out += [(q, *f) for f in _nearest(queries_[i], q, names[candidates], held, candidates, near, k, TABLES)]
+                    sizes_ = ends - starts
+                    met = np.zeros(len(names), bool)
+                    met[local[np.repeat(starts - np.cumsum(sizes_) + sizes_, sizes_) + np.arange(sizes_.sum())]] = True
+                    met = np.flatnonzero(met)
+                    near, s = _best(units[met] @ asked[i], names[met], q, k)
+                    out.append((q, names[met][near], s))
             yield _batch(out)
 
-    found = written(all_.mapInArrow(visit, "query_id long, vec_id long, score double"), "ann-found")
-    few = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= min(k, max(total - 1, 0)))
-    short = written(queries.join(few, queries["id"] == few["query_id"], "left_anti").select("id", "vector"), "ann-short")
+    found = written(all_.mapInArrow(visit, "query long, uid long, about float"), "ann-found")
+    enough = found.groupBy("query").agg(F.count_distinct("uid").alias("n")).where(F.col("n") >= min(k, max(total - 1, 0)))
+    short = written(queries.join(enough, queries["uid"] == enough["query"], "left_anti").select("uid", "vector"), "ann-short")
     if total > 1 and short.count():
-        found = found.unionByName(_exact(rows.select("id", "vector"), short, k))
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = found.unionByName(_exact(rows.select("uid", "vector"), short, k))
+    near = _nearest(found, k)
+    near = near.join(rows.select("uid", F.col("id").alias("vec_id"), F.col("vector").alias("v")), "uid")
+    near = near.join(queries.select(F.col("uid").alias("query"), F.col("vector").alias("q")), "query")
+    near = near.join(rows.where("is_query").select(F.col("uid").alias("query"), F.col("id").alias("query_id")), "query")
+
+    def score(batches):
+        for b in batches:
+            out = np.zeros(b.num_rows)
+            for _, at, v in by_dimension(b.column("v")):
+                q = next(m for _, _, m in by_dimension(b.column("q").take(pa.array(at, pa.int64()))))
+                v, q = (np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) for x in (v, q))  # exact, and no square overflows
+                out[at] = np.clip((v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum(1))), -1, 1)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("query", "query_id", "uid", "vec_id")] + [pa.array(out)], ["query", "query_id", "uid", "vec_id", "score"])
+
+    told = near.select("query", "query_id", "uid", "vec_id", "v", "q").mapInArrow(score, "query long, query_id long, uid long, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc(F.round("score", 14)), "vec_id", "uid")
+    return told.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _exact(rows: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """The k nearest in each pair of a block of queries and a block of rows."""
+    """What may be among the k nearest in each pair of a block of queries and a block of rows."""
     blocks = [max(1, math.ceil(x.count() / block)) for x in (queries, rows)]
-    q = queries.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(blocks[0])).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))))
-    r = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks[1])).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))))
+    q = queries.withColumn("a", F.pmod(F.xxhash64("uid"), F.lit(blocks[0])).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))))
+    r = rows.withColumn("b", F.pmod(F.xxhash64("uid"), F.lit(blocks[1])).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))))
     both = q.withColumn("kind", F.lit(1)).unionByName(r.withColumn("kind", F.lit(0)))
-    both = both.repartition(parts(rows.sparkSession), "a", "b").sortWithinPartitions("a", "b", "kind", "id")
+    both = both.repartition(parts(rows.sparkSession), "a", "b").sortWithinPartitions("a", "b", "kind", "uid")
 
     def compare(batches):
         for t in grouped(batches, ["a", "b"]):
-            kind, ids, out = np.asarray(t["kind"].combine_chunks()), np.asarray(t["id"].combine_chunks()), []
+            kind, uids, out = np.asarray(t["kind"].combine_chunks()), np.asarray(t["uid"].combine_chunks()), []
             n = int((kind == 0).sum())
             for _, at, m in by_dimension(t["vector"].combine_chunks()):
                 own = at < n
-                if own.any():
-                    held, names, every = m[own], ids[at[own]], np.arange(own.sum())
-                    near = unit(m[~own]).astype(np.float32) @ unit(held).astype(np.float32).T if not own.all() else []
+                if own.any() and not own.all():
+                    near = unit(m[~own]) @ unit(m[own]).T
                     for i, row in enumerate(at[~own]):
-                        out += [(int(ids[row]), *f) for f in _nearest(m[~own][i], int(ids[row]), names, held, every, near[i], k)]
+                        places, s = _best(near[i], uids[at[own]], int(uids[row]), k)
+                        out.append((int(uids[row]), uids[at[own]][places], s))
             yield _batch(out)
 
-    return both.mapInArrow(compare, "query_id long, vec_id long, score double")
+    return both.mapInArrow(compare, "query long, uid long, about float")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

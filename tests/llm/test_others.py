@@ -162,6 +162,27 @@ def test_nearest(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_ties_and_repeats(spark):
+    at = {"a": [1.0, 0.0, 0.0], "b": [2.0, 0.0, 0.0], "c": [1.0, 1.0, 0.0], "d": [-1.0, 0.0, 0.0], "e": [1e200, 0.0, 0.0]}
+    rows = [(0, at["a"]), (7, at["b"]), (3, at["b"]), (5, at["c"]), (5, at["c"]), (6, at["d"]), (8, at["e"]), (0, at["c"]), (None, at["a"])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(df, F.col("vec_id") == 0, k=6).collect()]
+    half = round(0.5**0.5, 9)
+    by_first = [(0, i, v, s) for i, (v, s) in enumerate([(3, 1.0), (7, 1.0), (8, 1.0), (0, half), (5, half), (5, half)], 1)]
+    by_other = [(0, i, v, s) for i, (v, s) in enumerate([(5, 1.0), (5, 1.0), (0, half), (3, half), (7, half), (8, half)], 1)]
+    assert sorted(found) == sorted(by_first + by_other)
+
+
+def test_fitted_probes():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = [np.array([v + rng.normal(size=16) * 0.01 for _ in range(3)]) for v in x[:10]]
+    near = [n / np.linalg.norm(n, axis=1)[:, None] for n in near]
+    projections, probes = ann.fitted(x[:10], near, x, 10**6)
+    assert projections == max(ann.PROJECTIONS) and probes <= 3  # close neighbours need few probes, so cells may be small
+
+
 def test_perturbations_in_order():
     rng = np.random.default_rng(1)
     for _ in range(5):
