@@ -1,46 +1,85 @@
 """Personal data replaced by format-preserving pseudonyms from keyed Feistel networks.
 
-Found values are validated (octets, numbering plans, check digits, calendar), turned into a number below the
-count n of values of their format, permuted by the key, and written in the same format. The permutation is
-y = P^-1((P(x) + c) mod n) with a Feistel network P, cycle-walked into [0, n), and a keyed shift c from 1 to
-n - 1: one-to-one, so equal values stay linked across documents and different ones apart; never a fixed point;
-and undone by the shift -c for a holder of the key.
+Found values are validated (octets, numbering plans, check digits, calendar) and brought to one canonical number
+whatever way they are written; that is permuted by the key among the n values of its kind and written in the way
+the value was. The permutation is y = P^-1((P(x) + c) mod n) with a Feistel network P, cycle-walked into [0, n), and
+a keyed shift c from 1 to n - 1: one-to-one, so equal values stay linked across documents and ways of writing and
+different ones apart; never a fixed point; and undone by the shift -c for a holder of the key.
 
-Kinds: e-mail addresses (letters and digits of the local part), IBANs, payment card numbers, social security
-numbers, telephone numbers, IPv4 addresses, dates. Values that fail their validation are left as they are.
+Kinds: e-mail addresses (letters and digits of the local part and of the domain's labels but the last; domains of
+public mail providers stay), IBANs in any case, payment card numbers, social security numbers, telephone numbers,
+IPv4 and IPv6 addresses, dates in digits, in timestamps and with month names in English, German, French and Spanish.
+A number of ten digits alone is a telephone number only after a word that says so. Values that fail their validation
+are left as they are.
+
+There is no default key, as anybody could undo what a published one made: the caller gives it, or session_key()
+takes it from the session's configuration.
 
 Defined cases: a null text stays null; texts without personal data are returned unchanged; equal rows are
-treated alike; an empty table gives an empty result; other columns are kept as they are.
+treated alike; an empty table gives an empty result; other columns are kept as they are. Undoing gives back values;
+of their writing it may change a day of two digits below 10, and an English month that was abbreviated and is May.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+import secrets
 from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small
 
-#: Production key of the query; a deployment passes its own.
-KEY = b"lectern pseudonyms 1"
+#: Setting of the session that holds the key.
+KEY_SETTING = "spark.lectern.pii.key"
 ROUNDS = 8
 
-#: Formats.
+#: Months by language, and the English abbreviations.
+MONTHS = {
+    "en": "january february march april may june july august september october november december".split(),
+    "en3": "jan feb mar apr may jun jul aug sep oct nov dec".split(),
+    "de": "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = dict(zip(*[iter("AD 24 AE 23 AL 28 AT 20 AZ 28 BA 20 BE 16 BG 22 BH 22 BR 29 BY 28 CH 21 CR 22 CY 28 CZ 24 DE 22 DK 18 DO 28 EE 20 EG 29 ES 24 FI 18 FO 18 FR 27 GB 22 GE 22 GI 23 GL 18 GR 27 GT 28 HR 21 HU 28 IE 22 IL 23 IQ 23 IS 26 IT 27 JO 30 KW 30 KZ 20 LB 28 LC 32 LI 21 LT 20 LU 20 LV 21 LY 25 MC 27 MD 24 ME 22 MK 19 MR 27 MT 31 MU 30 NL 18 NO 15 PK 24 PL 28 PS 29 PT 25 QA 29 RO 24 RS 22 SA 24 SC 31 SE 24 SI 19 SK 24 SM 27 ST 25 SV 28 TL 23 TN 24 TR 26 UA 29 VA 22 VG 24 XK 20".split())] * 2, strict=True))
+#: Telephone country codes of one and two digits; all others have three.
+COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Domains of public mail providers.
+PROVIDERS = frozenset("aol.com gmail.com gmx.de gmx.net hotmail.com icloud.com live.com mail.com outlook.com proton.me web.de yahoo.com".split())
+
+_NAMED = {k: "|".join(v) for k, v in MONTHS.items()}
+#: Formats. A group v is the value, where a pattern takes more into account.
 PATTERNS = {
-    "email": re.compile(r"(?<![\w.+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "card": re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])(?!\.\d)"),
-    "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w-])(?!\.\d)"),
-    "phone": re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![\w-])"),
-    "date": re.compile(r"(?<![\w./-])(?:(\d{4})([-/.])(\d{2})\2(\d{2})|(\d{2})([-/.])(\d{2})\6(\d{4}))(?![\w/-])(?!\.\d)"),
+    "email": [re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")],
+    "iban": [re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])")],
+    "card": [re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])(?!\.\d)")],
+    "ssn": [re.compile(r"(?<![\w-])(?<!\d )\d{3}([- ])\d{2}\1\d{4}(?![\w-])(?! \d)")],
+    "ip": [re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w-])(?!\.\d)")],
+    "ip6": [re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::?)(?:[0-9A-Fa-f]{0,4}:){1,7}[0-9A-Fa-f]{0,4}(?![\w:])(?!\.\d)")],
+    "phone": [
+        re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4}|(?<!\d )[2-9]\d\d [2-9]\d\d \d{4}(?! \d))(?![\w-])"),
+        re.compile(r"(?<!\w)(?:tel|phone|telephone|call|fax|mobile|cell|telefon|handy|téléphone|teléfono|móvil)(?:\.|:| no\.?| nr\.?| number)? ?:? ?(?P<v>[2-9]\d\d[2-9]\d{6})(?![\w-])(?!\.\d)", re.I),
+    ],
+    "date": [
+        re.compile(r"(?<![\w./-])(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{2})(?P=s)(?P<d>\d{2})(?:(?=T\d{2}:)|(?![\w/-]))(?!\.\d)"),
+        re.compile(r"(?<![\w./-])(?P<a>\d{2})(?P<s>[-/.])(?P<b>\d{2})(?P=s)(?P<y>\d{4})(?![\w/-])(?!\.\d)"),
+        re.compile(rf"(?<!\w)(?:(?P<en>{_NAMED['en']})|(?P<en3>{_NAMED['en3']}))(?P<s>\.? )(?P<d>\d{{1,2}})(?P<o>st|nd|rd|th)?(?P<t>,? )(?P<y>\d{{4}})(?!\w)", re.I),
+        re.compile(rf"(?<![\w.])(?P<d>\d{{1,2}})(?P<o>st|nd|rd|th)?(?P<s> )(?:(?P<en>{_NAMED['en']})|(?P<en3>{_NAMED['en3']})|(?P<fr>{_NAMED['fr']}))(?P<t>\.?,? )(?P<y>\d{{4}})(?!\w)", re.I),
+        re.compile(rf"(?<![\w.])(?P<d>\d{{1,2}})(?P<s>\. ?)(?P<de>{_NAMED['de']})(?P<t> )(?P<y>\d{{4}})(?!\w)", re.I),
+        re.compile(rf"(?<![\w.])(?P<d>\d{{1,2}})(?P<s> de )(?P<es>{_NAMED['es']})(?P<t> del? )(?P<y>\d{{4}})(?!\w)", re.I),
+    ],
 }
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Days up to and after the 12th of a month, which are permuted among themselves, so that a date in digits is read
+#: again in the order (day first or month first) in which it was.
+_EARLY, _LATE = ([d for d in range(FIRST_DAY, LAST_DAY + 1) if (datetime.date.fromordinal(d).day > 12) == late] for late in (False, True))
 
 
 class Permutation:
@@ -99,7 +138,7 @@ def _filled(shape: str, digits: str) -> str:
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes = KEY, undo: bool = False):
+    def __init__(self, key: bytes, undo: bool = False):
         self.key, self.undo = key, undo
         self._made: dict[tuple[str, int], Permutation] = {}
 
@@ -125,16 +164,23 @@ class Pseudonyms:
         return "".join(reversed(out))
 
     def email(self, m: re.Match) -> str | None:
-        local, rest = m[0].rsplit("@", 1)
-        return f"{self._characters(local, 'email')}@{rest}"
+        local, domain = m[0].rsplit("@", 1)
+        if domain.lower() not in PROVIDERS:
+            *labels, last = domain.split(".")
+            domain = ".".join([*(self._characters(x, "domain") for x in labels), last])
+        return f"{self._characters(local, 'email')}@{domain}"
 
     def iban(self, m: re.Match) -> str | None:
-        plain = m[0].replace(" ", "")
-        if not 15 <= len(plain) <= 34 or _iban_rest(plain) != 1:
+        size, at = int(IBAN_LENGTHS.get(m[0][:2].upper(), 0)), [i for i, c in enumerate(m[0]) if c != " "]
+        if not size or len(at) < size or len(at) > size and at[size] == at[size - 1] + 1:
+            return None
+        end = at[size - 1] + 1  # a word of four letters may follow
+        plain = m[0][:end].replace(" ", "")
+        if _iban_rest(plain.upper()) != 1:
             return None
-        body = self._characters(plain[4:], f"iban {plain[:2]}")
-        made = iter(f"{plain[:2]}{98 - _iban_rest(f'{plain[:2]}00{body}'):02}{body}")
-        return "".join(c if c == " " else next(made) for c in m[0])
+        body = self._characters(plain[4:], f"iban {plain[:2].upper()}")
+        made = iter(f"{plain[:2]}{98 - _iban_rest(f'{plain[:2]}00{body}'.upper()):02}{body}")
+        return "".join(c if c == " " else next(made) for c in m[0][:end]) + m[0][end:]
 
     def card(self, m: re.Match) -> str | None:
         digits = re.sub(r"\D", "", m[0])
@@ -144,21 +190,23 @@ class Pseudonyms:
         return _filled(m[0], body + str(-luhn(f"{body}0") % 10))
 
     def ssn(self, m: re.Match) -> str | None:
-        area, group, serial = map(int, m[0].split("-"))
+        area, group, serial = map(int, re.split("[- ]", m[0]))
         if area in (0, 666) or area > 899 or not group or not serial:
             return None
         x = self._map(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, "ssn")
         x, serial = divmod(x, 9999)
         area, group = divmod(x, 99)
-        return f"{area + 1 + (area >= 665):03}-{group + 1:02}-{serial + 1:04}"
+        return _filled(m[0], f"{area + 1 + (area >= 665):03}{group + 1:02}{serial + 1:04}")
 
     def phone(self, m: re.Match) -> str | None:
-        digits = re.sub(r"\D", "", m[0])
+        written = m.groupdict().get("v") or m[0]
+        digits = re.sub(r"\D", "", written)
         if not 8 <= len(digits) <= 15:
             return None
-        code = re.match(r"\+(\d{1,3}?)(?=[ .(-])", m[0]) or re.match(r"\+(\d)", m[0])
-        head, body = (digits[: len(code[1])], digits[len(code[1]) :]) if code else ("", digits)
-        tweak, plan = f"phone {head}", head in ("", "1") and len(body) == 10
+        head = "" if written[0] != "+" else next((digits[:k] for k in (1, 2) if digits[:k] in COUNTRY_CODES), digits[:3])
+        body = digits[len(head) :]
+        code = head or "1"  # a number without a code is one of the North American plan
+        tweak, plan = f"phone {code}", code == "1" and len(body) == 10
         if plan and _in_plan(body):
             x = self._map(((int(body[:3]) - 200) * 800 + int(body[3:6]) - 200) * 10_000 + int(body[6:]), 800 * 800 * 10_000, f"{tweak} plan")
             x, line = divmod(x, 10_000)
@@ -168,7 +216,7 @@ class Pseudonyms:
                 body = f"{self._map(int(body), 10 ** len(body), tweak):0{len(body)}}"
                 if not plan or not _in_plan(body):
                     break
-        return _filled(m[0], head + body)
+        return m[0][: len(m[0]) - len(written)] + _filled(written, head + body)
 
     def ip(self, m: re.Match) -> str | None:
         octets = m[0].split(".")
@@ -177,33 +225,70 @@ class Pseudonyms:
         x = self._map(int.from_bytes(bytes(map(int, octets))), 1 << 32, "ip")
         return ".".join(map(str, x.to_bytes(4)))
 
+    def ip6(self, m: re.Match) -> str | None:
+        """The groups that aren't zero are permuted, so that the short form stays as short."""
+        if not re.search(r"\d", m[0]) or len(re.findall("[0-9A-Fa-f]+", m[0])) < 3:
+            return None
+        try:
+            groups = ipaddress.IPv6Address(m[0]).exploded.split(":")
+        except ValueError:
+            return None
+        kept = [g for g in groups if g != "0000"]
+        x = 0
+        for g in kept:
+            x = x * 65535 + int(g, 16) - 1
+        x, made = self._map(x, 65535 ** len(kept), f"ip6 {[g != '0000' for g in groups]}"), []
+        for _ in kept:
+            x, g = divmod(x, 65535)
+            made.append(g + 1)
+        made.reverse()
+        given = re.findall("[0-9A-Fa-f]+", m[0])
+        width, upper = 4 if all(len(g) == 4 for g in given) else 1, m[0] != m[0].lower()
+        told = iter(made)
+        out = re.sub("[0-9A-Fa-f]+", lambda g: g[0] if int(g[0], 16) == 0 else f"{next(told):0{width}x}", m[0])
+        return out.upper() if upper else out
+
+    def _moved(self, year: int, month: int, day: int) -> datetime.date | None:
+        """The pseudonym of a day, none of a date that doesn't exist or is out of range."""
+        try:
+            at = datetime.date(year, month, day).toordinal()
+        except ValueError:
+            return None
+        if not FIRST_DAY <= at <= LAST_DAY:
+            return None
+        days = _LATE if day > 12 else _EARLY
+        return datetime.date.fromordinal(days[self._map(bisect_left(days, at), len(days), f"date {day > 12}")])
+
     def date(self, m: re.Match) -> str | None:
-        iso = m[1] is not None
-        year, a, b = map(int, (m[1], m[3], m[4]) if iso else (m[8], m[7], m[5]))
-        for month, day, american in [(a, b, False)] + [(b, a, True)] * (not iso):
-            try:
-                at = datetime.date(year, month, day).toordinal()
-            except ValueError:
-                continue
-            if not FIRST_DAY <= at <= LAST_DAY:
-                return None
-            if iso:
-                made = datetime.date.fromordinal(FIRST_DAY + self._map(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
-                return f"{made.year:04}{m[2]}{made.month:02}{m[2]}{made.day:02}"
-            # days that only one reading allows are permuted among themselves, so that the reading can be told again
-            clear = [d for d in _days() if (datetime.date.fromordinal(d).day > 12) == (day > 12)]
-            made = datetime.date.fromordinal(clear[self._map(bisect_left(clear, at), len(clear), f"date {day > 12}")])
-            first, second = (made.month, made.day) if american else (made.day, made.month)
-            return f"{first:02}{m[6]}{second:02}{m[6]}{made.year:04}"
-        return None
+        g = m.groupdict()
+        if "m" in g:
+            made = self._moved(int(g["y"]), int(g["m"]), int(g["d"]))
+            return made and f"{made.year:04}{g['s']}{made.month:02}{g['s']}{made.day:02}"
+        if "a" in g:
+            first, second = int(g["a"]), int(g["b"])
+            day_first = second <= 12
+            made = self._moved(int(g["y"]), *((second, first) if day_first else (first, second)))
+            return made and "{:02}{s}{:02}{s}{:04}".format(*((made.day, made.month) if day_first else (made.month, made.day)), made.year, s=g["s"])
+        language = next(k for k in MONTHS if g.get(k))
+        name = g[language]
+        made = self._moved(int(g["y"]), 1 + MONTHS[language].index(name.lower()), int(g["d"]))
+        if made is None:
+            return None
+        month = MONTHS[language][made.month - 1]
+        month = month.upper() if name.isupper() else month.capitalize() if name[0].isupper() else month
+        day = f"{made.day:02}" if g["d"][0] == "0" else str(made.day)
+        if g.get("o"):
+            day += "th" if made.day in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(made.day % 10, "th")
+        head, tail = (month, day) if m.start(language) < m.start("d") else (day, month)
+        return f"{head}{g['s']}{tail}{g['t']}{made.year:04}"
 
     def replace(self, text: str) -> tuple[str, list[str]]:
         """The text with pseudonyms, and the kinds of what was replaced, in order."""
         if not _HINT.search(text):
             return text, []
         spans: list[tuple[int, int, str, str]] = []
-        for kind, pattern in PATTERNS.items():
-            if kind == "email" and "@" not in text:
+        for kind, pattern in ((k, p) for k, ps in PATTERNS.items() for p in ps):
+            if kind == "email" and "@" not in text or kind == "ip6" and text.count(":") < 2:
                 continue
             for m in pattern.finditer(text):
                 (a, z), at = m.span(), bisect_left(spans, (m.start(),))
@@ -220,16 +305,16 @@ class Pseudonyms:
 
 #: No kind is without an at-sign or two digits with no more than two other characters between them.
 _HINT = re.compile(r"@|\d[^\w\n]{0,2}\d")
-_calendar: list[int] = []
+_random: dict[str, bytes] = {}
 
 
-def _days() -> list[int]:
-    if not _calendar:
-        _calendar.extend(range(FIRST_DAY, LAST_DAY + 1))
-    return _calendar
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting; without one a random key, which links values within this application only."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _random.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, text_column: str = "text", undo: bool = False, kinds: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, text_column: str = "text", undo: bool = False, kinds: str | None = None) -> DataFrame:
     """docs with the text replaced. kinds: name of a further column, the array of kinds replaced, in order."""
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (f", `{kinds}` array<string>" if kinds else "")
@@ -249,4 +334,4 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text_column: str = "text",
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymised(docs, kinds="kinds").select("doc_id", "text", F.size("kinds").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"))
+    return pseudonymised(docs, session_key(spark), kinds="kinds").select("doc_id", "text", F.size("kinds").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"))

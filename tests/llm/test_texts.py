@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -116,19 +119,68 @@ def test_feistel():
 
 
 PERSONAL = "a.b7@mail.example.com +1 (988) 555-2485, +1 (017) 555-7713 4111 1111 1111 1111 4012888888881881 DE89 3704 0044 0532 0130 00 10.0.0.255 123-45-6789 1987-03-21 31/12/1999 12/31/1999 +49 30 1234567"
-CLEAN = ["version 4.0 of 12 items", "4111111111111112", "1.2.3.400", "2024-02-30", "666-12-3456", "a@b", "", "call 12 34"]
+CLEAN = ["std::vector<int> a::b 10:20:30", "id 4155552671", "::1", "1 March 2500", "version 4.0 of 12 items", "4111111111111112", "1.2.3.400", "2024-02-30", "666-12-3456", "a@b", "", "call 12 34"]
+
+
+WAYS = {
+    "date": ["{0:%Y-%m-%d}", "{0:%Y/%m/%d}", "{0:%d/%m/%Y}", "{0:%d.%m.%Y}", "{0:%Y-%m-%d}T10:20:30Z", "{0:%B} {0.day}, {0.year}", "{0.day} {0:%B} {0.year}", "{0:%b} {0.day}, {0.year}"],
+    "phone": ["({0}) {1}-{2}", "+1 {0} {1} {2}", "{0} {1} {2}", "{0}.{1}.{2}", "call {0}{1}{2}", "+1 ({0}) {1}-{2}"],
+}
+
+
+def test_equal_values_in_any_two_ways():
+    """What each way of writing a value becomes, read back by other means, is one value."""
+    rng, told = random.Random(9), pii.Pseudonyms(b"k")
+    seen = {}
+    for _ in range(300):
+        day = datetime.date.fromordinal(rng.randint(pii.FIRST_DAY, pii.LAST_DAY))
+        found = set()
+        for way in WAYS["date"]:
+            text = told.replace(way.format(day))[0]
+            for form in ("%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%d.%m.%Y", "%Y-%m-%dT10:20:30Z", "%B %d, %Y", "%d %B %Y", "%b %d, %Y"):
+                try:
+                    found.add(datetime.datetime.strptime(text, form).date())
+                    break
+                except ValueError:
+                    pass
+            else:
+                raise AssertionError(text)
+        assert len(found) == 1 and seen.setdefault(found.pop(), day) == day
+        digits = [f"{rng.randint(200, 999)}", f"{rng.randint(200, 999)}", f"{rng.randrange(10**4):04}"]
+        assert len({"".join(c for c in told.replace(w.format(*digits))[0] if c.isdigit())[-10:] for w in WAYS["phone"]}) == 1
+    for ways in (["078-05-1120", "078 05 1120"], ["DE89370400440532013000", "de89 3704 0044 0532 0130 00"], ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"], ["Ann.B7@Mail.example.org", "ann.b7@mail.EXAMPLE.org"], ["2001:DB8::8A2E:370:7334", "2001:db8::8a2e:370:7334"], ["+49 30 1234567", "+49301234567"]):
+        made = [told.replace(w)[0] for w in ways]
+        assert len({re.sub(r"[ -]", "", x).lower() for x in made}) == 1 and made[0] != ways[0]
+        assert [pii.Pseudonyms(b"k", undo=True).replace(x)[0] for x in made] == ways
+    start = time.perf_counter()
+    for i in range(1000):
+        told.replace(f"on 1{i % 10}/03/19{i % 90 + 10} it")
+    assert time.perf_counter() - start < 1.0  # under a millisecond a date
+
+
+def test_pii_key_and_cases(spark):
+    docs = spark.createDataFrame([(1, "at 10.0.0.255 " + "word " * 50_000), (1, "at 10.0.0.255 " + "word " * 50_000), (2, "10.0.0.255")], "doc_id long, text string")
+    one, two, three = (r["text"] for r in pii.pseudonymised(docs, pii.session_key(spark)).orderBy("doc_id").collect())
+    assert one == two and one[3:].startswith(three + " ") and one.endswith("word " * 50_000)
+    assert pii.session_key(spark) == pii.session_key(spark)  # random, but one for the application
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == b"mine"
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.pseudonymised(docs.where("false"), b"k").count() == 0
+    with pytest.raises(TypeError):
+        pii.Pseudonyms()
 
 
 def test_pii(spark):
     docs = spark.createDataFrame([(1, PERSONAL, "x"), (2, f"again {PERSONAL}", "y"), (3, None, None)] + [(10 + i, t, "z") for i, t in enumerate(CLEAN)], "doc_id long, text string, kinds string")
-    rows = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
+    rows = {r["doc_id"]: r for r in pii.pseudonymised(docs, b"k").collect()}
     assert rows[2]["text"] == f"again {rows[1]['text']}" and rows[3]["text"] is None and rows[1]["kinds"] == "x"
     assert all(rows[10 + i]["text"] == t for i, t in enumerate(CLEAN))
     for value in PERSONAL.replace(",", "").split("  ") + ["555-2485", "4012888888881881", "10.0.0.255", "1987-03-21", "a.b7@"]:
         assert value not in rows[1]["text"]
-    told, kinds = pii.Pseudonyms().replace(PERSONAL)
+    told, kinds = pii.Pseudonyms(b"k").replace(PERSONAL)
     assert Counter(kinds) == Counter(email=1, phone=3, card=2, iban=1, ip=1, ssn=1, date=3)
-    assert pii.Pseudonyms(undo=True).replace(told)[0] == PERSONAL and pii.Pseudonyms().replace(told)[1] == kinds
+    assert pii.Pseudonyms(b"k", undo=True).replace(told)[0] == PERSONAL and pii.Pseudonyms(b"k").replace(told)[1] == kinds
     assert [len(x) for x in told.split(" ")][:4] == [len(x) for x in PERSONAL.split(" ")][:4]
 
 
