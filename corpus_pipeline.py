@@ -36,7 +36,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With pseudonyms for personal data; n_chars follows the text."""
     ship(spark)
-    docs = pii.pseudonymised(docs.select(*COLUMNS))
+    docs = pii.pseudonymised(docs.select(*COLUMNS), pii.session_key(spark))
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
 
