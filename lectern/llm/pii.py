@@ -60,7 +60,7 @@ PATTERNS = {
     "email": [re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")],
     "iban": [re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])")],
     "card": [re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])(?!\.\d)")],
-    "ssn": [re.compile(r"(?<![\w-])(?<!\d )\d{3}([- ])\d{2}\1\d{4}(?![\w-])(?! \d)")],
+    "ssn": [re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?<!\d )\d{3} \d{2} \d{4}(?! \d))(?![\w-])")],
     "ip": [re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w-])(?!\.\d)")],
     "ip6": [re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::?)(?:[0-9A-Fa-f]{0,4}:){1,7}[0-9A-Fa-f]{0,4}(?![\w:])(?!\.\d)")],
     "phone": [
