@@ -8,9 +8,11 @@ How many projections a table has and how many buckets a query visits is fitted (
 queries are compared with every vector, and of the choices whose probes would have reached RECALL of their nearest
 the one that compares least is taken, with shares of candidates told by SAMPLE_ROWS vectors. Every vector is indexed.
 
-Buckets are dealt to cells of about CELL entries; a larger bucket is split over several. A cell holds its vectors
-in half precision once, and each query once that probes one of its buckets. What may be among the K nearest, with
-a margin for the precision, is then compared exactly, on the original vectors.
+Each query has a bar first: the similarity of its K-th nearest in a SAMPLE_SHARE-th of the vectors (see bars()). Below
+it nothing can be among the K nearest, so that a query gives a bounded number of candidates however many cells it
+visits. Buckets are dealt to cells of about CELL entries; a larger bucket is split over several. A cell holds its
+vectors in half precision once, and each query once that probes one of its buckets. What may be among the K nearest,
+with a margin for the precision, is then compared exactly, on the original vectors.
 
 A query that finds fewer than K candidates, as in tiny tables, is compared with every vector, in blocks.
 
@@ -37,7 +39,7 @@ from .pstable import Projections, by_dimension, takes_part, unit
 TABLES, WIDTH, K, CELL = 32, 3.0, 5, 8192
 #: What is fitted: projections of a table, among these, and probes, up to so many.
 PROJECTIONS, MOST_PROBES = (8, 12, 16, 20, 28), 128
-RECALL, SAMPLE_QUERIES, SAMPLE_ROWS = 0.945, 48, 1024
+RECALL, SAMPLE_QUERIES, SAMPLE_ROWS, SAMPLE_SHARE = 0.945, 48, 1024, 16
 #: More than twice the error of a cosine of which one vector is in half precision.
 MARGIN = 2e-3
 
@@ -101,9 +103,9 @@ def fitted(queries: np.ndarray, nearest: list[np.ndarray], some: np.ndarray, tot
 _FOUND = pa.schema([("query", pa.int64()), ("uid", pa.int64()), ("about", pa.float32())])
 
 
-def _best(scores: np.ndarray, uids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of what may be among the k largest of an array without own, -inf standing for none."""
-    at = np.flatnonzero((scores > -np.inf) & (uids != own))
+def _best(scores: np.ndarray, uids: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of what may be among the k largest of an array, at or above the bar, without own."""
+    at = np.flatnonzero((scores >= bar - MARGIN) & (uids != own))
     if len(at) > k:
         at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k] - MARGIN]
     return at, scores[at]
@@ -140,6 +142,28 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_rank", rank).withColumn("_least", least).where(F.col("about") >= F.col("_least") - MARGIN).select("query", "uid")
 
 
+def bars(rows: DataFrame, queries: DataFrame, k: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """(query, uid, about) compared, and (uid, bar) of queries that met k vectors of the sample.
+
+    The sample is compared in blocks. A large one has a sample of its own first, with bars of its own, so that in
+    every step a query keeps about k * SAMPLE_SHARE vectors at most.
+    """
+    depth, bar = 1, None
+    while total > 4 * CELL * SAMPLE_SHARE ** depth:
+        depth += 1
+    for i in range(depth, 0, -1):
+        some = rows.where(F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(SAMPLE_SHARE**i)) == 0).select("uid", "vector")
+        found = written(_exact(some, _barred(queries, bar), k), "ann-bars")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "uid"))
+        bar = written(found.withColumn("_rank", rank).where(F.col("_rank") == k).select(F.col("query").alias("uid"), F.col("about").alias("bar")), "ann-bar")
+    return found, bar
+
+
+def _barred(queries: DataFrame, bar: DataFrame | None) -> DataFrame:
+    least = F.coalesce("bar", F.lit(float("-inf"))).cast("float").alias("bar")
+    return queries.withColumn("bar", F.lit(float("-inf")).cast("float")) if bar is None else queries.join(bar, "uid", "left").select("uid", "vector", least)
+
+
 def _fit(rows: DataFrame, k: int, total: int) -> tuple[int, int]:
     order = F.xxhash64("uid", F.lit(1))
     queries = [(r["uid"], r["vector"]) for r in rows.where("is_query").orderBy(order).select("uid", "vector").limit(SAMPLE_QUERIES).collect()]
@@ -217,11 +241,12 @@ def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vect
     probed = queries.mapInArrow(lambda b: _probes(b, projections, probes), "bucket long, uid long").join(sizes, "bucket")
     probed = probed.withColumn("cell", part).withColumn("piece", F.explode(F.when(F.col("pieces") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("pieces")))))
     probed = written(probed.select("cell", "piece", "bucket", "uid"), "ann-probes")
-    visits = probed.select("cell", "piece", "uid").distinct().join(queries, "uid")
-    no_half, no_vector = F.lit(None).cast("binary").alias("half"), F.lit(None).cast("array<double>").alias("vector")
-    all_ = held.select("cell", "piece", F.lit(0).alias("kind"), "bucket", "uid", "half", no_vector)
-    all_ = all_.unionByName(visits.select("cell", "piece", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "uid", no_half, "vector"))
-    all_ = all_.unionByName(probed.select("cell", "piece", F.lit(2).alias("kind"), "bucket", "uid", no_half, no_vector))
+    compared, bar = bars(rows, queries, k, total)
+    visits = probed.select("cell", "piece", "uid").distinct().join(_barred(queries, bar), "uid")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("half", "binary"), ("vector", "array<double>"), ("bar", "float"))]
+    all_ = held.select("cell", "piece", F.lit(0).alias("kind"), "bucket", "uid", "half", *none[1:])
+    all_ = all_.unionByName(visits.select("cell", "piece", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "uid", none[0], "vector", "bar"))
+    all_ = all_.unionByName(probed.select("cell", "piece", F.lit(2).alias("kind"), "bucket", "uid", *none))
     all_ = all_.repartition(max(parts(spark), cells // 8), "cell", "piece").sortWithinPartitions("cell", "piece", "kind", "bucket", "uid")
 
     def visit(batches):
@@ -232,6 +257,7 @@ def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vect
             wanted, asking = bucket[z:][order], uids[z:][order]
             halves = t["half"].combine_chunks().slice(0, int(a))
             sizes = np.asarray(pc.binary_length(halves), np.int64) // 2
+            least = np.asarray(t["bar"].combine_chunks().slice(int(a), int(z - a)))
             out = []
             for dim, at, asked in by_dimension(t["vector"].combine_chunks().slice(int(a), int(z - a))):
                 own = np.flatnonzero(sizes == dim)
@@ -249,15 +275,15 @@ def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vect
                     met = np.zeros(len(names), bool)
                     met[local[np.repeat(starts - np.cumsum(sizes_) + sizes_, sizes_) + np.arange(sizes_.sum())]] = True
                     met = np.flatnonzero(met)
-                    near, s = _best(units[met] @ asked[i], names[met], q, k)
+                    near, s = _best(units[met] @ asked[i], names[met], q, k, least[row])
                     out.append((q, names[met][near], s))
             yield _batch(out)
 
-    found = written(all_.mapInArrow(visit, "query long, uid long, about float"), "ann-found")
+    found = written(all_.mapInArrow(visit, "query long, uid long, about float").unionByName(compared), "ann-found")
     enough = found.groupBy("query").agg(F.count_distinct("uid").alias("n")).where(F.col("n") >= min(k, max(total - 1, 0)))
     short = written(queries.join(enough, queries["uid"] == enough["query"], "left_anti").select("uid", "vector"), "ann-short")
     if total > 1 and short.count():
-        found = found.unionByName(_exact(rows.select("uid", "vector"), short, k))
+        found = found.unionByName(_exact(rows.select("uid", "vector"), _barred(short, None), k))
     near = _nearest(found, k)
     near = near.join(rows.select("uid", F.col("id").alias("vec_id"), F.col("vector").alias("v")), "uid")
     near = near.join(queries.select(F.col("uid").alias("query"), F.col("vector").alias("q")), "query")
@@ -277,24 +303,27 @@ def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vect
     return told.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _exact(rows: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """What may be among the k nearest in each pair of a block of queries and a block of rows."""
-    blocks = [max(1, math.ceil(x.count() / block)) for x in (queries, rows)]
+def _exact(rows: DataFrame, queries: DataFrame, k: int, block: int = CELL) -> DataFrame:
+    """What may be among the k nearest, in each pair of a block of queries (with their bars) and a block of rows."""
+    blocks = [max(1, math.ceil(x.count() / n)) for x, n in ((queries, block // 8), (rows, block))]
     q = queries.withColumn("a", F.pmod(F.xxhash64("uid"), F.lit(blocks[0])).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))))
     r = rows.withColumn("b", F.pmod(F.xxhash64("uid"), F.lit(blocks[1])).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))))
-    both = q.withColumn("kind", F.lit(1)).unionByName(r.withColumn("kind", F.lit(0)))
+    both = q.withColumn("kind", F.lit(1)).unionByName(r.withColumn("kind", F.lit(0)).withColumn("bar", F.lit(None).cast("float")))
     both = both.repartition(parts(rows.sparkSession), "a", "b").sortWithinPartitions("a", "b", "kind", "uid")
 
     def compare(batches):
         for t in grouped(batches, ["a", "b"]):
-            kind, uids, out = np.asarray(t["kind"].combine_chunks()), np.asarray(t["uid"].combine_chunks()), []
-            n = int((kind == 0).sum())
+            kind, uids, least = (np.asarray(t[c].combine_chunks()) for c in ("kind", "uid", "bar"))
+            n, out = int((kind == 0).sum()), []
             for _, at, m in by_dimension(t["vector"].combine_chunks()):
                 own = at < n
-                if own.any() and not own.all():
-                    near = unit(m[~own]) @ unit(m[own]).T
-                    for i, row in enumerate(at[~own]):
-                        places, s = _best(near[i], uids[at[own]], int(uids[row]), k)
+                if not own.any() or own.all():
+                    continue
+                held, asked = unit(m[own]).T, unit(m[~own])
+                for some in range(0, len(asked), 64):
+                    near = asked[some : some + 64] @ held
+                    for i, row in enumerate(at[~own][some : some + 64]):
+                        places, s = _best(near[i], uids[at[own]], int(uids[row]), k, least[row])
                         out.append((int(uids[row]), uids[at[own]][places], s))
             yield _batch(out)
 
