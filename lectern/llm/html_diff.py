@@ -1,25 +1,29 @@
 """Main text of web pages by differencing each page against those with the nearest URLs.
 
-1. A page becomes lines of text, one for each block, with what its mark-up says of them: FRAME for lines in
-   elements that are never article text (navigation, forms, asides, what a class, id or role names as such),
-   MAIN for lines in an article or main element, OPEN for all others.
-2. Pages of a host are ordered by URL path and cut into blocks of NEIGHBOURS neighbours, by ranks that are counted
-   without gathering a host in one task.
-3. The lines of a page are aligned with those of the page before and the page after it by longest common
-   subsequence, and shared lines are deleted: they belong to the site, not to the page. A page that shares more than
-   COPY of the page's characters is skipped as a copy, and the next one is taken; the last page of the block before
-   and the first of the block after are tried too.
-4. Pages that meet copies only look on in ever larger ranges of blocks, each NEIGHBOURS times as large as the one
-   before. A block or range stands there by two pages that aren't copies, so no task holds a range.
-
-Differencing alone would delete what two articles rightly share (quotations, copies), so two rules follow it:
-MAIN lines stay although shared, and where a page has MAIN lines only these are its text; FRAME lines go although
-unshared. Pages without MAIN lines keep the OPEN lines that differencing leaves. Where no page of the host is
-unlike the page, what is taken for copies may be a long menu: the page loses what it shares with the least alike of
-those tried, and keeps all OPEN lines only if these are equal to it.
+1. A page becomes lines of text, one for each block, with what its mark-up surely says of them: FRAME for lines in
+   elements that are never article text (navigation, asides, what a class, id or role names as such), MAIN for lines
+   in an article or main element, OPEN for all others. Where a page has MAIN lines these are its text.
+2. All other pages with OPEN lines are differenced. Pages of a host with equal lines are one page here; the pages of
+   a host are ordered by URL path and cut into blocks of about BLOCK, by ranks that are counted without gathering a
+   host in one task. A block also sees the last and first pages of the blocks beside it and two unlike pages of the
+   whole host (see landmarks()).
+3. The lines of a page are aligned by longest common subsequence with those of the others. A page's near copies would
+   take its article for the site's: only pages that share no more than half-way between the least part that any of
+   them shares and all of its characters vote. Of these the VOTES nearest in order vote, and lines shared with more than half of
+   them are deleted: they belong to the site. Lines that one or two pages share, as quotations, stay.
+
+Differencing comes second because it can't decide alone: menus and adverts that differ from page to page are shared
+with nobody, and what articles rightly share would go. Mark-up also breaks its ties: on a page whose host has no
+other page, lines in a header element go.
+
+What a class, id or form says is weak: an element with more than half of the page's text is no frame, unless article
+text is outside of it or it is named as comments; a name counts only if all its words are frame words or words of
+layout (related-posts, not related-work). Where several article elements hold less than what is outside of them,
+they are teasers, and all lines are OPEN.
 
 Defined cases: null, empty and unparsable html give an empty text; a null url is a host and path of its own
-("" and ""); repeated rows are pages each; equal paths are ordered by page_id; an empty table gives an empty one.
+("" and ""); where all lines of a page are shared, differencing can't tell and all stay; repeated rows are pages
+each; equal paths are ordered by their lines' hash; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,68 +34,74 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import grouped, lookup, only, parts, small, weighted_lookup, written
+from .common import grouped, only, parts, small, weighted_lookup, written
 
-NEIGHBOURS, COPY = 8, 0.8
-OPEN, MAIN, FRAME = 0, 1, 2
+VOTES, BLOCK = 4, 32
+OPEN, MAIN, FRAME, HEADER = 0, 1, 2, 3
 
 #: HTML's elements by what they do to text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-_FRAME_ELEMENTS = frozenset("nav aside footer form menu dialog search button select option datalist object svg canvas audio video map head".split())
+_FRAME_ELEMENTS = frozenset("nav aside footer menu dialog search button select option datalist object svg canvas audio video map head".split())
 _FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
+#: Words of names of frames, and words of layout that may stand beside them.
 _FRAME_WORDS = frozenset("ad ads advert adverts advertisement advertising adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets comment comments reply replies respond discussion disqus footer masthead share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall search pagination pager toolbar skip hidden".split())
-_KEPT_ELEMENTS = frozenset("html body main article".split())
+_LAYOUT_WORDS = frozenset("area article articles bar block body bottom box buttons center col column container content entry form global group header inner item items left link links list main middle mobile outer page panel post posts primary region right row secondary section site slot sticky text title top unit user wrap wrapper".split())
+_COMMENT_WORDS = frozenset("comment comments reply replies respond discussion disqus".split())
+_KEPT_ELEMENTS = frozenset("html body main".split())
 _P_CLOSERS = _BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "dt", "dd", "li"}
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
-_NAME = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SURE, WEAK, COMMENTS = 1, 2, 3
 
 
-def _is_frame(tag: str, attributes: str) -> bool:
-    if tag in _KEPT_ELEMENTS and tag != "article":
-        return False
+def _frame(tag: str, attributes: str) -> int:
+    """How an element says that it is a frame: not at all (0), SURE, WEAK, or WEAK as COMMENTS."""
+    if tag in _KEPT_ELEMENTS:
+        return 0
     if tag in _FRAME_ELEMENTS:
-        return True
-    if len(attributes) < 3:
-        return False
-    for m in _NAME.finditer(attributes):
+        return SURE
+    found = WEAK if tag == "form" else 0
+    for m in _ATTRIBUTE.finditer(attributes) if len(attributes) > 2 else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return SURE
         if name == "role" and value.strip().lower() in _FRAME_ROLES:
-            return True
-        if name in ("class", "id") and not _FRAME_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value)):
-            return True
-    return False
+            found = max(found, WEAK)
+        if name in ("class", "id"):
+            for token in value.split():
+                words = {w.lower() for w in _WORD.findall(token)}
+                if words & _FRAME_WORDS and words <= _FRAME_WORDS | _LAYOUT_WORDS:
+                    found = max(found, COMMENTS if words & _COMMENT_WORDS else WEAK)
+    return found
 
 
 def lines(page: str | None) -> list[tuple[str, int]]:
     """(text, kind) of each block with text, in page order."""
     page = page or ""
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []  # text, sure frame, main, header, weak elements
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it makes a frame, whether it is main
-    frames = mains = 0
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # element, whether a sure frame, main, a header; number of a weak one
+    weak: list[int] = []  # how each weak element says it
+    frames = mains = headers = articles = main_elements = 0
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, FRAME if frames else MAIN if mains else OPEN))
+                out.append((text, frames > 0, mains > 0, headers > 0, tuple(s[4] for s in stack if s[4] >= 0)))
 
     def pop() -> None:
-        nonlocal frames, mains
-        _, frame, main = stack.pop()
-        frames -= frame
-        mains -= main
+        nonlocal frames, mains, headers
+        _, frame, main, header, _ = stack.pop()
+        frames, mains, headers = frames - frame, mains - main, headers - header
 
     at = 0
     while m := _TAG.search(page, at):
@@ -120,18 +130,37 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             continue
         if tag in _P_CLOSERS and stack and stack[-1][0] == "p" or tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
             pop()
-        frame = _is_frame(tag, m[3]) or tag == "header" and not mains
+        says, header = _frame(tag, m[3]), tag == "header" and not mains
         main = tag in ("article", "main")
         if tag in _VOID or m[3].rstrip().endswith("/") and tag not in _BLOCKS:
             continue
-        if frame or main or tag in _BLOCKS:
+        if says or main or tag in _BLOCKS:
             if tag not in _BLOCKS:
                 flush()
-            stack.append((tag, frame, main))
-            frames += frame
-            mains += main
+            articles, main_elements = articles + (tag == "article" and not mains), main_elements + (tag == "main")
+            stack.append((tag, says == SURE, main, header, len(weak) if says > SURE else -1))
+            if says > SURE:
+                weak.append(says)
+            frames, mains, headers = frames + (says == SURE), mains + main, headers + header
     held.append(page[at:])
     flush()
+    return _kinds(out, weak, articles > 1 and not main_elements)
+
+
+def _kinds(found: list[tuple[str, bool, bool, bool, tuple[int, ...]]], weak: list[int], teasers: bool) -> list[tuple[str, int]]:
+    """(text, kind), with weak frames taken back where they hold most of the page."""
+    of = [0] * len(weak)
+    for text, sure, _, _, elements in found:
+        for e in elements if not sure else ():
+            of[e] += len(text)
+    total = sum(len(x[0]) for x in found if not x[1])
+    frames = set(range(len(weak)))
+    for e, says in enumerate(weak):
+        if of[e] * 2 > total and not any(x[2] and not x[1] and e not in x[4] for x in found) and (says != COMMENTS or of[e] == total):
+            frames.discard(e)
+    out = [(text, FRAME if sure or not frames.isdisjoint(elements) else MAIN if main else HEADER if header else OPEN) for text, sure, main, header, elements in found]
+    if teasers and sum(len(t) for t, k in out if k in (OPEN, HEADER)) > sum(len(t) for t, k in out if k == MAIN):
+        out = [(t, OPEN if k == MAIN else k) for t, k in out]
     return out
 
 
@@ -158,99 +187,25 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def kept_lines(page: list[tuple[int, int, int]], *sides: list[list[tuple[int, int, int]]]) -> tuple[list[int], float]:
-    """Positions of the lines (hash, length, kind) that are the page's text after differencing, and what it shares.
+Page = tuple[int, list[int], list[int]]  # rank, hashes of lines, their lengths
 
-    sides: the pages before and those after, nearest first. Shared is 0 if one of them isn't a copy, else the part
-    of the page's OPEN characters that the least alike of them shares.
-    """
-    if any(kind == MAIN for _, _, kind in page):
-        return [i for i, (_, _, kind) in enumerate(page) if kind == MAIN], 0.0
-    size = lambda x: sum(n for _, n, kind in x if kind == OPEN)
-    names, open_, shared, found, spare, least = [x[0] for x in page], size(page), set(), False, set(), 1.0 + 1e-9
-    if not open_:
-        return [], 0.0
-    for side in sides:
-        for other in side:
-            pairs = common(names, [x[0] for x in other])
-            same, part = {i for i, _ in pairs}, size([page[i] for i, _ in pairs]) / open_
-            if part <= COPY:
-                shared, found = shared | same, True
-                break
-            if part < least and (part < 1 or size([other[j] for _, j in pairs]) <= COPY * size(other)):
-                spare, least = same, part
-    gone = shared if found else spare
-    return [i for i, (_, _, kind) in enumerate(page) if kind == OPEN and i not in gone], 0.0 if found else least
-
-
-def unlike(pages: list[list[tuple[int, int, int]]]) -> list[int]:
-    """The first of the pages, and the first that isn't a copy of it."""
-    size = lambda x: sum(n for _, n, kind in x if kind == OPEN)
-    for i, p in enumerate(pages[1:], 1):
-        pairs = common([x[0] for x in pages[0]], [x[0] for x in p])
-        if min(size([pages[0][i] for i, _ in pairs]) - COPY * size(pages[0]), size([p[j] for _, j in pairs]) - COPY * size(p)) <= 0:
-            return [0, i]
-    return [0]
-
-
-def placed(page: list[tuple[int, int, int]], kept: list[int]) -> list[int]:
-    """Places of the kept positions among the lines that are not FRAME."""
-    place = np.cumsum([k != FRAME for _, _, k in page]) - 1
-    return [int(place[j]) for j in kept]
-
-
-def zipped(names, lengths, kinds) -> list[list[tuple[int, int, int]]]:
-    return [list(zip(*x, strict=True)) for x in zip(names, lengths, kinds, strict=True)]
-
-
-_LINES = "names array<long>, lengths array<int>, kinds array<byte>"
-
-
-def looked_on(seekers: DataFrame, near: DataFrame) -> DataFrame:
-    """_id, _content and kept of pages that met copies only; near: all pages by host, block and rank."""
-    def chosen(batches):
-        for t in grouped(batches, ["host", "block"]):
-            yield from t.take(unlike(zipped(*(t[c].to_pylist() for c in ("names", "lengths", "kinds"))))).combine_chunks().to_batches()
-
-    cut = near.where("not guest").select("host", "block", "rank", "names", "lengths", "kinds")
-    few = written(only(cut, seekers, "host").select(*cut.columns).sortWithinPartitions("host", "block", "rank").mapInArrow(chosen, f"host string, block long, rank long, {_LINES}"), "unlike")
-    columns, top, done, span = seekers.columns, few.agg(F.max("block")).first()[0], None, 1
-    while True:
-        span *= NEIGHBOURS
-        range_ = F.floor(F.col("block") / span)
-        lists = few.groupBy("host", range_.alias("range")).agg(F.array_sort(F.collect_list(F.struct("rank", "block", "names", "lengths", "kinds"))).alias("pages"))
-        lists = written(lists, "ranges")
-
-        def look(batches):
-            for b in small(batches):
-                rows = b.to_pylist()
-                for r in rows:
-                    page, = zipped([r["names"]], [r["lengths"]], [r["kinds"]])
-                    others = [(x["rank"], *zipped([x["names"]], [x["lengths"]], [x["kinds"]])) for x in r["pages"]]
-                    kept, shared = kept_lines(page, [x for k, x in reversed(others) if k < r["rank"]], [x for k, x in others if k > r["rank"]])
-                    if shared < r["shared"]:
-                        r["kept"], r["shared"] = placed(page, kept), shared
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], b.schema.field(c).type) for c in columns], columns)
-
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seekers.schema)
-        met = lookup(seekers.withColumn("range", range_), lists, ["host", "range"]).select(*columns, "pages")
-        met = written(met.mapInArrow(look, kinds), "looked-on")
-        settled = met if span > top else met.where("shared = 0")
-        settled = settled.select("_id", "_content", "kept")
-        done = settled if done is None else done.unionByName(settled)
-        if span > top:
-            return done
-        seekers = met.where("shared > 0")
-        if seekers.isEmpty():
-            return done
-
-        def fewer(batches):
-            for b in small(batches):
-                for host, pages in zip(b.column("host").to_pylist(), b.column("pages").to_pylist(), strict=True):
-                    own = [pages[i] for i in unlike(zipped(*([x[c] for x in pages] for c in ("names", "lengths", "kinds"))))]
-                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(own), pa.string()), *(pa.array([x[c] for x in own], t) for c, t in (("block", pa.int64()), ("rank", pa.int64()), ("names", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int8()))))], ["host", "block", "rank", "names", "lengths", "kinds"])
-
-        few = written(lists.select("host", "pages").mapInArrow(fewer, f"host string, block long, rank long, {_LINES}"), "unlike")
+
+def aligned(page: Page, other: Page) -> tuple[list[int], float]:
+    """Positions of a page's lines shared with another, and their part of its characters."""
+    shared = [i for i, _ in common(page[1], other[1])]
+    return shared, sum(page[2][i] for i in shared) / max(sum(page[2]), 1)
+
+
+def voted(page: Page, others: list[Page]) -> list[int]:
+    """Positions of the lines of a page that stay. others: at least one page of its host, none of equal lines."""
+    found = [(*aligned(page, x), (abs(x[0] - page[0]), x[0])) for x in others]
+    most = (1 + min((part for _, part, _ in found if part > 0), default=0.0)) / 2
+    near = sorted((x for x in found if x[1] <= most), key=lambda x: x[2])[:VOTES]
+    votes = [0] * len(page[1])
+    for shared, _, _ in near:
+        for i in shared:
+            votes[i] += 1
+    return [i for i, n in enumerate(votes) if 2 * n <= len(near)] or list(range(len(votes)))
 
 
 def ranked(rows: DataFrame, group: str, order: list[str], slices: int) -> DataFrame:
@@ -268,63 +223,96 @@ def ranked(rows: DataFrame, group: str, order: list[str], slices: int) -> DataFr
     return out.withColumn("rank", F.col("_before") + F.col("_at") - F.col("_from")).drop("_part", "_at", "_n", "_from", "_before")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for each page; pages: page_id, url, html.
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), signed=True)
 
-    Pages are parsed twice, so that only hashes of lines are sorted and grouped; the lines themselves are shuffled
-    once, to meet their page's verdict, and those of FRAME not at all.
-    """
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars for each page; pages: page_id, url, html. Each page is parsed once."""
     id_type = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("content", F.xxhash64("url", "html"))
-
-    def hashed(batches):
-        for b in small(batches):
-            found = [lines(h) for h in b.column("html").to_pylist()]
-            columns = [[[int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), signed=True) for t, _ in x] for x in found], [[len(t) for t, _ in x] for x in found], [[k for _, k in x] for x in found]]
-            arrays = [pa.array(c, pa.list_(t)) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int8()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("content"), b.column("host"), b.column("path"), *arrays], ["page_id", "content", "host", "path", "names", "lengths", "kinds"])
-
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", ""), r"(?:[?#].*|/|\.html?)$", "")
-    names = rows.withColumns({"host": host, "path": path}).mapInArrow(hashed, f"page_id {id_type}, content long, host string, path string, names array<long>, lengths array<int>, kinds array<byte>")
-    slices = parts(pages.sparkSession)
-    near = ranked(names, "host", ["path", "page_id", "content"], slices)
-    whole = F.greatest(F.floor(F.col("of") / NEIGHBOURS) - 1, F.lit(0))  # the last block takes the rest
-    near = near.withColumn("block", F.least(F.floor(F.col("rank") / NEIGHBOURS), whole))
-    first, last = (F.col("rank") == F.col("block") * NEIGHBOURS) & (F.col("block") > 0), (F.col("rank") % NEIGHBOURS == NEIGHBOURS - 1) & (F.col("block") < whole)
-    at = F.array(F.col("block"), F.when(first, F.col("block") - 1), F.when(last, F.col("block") + 1))
+
+    def parse(batches):
+        for b in small(batches):
+            told, texts, names, sizes, keys, left = [lines(h) for h in b.column("html").to_pylist()], [], [], [], [], []
+            for x in told:
+                main = [t for t, k in x if k == MAIN]
+                rest = [(t, k) for t, k in x if k != FRAME]
+                asks = not main and bool(rest)
+                texts.append(None if asks else "\n".join(main))
+                left.append(rest if asks else None)
+                names.append([_hash(t) for t, _ in rest])
+                sizes.append([len(t) for t, _ in rest])
+                keys.append(hashlib.blake2b(np.array(names[-1], np.int64).tobytes(), digest_size=16).digest())
+            arrays = [pa.array(texts, pa.string()), pa.array([x and [t for t, _ in x] for x in left], pa.list_(pa.string())), pa.array([x and [k == HEADER for _, k in x] for x in left], pa.list_(pa.bool_())), pa.array(names, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "path")), *arrays], ["page_id", "url", "host", "path", "text", "lines", "header", "names", "sizes", "key"])
+
+    schema = f"page_id {id_type}, url string, host string, path string, text string, lines array<string>, header array<boolean>, names array<long>, sizes array<int>, key binary"
+    parsed = written(rows.withColumns({"host": host, "path": path}).mapInArrow(parse, schema), "parsed")
+    asking = parsed.where("text is null")
+    out = parsed.where("text is not null").select("page_id", "url", "text")
+    if not asking.isEmpty():
+        found = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
+        alone = F.array_join(F.filter("lines", lambda x, i: ~F.get("header", i)), "\n")
+        told = weighted_lookup(asking, verdicts(parsed, asking), ["host", "key"], "copies")
+        out = out.unionByName(told.select("page_id", "url", F.when(F.col("kept").isNull(), alone).otherwise(found).alias("text")))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def landmarks(blocks: DataFrame, top: int) -> DataFrame:
+    """host, names and sizes of two pages of each host that are unlike, of all its blocks (to top) by ever larger ranges."""
+
+    def two(batches):
+        for t in grouped(batches, ["host", "block"]):
+            pages = list(zip(t["rank"].to_pylist(), t["names"].to_pylist(), t["sizes"].to_pylist(), strict=True))
+            least = min(range(len(pages)), key=lambda i: (aligned(pages[0], pages[i])[1] if i else 2.0, i))
+            yield from t.take(sorted({0, least})).combine_chunks().to_batches()
+
+    kinds, columns = "host string, block long, rank long, names array<long>, sizes array<int>", ["host", "block", "rank", "names", "sizes"]
+    found = written(blocks.select(*columns).mapInArrow(two, kinds), "landmarks")
+    while top:
+        top //= BLOCK
+        wider = found.withColumn("block", F.floor(F.col("block") / BLOCK)).repartition(parts(blocks.sparkSession), "host", "block").sortWithinPartitions("host", "block", "rank")
+        found = written(wider.select(*columns).mapInArrow(two, kinds), "landmarks")
+    return found.drop("block")
+
+
+def verdicts(parsed: DataFrame, asking: DataFrame) -> DataFrame:
+    """kept, the positions of the lines that stay, and copies, for each host and key of asking; null where nothing differs."""
+    slices = parts(parsed.sparkSession)
+    hosts = written(asking.select("host").distinct(), "asking-hosts")
+    here = only(parsed, hosts, "host").join(hosts.hint("merge"), "host")
+    one = here.groupBy("host", "key").agg(F.min("path").alias("path"), F.any_value("names").alias("names"), F.any_value("sizes").alias("sizes"), F.count_if(F.col("text").isNull()).alias("copies"))
+    near = ranked(one, "host", ["path", "key"], slices)
+    last = F.greatest(F.floor(F.col("of") / BLOCK) - 1, F.lit(0))  # the last block takes the rest
+    near = near.withColumn("block", F.least(F.floor(F.col("rank") / BLOCK), last)).withColumn("last", last)
+    first, end = F.col("rank") - F.col("block") * BLOCK < VOTES, (F.col("rank") % BLOCK >= BLOCK - VOTES) & (F.col("block") < F.col("last"))
+    at = F.array(F.col("block"), F.when(first & (F.col("block") > 0), F.col("block") - 1), F.when(end, F.col("block") + 1))
     near = near.withColumn("_home", F.explode(F.filter(at, lambda x: x.isNotNull()))).withColumn("guest", F.col("_home") != F.col("block")).withColumn("block", F.col("_home"))
+    columns = ["host", "block", "rank", "guest", "key", "names", "sizes", "copies", "last"]
+    near = written(near.select(*columns).repartition(slices, "host", "block").sortWithinPartitions("host", "block", "rank"), "blocks")
+    several = near.where("last > 0")
+    if not several.isEmpty():
+        own = several.where("not guest").repartition(slices, "host", "block").sortWithinPartitions("host", "block", "rank")
+        marks = landmarks(own, several.agg(F.max("last")).first()[0])
+        marks = weighted_lookup(several.groupBy("host", "block").agg(F.any_value("last").alias("last")), marks.groupBy("host").agg(F.collect_list(F.struct("rank", "names", "sizes")).alias("pages")).join(several.groupBy("host").agg(F.count_distinct("block").alias("n")), "host"), ["host"], "n")
+        marks = marks.select("host", "block", F.explode("pages").alias("p"), "last").select("host", "block", "p.rank", F.lit(True).alias("guest"), F.lit(None).cast("binary").alias("key"), "p.names", "p.sizes", F.lit(0).cast("long").alias("copies"), "last")
+        near = near.unionByName(marks)
     near = near.repartition(slices, "host", "block").sortWithinPartitions("host", "block", "rank")
 
     def difference(batches):
         for t in grouped(batches, ["host", "block"]):
-            page, own = zipped(*(t[c].to_pylist() for c in ("names", "lengths", "kinds"))), [i for i, g in enumerate(t["guest"].to_pylist()) if not g]
-            told = [kept_lines(page[i], page[:i][::-1], page[i + 1 :]) for i in own]
-            seeks = pa.array([shared > 0 for _, shared in told])
-            t = t.take(own)
-            carried = [pc.if_else(seeks, t[c].combine_chunks(), None) for c in ("host", "block", "rank", "names", "lengths", "kinds")]
-            kept = pa.array([placed(page[i], k) for i, (k, _) in zip(own, told, strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([t["page_id"].combine_chunks(), t["content"].combine_chunks(), kept, pa.array([x for _, x in told], pa.float64()), *carried], ["_id", "_content", "kept", "shared", "host", "block", "rank", "names", "lengths", "kinds"])
-
-    near = near.select("host", "block", "rank", "guest", "page_id", "content", "names", "lengths", "kinds")
-    verdicts = written(near.mapInArrow(difference, f"_id {id_type}, _content long, kept array<int>, shared double, host string, block long, rank long, {_LINES}"), "differences")
-    seekers = verdicts.where("shared > 0")
-    verdicts = verdicts.where("shared = 0").select("_id", "_content", "kept")
-    if not seekers.isEmpty():
-        verdicts = verdicts.unionByName(looked_on(seekers, near))
-    verdicts = written(verdicts.groupBy("_id", "_content").agg(F.max("kept").alias("kept")), "verdicts")  # repeated rows are alike
-
-    def texts(batches):
-        for b in small(batches):
-            found = [[t for t, k in lines(h) if k != FRAME] for h in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("content"), pa.array(found, pa.list_(pa.string()))], ["page_id", "url", "content", "lines"])
-
-    told = rows.mapInArrow(texts, f"page_id {id_type}, url string, content long, lines array<string>")
-    told = told.join(verdicts.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")))
-    text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
-    return told.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+            pages = {r: (r, n, s) for r, n, s in zip(*(t[c].to_pylist() for c in ("rank", "names", "sizes")), strict=True)}  # a landmark may be there already
+            rank = t["rank"].to_pylist()
+            own = [i for i, (g, c) in enumerate(zip(t["guest"].to_pylist(), t["copies"].to_pylist(), strict=True)) if not g and c]
+            kept = [voted(pages[rank[i]], [p for r, p in pages.items() if r != rank[i]]) if len(pages) > 1 else None for i in own]
+            t = t.take(pa.array(own, pa.int64())).combine_chunks()
+            yield pa.RecordBatch.from_arrays([t["host"].combine_chunks(), t["key"].combine_chunks(), t["copies"].combine_chunks(), pa.array(kept, pa.list_(pa.int32()))], ["host", "key", "copies", "kept"])
+
+    return written(near.select(*columns).mapInArrow(difference, "host string, key binary, copies long, kept array<int>"), "verdicts")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

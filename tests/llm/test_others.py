@@ -356,6 +356,58 @@ def test_pages_among_copies(spark, copies):
     assert told[copies:] == [f"Another article, which has its own text {i}" for i in range(2)]
 
 
+def test_names_that_are_no_frames():
+    found = lambda body: [t for t, k in html_diff.lines(f"<body>{body}</body>") if k != html_diff.FRAME]
+    for body in (
+        "<p data-id='sidebar-12'>Text</p>", "<form><div>Text</div></form>", "<article><section class='related-work'>Text</section></article>", "<article><span class='share-price'>Text</span></article>",
+        "<div class='search-results'>Text</div>", "<article class='has-sidebar'>Text</article>", "<div class='content-sidebar-wrap'><article>Text</article></div>", "<div class='md:hidden overflow-hidden'>Text</div>", "<p title='class=ad'>Text</p>", "<article class='ad-free'>Text",
+    ):
+        assert found(body) == ["Text"], body
+    for frame in ("<div class='ad'>x</div>", "<div id='related-posts'>x</div>", "<div class='siteNav'>x</div>", "<form>x</form>", "<div role=navigation>x</div>", "<div id=comments><p>" + "x" * 999 + "</div>", "<div hidden>x</div>", "<footer>x</footer>", "<div class='left sidebar-12'>x</div>"):
+        assert found(f"<article>Text</article>{frame}") == ["Text"] and found(f"<div>Text of the page</div>{frame}") == ["Text of the page"], frame
+    teasers = "<article>one</article><article>two</article><div>The text that the page is about</div>"
+    assert found(teasers)[-1] == "The text that the page is about" and all(k == html_diff.OPEN for _, k in html_diff.lines(teasers))
+
+
+def test_two_pages_with_a_long_banner(spark):
+    banner = "<div>" + "A very long banner of the site. " * 40 + "</div>"
+    assert told_apart(spark, [f"{banner}<div>Short one</div>", f"{banner}<div>Short two</div>"]) == ["Short one", "Short two"]
+
+
+def test_header_without_other_pages(spark):
+    assert told_apart(spark, ["<header>Site of mine</header><div>Text</div>"]) == ["Text"]
+
+
+def test_votes_against_brute_force(spark):
+    """Lines of one order, so that a longest common subsequence is what two pages share."""
+    rng, n = random.Random(8), 150
+    site = [f"site line {i:02}" for i in range(6)]
+    pages = []
+    for i in range(n):
+        own = [f"{i:03} own line {k}" for k in range(rng.randint(1, 4))] if i % 10 else [f"copied {k}" for k in range(5)] + [f"{i:03} last"]
+        pages.append([x for x in site if rng.random() < 0.8] + own)
+    pages[-1] = pages[-2]  # equal pages
+    told = told_apart(spark, ["".join(f"<div>{x}</div>" for x in p) for p in pages])
+    distinct = [p for i, p in enumerate(pages) if p not in pages[:i]]  # in the order of their paths
+    last = max(len(distinct) // html_diff.BLOCK - 1, 0)
+    block = lambda r: min(r // html_diff.BLOCK, last)
+    part = lambda p, q: sum(len(x) for x in p if x in q) / sum(map(len, p))
+
+    def two(ranks):
+        least = min(range(len(ranks)), key=lambda i: (part(distinct[ranks[0]], distinct[ranks[i]]) if i else 2.0, i))
+        return sorted({ranks[0], ranks[least]})
+
+    marks = two(sorted(x for b in range(last + 1) for x in two([r for r in range(len(distinct)) if block(r) == b])))
+    for page, text in zip(pages, told, strict=True):
+        r = distinct.index(page)
+        b = block(r)
+        seen = {x for x in range(len(distinct)) if block(x) == b or b * html_diff.BLOCK - html_diff.VOTES <= x < b * html_diff.BLOCK or block(x) == b + 1 and x - (b + 1) * html_diff.BLOCK < html_diff.VOTES} | set(marks)
+        parts_ = {x: part(page, distinct[x]) for x in seen - {r}}
+        voters = sorted((x for x, v in parts_.items() if v <= (1 + min((v for v in parts_.values() if v), default=0)) / 2), key=lambda x: (abs(x - r), x))[: html_diff.VOTES]
+        kept = [x for x in page if 2 * sum(x in distinct[v] for v in voters) <= len(voters)] or page
+        assert text == "\n".join(kept)
+
+
 def test_equal_pages_keep_their_text(spark):
     assert told_apart(spark, ["<div>Menu</div><div>The only text</div>"] * 20) == ["Menu\nThe only text"] * 20
 
