@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import small, written
 
-CAPACITY, END_ID, BUCKET_ROWS = 4096, 1, 20_000
+CAPACITY, END_ID, BUCKET_ROWS = 4096, 1, 2_000
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps; beyond that it starts anew.
 KEPT = 200_000
