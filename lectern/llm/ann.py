@@ -4,9 +4,9 @@ Vectors are scaled to length one, where the largest cosine is the smallest Eucli
 TABLES tables of quantised projections. A query visits its own bucket and perturbed ones in the order of their
 estimated success: by the sum of squared distances to the walls crossed, generated from a heap.
 
-How many projections a table has and how many buckets a query visits is fitted (see fitted()): SAMPLE_QUERIES
-queries are compared with every vector, and of the choices whose probes would have reached RECALL of their nearest
-the one that compares least is taken, with shares of candidates told by SAMPLE_ROWS vectors. Every vector is indexed.
+A table has PROJECTIONS projections, and more beyond MANY vectors, by the logarithm of their number. How many buckets
+of each a query visits is fitted: SAMPLE_QUERIES queries are compared with every vector, and the fewest probes are
+taken that would have reached RECALL of their nearest. Every vector is indexed.
 
 Each query has a bar first: the similarity of its K-th nearest in a SAMPLE_SHARE-th of the vectors (see bars()). Below
 it nothing can be among the K nearest, so that a query gives a bounded number of candidates however many cells it
@@ -37,9 +37,8 @@ from .common import grouped, lookup, parts, written
 from .pstable import Projections, by_dimension, takes_part, unit
 
 TABLES, WIDTH, K, CELL = 32, 3.0, 5, 8192
-#: What is fitted: projections of a table, among these, and probes, up to so many.
-PROJECTIONS, MOST_PROBES = (8, 12, 16, 20, 28), 128
-RECALL, SAMPLE_QUERIES, SAMPLE_ROWS, SAMPLE_SHARE = 0.945, 48, 1024, 16
+PROJECTIONS, MANY, MOST_PROBES = 16, 100_000, 128
+RECALL, SAMPLE_QUERIES, SAMPLE_SHARE = 0.935, 128, 16
 #: More than twice the error of a cosine of which one vector is in half precision.
 MARGIN = 2e-3
 
@@ -85,19 +84,21 @@ def needed(queries: np.ndarray, others: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def fitted(queries: np.ndarray, nearest: list[np.ndarray], some: np.ndarray, total: int) -> tuple[int, int]:
-    """Projections and probes. queries: unit rows; nearest: those of each; some: any rows of the table."""
-    best = (math.inf, PROJECTIONS[0], MOST_PROBES)
-    for projections in PROJECTIONS:
+def projections_for(total: int) -> int:
+    """So that the share of the vectors in a bucket falls as their number grows."""
+    return PROJECTIONS + max(0, math.floor(2 * math.log2(max(total, 1) / MANY)))
+
+
+def fitted(queries: np.ndarray, nearest: list[np.ndarray], projections: int) -> tuple[int, int]:
+    """Projections and probes. queries: unit rows; nearest: those of each. Fewer projections if MOST_PROBES don't do."""
+    while projections > 4:
         p = Projections(queries.shape[1], TABLES, projections, WIDTH)
-        asked, any_ = p.positions(queries), p.positions(some)
-        found = np.concatenate(needed(asked, [p.positions(n) for n in nearest]))
-        probes = next((x for x in range(1, MOST_PROBES + 1) if (found <= x).mean() >= RECALL), None)
-        if probes is None:
-            break  # more projections would need still more
-        share = np.mean([x <= probes for x in needed(asked, [any_] * len(asked))])
-        best = min(best, (share * total + probes * TABLES, projections, probes))
-    return best[1:]
+        found = np.concatenate(needed(p.positions(queries), [p.positions(n) for n in nearest]))
+        for probes in range(1, MOST_PROBES + 1):
+            if (found <= probes).mean() >= RECALL:
+                return projections, probes
+        projections -= 4
+    return projections, MOST_PROBES
 
 
 _FOUND = pa.schema([("query", pa.int64()), ("uid", pa.int64()), ("about", pa.float32())])
@@ -165,25 +166,20 @@ def _barred(queries: DataFrame, bar: DataFrame | None) -> DataFrame:
 
 
 def _fit(rows: DataFrame, k: int, total: int) -> tuple[int, int]:
-    order = F.xxhash64("uid", F.lit(1))
-    queries = [(r["uid"], r["vector"]) for r in rows.where("is_query").orderBy(order).select("uid", "vector").limit(SAMPLE_QUERIES).collect()]
+    queries = [(r["uid"], r["vector"]) for r in rows.where("is_query").orderBy(F.xxhash64("uid", F.lit(1)), "uid").select("uid", "vector").limit(SAMPLE_QUERIES).collect()]
     if not queries or total < 3:
-        return PROJECTIONS[0], 1
+        return PROJECTIONS, 1
     near = written(_nearest(_against(rows, queries, k), k), "ann-sample")
     near = near.join(rows.select("uid", "vector"), "uid").select("query", "vector").collect()  # of SAMPLE_QUERIES queries
-    some = [r["vector"] for r in rows.orderBy(order, "uid").select("vector").limit(SAMPLE_ROWS).collect()]
     dims = [len(v) for _, v in queries]
     dim = max(set(dims), key=lambda d: (dims.count(d), d))
-    own = {}
+    own = []
     for q, v in queries:
-        told = unit(np.array([r["vector"] for r in near if r["query"] == q] or np.zeros((0, dim)))) if len(v) == dim else []
-        asked = unit(np.array([v]))[0]
-        if len(told) >= min(k, total - 1):
-            own[q] = asked, told[np.argsort(-(told @ asked), kind="stable")[:k]]
-    if not own:
-        return PROJECTIONS[0], MOST_PROBES
-    some = unit(np.array([v for v in some if len(v) == dim] or [q[1] for q in queries if len(q[1]) == dim]))
-    return fitted(np.array([q for q, _ in own.values()]), [n for _, n in own.values()], some, total)
+        told = [r["vector"] for r in near if r["query"] == q]
+        if len(v) == dim and len(told) >= min(k, total - 1):
+            told, asked = unit(np.array(told)), unit(np.array([v]))[0]
+            own.append((asked, told[np.argsort(-(told @ asked), kind="stable")[:k]]))
+    return fitted(np.array([q for q, _ in own]), [n for _, n in own], projections_for(total)) if own else (PROJECTIONS, MOST_PROBES)
 
 
 def _index(batches, projections: int):

@@ -179,8 +179,10 @@ def test_fitted_probes():
     x /= np.linalg.norm(x, axis=1)[:, None]
     near = [np.array([v + rng.normal(size=16) * 0.01 for _ in range(3)]) for v in x[:10]]
     near = [n / np.linalg.norm(n, axis=1)[:, None] for n in near]
-    projections, probes = ann.fitted(x[:10], near, x, 10**6)
-    assert projections == max(ann.PROJECTIONS) and probes <= 3  # close neighbours need few probes, so cells may be small
+    assert ann.fitted(x[:10], near, 24)[1] <= 3  # close neighbours need few probes
+    far = [x[11:14]] * 10
+    assert ann.fitted(x[:10], far, 24)[0] < 24  # and far ones wider buckets
+    assert [ann.projections_for(n) for n in (10, 10**5, 10**6, 10**9)] == [16, 16, 22, 42]
 
 
 def test_perturbations_in_order():
