@@ -1,7 +1,7 @@
 """Study cards from what a language model wrote as JSON, well-formed or not.
 
-A reply that parses never leaves the JVM. Others are repaired by text rules, and what still doesn't parse is
-scanned for complete objects by an Arrow function: objects nest and strings escape, which no expression tells.
+Fences and misspelt keys are put right by expressions. The cards are then read by a Python function over batches:
+objects nest and strings escape, which no expression tells, and replies are few beside the model calls they cost.
 """
 
 from __future__ import annotations
@@ -17,7 +17,18 @@ QUESTIONS = "struct<question:string,options:map<string,string>,correct_answer:st
 REPLY = f"struct<flashcards:array<{CARDS}>,quiz:array<{QUESTIONS}>>"
 
 #: Keys that models misspell.
-TYPOS = {"qestion": "question", "questoin": "question", "anwser": "answer", "asnwer": "answer", "correct_anwser": "correct_answer", "explaination": "explanation", "flash_cards": "flashcards", "flaschards": "flashcards", "quizz": "quiz", "optoins": "options"}
+TYPOS = {
+    "questionimoine": "question",
+    "questin": "question",
+    "questoin": "question",
+    "answr": "answer",
+    "answeer": "answer",
+    "optons": "options",
+    "correctanswer": "correct_answer",
+    "correct_answeer": "correct_answer",
+    "explnation": "explanation",
+    "explantion": "explanation",
+}
 
 
 def unfenced(text: Column) -> Column:
@@ -104,14 +115,14 @@ def recover(text: str | None, strict_compat: bool = False) -> dict[str, list[dic
 
 
 def options_map(raw: dict) -> dict[str, str] | None:
-    """Options given as keys A to D, as a map, or as a list of four, as a map."""
+    """Options given as keys A to D beside the question, as a map, or as a list of four, as a map."""
+    if own := {k: str(raw[k]) for k in "ABCD" if k in raw}:
+        return own
     given = raw.get("options")
     if isinstance(given, dict):
-        return {str(k).upper(): str(v) for k, v in given.items()}
+        return {str(k): str(v) for k, v in given.items()}
     if isinstance(given, list) and len(given) >= 4:
         return {k: str(v) for k, v in zip("ABCD", given, strict=False)}
-    if all(k in raw for k in "ABCD"):
-        return {k: str(raw[k]) for k in "ABCD"}
     return None
 
 

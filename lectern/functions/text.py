@@ -1,7 +1,10 @@
-"""Text functions as column expressions; none of them leaves the JVM."""
+"""Text functions as column expressions; only chunks() leaves the JVM."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,35 +52,38 @@ def filename_title(path: Column) -> Column:
     return title(F.translate(path_stem(path), "_-", "  "))
 
 
+def chunk(text: str, size: int = 1500, overlap: int = 200, strict_size: bool = False) -> list[str]:
+    """What chunks() makes of a text."""
+    plain, step = text.strip(" \t\r\n"), max(1, size - overlap)
+    cut = lambda p: [p[at : at + size] for at in range(0, len(p), step)]
+    if len(plain) <= size:
+        return [plain] if plain else []
+    done, held = [], ""
+    for p in filter(None, (x.strip(" \t\r\n") for x in re.split("\n[ \t\r\n]*\n", plain))):
+        if len(held) + len(p) + 2 <= size:
+            held = f"{held}\n\n{p}" if held else p
+        elif held:
+            done.append(held)
+            held = f"{held[-overlap:]}\n\n{p}" if overlap else p
+        else:
+            done += cut(p)
+    done += [held] * bool(held)
+    return [x for c in done for x in (cut(c) if len(c) > size else [c])] if strict_size else done
+
+
 def chunks(text: Column, size: int = 1500, overlap: int = 200, strict_size: bool = False) -> Column:
     """Paragraphs packed into chunks of at most `size`, each beginning with the end of the one before.
 
     A paragraph longer than that is cut only when no chunk is open, in steps of size - overlap; with strict_size
-    an oversized chunk is cut too. An empty text has no chunks.
+    an oversized chunk is cut too. An empty text has no chunks, null has none to tell of. This one leaves the JVM, in
+    Arrow batches: as an expression it would be a fold that copies its list at each chunk.
     """
-    plain = strip(text)
-    step = max(1, size - overlap)
 
-    def cut(p: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(step)), lambda i: F.substring(p, i + 1, F.lit(size)))
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else chunk(t, size, overlap, strict_size))
 
-    paragraphs = F.filter(F.transform(F.split(plain, "\\n[ \\t\\r\\n]*\\n"), strip), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(acc: Column, p: Column) -> Column:
-        done, open_ = acc["done"], acc["open"]
-        fits = F.length(open_) + F.length(p) + 2 <= size
-        grown = F.when(open_ == "", p).otherwise(F.concat(open_, F.lit("\n\n"), p))
-        carried = F.concat(F.substring(open_, -overlap, overlap), F.lit("\n\n"), p) if overlap else p
-        return (
-            F.when(fits, F.struct(done.alias("done"), grown.alias("open")))
-            .when(open_ != "", F.struct(F.array_append(done, open_).alias("done"), carried.alias("open")))
-            .otherwise(F.struct(F.concat(done, cut(p)).alias("done"), F.lit("").alias("open")))
-        )
-
-    packed = F.aggregate(paragraphs, start, add, lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
-    whole = F.when(plain == "", F.array().cast("array<string>")).when(F.length(plain) <= size, F.array(plain)).otherwise(packed)
-    return F.flatten(F.transform(whole, lambda c: F.when(F.length(c) > size, cut(c)).otherwise(F.array(c)))) if strict_size else whole
+    return cut(text)
 
 
 def headings(text: Column, limit: int = 20) -> Column:
@@ -128,6 +134,12 @@ def minutes_label(seconds: Column) -> Column:
     return F.when(s >= 60, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
 
 
+def seconds_label(seconds: Column) -> Column:
+    """mm:ss.s (T17)."""
+    m = F.floor(seconds / 60).cast("long")
+    return F.format_string("%02d:%04.1f", m, seconds.cast("double") - m * 60)
+
+
 def middle_cut(text: Column, most: int = 40) -> Column:
     """First and last part with an ellipsis between, when longer."""
     half = most // 2
@@ -166,11 +178,13 @@ def grade(percent: Column) -> Column:
 
 
 def answer(options: Column, given: Column) -> Column:
-    """The label of an answer given as option key, label, index or text (P16). options: map of key to label."""
-    values = F.map_values(options)
-    by_label = F.when(F.array_contains(values, given), given)
-    by_index = F.when(given.rlike("^[0-9]+$"), F.try_element_at(values, (given.try_cast("int") + 1)))
-    return F.coalesce(F.try_element_at(options, F.upper(given)), by_label, by_index, given)
+    """The key of an answer given as option key, label, index from 0 or else as it is (P16). options: map of key to label."""
+    given = strip(given)
+    keys, entries = F.map_keys(options), F.map_entries(options)
+    by_key = F.when(F.array_contains(keys, given), given)
+    by_label = F.get(F.filter(entries, lambda e: strip(e["value"]) == given), F.lit(0))["key"]
+    index = F.regexp_extract(given, "^([0-9]{1,9})", 1).try_cast("int")
+    return F.coalesce(by_key, by_label, F.get(keys, index), given)
 
 
 def truncated(text: Column, most: int = 800) -> Column:
@@ -184,14 +198,20 @@ def token_budget(prompt: Column, desired: Column, context: int = 4096) -> Column
 
 
 def page_text(pdf: Column, ocr: Column) -> Column:
-    """A page's own text where it has 40 characters, with what was read from the image if that has more than 40."""
-    p, o = strip(F.coalesce(pdf, F.lit(""))), strip(F.coalesce(ocr, F.lit("")))
-    return F.when(F.length(p) >= 40, F.when(F.length(o) > 40, F.concat(p, F.lit("\n"), o)).otherwise(p)).when(o != "", o).otherwise(p)
+    """A page's own text where it has 40 characters, and below it what was read from the image if that has more than 40."""
+    p, o = F.coalesce(pdf, F.lit("")), strip(F.coalesce(ocr, F.lit("")))
+    return strip(F.when(F.length(p) >= 40, F.concat(p, F.when(F.length(o) > 40, F.concat(F.lit("\n\n"), o)).otherwise(""))).when(o != "", o).otherwise(p))
 
 
 def mermaid(text: Column) -> Column:
-    """A mind map without its code fence."""
-    return strip(F.regexp_replace(F.regexp_extract(text, "(?s)(mindmap.*)", 1), "(?s)```.*$", ""))
+    """A diagram without end marks and fences, from its mindmap on if it has one."""
+    plain = strip(F.replace(F.replace(text, F.lit("<|end|>"), F.lit("")), F.lit("<|endoftext|>"), F.lit("")))
+    named = F.get(F.split(F.get(F.split(plain, "```mermaid"), F.lit(1)), "```"), F.lit(0))
+    parts = F.split(plain, "```")
+    inner = F.when(F.contains(plain, F.lit("```mermaid")), named).when(F.size(parts) >= 3, F.get(parts, F.lit(1))).when(F.size(parts) == 2, F.get(parts, F.lit(0))).otherwise(plain)
+    inner = strip(inner)
+    cut = F.concat(F.lit("mindmap"), F.get(F.split(inner, "mindmap"), F.lit(1)))
+    return F.when(~F.startswith(inner, F.lit("mindmap")) & F.contains(inner, F.lit("mindmap")), cut).otherwise(inner)
 
 
 #: Language code, name, languages to read images in, whether it is written from right to left.

@@ -1,17 +1,20 @@
 """Semantic deduplication: greedy, in order, by similarity to the leaders kept so far.
 
 Items of a group are scanned in order. An item that is similar to a leader before it joins the first such leader;
-else it becomes a leader. That isn't transitive, so connected components would be wrong. Similar pairs are found
-by an equality join on the group (and for text on shared terms); the scan is a fold over each group's items that
-carries only the leaders' ids.
+else it becomes a leader. That isn't transitive, so connected components would be wrong. Similar pairs are found in
+blocks of a group's vectors, or for text by the rare terms that a similar pair must share; leaders are found in
+rounds of joins over the pairs, so no group meets in one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
+from lectern.plans.session import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,13 +27,43 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def vector_pairs(items: DataFrame, threshold: float) -> DataFrame:
-    """group, i < j and sim for vectors of a group at least so similar."""
+def vector_pairs(items: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """group, i < j and sim for vectors of a group at least so similar.
+
+    A group is cut into blocks; each pair of blocks is a matrix product of its own.
+    """
     unit = items.withColumn("_n", F.sqrt(dot(F.col("vector"), F.col("vector")))).where("_n > 0")
-    a = unit.select("group", F.col("id").alias("i"), F.col("vector").alias("a"), F.col("_n").alias("m"))
-    b = unit.select("group", F.col("id").alias("j"), F.col("vector").alias("b"), F.col("_n").alias("n"))
-    both = a.join(b, (a["group"] == b["group"]) & (a["i"] < b["j"])).drop(b["group"])
-    return both.withColumn("sim", dot(F.col("a"), F.col("b")) / (F.col("m") * F.col("n"))).where(F.col("sim") >= threshold).select("group", "i", "j", "sim")
+    unit = unit.select("group", "id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    sizes = unit.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    cells = unit.join(sizes, "group").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cells = cells.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")}).drop("_other", "_blocks")
+    group, id_ = (items.schema[c].dataType.simpleString() for c in ("group", "id"))
+
+    def similar(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        own, vectors = np.asarray(t["_own"]), t["vector"].combine_chunks()
+        sizes, flat, out = np.diff(np.asarray(vectors.offsets)), np.asarray(vectors.flatten()), ([], [], [])
+        ends = np.cumsum(sizes)
+        for d in np.unique(sizes):
+            at = np.flatnonzero(sizes == d)
+            m = flat[(ends[at] - d)[:, None] + np.arange(d)]
+            m = m / np.sqrt((m * m).sum(1, keepdims=True))
+            left = np.flatnonzero(own[at] == t["_lo"][0].as_py())
+            right = np.flatnonzero(own[at] == t["_hi"][0].as_py())
+            sims = m[left] @ m[right].T
+            near = sims >= threshold
+            same = len(left) == len(right) and (left == right).all()
+            if same:
+                near = np.triu(near, 1)
+            a, b = np.nonzero(near)
+            one, two = at[left[a]], at[right[b]]
+            for x, y in zip(out, (np.minimum(one, two), np.maximum(one, two), sims[a, b]), strict=True):
+                x.append(y)
+        i, j, sim = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        i, j = pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64))
+        return pa.table({"group": t["group"].take(i), "i": t["id"].take(i), "j": t["id"].take(j), "sim": pa.array(sim.astype(float))})
+
+    return cells.groupBy("group", "_lo", "_hi").applyInArrow(similar, f"group {group}, i {id_}, j {id_}, sim double")
 
 
 def tfidf(items: DataFrame) -> DataFrame:
@@ -46,30 +79,42 @@ def tfidf(items: DataFrame) -> DataFrame:
 
 
 def text_pairs(items: DataFrame, threshold: float) -> DataFrame:
-    """group, i < j and sim by TF-IDF; pairs meet only on terms that both have."""
-    v = tfidf(items)
-    a = v.select("group", "term", F.col("id").alias("i"), F.col("weight").alias("x"))
-    b = v.select("group", "term", F.col("id").alias("j"), F.col("weight").alias("y"))
-    both = a.join(b, ["group", "term"]).where("i < j")
+    """group, i < j and sim by TF-IDF.
+
+    With the terms of an item in the order of their rarity, a pair whose rarest common term is so far back that the
+    rest of one vector is shorter than the threshold can't reach it. So pairs meet on the terms before that only.
+    """
+    v = cut(tfidf(items))
+    df = v.groupBy("group", "term").agg(F.count("*").alias("df"))
+    back = Window.partitionBy("group", "id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    rare = v.join(df, ["group", "term"]).withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(back))
+    rare = rare.where(F.col("rest") >= (threshold - 1e-9) ** 2).select("group", "term", "id")
+    a, b = rare.withColumnRenamed("id", "i"), rare.withColumnRenamed("id", "j")
+    met = a.join(b, ["group", "term"]).where("i < j").select("group", "i", "j").distinct()
+    x, y = (v.select("group", "term", F.col("id").alias(k), F.col("weight").alias(w)) for k, w in (("i", "x"), ("j", "y")))
+    both = met.join(x, ["group", "i"]).join(y, ["group", "j", "term"])
     return both.groupBy("group", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sim")).where(F.col("sim") >= threshold - 1e-12)
 
 
 def clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """group, id, leader for each item (D1). items: group, id in the order of the scan; pairs: group, i, j."""
-    before = pairs.groupBy("group", F.col("j").alias("id")).agg(F.collect_set("i").alias("near"))
-    linked = items.select("group", "id").join(before, ["group", "id"], "left")
-    # items without an earlier similar one are leaders at once; the fold sees the others and those they are similar to
-    sure = linked.where("near is null").select("group", "id", F.col("id").alias("leader"))
-    asked = linked.where("near is not null")
-    near = asked.select("group", F.explode("near").alias("id")).distinct().join(sure.select("group", "id"), ["group", "id"], "left_semi")
-    none = F.array().cast("array<bigint>")
-    rows = asked.select("group", F.col("id").cast("long").alias("id"), F.transform("near", lambda x: x.cast("long")).alias("near")).unionByName(near.select("group", F.col("id").cast("long").alias("id"), none.alias("near")))
-    scan = rows.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("id", "near"))).alias("xs"))
-    leaders = F.aggregate("xs", none, lambda acc, x: F.when(F.arrays_overlap(acc, x["near"]), acc).otherwise(F.array_append(acc, x["id"])))
-    told = scan.withColumn("leaders", leaders).select("group", F.explode("xs").alias("x"), "leaders").where(F.size("x.near") > 0)
-    first = F.array_min(F.array_intersect("leaders", "x.near"))
-    rest = told.select("group", F.col("x.id").alias("id"), F.when(F.array_contains("leaders", F.col("x.id")), F.col("x.id")).otherwise(first).alias("leader"))
-    return sure.select("group", F.col("id").cast("long").alias("id"), F.col("leader").cast("long").alias("leader")).unionByName(rest)
+    """group, id, leader for each item (D1). items: group, id in the order of the scan; pairs: group, i, j with i < j.
+
+    In each round an item of which no earlier similar one is undecided becomes a leader, and those similar to it are
+    decided with it. Rounds are as many as the longest chain of such dependencies; each begins with a checkpoint.
+    """
+    pairs = cut(pairs.select("group", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))
+    items = items.select("group", F.col("id").cast("long").alias("id"))
+    open_, leaders = pairs, None
+    while not open_.isEmpty():
+        led = cut(open_.select("group", "i").distinct().join(open_.select("group", F.col("j").alias("i")), ["group", "i"], "left_anti"))
+        leaders = led if leaders is None else leaders.unionByName(led)
+        gone = open_.join(led, ["group", "i"], "left_semi").select("group", F.col("j").alias("i")).unionByName(led).distinct()
+        open_ = open_.join(gone, ["group", "i"], "left_anti").join(gone.withColumnRenamed("i", "j"), ["group", "j"], "left_anti")
+        open_ = cut(open_.select("group", "i", "j"))
+    if leaders is None:
+        return items.select("group", "id", F.col("id").alias("leader"))
+    first = pairs.join(leaders, ["group", "i"], "left_semi").groupBy("group", F.col("j").alias("id")).agg(F.min("i").alias("leader"))
+    return items.join(first, ["group", "id"], "left").select("group", "id", F.coalesce("leader", "id").alias("leader"))
 
 
 def deduplicate(items: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -114,5 +159,11 @@ def exact(items: DataFrame) -> DataFrame:
 
 
 def first_terms(items: DataFrame) -> DataFrame:
-    """First of terms that are equal in any case, with its place."""
+    """First of terms that are equal in any case, with its place."""
     return exact(items)
+
+
+def first_formulas(items: DataFrame) -> DataFrame:
+    """First of equal formulas, with its place; x and X are two."""
+    order = Window.partitionBy("group", "text").orderBy("id")
+    return prepared(items).withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("group", "id", "text")

@@ -16,10 +16,20 @@ def frequency(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("media_id", "concept").agg(F.count("*").alias("freq"), F.min(F.struct("frame_id", "pos", "concept")).alias("first"))
 
 
-def with_topics(mentions: DataFrame, topics: DataFrame, most_words: int = 5) -> DataFrame:
-    """Mentions and short topics, which count as concepts (A16). topics: media_id, pos, topic."""
-    short = topics.where(words(F.col("topic")) <= most_words).select("media_id", F.lit(1 << 40).cast("long").alias("frame_id"), F.col("pos").cast("int").alias("pos"), F.lower("topic").alias("concept"))
-    return mentions.select("media_id", "frame_id", "pos", "concept").unionByName(short)
+def with_topics(mentions: DataFrame, topics: DataFrame, definitions: DataFrame | None = None, most_words: int = 5) -> DataFrame:
+    """Mentions, defined terms and short topics, which all count as concepts.
+
+    topics: media_id, pos, topic; definitions: media_id, term, definition. Both come after all frames, so that they
+    don't come first and, each in a frame of its own, make no pairs.
+    """
+    after = lambda kind: F.xxhash64("concept", F.lit(kind)) % (1 << 20) + F.lit((2 * kind + 2) << 40)
+    out = mentions.select("media_id", "frame_id", "pos", "concept")
+    short = topics.where((words(F.col("topic")) <= most_words) & (F.trim("topic") != "")).select("media_id", F.col("pos").cast("int").alias("pos"), F.lower(F.trim("topic")).alias("concept"))
+    out = out.unionByName(short.withColumn("frame_id", after(1)).select(*out.columns))
+    if definitions is not None:
+        d = definitions.where((F.trim("term") != "") & (F.trim("definition") != "")).select("media_id", F.lit(0).alias("pos"), F.lower(F.trim("term")).alias("concept"))
+        out = out.unionByName(d.withColumn("frame_id", after(0)).select(*out.columns))
+    return out
 
 
 def cooccurrence(mentions: DataFrame, min_weight: int = 1) -> DataFrame:

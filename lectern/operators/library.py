@@ -38,8 +38,9 @@ def transcripts(segments: DataFrame) -> DataFrame:
 
 
 def transcript_stats(segments: DataFrame) -> DataFrame:
-    """Words, segments, and as duration the end of the last segment."""
-    return segments.groupBy("media_id").agg(F.sum(words(F.col("text"))).alias("word_count"), F.count("*").alias("segment_count"), F.max_by("end_time", "segment_index").alias("duration_sec"))
+    """Words, segments, as duration the end of the last segment, and the first segment's language if there is one."""
+    language = [F.min_by("language", "segment_index").alias("language")] if "language" in segments.columns else []
+    return segments.groupBy("media_id").agg(F.sum(words(F.col("text"))).alias("word_count"), F.count("*").alias("segment_count"), F.max_by("end_time", "segment_index").alias("duration_sec"), *language)
 
 
 def transcript_view(media: DataFrame, segments: DataFrame) -> DataFrame:
@@ -63,3 +64,10 @@ def of_users(rows: DataFrame, users: list[int]) -> DataFrame:
 def of_media(rows: DataFrame, media: DataFrame) -> DataFrame:
     """Rows of the given media, by a semi-join instead of a list."""
     return rows.join(media.select(F.col("id").alias("media_id")), "media_id", "left_semi")
+
+
+def merged_status(memory: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each user's states: those in memory first, then the stored ones of other stems by stem (W14). Both: user_id, batch_stem."""
+    rest = stored.join(memory.select("user_id", "batch_stem").distinct(), ["user_id", "batch_stem"], "left_anti")
+    both = memory.select("user_id", "batch_stem", F.lit(0).alias("stored")).unionByName(rest.select("user_id", "batch_stem", F.lit(1).alias("stored")))
+    return both.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("stored", "batch_stem")))

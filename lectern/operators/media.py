@@ -77,7 +77,11 @@ def prefer(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti").select(*first.columns))
 
 
-def status_totals(states_: DataFrame) -> DataFrame:
-    """One row of totals by input type."""
+def status_totals(states_: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """One row of totals by input type (A20), with frames (media_id) also those collected of the media."""
     kinds = ["video", "audio", "images", "document", "live"]
-    return states_.agg(F.count("*").alias("total"), *(F.count_if(F.col("input_type") == k).alias(f"total_{k}") for k in kinds), F.coalesce(F.sum("flashcard_count"), F.lit(0)).alias("flashcards"))
+    if frames is not None:
+        n = frames.groupBy(F.col("media_id").alias("id")).agg(F.count("*").alias("_frames"))
+        states_ = states_.join(n, "id", "left")
+    collected = [F.coalesce(F.sum("_frames"), F.lit(0)).alias("frames_collected")] if frames is not None else []
+    return states_.agg(F.count("*").alias("total"), *(F.count_if(F.col("input_type") == k).alias(f"total_{k}") for k in kinds), F.coalesce(F.sum("flashcard_count"), F.lit(0)).alias("flashcards"), *collected)

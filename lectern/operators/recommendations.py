@@ -15,13 +15,18 @@ def urgency(score: Column) -> Column:
     return F.when(score < 40, "critical").when(score < 60, "high").otherwise("medium")
 
 
-def worst_quizzes(sessions: DataFrame, titles: DataFrame, least: float = 70.0, limit: int | None = None) -> DataFrame:
-    """Each medium's lowest score where it is below the mark, with title and urgency."""
+def lowest(sessions: DataFrame, least: float = 70.0, limit: int | None = None) -> DataFrame:
+    """Each medium's lowest score where it is below the mark, with limit each user's lowest ones (A5)."""
     worst = sessions.groupBy("user_id", "media_id").agg(F.min("accuracy_score").alias("worst_score")).where(F.col("worst_score") < least)
     if limit is not None:
         order = Window.partitionBy("user_id").orderBy("worst_score", "media_id")
         worst = worst.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit).drop("_rn")
-    return worst.join(titles, ["user_id", "media_id"]).select("user_id", "media_id", "title", "worst_score", urgency(F.col("worst_score")).alias("urgency"))
+    return worst
+
+
+def worst_quizzes(sessions: DataFrame, titles: DataFrame, least: float = 70.0, limit: int | None = None) -> DataFrame:
+    """Each medium's lowest score where it is below the mark, with title and urgency."""
+    return lowest(sessions, least, limit).join(titles, ["user_id", "media_id"]).select("user_id", "media_id", "title", "worst_score", urgency(F.col("worst_score")).alias("urgency"))
 
 
 def material(media: DataFrame, cards: DataFrame, questions: DataFrame) -> DataFrame:
@@ -46,7 +51,9 @@ def unreviewed(material_: DataFrame, progress: DataFrame) -> DataFrame:
 def recommendations(media: DataFrame, titles: DataFrame, sessions: DataFrame, cards: DataFrame, questions: DataFrame, progress: DataFrame, limit: int = 5) -> DataFrame:
     """Each user's recommendations in order."""
     have = material(media, cards, questions)
-    worst = worst_quizzes(sessions, titles, limit=limit).select("user_id", "media_id", F.lit(1).alias("pass"), "urgency", F.lit("low_score").alias("type"), F.col("worst_score").alias("score"), F.concat(F.lit("Scored "), F.round("worst_score").cast("int"), F.lit("% — needs revision")).alias("reason"))
+    there = media.select("user_id", F.col("id").alias("media_id"))  # titles are built once, for the few that stay
+    worst = lowest(sessions, limit=limit).join(there, ["user_id", "media_id"], "left_semi").withColumn("urgency", urgency(F.col("worst_score")))
+    worst = worst.select("user_id", "media_id", F.lit(1).alias("pass"), "urgency", F.lit("low_score").alias("type"), F.col("worst_score").alias("score"), F.concat(F.lit("Scored "), F.round("worst_score").cast("int"), F.lit("% — needs revision")).alias("reason"))
     second = untested(have, sessions).select("user_id", "media_id", F.lit(2).alias("pass"), F.lit("medium").alias("urgency"), F.lit("untested").alias("type"), F.lit(0.0).alias("score"), F.concat("questions", F.lit(" quiz questions — never attempted")).alias("reason"))
     third = unreviewed(have, progress).select("user_id", "media_id", F.lit(3).alias("pass"), F.lit("low").alias("urgency"), F.lit("unreviewed").alias("type"), F.lit(0.0).alias("score"), F.concat("cards", F.lit(" flashcards — never reviewed")).alias("reason"))
     first = Window.partitionBy("user_id", "media_id").orderBy("pass")

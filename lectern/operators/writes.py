@@ -1,45 +1,94 @@
-"""Writes: results, cards, sessions and reviews, each as the rewrite of the tables' touched rows.
+"""Writes: results, cards, sessions and reviews, each as the rewrite of the touched part of a table.
 
-A table is Parquet under a path. A write makes the new contents from the old ones and the change, puts them beside
-the table and then takes their place, so readers see the old or the new contents, and a repeated write changes
-nothing.
+A table is a folder. Its rows lie in BUCKETS buckets by the hash of one column, each bucket a folder of Parquet
+files, and one small file names the folders that are the table now. A write puts the buckets that it touches into
+new folders and then replaces that file in one atomic step: a reader sees the old or the new contents, a write that
+dies leaves the old ones, and a repeated write changes nothing. One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BUCKETS, CURRENT = 64, "_current.json"
 
-def _exists(spark: SparkSession, path: str) -> bool:
+
+def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _current(spark: SparkSession, path: str) -> dict:
+    """The column that deals the rows, and the folder of each bucket that has any."""
+    fs, p = _at(spark, f"{path}/{CURRENT}")
+    if not fs.exists(p):
+        return {"by": None, "folders": {}}
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, current: dict) -> None:
+    jvm = spark._jvm
+    fs, new = _at(spark, f"{path}/{CURRENT}.{uuid.uuid4().hex}")
+    stream = fs.create(new, True)
+    try:
+        stream.write(json.dumps(current, sort_keys=True).encode())
+    finally:
+        stream.close()
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    options = jvm.java.lang.reflect.Array.newInstance(kind, 1)
+    options[0] = next(x for x in kind.getEnumConstants() if x.toString() == "OVERWRITE")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{path}/{CURRENT}"), options)
+
+
+def table(spark: SparkSession, path: str, like: DataFrame, buckets: list[str] | None = None) -> DataFrame:
+    """The table at the path, or some buckets of it; an empty one of the same columns where there is none."""
+    folders = _current(spark, path)["folders"]
+    wanted = sorted(f"{path}/{f}" for b, f in folders.items() if buckets is None or b in buckets)
+    return spark.read.schema(like.schema).parquet(*wanted) if wanted else spark.createDataFrame([], like.schema)
 
 
-def table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The table at the path, or an empty one of the same columns."""
-    return spark.read.schema(like.schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], like.schema)
+def _bucket(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("string")
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """df as the whole contents of the path, even if df reads from it."""
-    spark = df.sparkSession
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path_of(path)):
-        fs.rename(path_of(path), path_of(old))
-    fs.rename(path_of(new), path_of(path))
-    fs.delete(path_of(old), True)
+def _touched(rows: DataFrame, by: str) -> list[str]:
+    return [r[0] for r in rows.select(_bucket(by)).distinct().collect()]  # at most BUCKETS
+
+
+def _replace(path: str, by: str, buckets: list[str], rows: DataFrame) -> None:
+    """rows as the contents of the given buckets; the other buckets stay where they are."""
+    spark, version = rows.sparkSession, uuid.uuid4().hex
+    current = _current(spark, path)
+    if current["by"] not in (None, by):
+        raise ValueError(f"the table is dealt by {current['by']}, not by {by}")
+    rows.withColumn("_b", _bucket(by)).write.partitionBy("_b").parquet(f"{path}/{version}")
+    fs, made = _at(spark, f"{path}/{version}")
+    there = {s.getPath().getName().removeprefix("_b=") for s in fs.listStatus(made) if s.isDirectory()}
+    folders = {b: f for b, f in current["folders"].items() if b not in buckets} | {b: f"{version}/_b={b}" for b in there}
+    _publish(spark, path, {"by": by, "folders": folders})
+    for b, f in current["folders"].items():
+        if folders.get(b) != f:  # nothing names it any more
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{f}"), True)
+
+
+def upserted(old: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame:
+    """old with the change's rows in place of those with their keys."""
+    return old.join(change.select(*keys).distinct(), keys, "left_anti").select(*change.columns).unionByName(change)
 
 
 def upsert(change: DataFrame, path: str, keys: list[str]) -> None:
-    """Rows of the change in place of those with their keys."""
-    old = table(change.sparkSession, path, change)
-    replace(old.join(change.select(*keys).distinct(), keys, "left_anti").select(*change.columns).unionByName(change), path)
+    """The table with the change's rows in place of those with their keys; only buckets of keys[0] are rewritten."""
+    buckets = _touched(change, keys[0])
+    _replace(path, keys[0], buckets, upserted(table(change.sparkSession, path, change, buckets), change, keys))
 
 
 def replace_children(children: DataFrame, path: str, parent: str = "media_id") -> None:
@@ -60,6 +109,7 @@ def scored_sessions(attempts: DataFrame) -> DataFrame:
 
 
 def append(rows: DataFrame, path: str) -> None:
+    """Rows of events, which are never rewritten, as further files."""
     rows.write.mode("append").parquet(path)
 
 
@@ -69,12 +119,18 @@ def checked_reviews(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reviews.where(good), reviews.where(~good)
 
 
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """rows but those of the media in gone (id)."""
+    return rows.join(gone.select(F.col("id").alias(column)).distinct(), column, "left_anti").select(*rows.columns)
+
+
 def delete(spark: SparkSession, paths: dict[str, str], gone: DataFrame) -> None:
     """The children of the media in gone (id) from each table; paths: path by the name of its media column."""
     for path, column in paths.items():
-        if _exists(spark, path):
-            old = spark.read.parquet(path)
-            replace(old.join(gone.select(F.col("id").alias(column)), column, "left_anti").select(*old.columns), path)
+        if folders := _current(spark, path)["folders"]:
+            like = spark.read.parquet(f"{path}/{next(iter(folders.values()))}")
+            buckets = _touched(gone.select(F.col("id").cast(like.schema[column].dataType).alias(column)), column)
+            _replace(path, column, buckets, without(table(spark, path, like, buckets), gone, column))
 
 
 def without_user(rows: DataFrame, user_id: int) -> DataFrame:
@@ -83,7 +139,8 @@ def without_user(rows: DataFrame, user_id: int) -> DataFrame:
 
 
 def notes(summary: DataFrame) -> DataFrame:
-    """media_id and Markdown notes from a summary: the fallback when no model wrote any."""
+    """media_id and Markdown notes from a summary: the fallback when no model wrote any (S14). Empty sections are left out."""
     listed = lambda c: F.concat_ws("\n", F.transform(c, lambda x: F.concat(F.lit("- "), x)))
-    part = lambda head, body: F.when(body.isNotNull() & (body != ""), F.concat(F.lit(f"## {head}\n"), body))
-    return summary.select("media_id", F.concat_ws("\n\n", F.concat(F.lit("# "), F.coalesce("lecture_title", F.lit("Lecture"))), part("Overview", F.col("summary")), part("Topics", listed(F.col("main_topics"))), part("Outcomes", listed(F.col("learning_outcomes")))).alias("content"))
+    part = lambda head, body: F.when(body.isNotNull() & (body != ""), F.concat(F.lit(f"## {head}\n\n"), body, F.lit("\n")))
+    parts = [part("Overview", F.col("summary")), part("Topics", listed(F.col("main_topics"))), part("Key Concepts", listed(F.col("key_concepts"))), part("Learning Outcomes", listed(F.col("learning_outcomes")))]
+    return summary.select("media_id", F.concat_ws("\n", F.concat(F.lit("# Study Notes: "), F.coalesce("lecture_title", F.lit("Lecture")), F.lit("\n")), *parts).alias("content"))

@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import json_recovery, text
-from lectern.operators import dashboard, dedup, engagement, graph, lecture, library, media, recommendations
+from lectern.functions import json_recovery, prompts, text
+from lectern.operators import dashboard, dedup, engagement, graph, lecture, library, media, recommendations, writes
 from lectern.plans.bindings import Tables, sql
+from lectern.sources import files, models
 from lectern.streaming import live
 
 QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -145,7 +146,10 @@ query("concept_timeline", sql("with r as (select *, row_number() over (partition
 query("shuffled_cards", sql("select media_id, card_index, row_number() over (partition by media_id order by md5('deck|' || media_id || '|' || card_index), card_index) as position from flashcards", "flashcards"))(lambda t: lecture.shuffled(t.flashcards(), "deck").select("media_id", "card_index", "position"))
 query("deck_progress", sql("select media_id, card_index, floor((card_index + 1) * 100 / count(*) over (partition by media_id) + 0.5)::int as pct from flashcards", "flashcards"))(lambda t: t.flashcards().join(media.counts(t.flashcards(), "n"), "media_id").select("media_id", "card_index", lecture.deck_progress(F.col("card_index") + 1, F.col("n")).alias("pct")))
 query("normalised_segments", sql("select media_id, segment_index, round(start_time, 3) as start_time, round(end_time, 3) as end_time, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text from segments where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''", "segments"))(lambda t: lecture.normalised_segments(t.segments()))
-query("report_content", None)(lambda t: lecture.report(media.titled(t.media(), t.details()), t.frames(), library.transcripts(t.segments())))
+_SLIDES = "slides as (select media_id, string_agg(position || ':' || coalesce(slide_title, '') || ':' || array_to_string(key_concepts, ','), '|' order by position) as slides from (select *, row_number() over (partition by media_id order by frame_id) as position from frames where importance in ('high', 'medium') and (trim(coalesce(slide_title, '')) <> '' or len(key_concepts) > 0)) where position <= 35 group by 1)"
+query("report_content", sql(f"with {_TITLED}, {_SLIDES}, tr as (select media_id, string_agg(text, ' ' order by segment_index) as full_text from segments group by 1) select m.id as media_id, coalesce(lecture_title, batch_stem) as title, subject_area, slides, full_text from titled m left join slides s on s.media_id = m.id left join tr on tr.media_id = m.id", "media", "details", "frames", "segments"))(
+    lambda t: lecture.report(media.titled(t.media(), t.details()), t.frames(), library.transcripts(t.segments())).withColumn("slides", F.array_join(F.transform("slides", lambda x: F.concat(x["position"].cast("string"), F.lit(":"), F.coalesce(x["slide_title"], F.lit("")), F.lit(":"), F.array_join(x["key_concepts"], ","))), "|"))
+)
 
 # --- text --------------------------------------------------------------------------------------------------------
 
@@ -170,13 +174,48 @@ on_documents("xml_escape", lambda: {"escaped": text.xml_escape(_text())}, "repla
 _LANGUAGE_SQL = "case trim(lower(lang)) " + " ".join(f"when '{c}' then 'Answer in {n}.' || chr(10) || chr(10) || 'Explain'" for c, n, _, _ in text.LANGUAGES if n != "English") + " else 'Explain' end"
 on_documents("language_prefix", lambda: {"prompt": text.in_language(F.lit("Explain"), F.col("lang"))}, f"{_LANGUAGE_SQL} as prompt")
 on_documents("headings", lambda: {"headings": F.array_join(text.headings(_text()), "|")}, f"array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x[1] = '#' or (length(x) > 4 and upper(x) = x and lower(x) <> x and {_WORDS.format('x').replace('lambda x: x', 'lambda y: y')} <= 8))[1:20], lambda x: case when x[1] = '#' then regexp_replace(x, '^#+[ \\t]*', '') else x end), '|') as headings")
-on_documents("document_chunks", lambda: {"chunks": F.size(text.chunks(_text())), "first": F.get(text.chunks(_text()), F.lit(0)), "pieces": F.size(text.chunks(_text(), strict_size=True))}, None)
-on_documents("paragraphs", lambda: {"paragraphs": F.array_join(text.paragraphs(_text()), "\n\n")}, None)
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+_CUT = "list_transform(range(0, length({0}), 1300), lambda k: substr({0}, (k + 1)::int, 1500))"
+_CHUNKS = f"""plain as (select doc_id, trim(text, {_BLANKS}) as t from documents),
+packed as (select doc_id, t, list_reduce(list_transform(list_filter(list_transform(string_split_regex(t, '\n[ \t\r\n]*\n'), lambda p: trim(p, {_BLANKS})), lambda p: p <> ''), lambda p: struct_pack(done := []::varchar[], held := p)), lambda acc, x: case
+  when length(acc.held) + length(x.held) + 2 <= 1500 then struct_pack(done := acc.done, held := case when acc.held = '' then x.held else acc.held || chr(10) || chr(10) || x.held end)
+  when acc.held <> '' then struct_pack(done := acc.done || [acc.held], held := right(acc.held, 200) || chr(10) || chr(10) || x.held)
+  else struct_pack(done := acc.done || {_CUT.format('x.held')}, held := '') end, struct_pack(done := []::varchar[], held := '')) as p from plain),
+chunked as (select doc_id, case when t = '' then [] when length(t) <= 1500 then [t] when p.held <> '' then p.done || [p.held] else p.done end as c from packed)"""
+
+
+def _chunked(t: Tables) -> DataFrame:
+    rows = t.documents().select("doc_id", text.chunks(_text()).alias("c"))
+    strict = F.flatten(F.transform("c", lambda c: F.when(F.length(c) > 1500, F.transform(F.sequence(F.lit(0), F.length(c) - 1, F.lit(1300)), lambda i: F.substring(c, i + 1, F.lit(1500)))).otherwise(F.array(c))))
+    return rows.select("doc_id", F.size("c").alias("chunks"), F.array_join("c", "|").alias("joined"), F.size(strict).alias("pieces"))
+
+
+query("document_chunks", f"with {_CHUNKS} select doc_id, len(c)::int as chunks, array_to_string(c, '|') as joined, len(flatten(list_transform(c, lambda x: case when length(x) > 1500 then {_CUT.format('x')} else [x] end)))::int as pieces from chunked")(_chunked)
+on_documents("paragraphs", lambda: {"paragraphs": F.array_join(text.paragraphs(_text()), "\n\n")}, rf"""array_to_string((select case when p.held <> '' then p.done || [p.held] else p.done end from (select list_reduce(list_transform(list_filter(string_split(regexp_replace(trim(text, {_BLANKS}), '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), lambda x: struct_pack(done := []::varchar[], held := x)), lambda acc, x: case
+  when acc.held = '' then struct_pack(done := acc.done, held := x.held)
+  when length(acc.held) + length(x.held) < 700 then struct_pack(done := acc.done, held := acc.held || ' ' || x.held)
+  else struct_pack(done := acc.done || [acc.held], held := x.held) end, struct_pack(done := []::varchar[], held := '')) as p))[1:15], chr(10) || chr(10)) as paragraphs""")
 query("path_functions", sql("select id, regexp_replace(regexp_extract(storage_path, '([^/]*)$', 1), '\\.[^.]*$', '') as stem, " + _TITLE_SQL.format("translate(regexp_replace(regexp_extract(storage_path, '([^/]*)$', 1), '\\.[^.]*$', ''), '_-', '  ')") + " as title, regexp_replace(batch_stem, '^[^_]*_', '') as display from media", "media"))(lambda t: t.media().select("id", text.path_stem(F.col("storage_path")).alias("stem"), text.filename_title(F.col("storage_path")).alias("title"), text.display_name(F.col("batch_stem")).alias("display")))
 query("grades", sql("select user_id, media_id, accuracy_score, case when accuracy_score >= 90 then 'A' when accuracy_score >= 80 then 'B' when accuracy_score >= 70 then 'C' when accuracy_score >= 60 then 'D' else 'F' end as grade from quiz_sessions", "quiz_sessions"))(lambda t: t.quiz_sessions().select("user_id", "media_id", "accuracy_score", text.grade(F.col("accuracy_score")).alias("grade")))
 query("sample_points", sql("select media_id, unnest(list_transform([0.10, 0.25, 0.60, 0.85, 0.95], lambda p: round(p::double * max_end, 3))) as at_sec from (select media_id, max(end_time) as max_end from segments group by 1)", "segments"))(lambda t: t.segments().groupBy("media_id").agg(F.max("end_time").alias("e")).select("media_id", F.explode(text.sample_points(F.col("e"))).alias("at_sec")))
 query("uniform_sample", sql("select media_id, segment_index from (select *, count(*) over (partition by media_id) as n from segments) where n <= 10 or segment_index in (select unnest(list_transform(range(10), lambda i: i * n // 10)))", "segments"))(lambda t: live.uniform_sample(t.segments(), ["media_id"], "segment_index").select("media_id", "segment_index"))
-query("json_replies", None)(lambda t: json_recovery.replies(t.flashcards().select("media_id", F.concat(F.lit('```json\n{"flashcards":[{"qestion":"'), "question", F.lit('","answer":"'), "answer", F.lit('"},]}\n```')).alias("reply"))).selectExpr("media_id", "size(cards.flashcards) as n", "cards.flashcards[0].question as question"))
+
+
+def _replies(t: Tables) -> DataFrame:
+    """Replies with every misspelt key, three ways of options, and text around or a cut behind the object."""
+    at = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    n = F.col("media_id") + F.col("card_index")
+    card = F.concat(F.lit('{"'), at(["questionimoine", "QUESTIN", "questoin", "question"], n), F.lit('": "'), F.col("question"), F.lit('"\n "'), at(["answr", "answeer", "answer"], n), F.lit('": "'), F.col("answer"), F.lit('",}'))
+    options = at(['"optons": {"A": "1", "B": "2"}', '"options": ["1", "2", "3", "4"]', '"A": "1", "B": "2", "C": "3"'], n)
+    asked = F.concat(F.lit('{"question": "Why?", '), options, F.lit(', "'), at(["correctanswer", "correct_answeer", "correct_answer"], n), F.lit('": "B", "'), at(["explnation", "explantion"], n), F.lit('": "so"}'))
+    whole = F.concat(F.lit('{"flashcards": ['), card, F.lit('], "quiz": ['), asked, F.lit("]}"))
+    wrapped = F.when(n % 4 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(n % 4 == 1, F.concat(F.lit("Here it is: "), whole, F.lit(" Good luck"))).when(n % 4 == 2, F.concat(F.substring(whole, 1, F.length(whole) - 1), F.lit(', {"question": "cut'))).otherwise(whole)
+    return t.flashcards().select("media_id", "card_index", wrapped.alias("reply"))
+
+
+query("json_replies", sql("select media_id, card_index, 1 as cards, question, answer, 'medium' as difficulty, case (media_id + card_index) % 3 when 0 then 2 when 1 then 4 else 3 end as options, 'B' as correct, 'so' as explanation from flashcards", "flashcards"))(
+    lambda t: json_recovery.replies(_replies(t)).selectExpr("media_id", "card_index", "size(cards.flashcards) as cards", "cards.flashcards[0].question as question", "cards.flashcards[0].answer as answer", "cards.flashcards[0].difficulty as difficulty", "size(cards.quiz[0].options) as options", "cards.quiz[0].correct_answer as correct", "cards.quiz[0].explanation as explanation")
+)
 
 # --- deduplication -----------------------------------------------------------------------------------------------
 
@@ -195,9 +234,18 @@ def _phrases(t: Tables) -> DataFrame:
 _TFIDF = "items as (select p_partkey % 40 as grp, p_partkey as id, lower(p_name || ' ' || p_type) as t from part), toks as (select grp, id, regexp_extract_all(t, '\\b\\w\\w+\\b') as w from items), tf as (select grp, id, term, count(*) as tf from (select grp, id, unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda k: w[k] || ' ' || w[k + 1])) as term from toks) group by 1, 2, 3), n as (select grp, count(*) as n from items group by 1), df as (select grp, term, count(*) as df from tf group by 1, 2), raw as (select tf.grp, id, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df on df.grp = tf.grp and df.term = tf.term join n on n.grp = tf.grp), vec as (select grp, id, term, w / sqrt(sum(w * w) over (partition by grp, id)) as weight from raw)"
 query("tfidf_weights", f'with {_TFIDF} select grp as "group", id, term, round(weight, 6) as weight from vec')(lambda t: dedup.tfidf(_phrases(t)).withColumn("weight", F.round("weight", 6)))
 query("tfidf_pairs", f'with {_TFIDF} select grp as "group", a.id as i, b.id as j, round(sum(a.weight * b.weight), 6) as sim from vec a join vec b using (grp, term) where a.id < b.id group by 1, 2, 3 having sum(a.weight * b.weight) >= 0.5 - 1e-12')(lambda t: dedup.text_pairs(_phrases(t), 0.5).withColumn("sim", F.round("sim", 6)))
-query("tfidf_dedup", None)(lambda t: dedup.concepts(_phrases(t), 0.5))
-query("formula_dedup", None)(lambda t: dedup.formulas(_phrases(t), 0.6))
-query("definition_dedup", None)(lambda t: dedup.definitions(_phrases(t).withColumn("definition", F.col("text")), 0.6))
+
+
+def _leaders_sql(least: float) -> str:
+    """Members with their leaders, in SQL: a scan of each group in order."""
+    return f"pairs as (select grp, a.id as i, b.id as j from vec a join vec b using (grp, term) where a.id < b.id group by 1, 2, 3 having sum(a.weight * b.weight) >= {least} - 1e-12), near as (select grp, id, text, coalesce((select list(i order by i) from pairs p where p.grp = e.grp and p.j = e.id), []) as ns from (select p_partkey % 40 as grp, p_partkey as id, p_name || ' ' || p_type as text from part) e), scans as (select grp, list_reduce(list_transform(list(struct_pack(id := id, ns := ns) order by id), lambda x: [x.id] || x.ns), lambda acc, x: case when list_has_any(acc, x[2:]) then acc else acc || [x[1]] end, []::bigint[]) as leaders from near group by 1), told as (select grp, id, text, case when list_contains(leaders, id) then id else list_min(list_intersect(leaders, ns)) end as leader from near join scans using (grp)), shown as (select grp, leader as id, text from (select *, row_number() over (partition by grp, leader order by length(text) desc, id) as rn from told) where rn = 1)"
+
+
+query("tfidf_dedup", f'with {_TFIDF}, {_leaders_sql(0.85)} select grp as "group", id, text from shown')(lambda t: dedup.concepts(_phrases(t)))
+query("formula_dedup", f'with {_TFIDF}, {_leaders_sql(0.92)} select grp as "group", id, text from shown')(lambda t: dedup.formulas(_phrases(t)))
+query("loose_dedup", f'with {_TFIDF}, {_leaders_sql(0.5)} select grp as "group", id, text from shown')(lambda t: dedup.concepts(_phrases(t), 0.5))
+query("definition_dedup", f"with {_TFIDF}, {_leaders_sql(0.88)} select grp as \"group\", id, text, (select arg_min('d' || p_partkey, p_partkey) from part where p_partkey % 40 = grp and p_name || ' ' || p_type = text) as definition from shown")(lambda t: dedup.definitions(_phrases(t).withColumn("definition", F.concat(F.lit("d"), "id"))).select("group", "id", "text", "definition"))
+query("first_formulas", "select grp as \"group\", id, t as text from (select p_partkey % 7 as grp, p_partkey as id, case when p_partkey % 2 = 0 then upper(p_brand) else p_brand end as t, row_number() over (partition by p_partkey % 7, case when p_partkey % 2 = 0 then upper(p_brand) else p_brand end order by p_partkey) as rn from part) where rn = 1")(lambda t: dedup.first_formulas(t.raw("part").select((F.col("p_partkey") % 7).alias("group"), F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("text"))))
 query("exact_dedup", "select grp as \"group\", id, t as text from (select p_partkey % 7 as grp, p_partkey as id, p_brand as t, row_number() over (partition by p_partkey % 7, lower(p_brand) order by p_partkey) as rn from part) where rn = 1")(lambda t: dedup.exact(t.raw("part").select((F.col("p_partkey") % 7).alias("group"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("text"))))
 
 # --- concept graph -----------------------------------------------------------------------------------------------
@@ -236,3 +284,104 @@ def _live(t: Tables) -> DataFrame:
 query("live_segments_dedup", f"with {_LIVE}, s as (select session_id, start + chunk_index * 15 as start, \"end\" + chunk_index * 15 as \"end\", id, text from segs) select session_id, start, \"end\", id, text from (select *, row_number() over (partition by session_id, start order by id, text) as rn from s) where rn = 1")(lambda t: live.deduped(live.shifted(_live(t))))
 query("session_counters", f"with {_LIVE} select session_id, count(*) as segments, sum({_WORDS.format('text')})::bigint as words, sum({_WORDS.format('text')}) < 5 as too_short from segs group by 1")(lambda t: live.counters(_live(t)))
 query("chunk_stitch", f"with {_LIVE}, c as (select *, row_number() over (partition by session_id, chunk_index order by id, text) as k from segs), n as (select session_id, chunk_index, count(*) as n from c group by 1, 2), o as (select *, coalesce(sum(n) over (partition by session_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as before from n) select c.session_id, c.chunk_index, (before + k - 1)::bigint as id, start + c.chunk_index * 300 as start, text from c join o on o.session_id = c.session_id and o.chunk_index = c.chunk_index")(lambda t: live.stitched(_live(t)))
+
+query("live_sessions", sql("select user_id, session_id, title, state, started_at, row_number() over (partition by user_id order by started_at desc, session_id) as position from live_lectures", "live_lectures"))(lambda t: live.sessions(t.live_lectures()).select("user_id", "session_id", "title", "state", "started_at", "position"))
+query("final_pass", f"with {_LIVE}, b as (select session_id, start, \"end\", id, text, 0 as src from segs where chunk_index = 0 union all select session_id, start, \"end\", id, 'full', 1 from segs) select session_id, start, \"end\", id, text from (select *, row_number() over (partition by session_id, start order by src, id, text) as rn from b) where rn = 1")(lambda t: live.final_pass(_live(t).where("chunk_index = 0"), _live(t).withColumn("text", F.lit("full"))))
+query("stream_rounds", sql("select media_id as stream, frame_id::double as at, row_number() over (partition by media_id order by frame_id) - 1 as round from (select distinct media_id, frame_id from concepts)", "concepts"))(lambda t: live.round_robin(t.concepts().select(F.col("media_id").alias("stream"), F.col("frame_id").cast("double").alias("at")).distinct()))
+_STEP_STATES, _STEP_EVENTS = ["created", "recording", "stopped", "processing", "done", "error", "cancelled"], ["start", "stop", "end", "finish", "fail", "cancel"]
+
+
+def _steps(t: Tables) -> DataFrame:
+    at = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    e = t.raw("events").select("event_id", at(_STEP_STATES, F.col("event_id")).alias("before"), at(_STEP_EVENTS, F.floor(F.col("event_id") / 7)).alias("event"))
+    return e.withColumn("s", live.transition(F.col("before"), F.col("event"))).select("event_id", "before", "event", F.col("s.state").alias("after"), F.col("s.allowed").alias("allowed"))
+
+
+query("session_steps", f"with e as (select event_id, {_STEP_STATES!r}[(event_id % 7 + 1)::int] as before, {_STEP_EVENTS!r}[((event_id // 7) % 6 + 1)::int] as event from events), n as (select *, case when event = 'start' and before = 'created' then 'recording' when event = 'stop' and before = 'recording' then 'stopped' when event = 'end' and before in ('created', 'recording', 'stopped') then 'processing' when event = 'finish' and before = 'processing' then 'done' when event = 'fail' and before in ('created', 'recording', 'stopped', 'processing') then 'error' when event = 'cancel' and before in ('created', 'recording', 'stopped', 'error') then 'cancelled' end as nxt from e) select event_id, before, event, coalesce(nxt, before) as after, nxt is not null as allowed from n")(_steps)
+
+# --- sources, sinks and models -----------------------------------------------------------------------------------
+
+_ENDINGS = ["mp4", "WMV", "flv", "m4v", "tiff", "tif", "aac", "wma", "doc", "ppt", "md", "exe", "pdf", "webp"]
+_FILES = ["_study_notes.md", "_academic_report.pdf", "_flashcards.json", "_quiz.json", "_knowledge_graph.json", "_progress.json", "/frames_index.json", ".mp4", "_notes.md"]
+_LISTED = f"files as (select 'out/' || batch_stem || {_FILES!r}[(id % 9 + 1)::int] as path, batch_stem as stem, (['notes', 'report', 'flashcards', 'quiz', 'graph', 'progress', 'frames'])[(id % 9 + 1)::int] as artifact, uploaded_at as t from media), listed as (select * from files where artifact is not null)"
+
+
+def _listed(t: Tables) -> DataFrame:
+    names = F.element_at(F.array(*map(F.lit, _FILES)), (F.col("id") % 9 + 1).cast("int"))
+    return files.listed(t.media().select(F.concat(F.lit("out/"), "batch_stem", names).alias("path"), F.col("uploaded_at").alias("modificationTime")))
+
+
+def _uploads(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("up/"), F.col("id"), F.lit("."), F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("id") % len(_ENDINGS) + 1).cast("int")))
+    return t.media().select("id", *(files.uploadable(name, k).alias(k) for k in ("video", "image", "audio", "document")))
+
+
+query("upload_kinds", sql(f"select id, e in ('mp4', 'avi', 'mov', 'mkv', 'wmv', 'flv', 'webm', 'm4v') as video, e in ('jpg', 'jpeg', 'png', 'bmp', 'tiff', 'tif', 'webp') as image, e in ('wav', 'mp3', 'm4a', 'flac', 'ogg', 'aac', 'wma') as audio, e in ('pdf', 'doc', 'docx', 'ppt', 'pptx', 'txt') as document from (select id, lower({_ENDINGS!r}[(id % {len(_ENDINGS)} + 1)::int]) as e from media)", "media"))(_uploads)
+query("artifact_list", sql(f"with {_LISTED} select stem, artifact, path, t as \"modificationTime\" from listed", "media"))(_listed)
+query("artifact_readiness", sql(f"with {_LISTED} select stem, " + ", ".join(f"bool_or(artifact = '{k}') as {k}_ready" for k in ("notes", "report", "flashcards", "quiz", "graph", "progress", "frames")) + ", max(t) as updated_at from listed group by 1", "media"))(lambda t: files.readiness(_listed(t)))
+query("artifact_stems", sql(f"with {_LISTED} select distinct stem from listed where artifact <> 'progress'", "media"))(lambda t: files.stems(_listed(t)))
+query("document_texts", f"with p as (select conv_id::varchar || '/my_talk-' || conv_id || '.pdf' as path, turn + 1 as n, text from conversations where turn + 1 <= 40), w as (select path, string_agg(text, chr(10) || chr(10) order by n, text) as whole from p group by 1), c as (select path, whole[1:5000] as text, length(whole) > 5000 as cut from w) select path, 'My Talk ' || split_part(path, '/', 1) as title, text, {_WORDS.format('text')}::bigint as word_count, length(text) as char_count, case when cut then '[Text truncated to 5,000 chars]' end as error from c")(
+    lambda t: files.documents(files.first_pages(t.raw("conversations").select(F.concat(F.col("conv_id"), F.lit("/my_talk-"), F.col("conv_id"), F.lit(".pdf")).alias("path"), (F.col("turn") + 1).cast("int").alias("page_num"), "text", F.lit(None).cast("string").alias("error"))), 5000)
+)
+on_documents("page_texts", lambda: {"text": text.page_text(F.substring(_text(), F.lit(1), (F.col("doc_id") % 80).cast("int")), F.substring(_text(), F.lit(101), (F.col("doc_id") % 90).cast("int")))}, f"(select trim(case when length(p) >= 40 then p || case when length(o) > 40 then chr(10) || chr(10) || o else '' end when o <> '' then o else p end, {_BLANKS}) from (select text[1:doc_id % 80] as p, trim(substr(text, 101, (doc_id % 90)::int), {_BLANKS}) as o)) as text")
+query("model_replies", "select doc_id, split_part(text, chr(10), 1) as reply from documents")(lambda t: models.reasoned(t.documents().select("doc_id", F.col("text").alias("prompt")), models.echo).select("doc_id", "reply"))
+query("page_analyses", "select doc_id::varchar as path, 1 as page_num, case when doc_id % 3 = 0 then 'Page 1' else upper(text[1:9]) end as title, case when doc_id % 3 <> 0 then 'high' when text = '' then 'low' else 'medium' end as importance from documents")(
+    lambda t: models.analysed_pages(t.documents().select(F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("page_num"), "text").withColumn("text", F.concat(F.when(F.col("path").cast("long") % 3 == 0, "").otherwise("\t"), "text")), _stand_in).select("path", "page_num", "title", "importance")
+)
+
+
+def _stand_in():
+    """A model that knows pages only that begin with a tab."""
+    return lambda texts: [{"title": t[1:10].upper(), "importance": "high", "description": "", "summary": ""} if t[:1] == "\t" else None for t in texts]
+
+
+query("recognised_parts", "select doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(text, ' ')[1:8], lambda w: struct_pack(w := w, c := (length(w) % 10) / 10.0)), lambda p: p.c >= 0.4 and trim(p.w, ' ' || chr(9) || chr(10) || chr(13)) <> ''), lambda p: p.w), ' ') as text from documents")(
+    lambda t: t.documents().select("doc_id", F.array_join(F.transform(lecture.confident(F.transform(F.slice(F.split("text", " "), 1, 8), lambda w: F.struct(w.alias("text"), ((F.length(w) % 10) / 10.0).alias("confidence")))), lambda p: p["text"]), " ").alias("text"))
+)
+
+# --- writes ------------------------------------------------------------------------------------------------------
+
+query("card_rows", sql("select media_id, (row_number() over (partition by media_id order by card_index) - 1)::int as card_index, question, answer, '' as topic, 'medium' as difficulty from flashcards qualify question <> 'Q' || (media_id % 7)", "flashcards"))(
+    lambda t: writes.card_rows(t.flashcards().groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("card_index", "question", "answer"))), lambda c: F.struct(F.when(c["question"] == F.concat(F.lit("Q"), F.col("media_id") % 7), " ").otherwise(c["question"]).alias("question"), c["answer"].alias("answer"), F.lit(None).cast("string").alias("topic"), F.lit(None).cast("string").alias("difficulty"))).alias("cards")))
+)
+query("scored_sessions", "select l_orderkey as media_id, l_linenumber as n, l_linenumber % 4 as total_questions, 1 as correct_answers, case when l_linenumber % 4 > 0 then 1 / (l_linenumber % 4) * 100 else 0.0 end as accuracy_score from lineitem")(lambda t: writes.scored_sessions(t.raw("lineitem").select(F.col("l_orderkey").alias("media_id"), F.col("l_linenumber").alias("n"), (F.col("l_linenumber") % 4).alias("total_questions"), F.lit(1).alias("correct_answers"))))
+query("refused_reviews", "select event_id, case event_id % 8 when 7 then -1 else event_id % 8 end as confidence from events where event_id % 8 in (0, 6, 7)")(lambda t: writes.checked_reviews(t.raw("events").select("event_id", F.nullif(F.col("event_id") % 8, F.lit(7)).alias("confidence")))[1].withColumn("confidence", F.coalesce("confidence", F.lit(-1))))
+query("upserted_media", sql("select id, user_id, case when id % 5 = 0 then 'new' else status end as status from media", "media"))(lambda t: writes.upserted(t.media().select("id", "user_id", "status"), t.media().where("id % 5 = 0").select("id", "user_id", F.lit("new").alias("status")), ["id"]))
+query("without_media", sql("select media_id, card_index, question from flashcards where media_id % 3 <> 0", "flashcards"))(lambda t: writes.without(t.flashcards().select("media_id", "card_index", "question"), t.media().where("id % 3 = 0"), "media_id"))
+query("without_user", sql("select id, user_id from media where user_id <> 7", "media"))(lambda t: writes.without_user(t.media().select("id", "user_id"), 7))
+_NOTES_SQL = "chr(10) || '## {0}' || chr(10) || chr(10) || {1} || chr(10)"
+query("fallback_notes", "select doc_id as media_id, '# Study Notes: ' || coalesce(nullif(source, 'src1'), 'Lecture') || chr(10) || " + _NOTES_SQL.format("Overview", "text[1:30]") + " || " + _NOTES_SQL.format("Topics", "'- ' || lang || chr(10) || '- ' || source") + " || case when doc_id % 2 = 0 then '' else " + _NOTES_SQL.format("Key Concepts", "'- ' || lang") + " end as content from documents where text <> ''")(
+    lambda t: writes.notes(t.documents().where("text <> ''").select(F.col("doc_id").alias("media_id"), F.nullif(F.col("source"), F.lit("src1")).alias("lecture_title"), F.substring("text", 1, 30).alias("summary"), F.array("lang", "source").alias("main_topics"), F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array("lang")).alias("key_concepts"), F.array().cast("array<string>").alias("learning_outcomes")))
+)
+
+# --- further text ------------------------------------------------------------------------------------------------
+
+
+
+def _maps(t: Tables) -> DataFrame:
+    replies = F.array(F.concat(F.lit("```mermaid\nmindmap\n  "), "source", F.lit("\n```")), F.concat(F.lit("```\n"), "source", F.lit("\n```<|end|>")), F.concat(F.lit("so: mindmap "), "source"), F.col("source"))
+    return t.documents().select("doc_id", text.mermaid(F.element_at(replies, (F.col("doc_id") % 4 + 1).cast("int"))).alias("map"))
+
+
+query("mind_maps", "select doc_id, case doc_id % 4 when 0 then 'mindmap' || chr(10) || '  ' || source when 1 then source when 2 then 'mindmap ' || source else source end as map from documents")(_maps)
+query("answer_keys", sql("select media_id, question_index, case question_index % 5 when 0 then 'C' when 1 then 'B' when 2 then 'D' when 3 then 'none of these' else 'A' end as key from quiz_questions", "quiz_questions"))(
+    lambda t: t.quiz_questions().select("media_id", "question_index", text.answer(F.create_map(F.lit("A"), "question", F.lit("B"), "answer", F.lit("C"), F.lit("x"), F.lit("D"), F.lit("y")), F.element_at(F.array(F.lit("C"), F.concat(F.lit(" "), "answer"), F.lit("3"), F.lit("none of these"), F.lit("0")), (F.col("question_index") % 5 + 1).cast("int"))).alias("key"))
+)
+on_documents("seconds_labels", lambda: {"label": text.seconds_label(F.col("n_chars") / 10)}, "printf('%02d:%04.1f', n_chars // 600, (n_chars % 600) / 10.0) as label")
+query("transcript_languages", sql(f"select media_id, sum({_WORDS.format('text')})::bigint as word_count, count(*) as segment_count, max_by(end_time, segment_index) as duration_sec, (['en', 'de', 'fr'])[(media_id % 3 + 1)::int] as language from segments group by media_id", "segments"))(lambda t: library.transcript_stats(t.segments().withColumn("language", F.element_at(F.array(*map(F.lit, ("en", "de", "fr"))), (F.col("media_id") % 3 + 1).cast("int")))))
+query("merged_status", sql("with mem as (select distinct user_id, batch_stem from media where id % 3 = 0), db as (select distinct user_id, batch_stem from media where id % 3 <> 0), b as (select *, 0 as stored from mem union all select *, 1 from db where not exists (select 1 from mem where mem.user_id = db.user_id and mem.batch_stem = db.batch_stem)) select *, row_number() over (partition by user_id order by stored, batch_stem) as position from b", "media"))(lambda t: library.merged_status(*(t.media().where(c).select("user_id", "batch_stem").distinct() for c in ("id % 3 = 0", "id % 3 <> 0"))))
+query("status_with_frames", sql(f"with {_STATES} select count(*) as total, " + ", ".join(f"count(*) filter (input_type = '{k}') as total_{k}" for k in _KINDS) + ", coalesce(sum(flashcard_count), 0)::bigint as flashcards, (select count(*) from quiz_questions q where q.media_id in (select id from states)) as frames_collected from states", *_STATE_TABLES))(lambda t: media.status_totals(_states(t), t.quiz_questions()))
+query("concept_frequency_all", sql("with a as (select media_id, concept from concepts union all select distinct media_id, 'topic ' || concept from concepts where pos = 2 union all select distinct media_id, concept from concepts where pos = 1) select media_id, concept, count(*) as freq from a group by 1, 2", "concepts"))(
+    lambda t: graph.frequency(graph.with_topics(t.concepts(), t.concepts().where("pos = 2").select("media_id", F.concat(F.lit("Topic "), "concept").alias("topic"), "pos").distinct().unionByName(t.concepts().select("media_id", F.lit("one topic of more than five words").alias("topic"), "pos").distinct()), t.concepts().where("pos = 1").select("media_id", F.upper("concept").alias("term"), F.lit("what it is").alias("definition")).distinct())).drop("first")
+)
+_TOLD = "case when length(t) > {0} then t[1:{0}] || ' [truncated]' else t end"
+query("prompt_metadata", f"select doc_id, 'Describe this lecture.' || chr(10) || 'TRANSCRIPT: ' || {_TOLD.format(800)} || chr(10) || 'SLIDES: ' || source || ' | ' || lang || chr(10) || 'CONCEPTS: [\"' || lang || '\"]' || chr(10) || '{prompts.ONLY_JSON + prompts.METADATA}' as prompt from (select *, trim(text, {_BLANKS}) as t from documents)")(lambda t: t.documents().select("doc_id", prompts.metadata(_text(), F.array("source", "lang"), F.array("lang")).alias("prompt")))
+query("prompt_cards", f"select doc_id, 'Make 4 flashcards and 3 quiz questions of these notes, each with one right option and no question twice.' || chr(10) || 'NOTES: ' || {_TOLD.format(600)} || chr(10) || 'LECTURE: ' || source || chr(10) || 'SUBJECT: General' || chr(10) || 'TOPICS: see notes' || chr(10) || 'CONCEPTS: [\"' || lang || '\"]' || chr(10) || 'OUTCOMES: []' || case when doc_id % 2 = 0 then chr(10) || 'FORMULAS: x | y' else '' end || case when t = '' then '' else chr(10) || 'TRANSCRIPT: ' || {_TOLD.format(300)} end || chr(10) || '{prompts.ONLY_JSON + prompts.CARDS}' as prompt from (select *, trim(text, {_BLANKS}) as t from documents)")(
+    lambda t: t.documents().select("doc_id", prompts.cards(_text(), F.col("source"), F.lit(""), F.array().cast("array<string>"), F.array("lang"), F.lit(None).cast("array<string>"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("x"), F.lit("y"))), _text()).alias("prompt"))
+)
+query("prompt_study_notes", "select doc_id, 'Write short study notes in Markdown, with the sections Overview, Key Concepts, Topics Covered, Learning Outcomes and Summary, in at most 400 words.' || chr(10) || 'LECTURE: ' || source || chr(10) || 'SUBJECT: General' || chr(10) || 'LEVEL: unknown' || chr(10) || 'TOPICS: ' || lang || chr(10) || 'SUMMARY: none' || chr(10) || 'CONCEPTS: none' || chr(10) || 'OUTCOMES: a; b; c' || chr(10) || 'FORMULAS: f' || chr(10) || '# Study Notes: ' || source as prompt from documents")(
+    lambda t: t.documents().select("doc_id", prompts.study_notes(F.col("source"), F.lit(None).cast("string"), F.lit(""), F.array("lang"), F.lit(None).cast("array<string>"), F.array(*map(F.lit, "abcd")), F.lit(""), F.array(F.lit("f"))).alias("prompt"))
+)
+query("prompt_images", f"select doc_id, 'Explain image ' || doc_id || ' (' || source || ').' || chr(10) || 'TEXT: ' || case when text = '' then 'no text found' else text end || chr(10) || '{prompts.ONLY_JSON + prompts.IMAGE}' as one, 'Describe this set of ' || doc_id || ' images.' || chr(10) || 'SET: ' || source || chr(10) || 'IMAGES: ' || lang || chr(10) || '{prompts.ONLY_JSON + prompts.METADATA}' as batch, 'Write full study notes in Markdown, with the sections Overview, Key Concepts, Detailed Notes and Summary.' || chr(10) || 'SET: Images' || chr(10) || 'SUBJECT: General' || chr(10) || 'LEVEL: unknown' || chr(10) || 'SUMMARY: none' || chr(10) || 'TOPICS: ' || lang || chr(10) || 'CONCEPTS: none' || chr(10) || 'OUTCOMES: none' || chr(10) || 'IMAGES: ' || case when doc_id % 2 = 0 then source || ': d' else 'none' end as notes from documents")(
+    lambda t: t.documents().select("doc_id", prompts.image(_text(), F.col("doc_id"), F.col("source")).alias("one"), prompts.image_batch(F.col("source"), F.col("doc_id"), F.array("lang")).alias("batch"), prompts.image_notes(F.lit(""), F.lit(""), F.lit(""), F.array("lang"), F.lit(None).cast("array<string>"), F.array().cast("array<string>"), F.lit(""), F.array(F.struct(F.col("source").alias("title"), F.when(F.col("doc_id") % 2 == 0, "high").otherwise("low").alias("importance"), F.lit("d").alias("description")))).alias("notes"))
+)

@@ -17,9 +17,16 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import filename_title, path_stem, words
 
-#: File extensions by kind of upload, and the suffixes of artifacts.
-EXTENSIONS = {"video": ["mp4", "mkv", "avi", "mov", "webm"], "audio": ["mp3", "wav", "m4a", "ogg", "flac"], "image": ["png", "jpg", "jpeg", "webp", "bmp"], "document": ["pdf", "docx", "pptx", "txt", "md"]}
-ARTIFACTS = {"notes": "_notes.md", "report": "_report.pdf", "flashcards": "_flashcards.json", "quiz": "_quiz.json", "graph": "_graph.json", "frames": "_frames.json", "progress": "_progress.json"}
+#: File extensions by kind of upload.
+EXTENSIONS = {
+    "video": ["mp4", "avi", "mov", "mkv", "wmv", "flv", "webm", "m4v"],
+    "image": ["jpg", "jpeg", "png", "bmp", "tiff", "tif", "webp"],
+    "audio": ["wav", "mp3", "m4a", "flac", "ogg", "aac", "wma"],
+    "document": ["pdf", "doc", "docx", "ppt", "pptx", "txt"],
+}
+#: Suffixes of artifacts; frames have a folder for each stem with an index in it.
+ARTIFACTS = {"notes": "_study_notes.md", "report": "_academic_report.pdf", "flashcards": "_flashcards.json", "quiz": "_quiz.json", "graph": "_knowledge_graph.json", "progress": "_progress.json"}
+FRAMES_INDEX = "frames_index.json"
 MAX_CHARS, MAX_PAGES = 150_000, 40
 
 
@@ -27,10 +34,15 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1))
 
 
+def uploadable(path: Column, kind: str) -> Column:
+    """Whether a file may be uploaded as video, audio, image or document (S3)."""
+    return F.coalesce(extension(path).isin(EXTENSIONS[kind]), F.lit(False))
+
+
 def intake(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """Files of an upload folder with an allowed extension, and those that are refused (S3)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    allowed = extension(F.col("path")).isin(EXTENSIONS[kind])
+    allowed = uploadable(F.col("path"), kind)
     return files.where(allowed), files.where(~allowed).select("path", "length", extension(F.col("path")).alias("extension"))
 
 
@@ -51,11 +63,9 @@ def _xml_text(content: bytes, part: str, paragraph: str) -> list[str]:
 
 
 def _pdf_pages(content: bytes) -> list[str]:
-    """Text of a PDF's pages where a parser is installed; none without one."""
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        return []
+    """Text of a PDF's pages (S4); without an installed parser an error, which pages() tells in a row."""
+    from pypdf import PdfReader
+
     pages = []
     for page in PdfReader(io.BytesIO(content)).pages:
         try:
@@ -98,27 +108,73 @@ def first_pages(pages_: DataFrame, most: int = MAX_PAGES) -> DataFrame:
 
 
 def documents(pages_: DataFrame, most: int = MAX_CHARS) -> DataFrame:
-    """path, title, text (at most so many characters), word_count and char_count of each document."""
+    """path, title, text (at most so many characters), word_count, char_count and error of each document."""
     ordered = F.array_sort(F.collect_list(F.struct("page_num", "text")))
-    whole = pages_.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
-    whole = whole.withColumn("text", F.substring("text", 1, most))
-    return whole.select("path", filename_title(F.col("path")).alias("title"), "text", words(F.col("text")).alias("word_count"), F.length("text").cast("long").alias("char_count"))
+    whole = pages_.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("_whole"), F.first("error", True).alias("error"))
+    cut = F.when(F.length("_whole") > most, F.lit(f"[Text truncated to {most:,} chars]"))
+    whole = whole.withColumns({"text": F.substring("_whole", 1, most), "error": F.nullif(F.concat_ws(" ", "error", cut), F.lit(""))})
+    return whole.select("path", filename_title(F.col("path")).alias("title"), "text", words(F.col("text")).alias("word_count"), F.length("text").cast("long").alias("char_count"), "error")
 
 
-def artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """stem, artifact, path and time of each artifact below a folder; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
-    name = F.regexp_extract("path", "([^/]*)$", 1)
-    kind = stem = None
+def artifact_of(path: Column) -> Column:
+    """stem and artifact of a file by its name, null for others (S7, S8): <stem><suffix>, or <stem>/frames_index.json."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    found = F.when(name == FRAMES_INDEX, F.struct(F.regexp_extract(path, "([^/]*)/[^/]*$", 1).alias("stem"), F.lit("frames").alias("artifact")))
     for k, suffix in ARTIFACTS.items():
-        kind = (F if kind is None else kind).when(name.endswith(suffix), k)
-        stem = (F if stem is None else stem).when(name.endswith(suffix), F.regexp_replace(name, re.escape(suffix) + "$", ""))
-    return files.withColumns({"artifact": kind, "stem": stem}).where("artifact is not null").select("stem", "artifact", "path", "modificationTime")
+        stem = F.regexp_replace(name, re.escape(suffix) + "$", "")
+        found = found.when(name.endswith(suffix), F.struct(stem.alias("stem"), F.lit(k).alias("artifact")))
+    return found
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """stem, artifact, path and modificationTime of the artifacts among files (path, modificationTime)."""
+    found = files.withColumn("_a", artifact_of(F.col("path"))).where("_a is not null")
+    return found.select("_a.stem", "_a.artifact", "path", "modificationTime")
+
+
+def artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """The artifacts below a folder; contents aren't read."""
+    return listed(objects(spark, path))
+
+
+def stems(listing: DataFrame) -> DataFrame:
+    """Every stem with an artifact other than progress, once (U4)."""
+    return listing.where("artifact <> 'progress'").select("stem").distinct()
 
 
 def readiness(listing: DataFrame) -> DataFrame:
     """Which artifacts each stem has, and the time of the newest."""
-    return listing.groupBy("stem").agg(*(F.bool_or(F.col("artifact") == k).alias(f"{k}_ready") for k in ARTIFACTS), F.max("modificationTime").alias("updated_at"))
+    return listing.groupBy("stem").agg(*(F.bool_or(F.col("artifact") == k).alias(f"{k}_ready") for k in [*ARTIFACTS, "frames"]), F.max("modificationTime").alias("updated_at"))
+
+
+def objects(spark: SparkSession, prefix: str) -> DataFrame:
+    """path, length and modificationTime of every object below a prefix, in any store that Spark reads."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(prefix).select("path", "length", "modificationTime")
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether an object is there."""
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def put(spark: SparkSession, local: str, path: str) -> str:
+    """A local file as an object."""
+    fs, p = _at(spark, path)
+    fs.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(local), p)
+    return path
+
+
+def delete_prefix(spark: SparkSession, folder: str, prefix: str) -> int:
+    """How many objects below a folder were deleted whose name begins with the prefix (S10). Only paths reach the driver's listing."""
+    fs, p = _at(spark, folder)
+    found = list(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(p, f"{prefix}*")) or [])
+    return sum(bool(fs.delete(f.getPath(), True)) for f in found)
 
 
 def read_json(spark: SparkSession, listing_path: str, artifact: str, schema: str) -> DataFrame:
@@ -131,9 +187,16 @@ def write_json(rows: DataFrame, path: str, by: str = "stem") -> None:
     rows.write.mode("overwrite").partitionBy(by).json(path)
 
 
-def write_transcripts(transcripts: DataFrame, path: str) -> None:
-    """Transcripts as text, one folder a medium."""
-    transcripts.select("media_id", "full_text").write.mode("overwrite").partitionBy("media_id").text(path)
+def write_transcripts(transcripts: DataFrame, path: str, files: int | None = None) -> None:
+    """Transcripts as JSON lines with the medium's id (S15), in files that share media; text_of() gives one as text."""
+    columns = [c for c in ("media_id", "language", "full_text", "segments") if c in transcripts.columns]
+    rows = transcripts.select(*columns)
+    (rows.repartitionByRange(files, "media_id") if files else rows).write.mode("overwrite").json(path)
+
+
+def text_of(spark: SparkSession, path: str, media_id: int) -> DataFrame:
+    """The transcript of a medium as a line of text."""
+    return spark.read.schema("media_id long, full_text string").json(path).where(F.col("media_id") == media_id).select(F.col("full_text").alias("value"))
 
 
 def video_metadata(files: DataFrame, probe: Callable[[bytes], dict]) -> DataFrame:

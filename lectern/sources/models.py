@@ -6,11 +6,13 @@ its place with its error; nothing is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Factory = Callable[[], Callable[[list], list]]
 
@@ -65,6 +67,58 @@ def embedded(rows: DataFrame, model: Factory, text: str = "text") -> DataFrame:
     return applied(rows, text, model, "vector", "array<float>", batch=64)
 
 
+def converted(files: DataFrame, converter: Factory, content: str = "content") -> DataFrame:
+    """audio of each file: mono at 16 kHz as the converter makes it, by a program outside."""
+    return applied(files, content, converter, "audio", "binary", batch=1)
+
+
+def sliced(chunks: DataFrame, decoder: Factory, least: float = 0.3) -> DataFrame:
+    """What is new in each decoded recording (L2). chunks: session_id, chunk_index, content (the recording so far).
+
+    The decoder tells the recording's duration; a chunk that adds less than `least` seconds to the last one that
+    counted is dropped. A row is told from to: the seconds that it adds.
+    """
+    told = applied(chunks, "content", decoder, "duration", "double", batch=1)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        kept, last = [], 0.0
+        for r in rows.sort_values("chunk_index").itertuples(index=False):
+            if r.duration is not None and r.duration - last >= least:
+                kept.append((r.session_id, r.chunk_index, last, r.duration))
+                last = r.duration
+        return pd.DataFrame(kept, columns=["session_id", "chunk_index", "start", "end"])
+
+    kind = chunks.schema["session_id"].dataType.simpleString()
+    return told.drop("content").groupBy("session_id").applyInPandas(fold, f"session_id {kind}, chunk_index int, start double, end double")
+
+
+def timely(segments: Iterable, each: float = 300.0, total: float = 600.0, clock: Callable[[], float] = time.monotonic) -> list:
+    """What a transcriber gives until one segment takes too long or all do: then a part of the transcript."""
+    begun = last = clock()
+    out = []
+    for s in segments:
+        now = clock()
+        if now - begun > total or now - last > each:
+            break
+        out.append(s)
+        last = now
+    return out
+
+
+def analysed_pages(pages: DataFrame, model: Factory) -> DataFrame:
+    """What the model says of each page, with a placeholder where it fails (X5). pages: path, page_num, text.
+
+    title, importance, description and summary of each page, in the order of page_num; nothing is dropped.
+    """
+    told = applied(pages, "text", model, "analysis", "struct<title:string,importance:string,description:string,summary:string>")
+    text, label = F.coalesce("text", F.lit("")), F.concat(F.lit("Page "), F.col("page_num"))
+    empty = text == ""
+    return told.select(
+        "path", "page_num", F.coalesce("analysis.title", label).alias("title"), F.coalesce("analysis.importance", F.when(empty, "low").otherwise("medium")).alias("importance"),
+        F.coalesce("analysis.description", F.when(empty, "No content detected.").otherwise(F.substring(text, 1, 300))).alias("description"), F.coalesce("analysis.summary", F.substring(text, 1, 200)).alias("summary"), F.col("analysis_error").alias("error"),
+    )
+
+
 def echo() -> Callable[[list], list]:
     """A stand-in for a language model: says the prompt's first line."""
     return lambda prompts: [(p or "").split("\n", 1)[0] for p in prompts]

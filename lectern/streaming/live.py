@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import words
@@ -87,31 +87,47 @@ def slide_stats(frames: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
-    """Segment records as files of JSON lines that arrive under a path (L1, L3)."""
-    return spark.readStream.schema(TABLES["live_segments"]).json(path)
+    """Segment records as files of JSON lines that arrive under a path (L1, L3), with the time when they arrived."""
+    return spark.readStream.schema(TABLES["live_segments"]).json(path).withColumn("arrived", F.col("_metadata.file_modification_time"))
 
 
-def write_transcripts(segments: DataFrame, path: str, checkpoint: str, seconds: int = CHUNK_SECONDS, once: bool = False):
+def write_transcripts(segments: DataFrame, path: str, checkpoint: str, seconds: int = CHUNK_SECONDS, once: bool = False, late: str = "6 hours"):
     """Starts the stream that appends shifted segments, each start of a session once.
 
-    The state holds the starts seen. Triggered every so many seconds, or with once until the input is used up.
+    The state holds the starts seen within the watermark of `late` behind the newest arrival, longer than a session
+    lasts. Triggered every so many seconds, or with once until the input is used up.
     """
-    rows = shifted(segments).dropDuplicates(["session_id", "start"])
+    rows = shifted(segments).withWatermark("arrived", late).dropDuplicatesWithinWatermark(["session_id", "start"])
     writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def write_counters(segments: DataFrame, table: str, checkpoint: str, once: bool = False):
-    """Starts the stream that keeps the counters of each session in an in-memory table."""
-    writer = counters(segments).writeStream.format("memory").queryName(table).option("checkpointLocation", checkpoint).outputMode("complete")
+def write_counters(segments: DataFrame, path: str, checkpoint: str, once: bool = False, late: str = "6 hours"):
+    """Starts the stream that appends the counters of each session and hour of arrival below a path.
+
+    State is one row for each session and hour within the watermark; sums by session are a batch query, counted().
+    """
+    hours = segments.withWatermark("arrived", late).groupBy("session_id", F.window("arrived", "1 hour").alias("hour"))
+    rows = hours.agg(F.count("*").alias("segments"), F.coalesce(F.sum(words(F.col("text"))), F.lit(0)).alias("words"))
+
+    def put(batch: DataFrame, number: int) -> None:  # a repeated batch replaces itself
+        batch.select("session_id", F.col("hour.start").alias("hour"), "segments", "words").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def counted(spark: SparkSession, path: str) -> DataFrame:
+    """Counters of each session from what write_counters() has written: the last state of each hour."""
+    last = spark.read.parquet(path).groupBy("session_id", "hour").agg(F.max_by(F.struct("segments", "words"), "batch").alias("c"))
+    return last.groupBy("session_id").agg(F.sum("c.segments").alias("segments"), F.sum("c.words").alias("words")).withColumn("too_short", F.col("words") < LEAST_WORDS)
+
+
 #: State after each event, for the states in which it is allowed.
 STEPS = {
     "start": {"created": "recording"},
     "stop": {"recording": "stopped"},
-    "end": {"recording": "processing", "stopped": "processing"},
+    "end": {"created": "processing", "recording": "processing", "stopped": "processing"},
     "finish": {"processing": "done"},
     "fail": {"recording": "error", "stopped": "error", "processing": "error", "created": "error"},
     "cancel": {"created": "cancelled", "recording": "cancelled", "stopped": "cancelled", "error": "cancelled"},
@@ -124,6 +140,24 @@ def step(state: str, event: str) -> tuple[str, bool]:
     return (after, True) if after else (state, False)
 
 
+def transition(state: Column, event: Column) -> Column:
+    """step() as a struct of state and allowed, for rows that know their state."""
+    after = F.create_map(*(F.lit(x) for e, to in STEPS.items() for s, t in to.items() for x in (f"{e} {s}", t)))[F.concat_ws(" ", event, state)]
+    return F.struct(F.coalesce(after, state).alias("state"), after.isNotNull().alias("allowed"))
+
+
+def sessions(live: DataFrame) -> DataFrame:
+    """Each user's live sessions, the newest first."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("started_at"), "session_id")
+    return live.withColumn("position", F.row_number().over(order))
+
+
+def round_robin(frames: DataFrame) -> DataFrame:
+    """Frames in rounds of one frame a stream, streams that end dropping out (L15). frames: stream, at."""
+    rounds = F.row_number().over(Window.partitionBy("stream").orderBy("at"))
+    return frames.withColumn("round", rounds - 1)
+
+
 def states(events: DataFrame) -> DataFrame:
     """State of each session after each batch of events (session_id, seq, event); keyed state in a stream."""
 

@@ -21,8 +21,8 @@ def test_stream_like_batch(spark, tmp_path):
     batch = spark.createDataFrame(SEGMENTS, TABLES["live_segments"])
     key = lambda df: sorted((r["session_id"], r["start"]) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(live.deduped(live.shifted(batch)))
-    live.write_counters(stream, "counters_now", str(tmp_path / "c2"), once=True).awaitTermination(120)
-    assert sorted(map(tuple, spark.table("counters_now").collect())) == sorted(map(tuple, live.counters(batch).collect()))
+    live.write_counters(stream, str(tmp_path / "counters"), str(tmp_path / "c2"), once=True).awaitTermination(120)
+    assert sorted(map(tuple, live.counted(spark, str(tmp_path / "counters")).collect())) == sorted(map(tuple, live.counters(batch).collect()))
 
 
 def test_state_machine(spark, tmp_path):
@@ -53,7 +53,7 @@ def test_sampling_and_slides(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("café".encode("latin-1"))
-    (tmp_path / "b.md").write_text("# T\n\nbody text")
+    (tmp_path / "b.txt").write_text("# T\n\nbody text")
     (tmp_path / "c.exe").write_text("no")
     with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
         z.writestr("word/document.xml", "<w:p><w:t>One &amp; two</w:t></w:p><w:p><w:t>three</w:t></w:p>")
@@ -67,10 +67,16 @@ def test_files(spark, tmp_path):
 
 
 def test_artifacts(spark, tmp_path):
-    for name in ("x_notes.md", "x_quiz.json", "y_report.pdf", "other.bin"):
+    for name in ("x_study_notes.md", "x_quiz.json", "y_academic_report.pdf", "z_progress.json", "other.bin"):
         (tmp_path / name).write_text('{"a": 1}')
     ready = {r["stem"]: (r["notes_ready"], r["quiz_ready"], r["report_ready"]) for r in files.readiness(files.artifacts(spark, str(tmp_path))).collect()}
-    assert ready == {"x": (True, True, False), "y": (False, False, True)}
+    assert ready == {"x": (True, True, False), "y": (False, False, True), "z": (False, False, False)}
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "frames_index.json").write_text("[]")
+    assert sorted(r["stem"] for r in files.stems(files.artifacts(spark, str(tmp_path))).collect()) == ["w", "x", "y"]
+    assert files.exists(spark, str(tmp_path / "x_quiz.json")) and files.objects(spark, str(tmp_path)).count() == 6
+    files.put(spark, str(tmp_path / "other.bin"), str(tmp_path / "x_copy.bin"))
+    assert files.delete_prefix(spark, str(tmp_path), "x_c") == 1 and not files.exists(spark, str(tmp_path / "x_copy.bin"))
     assert [tuple(r) for r in files.read_json(spark, str(tmp_path), "quiz", "a int").select("a", "stem").collect()] == [(1, "x")]
 
 
@@ -88,3 +94,41 @@ def test_models(spark):
     told = {r["id"]: (r["reply"], r["reply_error"]) for r in models.reasoned(rows, made).collect()}
     assert told == {1: ("P\nQ", None), 2: (None, "ValueError: refused")}
     assert {r["reply"] for r in models.reasoned(rows, models.echo).collect()} == {"p", "bad"}
+
+
+def test_documents_tell_their_cuts(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("w " * 100)
+    (tmp_path / "p.pdf").write_text("%PDF-1.4")
+    good, _ = files.intake(spark, str(tmp_path), "document")
+    told = {r["title"]: r for r in files.documents(files.pages(good), 50).collect()}
+    assert told["Long"]["char_count"] == 50 and told["Long"]["error"] == "[Text truncated to 50 chars]"
+    assert told["P"]["text"] == "" and told["P"]["error"]  # no parser, or no PDF: told in the row
+
+
+def test_transcript_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "one"), (2, "two")], "media_id long, full_text string")
+    files.write_transcripts(rows, str(tmp_path / "t"), files=1)
+    assert [r["value"] for r in files.text_of(spark, str(tmp_path / "t"), 2).collect()] == ["two"]
+
+
+def test_boundaries(spark):
+    chunks = spark.createDataFrame([("s", i, str(d).encode()) for i, d in enumerate([1.0, 1.2, 2.0])] + [("s", 3, b"x")], "session_id string, chunk_index int, content binary")
+    told = models.sliced(chunks, lambda: lambda cs: [float(c) for c in cs])
+    assert sorted(map(tuple, told.collect())) == [("s", 0, 0.0, 1.0), ("s", 2, 1.0, 2.0)]
+    wave = models.converted(chunks.limit(1), lambda: lambda cs: [b"RIFF" + c for c in cs])
+    assert bytes(wave.first()["audio"]).startswith(b"RIFF")
+    now = iter([0, 1, 2, 400, 401])
+    assert models.timely("abcd", clock=lambda: next(now)) == ["a", "b"]
+    pages = spark.createDataFrame([("d", 1, "good"), ("d", 2, "bad"), ("d", 3, "")], "path string, page_num int, text string")
+
+    def made():
+        def model(texts):
+            if "bad" in texts:
+                raise ValueError("no")
+            return [{"title": t.upper(), "importance": "high", "description": "d", "summary": "s"} if t else None for t in texts]
+
+        return model
+
+    told = {r["page_num"]: (r["title"], r["importance"], r["description"]) for r in models.analysed_pages(pages, made).collect()}
+    assert told == {1: ("GOOD", "high", "d"), 2: ("Page 2", "medium", "bad"), 3: ("Page 3", "low", "No content detected.")}
+    assert [(r["stream"], r["round"]) for r in live.round_robin(spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 5.0)], "stream string, at double")).orderBy("round", "stream").collect()] == [("a", 0), ("b", 0), ("a", 1)]

@@ -104,19 +104,19 @@ def test_writes(spark, tmp_path):
     rows = writes.card_rows(first)
     for _ in range(2):  # a repeated write changes nothing
         writes.replace_children(rows, path)
-        assert sorted((r["media_id"], r["card_index"], r["question"], r["difficulty"]) for r in spark.read.parquet(path).collect()) == [(1, 0, "q", "medium"), (1, 2, "r", "hard"), (2, 0, "s", "medium")]
+        assert sorted((r["media_id"], r["card_index"], r["question"], r["difficulty"]) for r in writes.table(spark, path, rows).collect()) == [(1, 0, "q", "medium"), (1, 2, "r", "hard"), (2, 0, "s", "medium")]
     writes.replace_children(rows.where("media_id = 2").withColumn("question", F.lit("new")), path)
-    assert sorted(r["question"] for r in spark.read.parquet(path).collect()) == ["new", "q", "r"]
+    assert sorted(r["question"] for r in writes.table(spark, path, rows).collect()) == ["new", "q", "r"]
     writes.delete(spark, {path: "media_id"}, spark.createDataFrame([(1,)], "id long"))
-    assert [r["question"] for r in spark.read.parquet(path).collect()] == ["new"]
+    assert [r["question"] for r in writes.table(spark, path, rows).collect()] == ["new"]
 
 
 def test_reviews_and_sessions(spark):
     good, bad = writes.checked_reviews(spark.createDataFrame([(1,), (5,), (6,), (None,)], "confidence int"))
     assert (good.count(), bad.count()) == (2, 2)
     assert [r["accuracy_score"] for r in writes.scored_sessions(spark.createDataFrame([(0, 0), (4, 1)], "total_questions int, correct_answers int")).collect()] == [0.0, 25.0]
-    notes = writes.notes(spark.createDataFrame([(1, "T", "S", ["a", "b"], [])], "media_id long, lecture_title string, summary string, main_topics array<string>, learning_outcomes array<string>"))
-    assert notes.first()["content"] == "# T\n\n## Overview\nS\n\n## Topics\n- a\n- b"
+    notes = writes.notes(spark.createDataFrame([(1, "T", "S", ["a", "b"], ["c"], [])], "media_id long, lecture_title string, summary string, main_topics array<string>, key_concepts array<string>, learning_outcomes array<string>"))
+    assert notes.first()["content"] == "# Study Notes: T\n\n## Overview\n\nS\n\n## Topics\n\n- a\n- b\n\n## Key Concepts\n\n- c\n"
 
 
 def test_lecture(spark):

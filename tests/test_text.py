@@ -77,5 +77,5 @@ def test_small_ones(spark):
     assert values(spark, ["```mermaid\nmindmap\n  a\n```"], text.mermaid) == ["mindmap\n  a"]
     assert values(spark, ["FR ", "xx"], text.language) == ["French", "English"]
     options = F.create_map(F.lit("A"), F.lit("one"), F.lit("B"), F.lit("two"))
-    assert values(spark, ["b", "two", "1", "three"], lambda x: text.answer(options, x)) == ["two", "two", "two", "three"]
+    assert values(spark, ["B", " two ", "1", "three", "b"], lambda x: text.answer(options, x)) == ["B", "B", "B", "three", "b"]
     assert values(spark, ["x" * 45], text.middle_cut) == ["x" * 20 + "…" + "x" * 20]
