@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,9 @@ SETTINGS = {
 }
 
 
+_own: dict[str, str] = {}
+
+
 def session(name: str = "lectern", **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     for k, v in (SETTINGS | more).items():
@@ -24,16 +28,33 @@ def session(name: str = "lectern", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as it is now, without its lineage: a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; in a local session without one a temporary folder.
 
-    A local session without one gets a temporary folder; on a cluster that is an error, as executors can't share it.
+    On a cluster a missing setting is an error, as executors can't share a temporary folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="lectern-")
+    return _own[app]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; it is deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as it is now, without its lineage: a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import json_recovery, prompts, text
 from lectern.operators import dashboard, dedup, engagement, graph, lecture, library, media, recommendations, writes
 from lectern.plans.bindings import Tables, sql
+from lectern.plans.session import new_path
 from lectern.sources import files, models
 from lectern.streaming import live
 
@@ -299,6 +300,39 @@ def _steps(t: Tables) -> DataFrame:
 
 query("session_steps", f"with e as (select event_id, {_STEP_STATES!r}[(event_id % 7 + 1)::int] as before, {_STEP_EVENTS!r}[((event_id // 7) % 6 + 1)::int] as event from events), n as (select *, case when event = 'start' and before = 'created' then 'recording' when event = 'stop' and before = 'recording' then 'stopped' when event = 'end' and before in ('created', 'recording', 'stopped') then 'processing' when event = 'finish' and before = 'processing' then 'done' when event = 'fail' and before in ('created', 'recording', 'stopped', 'processing') then 'error' when event = 'cancel' and before in ('created', 'recording', 'stopped', 'error') then 'cancelled' end as nxt from e) select event_id, before, event, coalesce(nxt, before) as after, nxt is not null as allowed from n")(_steps)
 
+
+
+def _slides(t: Tables) -> DataFrame:
+    """Two pictures in turn, one frame in two seconds: a frame is new where the picture changes."""
+    seen = F.array(*map(F.lit, (1.0, 2.0, 3.0))), F.array(*map(F.lit, (3.0, 1.0, 2.0)))
+    picture = F.when(F.col("segment_index") % 3 == 0, seen[0]).otherwise(seen[1])
+    frames = t.segments().select(F.col("media_id").alias("stream"), (F.col("segment_index") * 2.0).alias("at"), picture.alias("histogram"), picture.alias("pixels"))
+    return live.slide_stats(frames, live.slide_changes(frames))
+
+
+query("slide_stats", sql("select media_id as stream, count(*) as seen, count(*) filter (segment_index % 3 < 2) as accepted, count(*) filter (segment_index % 3 = 2) as skipped, 100.0::double * count(*) filter (segment_index % 3 = 2) / count(*) as skipped_pct from segments group by 1", "segments"))(_slides)
+
+
+def _streamed(t: Tables) -> DataFrame:
+    """The segments as files that a stream takes until they are used up."""
+    there, out, state = (new_path(t.spark, n) for n in ("arrived", "streamed", "stream-state"))
+    _live(t).write.json(there)
+    live.write_transcripts(live.source(t.spark, there), out, state, once=True).awaitTermination()
+    return t.spark.read.parquet(out).select("session_id", "start")
+
+
+query("stream_segments", f"with {_LIVE} select distinct session_id, start + chunk_index * 15 as start from segs")(_streamed)
+
+
+def _stream_counts(t: Tables) -> DataFrame:
+    there, out, state = (new_path(t.spark, n) for n in ("arrived", "counted", "stream-state"))
+    _live(t).write.json(there)
+    live.write_counters(live.source(t.spark, there), out, state, once=True).awaitTermination()
+    return live.counted(t.spark, out)
+
+
+query("stream_counters", f"with {_LIVE} select session_id, count(*) as segments, sum({_WORDS.format('text')})::bigint as words, sum({_WORDS.format('text')}) < 5 as too_short from segs group by 1")(_stream_counts)
+
 # --- sources, sinks and models -----------------------------------------------------------------------------------
 
 _ENDINGS = ["mp4", "WMV", "flv", "m4v", "tiff", "tif", "aac", "wma", "doc", "ppt", "md", "exe", "pdf", "webp"]
@@ -349,6 +383,18 @@ query("refused_reviews", "select event_id, case event_id % 8 when 7 then -1 else
 query("upserted_media", sql("select id, user_id, case when id % 5 = 0 then 'new' else status end as status from media", "media"))(lambda t: writes.upserted(t.media().select("id", "user_id", "status"), t.media().where("id % 5 = 0").select("id", "user_id", F.lit("new").alias("status")), ["id"]))
 query("without_media", sql("select media_id, card_index, question from flashcards where media_id % 3 <> 0", "flashcards"))(lambda t: writes.without(t.flashcards().select("media_id", "card_index", "question"), t.media().where("id % 3 = 0"), "media_id"))
 query("without_user", sql("select id, user_id from media where user_id <> 7", "media"))(lambda t: writes.without_user(t.media().select("id", "user_id"), 7))
+
+
+def _written(t: Tables) -> DataFrame:
+    """A table written, changed for some parents, and cleared of others."""
+    path, cards = new_path(t.spark, "cards"), t.flashcards().select("media_id", "card_index", "question")
+    writes.replace_children(cards, path)
+    writes.replace_children(cards.where("media_id % 50 = 0 and card_index = 0").withColumn("question", F.lit("new")), path)
+    writes.delete(t.spark, {path: "media_id"}, t.media().where("id % 70 = 1").select("id"))
+    return writes.table(t.spark, path, cards)
+
+
+query("written_cards", sql("select media_id, card_index, case when media_id % 50 = 0 then 'new' else question end as question from flashcards where media_id % 70 <> 1 and not (media_id % 50 = 0 and card_index > 0)", "flashcards"))(_written)
 _NOTES_SQL = "chr(10) || '## {0}' || chr(10) || chr(10) || {1} || chr(10)"
 query("fallback_notes", "select doc_id as media_id, '# Study Notes: ' || coalesce(nullif(source, 'src1'), 'Lecture') || chr(10) || " + _NOTES_SQL.format("Overview", "text[1:30]") + " || " + _NOTES_SQL.format("Topics", "'- ' || lang || chr(10) || '- ' || source") + " || case when doc_id % 2 = 0 then '' else " + _NOTES_SQL.format("Key Concepts", "'- ' || lang") + " end as content from documents where text <> ''")(
     lambda t: writes.notes(t.documents().where("text <> ''").select(F.col("doc_id").alias("media_id"), F.nullif(F.col("source"), F.lit("src1")).alias("lecture_title"), F.substring("text", 1, 30).alias("summary"), F.array("lang", "source").alias("main_topics"), F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array("lang")).alias("key_concepts"), F.array().cast("array<string>").alias("learning_outcomes")))
@@ -364,6 +410,7 @@ def _maps(t: Tables) -> DataFrame:
 
 
 query("mind_maps", "select doc_id, case doc_id % 4 when 0 then 'mindmap' || chr(10) || '  ' || source when 1 then source when 2 then 'mindmap ' || source else source end as map from documents")(_maps)
+query("stem_types", sql("select id, case id % 3 when 0 then 'images' when 1 then 'document' else 'video' end as type, (id % 97)::varchar as display from media", "media"))(lambda t: t.media().withColumn("stem", F.concat("batch_stem", F.element_at(F.array(F.lit("_img"), F.lit("_doc"), F.lit("")), (F.col("id") % 3 + 1).cast("int")))).select("id", text.stem_type(F.col("stem")).alias("type"), text.display_name(F.col("stem")).alias("display")))
 query("answer_keys", sql("select media_id, question_index, case question_index % 5 when 0 then 'C' when 1 then 'B' when 2 then 'D' when 3 then 'none of these' else 'A' end as key from quiz_questions", "quiz_questions"))(
     lambda t: t.quiz_questions().select("media_id", "question_index", text.answer(F.create_map(F.lit("A"), "question", F.lit("B"), "answer", F.lit("C"), F.lit("x"), F.lit("D"), F.lit("y")), F.element_at(F.array(F.lit("C"), F.concat(F.lit(" "), "answer"), F.lit("3"), F.lit("none of these"), F.lit("0")), (F.col("question_index") % 5 + 1).cast("int"))).alias("key"))
 )

@@ -158,18 +158,25 @@ def round_robin(frames: DataFrame) -> DataFrame:
     return frames.withColumn("round", rounds - 1)
 
 
-def states(events: DataFrame) -> DataFrame:
-    """State of each session after each batch of events (session_id, seq, event); keyed state in a stream."""
+def states(events: DataFrame, keep: int = 24 * 3600 * 1000) -> DataFrame:
+    """State of each session after each batch of events (session_id, seq, event); keyed state in a stream.
+
+    A session without an event for so many milliseconds is forgotten, so that the state is bounded.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now, refused = state.get if state.exists else ("created", 0)
         for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
             now, allowed = step(now, row.event)
             refused += not allowed
         state.update((now, refused))
+        state.setTimeoutDuration(keep)
         yield pd.DataFrame({"session_id": [key[0]], "state": [now], "refused": [refused]})
 
-    return events.groupBy("session_id").applyInPandasWithState(update, "session_id string, state string, refused int", "state string, refused int", "update", "NoTimeout")
+    return events.groupBy("session_id").applyInPandasWithState(update, "session_id string, state string, refused int", "state string, refused int", "update", "ProcessingTimeTimeout")
 
 
 def final_pass(live: DataFrame, full: DataFrame) -> DataFrame:
