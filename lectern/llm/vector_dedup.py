@@ -32,7 +32,7 @@ from .common import Forest, grouped, halves, lookup, parts, weighted_lookup, wri
 from .components import components
 from .pstable import Projections, by_dimension, tables_for, takes_part, unit
 
-THRESHOLD, RECALL, PROJECTIONS, WIDTH, BLOCK = 0.98, 0.9999, 8, 1.0, 1024
+THRESHOLD, RECALL, PROJECTIONS, WIDTH, BLOCK = 0.98, 0.9999, 8, 1.0, 256
 
 
 def projections_for(n: int) -> int:

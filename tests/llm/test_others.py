@@ -124,7 +124,7 @@ def test_projections_grow_with_the_label():
     assert told[:3] == [8, 8, 8] and 8 < told[3] < told[4] < 20
 
 
-@pytest.mark.parametrize("block", [1024, 16, 5])  # as it is, and with split buckets and groups
+@pytest.mark.parametrize("block", [256, 16, 5])  # as it is, and with split buckets and groups
 def test_vector_dedup(spark, monkeypatch, block):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
     rows = vectors(160)
