@@ -38,7 +38,7 @@ from .common import SEMI_ROWS, Forest, grouped, halves, lookup, only, parts, sma
 from .components import components
 
 N, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99998, 5
-NEARLY, BUCKET_BLOCK, BLOCK, SET_BLOCK = 0.65, 1024, 512, 300_000
+NEARLY, BUCKET_BLOCK, BLOCK, SET_BLOCK = 0.65, 256, 512, 300_000
 
 
 def bands(threshold: float, recall: float, rows: int) -> int:
