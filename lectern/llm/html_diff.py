@@ -298,7 +298,9 @@ def verdicts(parsed: DataFrame, asking: DataFrame) -> DataFrame:
     if not several.isEmpty():
         own = several.where("not guest").repartition(slices, "host", "block").sortWithinPartitions("host", "block", "rank")
         marks = landmarks(own, several.agg(F.max("last")).first()[0])
-        marks = weighted_lookup(several.groupBy("host", "block").agg(F.any_value("last").alias("last")), marks.groupBy("host").agg(F.collect_list(F.struct("rank", "names", "sizes")).alias("pages")).join(several.groupBy("host").agg(F.count_distinct("block").alias("n")), "host"), ["host"], "n")
+        two = marks.groupBy("host").agg(F.collect_list(F.struct("rank", "names", "sizes")).alias("pages"))
+        two = written(two.join(several.groupBy("host").agg(F.count_distinct("block").alias("n")), "host"), "landmarks")
+        marks = weighted_lookup(several.groupBy("host", "block").agg(F.any_value("last").alias("last")), two, ["host"], "n")
         marks = marks.select("host", "block", F.explode("pages").alias("p"), "last").select("host", "block", "p.rank", F.lit(True).alias("guest"), F.lit(None).cast("binary").alias("key"), "p.names", "p.sizes", F.lit(0).cast("long").alias("copies"), "last")
         near = near.unionByName(marks)
     near = near.repartition(slices, "host", "block").sortWithinPartitions("host", "block", "rank")
