@@ -359,14 +359,14 @@ query("document_texts", f"with p as (select conv_id::varchar || '/my_talk-' || c
 )
 on_documents("page_texts", lambda: {"text": text.page_text(F.substring(_text(), F.lit(1), (F.col("doc_id") % 80).cast("int")), F.substring(_text(), F.lit(101), (F.col("doc_id") % 90).cast("int")))}, f"(select trim(case when length(p) >= 40 then p || case when length(o) > 40 then chr(10) || chr(10) || o else '' end when o <> '' then o else p end, {_BLANKS}) from (select text[1:doc_id % 80] as p, trim(substr(text, 101, (doc_id % 90)::int), {_BLANKS}) as o)) as text")
 query("model_replies", "select doc_id, split_part(text, chr(10), 1) as reply from documents")(lambda t: models.reasoned(t.documents().select("doc_id", F.col("text").alias("prompt")), models.echo).select("doc_id", "reply"))
-query("page_analyses", "select doc_id::varchar as path, 1 as page_num, case when doc_id % 3 = 0 then 'Page 1' else upper(text[1:9]) end as title, case when doc_id % 3 <> 0 then 'high' when text = '' then 'low' else 'medium' end as importance from documents")(
+query("page_analyses", "select doc_id::varchar as path, 1 as page_num, case when doc_id % 3 = 0 then 'Page 1' else text[1:9] end as title, case when doc_id % 3 <> 0 then 'high' when text = '' then 'low' else 'medium' end as importance from documents")(
     lambda t: models.analysed_pages(t.documents().select(F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("page_num"), "text").withColumn("text", F.concat(F.when(F.col("path").cast("long") % 3 == 0, "").otherwise("\t"), "text")), _stand_in).select("path", "page_num", "title", "importance")
 )
 
 
 def _stand_in():
     """A model that knows pages only that begin with a tab."""
-    return lambda texts: [{"title": t[1:10].upper(), "importance": "high", "description": "", "summary": ""} if t[:1] == "\t" else None for t in texts]
+    return lambda texts: [{"title": t[1:10], "importance": "high", "description": "", "summary": ""} if t[:1] == "\t" else None for t in texts]
 
 
 query("recognised_parts", "select doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(text, ' ')[1:8], lambda w: struct_pack(w := w, c := (length(w) % 10) / 10.0)), lambda p: p.c >= 0.4 and trim(p.w, ' ' || chr(9) || chr(10) || chr(13)) <> ''), lambda p: p.w), ' ') as text from documents")(
