@@ -94,8 +94,16 @@ def test_json_replies(spark, reply, cards, quiz):
 
 def test_compat_and_options():
     assert json_recovery.recover('[{"question":"x"}]', strict_compat=True)["flashcards"] == []
-    for raw in ({"options": ["1", "2", "3", "4"]}, {"A": 1, "B": 2, "C": 3, "D": 4}, {"options": {"a": 1, "b": 2, "c": 3, "d": 4}}):
+    for raw in ({"options": ["1", "2", "3", "4"]}, {"A": 1, "B": 2, "C": 3, "D": 4}, {"options": {"A": 1, "B": 2, "C": 3, "D": 4}}):
         assert json_recovery.options_map(raw) == {"A": "1", "B": "2", "C": "3", "D": "4"}
+    assert json_recovery.options_map({"options": {"a": 1}}) == {"a": "1"}  # a map stays as it is, as answers name its keys
+    assert json_recovery.options_map({"A": 1, "options": {"B": 2}}) == {"A": "1"} and json_recovery.options_map({"options": ["1"]}) is None
+
+
+def test_every_misspelt_key():
+    for wrong, right in {"questionimoine": "question", "questin": "question", "questoin": "question", "answr": "answer", "answeer": "answer", "optons": "options", "correctanswer": "correct_answer", "correct_answeer": "correct_answer", "explnation": "explanation", "explantion": "explanation"}.items():
+        assert json_recovery.TYPOS[wrong] == right
+    assert len(json_recovery.TYPOS) == 10
 
 
 def test_writes(spark, tmp_path):
