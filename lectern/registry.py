@@ -166,7 +166,7 @@ def _text():
 
 on_documents("document_stats", lambda: {"word_count": text.words(_text()), "char_count": F.length(_text()).cast("long")}, f"{_WORDS.format('text')}::bigint as word_count, length(text) as char_count")
 on_documents("importance_class", lambda: {"importance": text.importance(_text())}, "case when length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) < 30 then 'low' when length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) < 50 then 'medium' else 'high' end as importance")
-on_documents("title_case", lambda: {"title": text.title(_text())}, f"{_TITLE_SQL.format('text')} as title")
+on_documents("title_case", lambda: {"title": text.title_of_text(_text())}, f"{_TITLE_SQL.format('text')} as title")
 on_documents("token_budget", lambda: {"budget": text.token_budget(_text(), F.lit(2048))}, "greatest(64, least(2048, 4096 - length(text) // 4 - 64))::int as budget")
 on_documents("prefix_truncation", lambda: {"text": text.truncated(_text())}, "case when length(text) > 800 then text[1:800] || ' [truncated]' else text end as text")
 on_documents("middle_truncation", lambda: {"label": text.middle_cut(F.concat(F.col("source"), F.lit("_"), _text()))}, "case when length(source || '_' || text) > 40 then (source || '_' || text)[1:20] || '…' || right(text, 20) else source || '_' || text end as label")
