@@ -16,6 +16,7 @@ MODULES = {
     "op8_warc": "warc",
     "op9_vector_dedup": "vector_dedup",
     "op10_packing": "packing",
+    "op11_chat": "chat",
     "op12_collocations": "collocations",
     "op13_filter_audit": "filter_audit",
 }
