@@ -16,7 +16,8 @@ Differencing comes second because it can't decide alone: menus and adverts that
 with nobody, and what articles rightly share would go. Mark-up also breaks its ties: on a page whose host has no
 other page, lines in a header element go.
 
-What a class, id or form says is weak: an element with more than half of the page's text is no frame, unless article
+Names decide on containers only, never on headings, paragraphs, items or words in a line: those carry slugs of their own
+text as ids. Inside an article an id alone says nothing, as its sections have slugs too. What a class, id or form says is weak: an element with more than half of the page's text is no frame, unless article
 text is outside of it or it is named as comments; a name counts only if all its words are frame words or words of
 layout (related-posts, not related-work). Where several article elements hold less than what is outside of them,
 they are teasers, and all lines are OPEN.
@@ -53,6 +54,8 @@ _FRAME_WORDS = frozenset("ad ads advert adverts advertisement advertising adslot
 _LAYOUT_WORDS = frozenset("area article articles bar block body bottom box buttons center col column container content entry form global group header inner item items left link links list main middle mobile outer page panel post posts primary region right row secondary section site slot sticky text title top unit user wrap wrapper".split())
 _COMMENT_WORDS = frozenset("comment comments reply replies respond discussion disqus".split())
 _KEPT_ELEMENTS = frozenset("html body main".split())
+#: Elements that hold others, so that a name can say what they hold.
+_CONTAINERS = frozenset("div section article header form fieldset ul ol dl table tbody tr td details center blockquote figure".split())
 _P_CLOSERS = _BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "dt", "dd", "li"}
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -61,7 +64,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SURE, WEAK, COMMENTS = 1, 2, 3
 
 
-def _frame(tag: str, attributes: str) -> int:
+def _frame(tag: str, attributes: str, in_article: bool = False) -> int:
     """How an element says that it is a frame: not at all (0), SURE, WEAK, or WEAK as COMMENTS."""
     if tag in _KEPT_ELEMENTS:
         return 0
@@ -72,9 +75,11 @@ def _frame(tag: str, attributes: str) -> int:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return SURE
+        if tag not in _CONTAINERS:
+            continue
         if name == "role" and value.strip().lower() in _FRAME_ROLES:
             found = max(found, WEAK)
-        if name in ("class", "id"):
+        if name == "class" or name == "id" and not in_article:
             for token in value.split():
                 words = {w.lower() for w in _WORD.findall(token)}
                 if words & _FRAME_WORDS and words <= _FRAME_WORDS | _LAYOUT_WORDS:
@@ -130,7 +135,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             continue
         if tag in _P_CLOSERS and stack and stack[-1][0] == "p" or tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
             pop()
-        says, header = _frame(tag, m[3]), tag == "header" and not mains
+        says, header = _frame(tag, m[3], bool(m[3]) and any(x[0] == "article" for x in stack)), tag == "header" and not mains
         main = tag in ("article", "main")
         if tag in _VOID or m[3].rstrip().endswith("/") and tag not in _BLOCKS:
             continue

@@ -365,6 +365,14 @@ def test_names_that_are_no_frames():
         "<div class='search-results'>Text</div>", "<article class='has-sidebar'>Text</article>", "<div class='content-sidebar-wrap'><article>Text</article></div>", "<div class='md:hidden overflow-hidden'>Text</div>", "<p title='class=ad'>Text</p>", "<article class='ad-free'>Text",
     ):
         assert found(body) == ["Text"], body
+    for text in (  # names of headings, paragraphs and sections of an article are slugs of their text
+        "<h2 id='search'>Text</h2>", "<h2 id='related-links'>Text</h2>", "<h3 id='comments'>Text</h3>", "<h2 id='notice'>Text</h2>", "<p class='share-text'>Text</p>", "<p class='alert'>Text</p>",
+        "<section id='advertising'><h2>Text</h2></section>", "<h2 class='banner'>Text</h2>", "<ul><li class='share' id='ad'>Text</li></ul>", "<p role='alert'>Text</p>", "<pre class='ad'>Text</pre>",
+    ):
+        assert html_diff.lines(f"<article><p>Before{text}<p>After</article>") == [("Before", html_diff.MAIN), ("Text", html_diff.MAIN), ("After", html_diff.MAIN)], text
+    for text in ("<div class='ad'>x</div>", "<section class='comments'><p>x</section>", "<ul class='social-share'><li>x</ul>", "<p hidden>x</p>", "<form>x</form>"):
+        assert [k for t, k in html_diff.lines(f"<article><p>Before{text}<p>After</article>") if t == "x"] == [html_diff.FRAME], text
+    assert html_diff.lines("<main><p>Text</p><div id='comments'>x</div></main>")[1] == ("x", html_diff.FRAME)
     for frame in ("<div class='ad'>x</div>", "<div id='related-posts'>x</div>", "<div class='siteNav'>x</div>", "<form>x</form>", "<div role=navigation>x</div>", "<div id=comments><p>" + "x" * 999 + "</div>", "<div hidden>x</div>", "<footer>x</footer>", "<div class='left sidebar-12'>x</div>"):
         assert found(f"<article>Text</article>{frame}") == ["Text"] and found(f"<div>Text of the page</div>{frame}") == ["Text of the page"], frame
     teasers = "<article>one</article><article>two</article><div>The text that the page is about</div>"
