@@ -5,14 +5,12 @@ The functions on segments are stateless DataFrame operators that a stream and a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import words
 from lectern.schemas import TABLES
+from lectern.streaming.slides import slide_changes  # noqa: F401
 
 CHUNK_SECONDS, STITCH_SECONDS, LEAST_WORDS = 15, 300, 5
 
@@ -49,36 +47,6 @@ def uniform_sample(rows: DataFrame, group: list[str], index: str, most: int = 10
     return rows.withColumn("_of", n).where((F.col("_of") <= most) | F.array_contains(at, F.col(index).cast("long"))).drop("_of")
 
 
-def slide_changes(frames: DataFrame, gap: float = 1.0, correlation: float = 0.92, similarity: float = 0.85) -> DataFrame:
-    """Frames that differ from the last accepted one (L14). frames: stream, at, histogram and pixels as arrays.
-
-    A frame less than gap seconds after the last accepted one is rejected; else it is accepted if the correlation
-    of the histograms or the similarity of the pixels is below its mark. A stream is folded in order of time.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        kept, last = [], None
-        for row in pdf.sort_values("at").itertuples(index=False):
-            if last is not None:
-                if row.at - last.at < gap:
-                    continue
-                a, b = (np.asarray(x.histogram, float) for x in (row, last))
-                spread = a.std() * b.std()
-                near = float(((a - a.mean()) * (b - b.mean())).mean() / spread) if spread else float(np.array_equal(a, b))
-                x, y = (np.asarray(r.pixels, float) for r in (row, last))
-                ssim = (2 * x.mean() * y.mean() + 6.5) * (2 * ((x - x.mean()) * (y - y.mean())).mean() + 58.5) / ((x.mean() ** 2 + y.mean() ** 2 + 6.5) * (x.var() + y.var() + 58.5))
-                if near >= correlation and ssim >= similarity:
-                    continue
-            kept.append((row.stream, row.at))
-            last = row
-        return pd.DataFrame(kept, columns=["stream", "at"])
-
-    kind = frames.schema["stream"].dataType.simpleString()
-    return frames.groupBy("stream").applyInPandas(fold, f"stream {kind}, at double")
-
-
 def slide_stats(frames: DataFrame, accepted: DataFrame) -> DataFrame:
     """Seen, accepted and skipped frames of each stream, and the percentage skipped."""
     seen = frames.groupBy("stream").agg(F.count("*").alias("seen"))
@@ -158,27 +126,6 @@ def round_robin(frames: DataFrame) -> DataFrame:
     return frames.withColumn("round", rounds - 1)
 
 
-def states(events: DataFrame, keep: int = 24 * 3600 * 1000) -> DataFrame:
-    """State of each session after each batch of events (session_id, seq, event); keyed state in a stream.
-
-    A session without an event for so many milliseconds is forgotten, so that the state is bounded.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now, refused = state.get if state.exists else ("created", 0)
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            now, allowed = step(now, row.event)
-            refused += not allowed
-        state.update((now, refused))
-        state.setTimeoutDuration(keep)
-        yield pd.DataFrame({"session_id": [key[0]], "state": [now], "refused": [refused]})
-
-    return events.groupBy("session_id").applyInPandasWithState(update, "session_id string, state string, refused int", "state string, refused int", "update", "ProcessingTimeTimeout")
-
-
 def final_pass(live: DataFrame, full: DataFrame) -> DataFrame:
     """The full pass added to the live segments; of one start the live one stays."""
     columns = ["session_id", "start", "end", "id", "text"]

@@ -25,15 +25,6 @@ def test_stream_like_batch(spark, tmp_path):
     assert sorted(map(tuple, live.counted(spark, str(tmp_path / "counters")).collect())) == sorted(map(tuple, live.counters(batch).collect()))
 
 
-def test_state_machine(spark, tmp_path):
-    events = [("a", 1, "start"), ("a", 2, "stop"), ("a", 3, "end"), ("a", 4, "cancel"), ("a", 5, "finish"), ("b", 1, "cancel")]
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps(dict(zip(["session_id", "seq", "event"], e, strict=True))) for e in events))
-    stream = spark.readStream.schema("session_id string, seq int, event string").json(str(tmp_path / "in"))
-    live.states(stream).writeStream.format("memory").queryName("states_now").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted(map(tuple, spark.table("states_now").collect())) == [("a", "done", 1), ("b", "cancelled", 0)]
-
-
 def test_stitch_and_final_pass(spark):
     rows = spark.createDataFrame([("s", 0, 0, 1.0, 2.0, "a"), ("s", 0, 1, 2.0, 3.0, "b"), ("s", 2, 0, 0.5, 1.0, "c")], TABLES["live_segments"])
     assert sorted((r["id"], r["start"]) for r in live.stitched(rows).collect()) == [(0, 1.0), (1, 2.0), (2, 600.5)]
