@@ -1,9 +1,11 @@
 """Semantic deduplication: greedy, in order, by similarity to the leaders kept so far.
 
 Items of a group are scanned in order. An item that is similar to a leader before it joins the first such leader;
-else it becomes a leader. That isn't transitive, so connected components would be wrong. Similar pairs are found in
-blocks of a group's vectors, or for text by the rare terms that a similar pair must share; leaders are found in
-rounds of joins over the pairs, so no group meets in one task.
+else it becomes a leader. That isn't transitive, so connected components would be wrong.
+
+Similar vectors are found in cells around pivots, and similar texts by the rare terms that they must share; large cells and
+frequent terms are dealt to pairs of blocks. Equal texts are one class, as a copy has its representative's leader. The scan is a fold
+over sorted pairs, in one task for each group, of a large group for each component, and only of larger ones in rounds of joins.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
+from lectern.operators.components import components
 from lectern.plans.session import cut
 
 
@@ -27,33 +30,95 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def vector_pairs(items: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """group, i < j and sim for vectors of a group at least so similar.
+#: Pivots of vectors of one dimension, at most so many dimensions with pivots, and blocks from which a group has cells.
+PIVOTS, DIMENSIONS, CELLS_FROM = 64, 16, 4
+
+
+def _pivots(unit: DataFrame) -> dict[int, np.ndarray]:
+    """By dimension the unit vectors with the smallest hashes of their ids: any will do, as none can lose a pair."""
+    some = unit.select("vector", F.size("vector").alias("_d"), F.xxhash64("id").alias("_h"))
+    some = some.withColumn("_rn", F.row_number().over(Window.partitionBy("_d").orderBy("_h"))).where(F.col("_rn") <= PIVOTS)
+    found: dict[int, list] = {}
+    for r in some.orderBy("_d", "_h").limit(PIVOTS * DIMENSIONS).collect():
+        found.setdefault(r["_d"], []).append(r["vector"])
+    return {d: np.unique(_unit(np.array(v, float)), axis=0) for d, v in found.items()}
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+
+
+def _by_dimension(vectors: pa.ListArray):
+    sizes, flat = np.diff(np.asarray(vectors.offsets)), np.asarray(vectors.flatten())
+    ends = np.cumsum(sizes)
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, _unit(flat[(ends[at] - d)[:, None] + np.arange(d)])
+
+
+def cells(items: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """The vectors with cell and guest, once for each cell in which they are compared, and the blocks of their group.
 
-    A group is cut into blocks; each pair of blocks is a matrix product of its own.
+    A vector's home is the cell of its nearest pivot. With t as the threshold's angle, a vector at the angle a from its home's
+    pivot can only be similar to vectors of cells whose pivots are within a + 2t of it, by the triangle inequality
+    between the two and both pivots. It is a guest in those after its home, so each pair meets once. Groups of few blocks are a cell each.
     """
     unit = items.withColumn("_n", F.sqrt(dot(F.col("vector"), F.col("vector")))).where("_n > 0")
     unit = unit.select("group", "id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    sizes = unit.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    cells = unit.join(sizes, "group").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    cells = cells.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")}).drop("_other", "_blocks")
+    sizes = cut(unit.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_of")))
+    rows = unit.join(sizes, "group")
+    one = rows.withColumns({"cell": F.lit(0), "guest": F.lit(False)})
+    if not threshold > 0 or sizes.where(F.col("_of") > CELLS_FROM).isEmpty():
+        return one
+    pivots, reach = _pivots(unit), 2 * float(np.arccos(min(threshold, 1.0))) + 1e-9
+
+    def deal(batches):
+        for b in batches:
+            at, cell, guest = [], [], []
+            for d, rows, m in _by_dimension(b.column("vector")):
+                if d not in pivots:
+                    at, cell, guest = [*at, rows], [*cell, np.zeros(len(rows), int)], [*guest, np.zeros(len(rows), bool)]
+                    continue
+                angle = np.arccos(np.clip(m @ pivots[d].T, -1, 1))
+                home = angle.argmin(1)
+                meets = (angle <= angle.min(1)[:, None] + reach) & (np.arange(len(pivots[d])) >= home[:, None])
+                x, y = np.nonzero(meets)
+                at, cell, guest = [*at, rows[x]], [*cell, y], [*guest, y != home[x]]
+            if at:
+                kept = b.take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(guest), pa.bool_())], [*b.schema.names, "cell", "guest"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", cell int, guest boolean"
+    return one.where(F.col("_of") <= CELLS_FROM).unionByName(rows.where(F.col("_of") > CELLS_FROM).mapInArrow(deal, schema))
+
+
+def compared(items: DataFrame, threshold: float) -> DataFrame:
+    """For each group its vectors, all their pairs, and those that vector_pairs() compares."""
+    sizes = cells(items, threshold).groupBy("group", "cell").agg(F.count_if(~F.col("guest")).alias("h"), F.count_if("guest").alias("g"))
+    return sizes.groupBy("group").agg(F.sum("h").alias("vectors"), F.sum(F.expr("h * (h - 1) div 2 + h * g")).alias("compared")).withColumn("pairs", F.expr("vectors * (vectors - 1) div 2"))
+
+
+def vector_pairs(items: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """group, i < j and sim for vectors of a group at least so similar.
+
+    Vectors meet in cells; a cell is cut into blocks, and each pair of blocks is a matrix product of its own.
+    """
+    rows = cut(cells(items, threshold, block))
+    sizes = rows.groupBy("group", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    dealt = rows.drop("_of").join(sizes, ["group", "cell"]).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")}).drop("_other", "_blocks")
     group, id_ = (items.schema[c].dataType.simpleString() for c in ("group", "id"))
 
     def similar(t: pa.Table) -> pa.Table:
         t = t.sort_by("id").combine_chunks()
-        own, vectors = np.asarray(t["_own"]), t["vector"].combine_chunks()
-        sizes, flat, out = np.diff(np.asarray(vectors.offsets)), np.asarray(vectors.flatten()), ([], [], [])
-        ends = np.cumsum(sizes)
-        for d in np.unique(sizes):
-            at = np.flatnonzero(sizes == d)
-            m = flat[(ends[at] - d)[:, None] + np.arange(d)]
-            m = m / np.sqrt((m * m).sum(1, keepdims=True))
-            left = np.flatnonzero(own[at] == t["_lo"][0].as_py())
-            right = np.flatnonzero(own[at] == t["_hi"][0].as_py())
+        own, guest, lo, hi, out = np.asarray(t["_own"]), np.asarray(t["guest"]), t["_lo"][0].as_py(), t["_hi"][0].as_py(), ([], [], [])
+        for _, at, m in _by_dimension(t["vector"].combine_chunks()):
+            left, right = np.flatnonzero(own[at] == lo), np.flatnonzero(own[at] == hi)
             sims = m[left] @ m[right].T
-            near = sims >= threshold
-            same = len(left) == len(right) and (left == right).all()
-            if same:
+            near = (sims >= threshold) & ~(guest[at[left]][:, None] & guest[at[right]])
+            if lo == hi:
                 near = np.triu(near, 1)
             a, b = np.nonzero(near)
             one, two = at[left[a]], at[right[b]]
@@ -63,65 +128,159 @@ def vector_pairs(items: DataFrame, threshold: float, block: int = 1024) -> DataF
         i, j = pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64))
         return pa.table({"group": t["group"].take(i), "i": t["id"].take(i), "j": t["id"].take(j), "sim": pa.array(sim.astype(float))})
 
-    return cells.groupBy("group", "_lo", "_hi").applyInArrow(similar, f"group {group}, i {id_}, j {id_}, sim double")
+    return dealt.groupBy("group", "cell", "_lo", "_hi").applyInArrow(similar, f"group {group}, i {id_}, j {id_}, sim double")
 
 
-def tfidf(items: DataFrame) -> DataFrame:
-    """group, id, term and weight: words and pairs of words, smooth idf, unit length (D2). items: group, id, text."""
-    tokens = items.select("group", "id", F.regexp_extract_all(F.lower("text"), F.lit("(?U)\\b(\\w\\w+)\\b"), F.lit(1)).alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
-    tf = tokens.select("group", "id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("group", "id", "term").agg(F.count("*").alias("tf"))
-    n = items.groupBy("group").agg(F.count("*").alias("n"))
-    df = tf.groupBy("group", "term").agg(F.count("*").alias("df"))
+def text_classes(items: DataFrame) -> DataFrame:
+    """group, id, rep and words: texts of equal words are a class, whose rep is its smallest id (D2). Without words each is its own.
+
+    items: group, id, text.
+    """
+    rows = items.select("group", "id", F.regexp_extract_all(F.lower("text"), F.lit("(?U)\\b(\\w\\w+)\\b"), F.lit(1)).alias("words"))
+    name = F.when(F.size("words") > 0, F.sha2(F.array_join("words", " "), 256)).otherwise(F.col("id").cast("string"))
+    rows = cut(rows.withColumn("_name", name))
+    reps = rows.groupBy("group", "_name").agg(F.min("id").alias("rep"), F.count("*").alias("_copies"))
+    several = reps.where("_copies > 1").select("group", "_name", "rep")
+    return rows.join(several, ["group", "_name"], "left").select("group", "id", F.coalesce("rep", "id").alias("rep"), "words")
+
+
+def _class_weights(classes: DataFrame) -> DataFrame:
+    """group, id, term and weight of each class; its copies count in n and df."""
+    sizes = classes.groupBy("group", F.col("rep").alias("id")).agg(F.count("*").alias("copies"))
+    w = F.col("words")
+    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
+    reps = classes.where("id = rep").join(sizes, ["group", "id"])
+    tf = reps.select("group", "id", "copies", F.explode(F.concat(w, pairs)).alias("term")).groupBy("group", "id", "copies", "term").agg(F.count("*").alias("tf"))
+    n = classes.groupBy("group").agg(F.count("*").alias("n"))
+    df = tf.groupBy("group", "term").agg(F.sum("copies").alias("df"))
     raw = tf.join(df, ["group", "term"]).join(n, "group").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("group", "id")))
     return raw.select("group", "id", "term", (F.col("w") / norm).alias("weight"))
 
 
-def text_pairs(items: DataFrame, threshold: float) -> DataFrame:
-    """group, i < j and sim by TF-IDF.
+def tfidf(items: DataFrame) -> DataFrame:
+    """group, id, term and weight: words and pairs of words, smooth idf, unit length (D2). items: group, id, text."""
+    classes = cut(text_classes(items))
+    weights = _class_weights(classes).withColumnRenamed("id", "rep")
+    return classes.select("group", "id", "rep").join(weights, ["group", "rep"]).select("group", "id", "term", "weight")
+
+
+#: Items with a term that meet in one task at most.
+POSTINGS = 2048
+
+
+def class_pairs(classes: DataFrame, threshold: float, postings: int = POSTINGS) -> DataFrame:
+    """group, i < j and sim by TF-IDF between the reps of text_classes().
 
     With the terms of an item in the order of their rarity, a pair whose rarest common term is so far back that the
-    rest of one vector is shorter than the threshold can't reach it. So pairs meet on the terms before that only.
+    rest of one vector is shorter than the threshold can't reach it. So pairs meet on the terms before that only. The
+    items of a frequent term are dealt to pairs of blocks.
     """
-    v = cut(tfidf(items))
+    v = cut(_class_weights(classes))
     df = v.groupBy("group", "term").agg(F.count("*").alias("df"))
     back = Window.partitionBy("group", "id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     rare = v.join(df, ["group", "term"]).withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(back))
-    rare = rare.where(F.col("rest") >= (threshold - 1e-9) ** 2).select("group", "term", "id")
-    a, b = rare.withColumnRenamed("id", "i"), rare.withColumnRenamed("id", "j")
-    met = a.join(b, ["group", "term"]).where("i < j").select("group", "i", "j").distinct()
+    rare = cut(rare.where(F.col("rest") >= (threshold - 1e-9) ** 2).select("group", "term", "id"))
+    blocks = rare.groupBy("group", "term").agg(F.ceil(F.count("*") / postings).cast("int").alias("of")).where("of > 1")
+    rare = rare.join(blocks, ["group", "term"], "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    rare = rare.withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    a = rare.select("group", "term", F.col("id").alias("a"), F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("of") - 1)).alias("hi"))
+    b = rare.select("group", "term", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("lo"), F.col("own").alias("hi"))
+    met = a.join(b, ["group", "term", "lo", "hi"]).where("lo < hi and a <> b or a < b")
+    met = met.select("group", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
     x, y = (v.select("group", "term", F.col("id").alias(k), F.col("weight").alias(w)) for k, w in (("i", "x"), ("j", "y")))
     both = met.join(x, ["group", "i"]).join(y, ["group", "j", "term"])
     return both.groupBy("group", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sim")).where(F.col("sim") >= threshold - 1e-12)
 
 
-def clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
+def text_pairs(items: DataFrame, threshold: float) -> DataFrame:
+    """group, i < j and sim of all similar items, copies too; class_pairs() has one pair for all copies of two texts."""
+    classes = cut(text_classes(items))
+    pairs = class_pairs(classes, threshold)
+    of = lambda k: classes.select("group", F.col("rep").alias(k), F.col("id").alias(f"_{k}"))
+    apart = pairs.join(of("i"), ["group", "i"]).join(of("j"), ["group", "j"]).select("group", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "sim")
+    worded = classes.where("size(words) > 0").select("group", "rep", "id")
+    equal = worded.withColumnRenamed("id", "i").join(worded.withColumnRenamed("id", "j"), ["group", "rep"]).where("i < j")
+    return apart.unionByName(equal.select("group", "i", "j", F.lit(1.0).alias("sim")).where(F.col("sim") >= threshold - 1e-12))
+
+
+#: Pairs of a group or component that one task folds at most.
+FOLD = 5_000_000
+
+
+def clusters(items: DataFrame, pairs: DataFrame, fold: int = FOLD) -> DataFrame:
     """group, id, leader for each item (D1). items: group, id in the order of the scan; pairs: group, i, j with i < j.
 
-    In each round an item of which no earlier similar one is undecided becomes a leader, and those similar to it are
-    decided with it. Rounds are as many as the longest chain of such dependencies; each begins with a checkpoint.
+    The pairs of a group are folded in order of j, so what is known of earlier items decides the next one. A group with more
+    than `fold` pairs is folded by its connected components, and a component with more in rounds of joins.
     """
     pairs = cut(pairs.select("group", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))
     items = items.select("group", F.col("id").cast("long").alias("id"))
-    open_, leaders = pairs, None
+    large = cut(pairs.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > fold))
+    first = _folded(pairs.join(large, "group", "left_anti").withColumn("part", F.lit(0).cast("long")))
+    if not large.isEmpty():
+        rows = pairs.join(large, "group", "left_semi")
+        rows = cut(rows.join(components(rows).withColumnRenamed("node", "i"), ["group", "i"]))
+        over = cut(rows.groupBy("group", "part").agg(F.count("*").alias("n")).where(F.col("n") > fold))
+        first = first.unionByName(_folded(rows.join(over, ["group", "part"], "left_anti")))
+        if not over.isEmpty():
+            first = first.unionByName(_in_rounds(rows.join(over, ["group", "part"], "left_semi").select("group", "i", "j")))
+    return items.join(first, ["group", "id"], "left").select("group", "id", F.coalesce("leader", "id").alias("leader"))
+
+
+def _folded(pairs: DataFrame) -> DataFrame:
+    """group, id and leader of the items that aren't leaders, from pairs of group, part, i and j. It holds the non-leaders of one part."""
+    kind = pairs.schema["group"].dataType.simpleString()
+
+    def fold(batches):
+        part, led, now = None, set(), (None, None)  # led: items with a leader; now: the item at hand and its leader
+        for b in batches:
+            out = []
+            for group, of, j, i in zip(*(b.column(c).to_pylist() for c in ("group", "part", "j", "i")), strict=True):
+                if (group, of) != part:
+                    part, led, now = (group, of), set(), (None, None)
+                if j != now[0]:
+                    now = j, None
+                if now[1] is None and i not in led:
+                    now = j, i
+                    led.add(j)
+                    out.append((group, j, i))
+            names = ["group", "id", "leader"]
+            types = [b.schema.field("group").type, pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+    rows = pairs.repartition("group", "part").sortWithinPartitions("group", "part", "j", "i").select("group", "part", "j", "i")
+    return rows.mapInArrow(fold, f"group {kind}, id long, leader long")
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """The same by rounds of joins: an item of which no earlier similar one is undecided leads those that are similar to it."""
+    open_, leaders = cut(pairs), None
     while not open_.isEmpty():
         led = cut(open_.select("group", "i").distinct().join(open_.select("group", F.col("j").alias("i")), ["group", "i"], "left_anti"))
         leaders = led if leaders is None else leaders.unionByName(led)
         gone = open_.join(led, ["group", "i"], "left_semi").select("group", F.col("j").alias("i")).unionByName(led).distinct()
         open_ = open_.join(gone, ["group", "i"], "left_anti").join(gone.withColumnRenamed("i", "j"), ["group", "j"], "left_anti")
         open_ = cut(open_.select("group", "i", "j"))
-    if leaders is None:
-        return items.select("group", "id", F.col("id").alias("leader"))
-    first = pairs.join(leaders, ["group", "i"], "left_semi").groupBy("group", F.col("j").alias("id")).agg(F.min("i").alias("leader"))
-    return items.join(first, ["group", "id"], "left").select("group", "id", F.coalesce("leader", "id").alias("leader"))
+    return pairs.join(leaders, ["group", "i"], "left_semi").groupBy("group", F.col("j").alias("id")).agg(F.min("i").alias("leader"))
+
+
+def deduplicate(items: DataFrame, pairs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """The leaders in order, each shown by the longest text of its cluster, the earliest of equals.
+
+    pairs are those of all items, or of the reps that members (group, id, rep) names: a copy has its rep's leader.
+    """
+    if members is None:
+        members = items.select("group", "id", F.col("id").alias("rep"))
+    reps = clusters(members.where("id = rep"), pairs).withColumnRenamed("id", "rep")
+    told = members.select("group", F.col("id").cast("long").alias("id"), F.col("rep").cast("long").alias("rep")).join(reps, ["group", "rep"])
+    c = told.join(items.select("group", F.col("id").cast("long").alias("id"), "text"), ["group", "id"])
+    return c.groupBy("group", F.col("leader").alias("id")).agg(F.min_by("text", F.struct(-F.length("text"), F.col("id"))).alias("text"))
 
 
-def deduplicate(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The leaders in order, each shown by the longest text of its cluster, the earliest of equals."""
-    c = clusters(items, pairs).join(items.select("group", F.col("id").cast("long").alias("id"), "text"), ["group", "id"])
-    order = Window.partitionBy("group", "leader").orderBy(F.desc(F.length("text")), "id")
-    return c.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("group", F.col("leader").alias("id"), "text")
+def _deduplicated(rows: DataFrame, threshold: float) -> DataFrame:
+    classes = cut(text_classes(rows))
+    return deduplicate(rows, class_pairs(classes, threshold), classes.select("group", "id", "rep"))
 
 
 def prepared(items: DataFrame, collapse: bool = False) -> DataFrame:
@@ -134,18 +293,18 @@ def prepared(items: DataFrame, collapse: bool = False) -> DataFrame:
 def concepts(items: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Concepts as text."""
     rows = prepared(items)
-    return deduplicate(rows, text_pairs(rows, threshold))
+    return _deduplicated(rows, threshold)
 
 
 def formulas(items: DataFrame, threshold: float = 0.92) -> DataFrame:
     rows = prepared(items, collapse=True)
-    return deduplicate(rows, text_pairs(rows, threshold))
+    return _deduplicated(rows, threshold)
 
 
 def definitions(items: DataFrame, threshold: float = 0.88, richest: bool = False) -> DataFrame:
     """Terms deduplicated, each with its first definition, or with richest its longest (D4). items: group, id, text, definition."""
     rows = prepared(items)
-    kept = deduplicate(rows, text_pairs(rows, threshold))
+    kept = _deduplicated(rows, threshold)
     order = Window.partitionBy("group", "text").orderBy(*([F.desc(F.length("definition"))] if richest else []), "id")
     one = rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("group", "text", "definition")
     return kept.join(one, ["group", "text"])
