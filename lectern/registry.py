@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import json_recovery, prompts, text
@@ -15,7 +15,7 @@ from lectern.operators import dashboard, dedup, engagement, graph, lecture, libr
 from lectern.plans.bindings import Tables, sql
 from lectern.plans.session import new_path
 from lectern.sources import files, models
-from lectern.streaming import live
+from lectern.streaming import live, sessions, slides
 
 QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 NOW = "2024-01-30 00:00:00"
@@ -302,15 +302,131 @@ query("session_steps", f"with e as (select event_id, {_STEP_STATES!r}[(event_id
 
 
 
-def _slides(t: Tables) -> DataFrame:
-    """Two pictures in turn, one frame in two seconds: a frame is new where the picture changes."""
-    seen = F.array(*map(F.lit, (1.0, 2.0, 3.0))), F.array(*map(F.lit, (3.0, 1.0, 2.0)))
-    picture = F.when(F.col("segment_index") % 3 == 0, seen[0]).otherwise(seen[1])
-    frames = t.segments().select(F.col("media_id").alias("stream"), (F.col("segment_index") * 2.0).alias("at"), picture.alias("histogram"), picture.alias("pixels"))
-    return live.slide_stats(frames, live.slide_changes(frames))
-
-
-query("slide_stats", sql("select media_id as stream, count(*) as seen, count(*) filter (segment_index % 3 < 2) as accepted, count(*) filter (segment_index % 3 = 2) as skipped, 100.0::double * count(*) filter (segment_index % 3 = 2) / count(*) as skipped_pct from segments group by 1", "segments"))(_slides)
+def _pictures(t: Tables) -> DataFrame:
+    """Frames of real vectors: four in a row are one picture, mixed with ever more of their own vector; 100 make a stream."""
+    e = t.raw("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("own"))
+    base = e.select((F.col("vec_id")).alias("first"), F.col("own").alias("base"))
+    mixed = F.zip_with("base", "own", lambda b, o: b + (F.col("vec_id") % 4) * 0.17 * o)
+    rows = e.withColumn("first", F.col("vec_id") - F.col("vec_id") % 4).join(base, "first").withColumn("v", mixed)
+    return rows.select(F.floor(F.col("vec_id") / 100).alias("stream"), (F.col("vec_id") % 100 * 0.75).alias("at"), F.slice("v", 1, 32).alias("histogram"), F.transform(F.slice("v", 33, 32), lambda x: x * 100 + 100).alias("pixels"))
+
+
+#: The fold over each stream, frame by frame.
+_FOLD = """
+with recursive e as (select vec_id, embedding::double[] as own from embeddings),
+mixed as (
+  select a.vec_id, list_transform(range(1, len(b.own) + 1), lambda k: b.own[k] + (a.vec_id % 4) * 0.17::double * a.own[k]) as v
+  from e a join e b on b.vec_id = a.vec_id - a.vec_id % 4),
+frames as (
+  select vec_id // 100 as stream, (vec_id % 100) * 0.75::double as pos, v[1:32] as h, list_transform(v[33:64], lambda x: x * 100 + 100) as p,
+         row_number() over (partition by vec_id // 100 order by vec_id) as n
+  from mixed),
+fold as (
+  select stream, n, pos as last_at, h as last_h, p as last_p, true as accepted from frames where n = 1
+  union all
+  select stream, n, case when new then pos else last_at end, case when new then h else last_h end, case when new then p else last_p end, new
+  from (
+    select *, pos - last_at >= 1 and (corr < 0.92 or ssim < 0.85) as new
+    from (
+      select f.*, last_at, last_h, last_p,
+             (list_dot_product(h, last_h) / 32 - list_avg(h) * list_avg(last_h))
+               / sqrt((list_dot_product(h, h) / 32 - list_avg(h) ** 2) * (list_dot_product(last_h, last_h) / 32 - list_avg(last_h) ** 2)) as corr,
+             (2 * list_avg(p) * list_avg(last_p) + 6.5025) * (2 * (list_dot_product(p, last_p) / 32 - list_avg(p) * list_avg(last_p)) + 58.5225)
+               / ((list_avg(p) ** 2 + list_avg(last_p) ** 2 + 6.5025)
+                  * (list_dot_product(p, p) / 32 - list_avg(p) ** 2 + list_dot_product(last_p, last_p) / 32 - list_avg(last_p) ** 2 + 58.5225)) as ssim
+      from fold l join frames f on f.stream = l.stream and f.n = l.n + 1)))
+"""
+_SLIDE_STATS = "select stream, count(*) as seen, count(*) filter (accepted) as accepted, count(*) filter (not accepted) as skipped, 100.0::double * count(*) filter (not accepted) / count(*) as skipped_pct from fold group by 1"
+
+
+query("slide_stats", _FOLD + _SLIDE_STATS)(lambda t: live.slide_stats(_pictures(t), slides.slide_changes(_pictures(t))))
+
+
+def _arriving(t: Tables, rows: DataFrame, name: str) -> DataFrame:
+    """The rows as files in no order, of which a stream takes a third at a time; arrived is the time of the file."""
+    path, files = new_path(t.spark, name), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.json(path)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 3)).json(path)
+    return stream.withColumn("arrived", F.col("_metadata.file_modification_time"))
+
+
+def _ended(t: Tables, rows: DataFrame, mode: str) -> DataFrame:
+    """What a stream with keyed state gives, and the batch that gave it, after all input."""
+    out, state = new_path(t.spark, "stream-out"), new_path(t.spark, "stream-state")
+    with sessions.keyed_state(t.spark):
+        stream = rows.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+        stream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+_EVENT_OF = {"click": "start", "view": "stop", "purchase": "end", "signup": "finish", "error": "fail"}
+
+
+def _session_events(t: Tables) -> DataFrame:
+    """A user's events, twelve to a session."""
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    kinds = F.create_map(*(F.lit(x) for pair in _EVENT_OF.items() for x in pair))
+    e = t.raw("events").withColumn("at", at)
+    event = F.when(F.col("event_id") % 9 == 0, "cancel").otherwise(kinds[F.col("event_type")])
+    return e.select(F.concat("user_id", F.lit("-"), F.floor(F.col("at") / 12)).alias("session_id"), (F.col("at") % 12 + 1).cast("long").alias("seq"), event.alias("event"))
+
+
+def _machine(t: Tables) -> DataFrame:
+    """Events that arrive in no order, some of them twice."""
+    e = _session_events(t)
+    rows = _arriving(t, e.withColumn("copy", F.lit(0)).unionByName(e.where("seq % 5 = 0").withColumn("copy", F.lit(1))), "session-events")
+    return _ended(t, sessions.machine(rows), "append").select("session_id", "seq", "state", "allowed")
+
+
+#: A fold over each session's events, one by one.
+query("session_machine", f"""
+with recursive ev as (
+  select user_id || '-' || (k // 12) as session_id, k % 12 + 1 as seq,
+         case when event_id % 9 = 0 then 'cancel' {' '.join(f"when event_type = '{k}' then '{v}'" for k, v in _EVENT_OF.items())} end as event
+  from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as k from events)),
+fold as (
+  select session_id, 0::bigint as seq, 'created' as state, true as allowed from ev where seq = 1
+  union all
+  select session_id, seq, coalesce(nxt, state), nxt is not null
+  from (
+    select e.session_id, e.seq, f.state,
+           case when event = 'start' and state = 'created' then 'recording'
+                when event = 'stop' and state = 'recording' then 'stopped'
+                when event = 'end' and state in ('created', 'recording', 'stopped') then 'processing'
+                when event = 'finish' and state = 'processing' then 'done'
+                when event = 'fail' and state in ('created', 'recording', 'stopped', 'processing') then 'error'
+                when event = 'cancel' and state in ('created', 'recording', 'stopped', 'error') then 'cancelled' end as nxt
+    from fold f join ev e on e.session_id = f.session_id and e.seq = f.seq + 1))
+select session_id, seq, state, allowed from fold where seq > 0""")(_machine)
+
+
+def _transcripts(t: Tables) -> DataFrame:
+    """Chunks that arrive in no order, some twice; every second session has a final pass, every tenth is cancelled."""
+    segs = live.shifted(_live(t)).withColumns({"full": F.lit(False), "cancelled": F.lit(False)})
+    number = F.substring("session_id", 2, 20).cast("long")
+    full = segs.where(number % 2 == 0).withColumns({"full": F.lit(True), "chunk_index": F.lit(0), "start": F.col("id") * 2.0, "end": F.col("id") * 2.0 + 1, "text": F.concat(F.lit(" full "), "id", F.lit("\n"))})
+    gone = segs.where((number % 10 == 9) & (F.col("id") == 0)).withColumns({"cancelled": F.lit(True), "text": F.lit(None).cast("string")})
+    rows = segs.unionByName(segs.where("id % 3 = 0")).unionByName(full).unionByName(gone)
+    out = _ended(t, sessions.transcripts(_arriving(t, rows, "segments")), "update")
+    return out.groupBy("session_id").agg(F.max_by(F.struct("segments", "words", "newest_chunk", "final", "cancelled", "text"), "batch").alias("s")).select("session_id", "s.*")
+
+
+query("live_transcripts", f"""
+with {_LIVE}, gone as (select session_id from segs where session_id[2:]::bigint % 10 = 9 and id = 0),
+every as (
+  select session_id, chunk_index, start + chunk_index * 15 as start, id, text, false as is_full from segs
+  union all
+  select session_id, 0, id * 2.0::double, id, ' full ' || id || chr(10), true from segs where session_id[2:]::bigint % 2 = 0),
+kept as (select * from every where session_id not in (from gone)),
+firsts as (select *, row_number() over (partition by session_id, start order by is_full, id, text) as rn from kept),
+told as (
+  select session_id, count(*) as segments, string_agg(trim(text, ' ' || chr(9) || chr(10) || chr(13)), ' ' order by start) as text
+  from firsts where rn = 1 group by 1),
+seen as (select session_id, max(case when is_full then -1 else chunk_index end) as newest_chunk, bool_or(is_full) as final from kept group by 1)
+select session_id, segments, len(regexp_extract_all(text, '[^ \\t\\r\\n]+'))::bigint as words, newest_chunk, final, false as cancelled, text
+from told join seen using (session_id)
+union all
+select session_id, 0, 0, -1, false, true, '' from gone""")(_transcripts)
 
 
 def _streamed(t: Tables) -> DataFrame:

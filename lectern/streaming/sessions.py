@@ -7,6 +7,7 @@ batch that folds the same rows in order gives the same results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from lectern.functions.text import strip
 from lectern.streaming.live import step
 from lectern.streaming.slides import Slides
 
@@ -23,6 +25,8 @@ from lectern.streaming.slides import Slides
 GAP, KEEP, LATE = 10 * 60 * 1000, 24 * 3600 * 1000, "6 hours"
 
 
+WORD = r"[^ \t\r\n]+"
+
 #: Settings of streams with these processors: state in RocksDB, and no checksum files beside those of checkpoints, whose
 #: few threads wait for each other in Spark 4.1 when as many tasks commit at a time.
 SETTINGS = {
@@ -170,13 +174,13 @@ class Transcript(_Timed):
                 chunk, full = max(chunk, -1 if r.full else int(r.chunk_index)), full or bool(r.full)
         if cancelled:
             self.segments.clear()
-            there, changed = {}, set()
+            there, changed, chunk, full = {}, set(), -1, False
         for start in changed:
             self.segments.updateValue((start,), there[start])
         self.newest.update((chunk, full, cancelled))
         self.wake(arrived, self.keep)
         text = " ".join(there[s][3].strip() for s in sorted(there))
-        yield pd.DataFrame({"session_id": [key[0]], "segments": [len(there)], "words": [len(text.split())], "newest_chunk": [chunk], "final": [full], "cancelled": [cancelled], "text": [text]})
+        yield pd.DataFrame({"session_id": [key[0]], "segments": [len(there)], "words": [len(re.findall(WORD, text))], "newest_chunk": [chunk], "final": [full], "cancelled": [cancelled], "text": [text]})
 
     @staticmethod
     def _order(segment: tuple) -> tuple:
@@ -204,10 +208,10 @@ def transcripts_at_once(segments: DataFrame) -> DataFrame:
     """The last state of each session that isn't cancelled, of a batch of all segments."""
     segments = segments.join(segments.where("cancelled").select("session_id").distinct(), "session_id", "left_anti")
     first = segments.groupBy("session_id", "start").agg(F.min_by("text", F.struct("full", "id", "text")).alias("text"))
-    lines = first.groupBy("session_id").agg(F.count("*").alias("segments"), F.array_sort(F.collect_list(F.struct("start", F.trim(F.coalesce("text", F.lit(""))).alias("text")))).alias("lines"))
+    lines = first.groupBy("session_id").agg(F.count("*").alias("segments"), F.array_sort(F.collect_list(F.struct("start", strip(F.coalesce("text", F.lit(""))).alias("text")))).alias("lines"))
     seen = segments.groupBy("session_id").agg(F.max(F.when(~F.col("full"), F.col("chunk_index")).otherwise(-1)).alias("newest_chunk"), F.bool_or("full").alias("final"))
     text = F.array_join("lines.text", " ")
-    return lines.join(seen, "session_id").select("session_id", "segments", F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("words"), "newest_chunk", "final", text.alias("text"))
+    return lines.join(seen, "session_id").select("session_id", "segments", F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"), "newest_chunk", "final", text.alias("text"))
 
 
 # --- slides (L14) ------------------------------------------------------------------------------------------------
