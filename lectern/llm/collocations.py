@@ -3,8 +3,9 @@
 1. Words are counted by language. The frequent ones, the commonest first, are the dictionary.
 2. An n-gram belongs to its pivot, its rarest word by the order of the dictionary. Each occurrence of a word becomes
    a fragment: the words around it that an n-gram of MOST_WORDS reaches, cut where one is rarer (or infrequent, or a
-   piece ends). To its left also an equal word cuts, so that an n-gram's leftmost pivot alone has it. Equal fragments
-   of a few megabytes of text are one with a count; fragments go to their pivot.
+   piece ends). To its left also an equal word cuts, so that an n-gram's leftmost pivot alone has it. Words are
+   rewritten to short codes of their ranks. Equal fragments of a few megabytes of text are one with a count;
+   fragments go to their pivot.
 3. Pivot by pivot, n-grams around the pivot are counted; frequent ones are emitted, and no other task has any of them.
    A pivot with more than BLOCK occurrences is dealt to as many blocks, whose counts are added up.
 4. Scores look up the parts of the few candidates among the candidates and words; parts that many ask for meet a broadcast.
@@ -21,6 +22,7 @@ gives no rows.
 from __future__ import annotations
 
 from collections import Counter
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
@@ -36,8 +38,8 @@ LEAST, MOST_WORDS, TOP, NO_LANG = 100, 5, 2000, "und"
 DICTIONARY, WORD_BYTES = 500_000, 64
 #: Occurrences of a pivot that one group mines at most.
 BLOCK = 1_000_000
-#: Bytes of text whose fragments are counted together, and rows that are mined together.
-CHUNK, ROWS = 2 << 20, 1 << 16
+#: Bytes of text whose fragments are counted together, and whose words are; rows that are mined together.
+CHUNK, COUNTED, ROWS = 1 << 20, 8 << 20, 1 << 16
 
 REACH = MOST_WORDS - 1
 #: Parts pieces; the byte 0xFF is in no UTF-8 text and stands for these.
@@ -45,8 +47,8 @@ SEPARATORS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 _TABLE = bytes.maketrans(SEPARATORS + b"\t", END * len(SEPARATORS) + b" ")
 
 
-def by_lang(batches):
-    """(lang, texts as bytes) of about CHUNK bytes each; one text may be longer."""
+def by_lang(batches, size: int):
+    """(lang, texts as bytes) of about so many bytes each; one text may be longer."""
     held: dict[str, list[bytes]] = {}
     sizes: Counter = Counter()
     for b in batches:
@@ -54,7 +56,7 @@ def by_lang(batches):
             text = text.as_py() or b""
             held.setdefault(lang, []).append(text)
             sizes[lang] += len(text)
-            if sizes[lang] >= CHUNK:
+            if sizes[lang] >= size:
                 yield lang, held.pop(lang)
                 del sizes[lang]
     yield from held.items()
@@ -75,7 +77,7 @@ def counted_words(docs: DataFrame) -> DataFrame:
     """lang, word and f, its occurrences."""
 
     def count(batches):
-        for lang, texts in by_lang(batches):
+        for lang, texts in by_lang(batches, COUNTED):
             found: Counter = Counter()
             for words in chunks(texts):
                 found.update(words)
@@ -85,13 +87,33 @@ def counted_words(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
+#: Codes of ranks are strings of these bytes; a word outside the dictionary is its own code after the byte RAW.
+DIGITS, RAW = bytes(x for x in range(255) if x != 32), b"\xff"
+_codes: list[bytes] = []
+_rank_of: dict[bytes, int] = {}
+
+
+def codes(n: int) -> list[bytes]:
+    """The codes of the ranks from 0 to n - 1, short ones first; more may follow."""
+    while len(_codes) < n:
+        r, code = len(_codes) + 1, b""
+        while r:
+            r, digit = divmod(r - 1, len(DIGITS))
+            code = DIGITS[digit : digit + 1] + code
+        _rank_of[code] = len(_codes)
+        _codes.append(code)
+    return _codes
+
+
 class Dictionary:
     """For each language its words, the commonest first, with the key of their pivot's group and its number of blocks."""
 
     def __init__(self, rows: pa.Table, whole: bool):
         self.whole, self.langs, self.ranks = whole, {}, {}
+        rows = rows.sort_by([("lang", "ascending"), ("f", "descending"), ("word", "ascending")])
+        rows = rows.append_column("key", pa.array(np.arange(rows.num_rows)))
         for lang in pc.unique(rows["lang"]).to_pylist():
-            own = rows.filter(pc.equal(rows["lang"], lang)).sort_by([("f", "descending"), ("word", "ascending")])
+            own = rows.filter(pc.equal(rows["lang"], lang))
             self.langs[lang] = own["word"].combine_chunks().cast(pa.binary()), np.asarray(own["key"]), 1 + np.asarray(own["f"]) // BLOCK
 
     def __getstate__(self) -> dict:
@@ -103,34 +125,38 @@ class Dictionary:
             self.ranks[lang] = {w: i for i, w in enumerate(words)}
         return self.ranks[lang]
 
-    def read(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words' ranks, -1 for those that are in no candidate; key and number of blocks by rank."""
+    def read(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """The words' ranks, -1 for those that are in no candidate, and their codes; key and number of blocks by rank."""
         rank = self.rank(lang)
         _, key, blocks = self.langs.get(lang, (None, np.zeros(0, np.int64), np.zeros(0, np.int64)))
         ids = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
+        short, others = codes(len(rank) + 1), []
         if not self.whole:
             others = sorted({words[i] for i in np.flatnonzero(ids < 0)} - {END})
             more = {w: len(rank) + i for i, w in enumerate(others)}
             for i in np.flatnonzero(ids < 0):
                 ids[i] = more.get(words[i], -1)
-            other = other_keys(lang, others)
-            key, blocks = np.concatenate([key, other]), np.concatenate([blocks, np.ones(len(other), np.int64)])
-        return ids, key, blocks
+            short = [*short[: len(rank)], *(RAW + w for w in others), b""]
+            key, blocks = np.concatenate([key, other_keys(lang, others)]), np.concatenate([blocks, np.ones(len(others), np.int64)])
+        return ids, list(map(short.__getitem__, ids.tolist())), key, blocks
 
+    def phrase(self, lang: str, code: bytes) -> str:
+        words = self.langs[lang][0] if lang in self.langs else None
+        return b" ".join(c[1:] if c.startswith(RAW) else words[_rank_of[c]].as_py() for c in code.split(b" ")).decode("utf-8", "replace")
 
-def other_keys(lang: str, words: list[bytes]) -> np.ndarray:
-    """Keys of the groups of words outside the dictionary."""
-    from hashlib import blake2b
 
-    return np.array([int.from_bytes(blake2b(w, digest_size=8, key=lang.encode()[:64]).digest(), "little", signed=True) for w in words], np.int64)
+def other_keys(lang: str, words: list[bytes]) -> np.ndarray:
+    """Keys of the groups of words outside the dictionary, below 0; words may share one."""
+    return np.array([-1 - int.from_bytes(blake2b(w, digest_size=7, key=lang.encode()[:64]).digest(), "little") for w in words], np.int64)
 
 
 def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """The slices of data as strings."""
+    """The slices of data."""
     ends = np.cumsum(size)
     index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
-    offsets = np.append(0, ends).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[index]))])
+    short = not len(ends) or ends[-1] < 1 << 31
+    offsets = np.append(0, ends).astype(np.int32 if short else np.int64)
+    return pa.Array.from_buffers(pa.binary() if short else pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[index]))])
 
 
 def extents(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,90 +186,105 @@ def windows(lists):
     yield before + held, len(before), len(before) + len(held)
 
 
-#: left holds the words left of the pivot, and this if the pivot's counts are parts of sums.
-IN_BLOCKS = 8
+#: A fragment's route is its pivot's key, of one of its blocks, in the bits above; IN_BLOCKS if the pivot has several; and
+#: in the lowest bits the number of words left of the pivot.
+SHIFT, IN_BLOCKS = 4, 8
+#: Between the keys of a pivot's blocks; no dictionary has as many words.
+NEXT_BLOCK = 1 << 32
 
 
 def fragments(lang: str, texts: list[bytes], dictionary: Dictionary, turn: int) -> pa.Table:
-    """key, left, fragment and n for the fragments of texts. turn: where dealing to blocks starts."""
+    """route, fragment and n for the fragments of texts. turn: where dealing to blocks starts."""
     found = []
     for words, a, z in windows(chunks(texts)):
-        ids, key, blocks = dictionary.read(lang, words)
+        ids, short, key, blocks = dictionary.read(lang, words)
         left, right = extents(ids)
         at = a + np.flatnonzero((left + right)[a:z] > 0)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        sizes = np.fromiter(map(len, short), np.int64, len(words))
         starts = np.cumsum(sizes + 1) - (sizes + 1)
-        data = np.frombuffer(b" ".join(words), np.uint8)
+        data = np.frombuffer(b" ".join(short), np.uint8)
         first, last = at - left[at], at + right[at]
         text = slices(data, starts[first], starts[last] + sizes[last] - starts[first])
-        many = blocks[ids[at]]
-        rows = pa.table({"key": key[ids[at]], "left": (left[at] + IN_BLOCKS * (many > 1)).astype(np.int8), "fragment": text, "blocks": many.astype(np.int32)})
-        rows = rows.group_by(["key", "left", "fragment", "blocks"], use_threads=False).aggregate([([], "count_all")])
-        block = (np.arange(rows.num_rows) + turn) % np.asarray(rows["blocks"])
-        with np.errstate(over="ignore"):
-            dealt = np.asarray(rows["key"]) + block * np.int64(0x632BE59BD9B4E019)
-        found.append(pa.table({"key": dealt, "left": rows["left"], "fragment": rows["fragment"], "n": rows["count_all"]}))
+        routes = (key[ids[at]] << SHIFT) + IN_BLOCKS * (blocks[ids[at]] > 1) + left[at]
+        rows = pa.table({"route": routes, "fragment": text}).group_by(["route", "fragment"], use_threads=False).aggregate([([], "count_all")])
+        routes = np.asarray(rows["route"])
+        many = np.flatnonzero(routes & IN_BLOCKS)  # their words are in the dictionary
+        block = (many + turn) % blocks[(routes[many] >> SHIFT) - key[0]] if len(many) else many
+        dealt = routes.copy()
+        dealt[many] += block * NEXT_BLOCK << SHIFT
+        found.append(pa.table({"route": dealt, "fragment": rows["fragment"], "n": rows["count_all"]}))
         turn += rows.num_rows
     return pa.concat_tables(found)
 
 
 def mined(rows: pa.Table) -> pa.Table:
-    """n for the phrases of fragments, by key, lang, whole and phrase. rows: key, lang, left, fragment, n."""
-    text = rows["fragment"].combine_chunks().cast(pa.large_binary())
-    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    """n for the phrases of fragments, by pivot (a route without its lowest bits), lang and phrase. rows: route, fragment, n, lang."""
+    text = rows["fragment"].combine_chunks()
+    offsets = np.frombuffer(text.buffers()[1], np.int32 if text.type == pa.binary() else np.int64)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     data = np.frombuffer(text.buffers()[2], np.uint8)[: offsets[-1]]
     blanks = offsets[0] + np.flatnonzero(data[offsets[0] :] == 32)
     starts, ends = np.sort(np.concatenate([offsets[:-1], blanks + 1])), np.sort(np.concatenate([offsets[1:], blanks]))
     size = np.diff(np.searchsorted(blanks, offsets)) + 1
-    left = np.asarray(rows["left"])
-    parts, left = left >= IN_BLOCKS, (left % IN_BLOCKS).astype(np.int64)
-    right, pivot = size - 1 - left, np.cumsum(size) - size + left
+    route = np.asarray(rows["route"])
+    left = route % IN_BLOCKS
+    right, place = size - 1 - left, np.cumsum(size) - size + left
     of, start, end = [], [], []
     for a in range(REACH + 1):
         for z in range(max(0, 1 - a), REACH + 1 - a):
             some = np.flatnonzero((left >= a) & (right >= z))
             of.append(some)
-            start.append(starts[pivot[some] - a])
-            end.append(ends[pivot[some] + z])
+            start.append(starts[place[some] - a])
+            end.append(ends[place[some] + z])
     of, start, end = map(np.concatenate, (of, start, end))
     names = rows["lang"].combine_chunks().dictionary_encode()
-    flat = pa.table({"key": np.asarray(rows["key"])[of], "lang": names.indices.take(pa.array(of)), "parts": parts[of], "phrase": slices(data, start, end - start), "n": np.asarray(rows["n"])[of]})
+    flat = pa.table({"pivot": (route // IN_BLOCKS)[of], "lang": np.asarray(names.indices)[of], "phrase": slices(data, start, end - start), "n": np.asarray(rows["n"])[of]})
     flat = added(flat)
-    return flat.set_column(flat.schema.get_field_index("lang"), "lang", names.dictionary.take(flat["lang"].combine_chunks()))
+    return flat.set_column(1, "lang", names.dictionary.take(flat["lang"].combine_chunks()))
 
 
-def added(rows: pa.Table) -> pa.Table:
-    return rows.group_by(["key", "lang", "parts", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["key", "lang", "parts", "phrase", "n"])
+def added(*tables: pa.Table) -> pa.Table:
+    if len({t["phrase"].type for t in tables}) > 1:
+        tables = [t.set_column(2, "phrase", t["phrase"].cast(pa.large_binary())) for t in tables]
+    return pa.concat_tables(tables).group_by(["pivot", "lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["pivot", "lang", "phrase", "n"])
 
 
-def mine(batches, least: int):
+def mine(batches, least: int, known: Dictionary):
     """Counts of the phrases of sorted rows; only those of parts or with least occurrences are kept. One pivot is held at a time."""
     held, n, open_ = [], 0, None
 
-    def step():
-        nonlocal open_
+    def step() -> pa.Table:
+        """Counts of the rows held, and those of the pivot before that isn't done."""
         rows = mined(pa.Table.from_batches(held))
-        if open_ is not None:
-            rows = added(pa.concat_tables([open_, rows]))
-        return rows
+        if open_ is None:
+            return rows
+        same = pc.equal(rows["pivot"], open_["pivot"][0])
+        first, others = added(open_, rows.filter(same)), rows.filter(pc.invert(same))
+        if first["phrase"].type != others["phrase"].type:
+            others = others.set_column(2, "phrase", others["phrase"].cast(first["phrase"].type))
+        return pa.concat_tables([first, others])
 
     def done(rows: pa.Table):
-        rows = rows.filter(pc.or_(rows["parts"], pc.greater_equal(rows["n"], least)))
-        rows = rows.select(["lang", "phrase", "n", "parts"]).cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("parts", pa.bool_())]))
+        parts = np.asarray(rows["pivot"]) % 2 == 1
+        kept = parts | (np.asarray(rows["n"]) >= least)
+        rows, parts = rows.filter(pa.array(kept)), parts[kept]
+        words = [known.phrase(*r) for r in zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist(), strict=True)]
+        rows = pa.table({"lang": rows["lang"], "phrase": pa.array(words, pa.string()), "n": rows["n"], "parts": pa.array(parts)})
         return rows.to_batches(max_chunksize=10_000)
 
+    codes(max((len(words) for words, _, _ in known.langs.values()), default=0))
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(b.set_column(b.schema.get_field_index("fragment"), "fragment", b.column("fragment").cast(pa.large_string())))
+        held.append(b)
         n += b.num_rows
         if n >= ROWS:
-            last = held[-1].column("key")[-1]
             rows = step()
+            last = held[-1].column("route")[-1].as_py() // IN_BLOCKS
             held, n = [], 0
-            same = pc.equal(rows["key"], last)
+            same = pc.equal(rows["pivot"], last)
             yield from done(rows.filter(pc.invert(same)))
             open_ = rows.filter(same)
+            open_ = open_ if open_.num_rows else None
     if held:
         yield from done(step())
     elif open_ is not None:
@@ -252,20 +293,19 @@ def mine(batches, least: int):
 
 def candidates(docs: DataFrame, words: DataFrame, least: int = LEAST, most: int = DICTIONARY) -> DataFrame:
     """lang, phrase and a, its occurrences, for phrases of 2 to MOST_WORDS words. docs: lang, text; words: written, lang, word, f >= least."""
-    short = words.where(F.octet_length("word") <= WORD_BYTES).withColumn("key", F.xxhash64("lang", "word"))
-    rows = short.orderBy(F.desc("f"), "lang", "word").limit(most).toArrow()  # at most DICTIONARY short words
+    rows = words.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("f"), "lang", "word").limit(most).toArrow()  # at most DICTIONARY short words
     dictionary = docs.sparkSession.sparkContext.broadcast(Dictionary(rows, rows.num_rows == words.count()))
 
     def route(batches):
         known, turn = dictionary.value, TaskContext.get().partitionId()
-        for lang, texts in by_lang(batches):
+        for lang, texts in by_lang(batches, CHUNK):
             rows = fragments(lang, texts, known, turn)
             turn += rows.num_rows
-            rows = rows.append_column("lang", pa.array([lang] * rows.num_rows, pa.string())).select(["lang", "key", "left", "fragment", "n"])
-            yield from rows.cast(pa.schema([("lang", pa.string()), ("key", pa.int64()), ("left", pa.int8()), ("fragment", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=50_000)
+            rows = rows.append_column("lang", pa.array([lang] * rows.num_rows, pa.string()))
+            yield from rows.cast(pa.schema([("route", pa.int64()), ("fragment", pa.binary()), ("n", pa.int64()), ("lang", pa.string())])).to_batches(max_chunksize=50_000)
 
-    routed = docs.select("lang", "text").mapInArrow(route, "lang string, key long, left byte, fragment string, n long")
-    found = routed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda bs: mine(bs, least), "lang string, phrase string, n long, parts boolean")
+    routed = docs.select("lang", "text").mapInArrow(route, "route long, fragment binary, n long, lang string")
+    found = routed.repartition(F.shiftright("route", SHIFT)).sortWithinPartitions("route").mapInArrow(lambda bs: mine(bs, least, dictionary.value), "lang string, phrase string, n long, parts boolean")
     found = written(found, "phrases-mined")
     sums = found.where("parts").groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return found.where("not parts").select("lang", "phrase", F.col("n").alias("a")).unionByName(sums)
