@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import filename_title, path_stem, words
+from lectern.functions.text import filename_title, words
+from lectern.sources import artifacts as artifact_files
 
 #: File extensions by kind of upload.
 EXTENSIONS = {
@@ -177,14 +178,24 @@ def delete_prefix(spark: SparkSession, folder: str, prefix: str) -> int:
     return sum(bool(fs.delete(f.getPath(), True)) for f in found)
 
 
-def read_json(spark: SparkSession, listing_path: str, artifact: str, schema: str) -> DataFrame:
-    """JSON artifacts of a kind with their stem."""
-    rows = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", f"*{ARTIFACTS[artifact]}").option("recursiveFileLookup", "true").json(listing_path)
-    return rows.withColumn("stem", F.regexp_replace(path_stem(F.input_file_name()), re.escape(ARTIFACTS[artifact].rsplit(".", 1)[0]) + "$", ""))
+def read_json(spark: SparkSession, path: str, artifact: str, schema: str, shards: int = 1) -> DataFrame:
+    """JSON artifacts of a kind with their stem (S7); a file that isn't valid has null columns."""
+    rows = artifact_files.read_artifacts(spark, path, shards).where(F.col("artifact") == artifact)
+    told = F.from_json(F.col("content").cast("string"), schema)
+    return rows.select("stem", told.alias("_j")).select("_j.*", "stem")
 
 
-def write_json(rows: DataFrame, path: str, by: str = "stem") -> None:
-    rows.write.mode("overwrite").partitionBy(by).json(path)
+def write_json(rows: DataFrame, path: str, artifact: str, by: str = "stem", shards: int = 1) -> None:
+    """Each row as the JSON object of its other columns, in a file named by its stem."""
+    told = F.to_json(F.struct(*(c for c in rows.columns if c != by)), {"ignoreNullFields": "false"})
+    artifact_files.write_artifacts(rows.select(F.col(by).alias("stem"), F.lit(artifact).alias("artifact"), told.alias("content")), path, shards)
+
+
+def write_transcript_files(transcripts: DataFrame, path: str, shards: int = 1) -> None:
+    """Each transcript (stem, full_text and others) as `<stem>_transcript.txt` and `<stem>_transcript.json`."""
+    told = F.to_json(F.struct(*(c for c in transcripts.columns if c != "stem")), {"ignoreNullFields": "false"})
+    both = F.array(F.struct(F.lit("transcript_txt").alias("artifact"), F.col("full_text").alias("content")), F.struct(F.lit("transcript_json").alias("artifact"), told.alias("content")))
+    artifact_files.write_artifacts(transcripts.select("stem", F.explode(both).alias("f")).select("stem", "f.*"), path, shards)
 
 
 def write_transcripts(transcripts: DataFrame, path: str, files: int | None = None) -> None:
