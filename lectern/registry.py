@@ -14,7 +14,7 @@ from lectern.functions import json_recovery, prompts, text
 from lectern.operators import dashboard, dedup, engagement, graph, lecture, library, media, recommendations, writes
 from lectern.plans.bindings import Tables, sql
 from lectern.plans.session import new_path
-from lectern.sources import files, models
+from lectern.sources import artifacts, files, models
 from lectern.streaming import live, sessions, slides
 
 QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -461,6 +461,36 @@ def _listed(t: Tables) -> DataFrame:
     return files.listed(t.media().select(F.concat(F.lit("out/"), "batch_stem", names).alias("path"), F.col("uploaded_at").alias("modificationTime")))
 
 
+def _user_answers(t: Tables) -> DataFrame:
+    """A row a user with all answers in order, as the progress artifact holds them."""
+    answer = F.struct("event_id", F.col("value").alias("score"), (F.col("value") > 50).alias("correct"))
+    return t.raw("events").groupBy(F.concat(F.lit("user "), "user_id").alias("stem")).agg(F.array_sort(F.collect_list(answer)).alias("answers"))
+
+
+def _progress_files(t: Tables) -> DataFrame:
+    """Written as one file a user, and read from the files."""
+    path, shards = new_path(t.spark, "artifacts"), 16
+    files.write_json(_user_answers(t), path, "progress", shards=shards)
+    found = files.read_json(t.spark, path, "progress", "answers array<struct<event_id:long,score:double,correct:boolean>>", shards)
+    return found.select("stem", F.explode("answers").alias("a")).select("stem", "a.*")
+
+
+query("progress_files", "select 'user ' || user_id as stem, event_id, value as score, value > 50 as correct from events")(_progress_files)
+
+
+def _transcript_listing(t: Tables) -> DataFrame:
+    """Transcripts of sessions as text and JSON files; the listing of the text files, which reads none."""
+    path, shards = new_path(t.spark, "artifacts"), 16
+    parts = F.array_sort(F.collect_list(F.struct("id", "text")))
+    texts = _live(t).groupBy(F.col("session_id").alias("stem")).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("full_text"), F.count("*").alias("segments"))
+    files.write_transcript_files(texts, path, shards)
+    found = artifacts.read_artifacts(t.spark, path, shards, contents=False).where("artifact = 'transcript_txt'")
+    return found.select("stem", "artifact", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")
+
+
+query("transcript_files", f"with {_LIVE} select session_id as stem, 'transcript_txt' as artifact, session_id || '_transcript.txt' as name, strlen(string_agg(text, chr(10) order by id, text))::bigint as length from segs group by 1")(_transcript_listing)
+
+
 def _uploads(t: Tables) -> DataFrame:
     name = F.concat(F.lit("up/"), F.col("id"), F.lit("."), F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("id") % len(_ENDINGS) + 1).cast("int")))
     return t.media().select("id", *(files.uploadable(name, k).alias(k) for k in ("video", "image", "audio", "document")))
