@@ -8,13 +8,14 @@ A table has PROJECTIONS projections, and more beyond MANY vectors, by the logari
 of each a query visits is fitted: SAMPLE_QUERIES queries are compared with every vector, and the fewest probes are
 taken that would have reached RECALL of their nearest. Every vector is indexed.
 
-Each query has a bar first: the similarity of its K-th nearest in a SAMPLE_SHARE-th of the vectors (see bars()). Below
-it nothing can be among the K nearest, so that a query gives a bounded number of candidates however many cells it
-visits. Buckets are dealt to cells of about CELL entries; a larger bucket is split over several. A cell holds its
-vectors in half precision once, and each query once that probes one of its buckets. What may be among the K nearest,
-with a margin for the precision, is then compared exactly, on the original vectors.
+A query visits its likeliest buckets of a few tables first. The similarity of the K-th nearest that it meets there is
+its bar: below it nothing can be among the K nearest, so that a query gives a bounded number of candidates however
+many cells it visits. Then it visits the others. Buckets are dealt to cells of about CELL entries; a larger bucket is
+split over several. A cell holds its vectors in half precision once, and each query once that probes one of its
+buckets. What may be among the K nearest, with a margin for the precision, is then compared exactly, on the original vectors.
 
-A query that finds fewer than K candidates, as in tiny tables, is compared with every vector, in blocks.
+A query that has met fewer than K vectors by then, as in tiny tables, is hashed again with half as many projections, and so
+on down to one: nothing is ever compared but what shares a visited bucket.
 
 Defined cases: vectors that are null, empty, zero, or hold null, NaN or infinite components take no part and a
 query of that kind has no rows; vectors of different dimensions are no candidates for each other; ties go to the
@@ -38,7 +39,9 @@ from .pstable import Projections, by_dimension, takes_part, unit
 
 TABLES, WIDTH, K, CELL = 32, 3.0, 5, 8192
 PROJECTIONS, MANY, MOST_PROBES = 16, 100_000, 128
-RECALL, SAMPLE_QUERIES, SAMPLE_SHARE = 0.935, 128, 16
+RECALL, SAMPLE_QUERIES = 0.935, 128
+#: Tables and their buckets that a query visits first.
+FIRST_TABLES, FIRST_PROBES = 8, 4
 #: More than twice the error of a cosine of which one vector is in half precision.
 MARGIN = 2e-3
 
@@ -143,28 +146,6 @@ def _nearest(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_rank", rank).withColumn("_least", least).where(F.col("about") >= F.col("_least") - MARGIN).select("query", "uid")
 
 
-def bars(rows: DataFrame, queries: DataFrame, k: int, total: int) -> tuple[DataFrame, DataFrame]:
-    """(query, uid, about) compared, and (uid, bar) of queries that met k vectors of the sample.
-
-    The sample is compared in blocks. A large one has a sample of its own first, with bars of its own, so that in
-    every step a query keeps about k * SAMPLE_SHARE vectors at most.
-    """
-    depth, bar = 1, None
-    while total > 4 * CELL * SAMPLE_SHARE ** depth:
-        depth += 1
-    for i in range(depth, 0, -1):
-        some = rows.where(F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(SAMPLE_SHARE**i)) == 0).select("uid", "vector")
-        found = written(_exact(some, _barred(queries, bar), k), "ann-bars")
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("about"), "uid"))
-        bar = written(found.withColumn("_rank", rank).where(F.col("_rank") == k).select(F.col("query").alias("uid"), F.col("about").alias("bar")), "ann-bar")
-    return found, bar
-
-
-def _barred(queries: DataFrame, bar: DataFrame | None) -> DataFrame:
-    least = F.coalesce("bar", F.lit(float("-inf"))).cast("float").alias("bar")
-    return queries.withColumn("bar", F.lit(float("-inf")).cast("float")) if bar is None else queries.join(bar, "uid", "left").select("uid", "vector", least)
-
-
 def _fit(rows: DataFrame, k: int, total: int) -> tuple[int, int]:
     queries = [(r["uid"], r["vector"]) for r in rows.where("is_query").orderBy(F.xxhash64("uid", F.lit(1)), "uid").select("uid", "vector").limit(SAMPLE_QUERIES).collect()]
     if not queries or total < 3:
@@ -183,7 +164,7 @@ def _fit(rows: DataFrame, k: int, total: int) -> tuple[int, int]:
 
 
 def _index(batches, projections: int):
-    """(bucket, uid, half): a row for each vector and table."""
+    """(tab, bucket, uid, half): a row for each vector and table."""
     made: dict[int, Projections] = {}
     for b in batches:
         for dim, at, rows in by_dimension(b.column("vector")):
@@ -193,11 +174,12 @@ def _index(batches, projections: int):
                 buckets = p.buckets(p.positions(units))
                 half = pa.array([v.tobytes() for v in units.astype("<f2")], pa.binary())
                 take = pa.array(np.repeat(np.arange(len(units)), TABLES), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel(), pa.int64()), b.column("uid").take(pa.array(at[some : some + 256], pa.int64())).take(take), half.take(take)], ["bucket", "uid", "half"])
+                tab = pa.array(np.tile(np.arange(TABLES, dtype=np.int8), len(units)))
+                yield pa.RecordBatch.from_arrays([tab, pa.array(buckets.ravel(), pa.int64()), b.column("uid").take(pa.array(at[some : some + 256], pa.int64())).take(take), half.take(take)], ["tab", "bucket", "uid", "half"])
 
 
 def _probes(batches, projections: int, probes: int):
-    """(bucket, uid): a row for each bucket that a query visits."""
+    """(bucket, uid, first): a row for each bucket that a query visits, and whether it is one of the first."""
     made: dict[int, Projections] = {}
     for b in batches:
         uids = np.asarray(b.column("uid"))
@@ -207,43 +189,53 @@ def _probes(batches, projections: int, probes: int):
             buckets = p.buckets(positions)
             fractions = positions - np.floor(positions)
             for i, row in enumerate(at):
-                moved = []
+                moved, first = [], []
                 for t in range(TABLES):
                     odd, own = p.odd[t].tolist(), int(buckets[i, t])
                     moved += [own + sum(odd[j] * s for j, s in steps) for steps in perturbations(fractions[i, t], probes)]
+                    first += [t < FIRST_TABLES and n < FIRST_PROBES for n in range(len(moved) - len(first))]
                 names = np.array([(x + (1 << 63)) % (1 << 64) - (1 << 63) for x in moved], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), uids[row]))], ["bucket", "uid"])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), uids[row])), pa.array(first)], ["bucket", "uid", "first"])
 
 
-def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, choice: tuple[int, int] | None = None) -> DataFrame:
-    """query_id, rank from 1, vec_id and score, the cosine, of the k nearest found for each query.
+def _short(queries: DataFrame, found: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The queries that have met fewer than k vectors, though there are more of their dimension."""
+    sizes = written(rows.groupBy(F.size("vector").alias("dim")).agg((F.count("*") - 1).alias("others")), "ann-dimensions")
+    met = found.groupBy("query").agg(F.count_distinct("uid").alias("n")).withColumnRenamed("query", "uid")
+    asking = lookup(queries.withColumn("dim", F.size("vector")), sizes, ["dim"]).join(met, "uid", "left")
+    return written(asking.where(F.coalesce("n", F.lit(0)) < F.least("others", F.lit(k))).select("uid", "vector"), "ann-short")
 
-    choice: projections and probes, fitted if not given.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    rows = written(rows.where(F.col("id").isNotNull() & takes_part(F.col("vector"))).withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    queries = rows.where("is_query").select("uid", "vector")
-    total = rows.count()
-    projections, probes = choice or _fit(rows, k, total)
-    cells = max(1, math.ceil(total * TABLES / CELL))
 
-    index = written(rows.select("uid", "vector").mapInArrow(lambda b: _index(b, projections), "bucket long, uid long, half binary"), "ann-index")
+def _visited(rows: DataFrame, queries: DataFrame, projections: int, probes: int, k: int, total: int) -> DataFrame:
+    """(query, uid, about) of what may be among the k nearest that share a visited bucket with a query."""
+    cells = max(1, math.ceil(total * TABLES / CELL))
+    index = written(rows.select("uid", "vector").mapInArrow(lambda b: _index(b, projections), "tab byte, bucket long, uid long, half binary"), "ann-index")
     sizes = written(index.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("pieces")), "ann-buckets")
     split = written(sizes.where("pieces > 1"), "ann-split")
     part = F.pmod(F.xxhash64("bucket"), F.lit(cells)).cast("int")
     held = lookup(index, split, ["bucket"], "left").withColumn("cell", part)
     held = held.withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("uid"), F.col("pieces"))).cast("int"))
-    probed = queries.mapInArrow(lambda b: _probes(b, projections, probes), "bucket long, uid long").join(sizes, "bucket")
+    probed = lookup(queries.mapInArrow(lambda b: _probes(b, projections, probes), "bucket long, uid long, first boolean"), sizes, ["bucket"])
     probed = probed.withColumn("cell", part).withColumn("piece", F.explode(F.when(F.col("pieces") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("pieces")))))
-    probed = written(probed.select("cell", "piece", "bucket", "uid"), "ann-probes")
-    compared, bar = bars(rows, queries, k, total)
-    visits = probed.select("cell", "piece", "uid").distinct().join(_barred(queries, bar), "uid")
+    probed = written(probed.select("cell", "piece", "bucket", "uid", "first"), "ann-probes")
+
+    first = written(_compared(held.where(F.col("tab") < FIRST_TABLES), probed.where("first"), queries.withColumn("bar", F.lit(float("-inf")).cast("float")), cells, k), "ann-first")
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("bar"), "found"))
+    bar = first.groupBy(F.col("query").alias("uid"), F.col("uid").alias("found")).agg(F.max("about").alias("bar"))
+    bar = bar.withColumn("_rank", rank).where(F.col("_rank") == k).select("uid", "bar")
+    least = F.coalesce("bar", F.lit(float("-inf"))).cast("float").alias("bar")
+    barred = written(queries.join(bar, "uid", "left").select("uid", "vector", least), "ann-bars")
+    return first.unionByName(written(_compared(held, probed.where("not first"), barred, cells, k), "ann-found"))
+
+
+def _compared(held: DataFrame, probed: DataFrame, queries: DataFrame, cells: int, k: int) -> DataFrame:
+    """(query, uid, about) of the k nearest above a query's bar in each cell. queries: uid, vector, bar."""
+    visits = probed.select("cell", "piece", "uid").distinct().join(queries, "uid")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("half", "binary"), ("vector", "array<double>"), ("bar", "float"))]
     all_ = held.select("cell", "piece", F.lit(0).alias("kind"), "bucket", "uid", "half", *none[1:])
     all_ = all_.unionByName(visits.select("cell", "piece", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "uid", none[0], "vector", "bar"))
     all_ = all_.unionByName(probed.select("cell", "piece", F.lit(2).alias("kind"), "bucket", "uid", *none))
-    all_ = all_.repartition(max(parts(spark), cells // 8), "cell", "piece").sortWithinPartitions("cell", "piece", "kind", "bucket", "uid")
+    all_ = all_.repartition(max(parts(held.sparkSession), cells // 8), "cell", "piece").sortWithinPartitions("cell", "piece", "kind", "bucket", "uid")
 
     def visit(batches):
         for t in grouped(batches, ["cell", "piece"]):
@@ -275,11 +267,29 @@ def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vect
                     out.append((q, names[met][near], s))
             yield _batch(out)
 
-    found = written(all_.mapInArrow(visit, "query long, uid long, about float").unionByName(compared), "ann-found")
-    enough = found.groupBy("query").agg(F.count_distinct("uid").alias("n")).where(F.col("n") >= min(k, max(total - 1, 0)))
-    short = written(queries.join(enough, queries["uid"] == enough["query"], "left_anti").select("uid", "vector"), "ann-short")
-    if total > 1 and short.count():
-        found = found.unionByName(_exact(rows.select("uid", "vector"), _barred(short, None), k))
+    return all_.mapInArrow(visit, "query long, uid long, about float")
+
+
+def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, choice: tuple[int, int] | None = None) -> DataFrame:
+    """query_id, rank from 1, vec_id and score, the cosine, of the k nearest found for each query.
+
+    choice: projections and probes, fitted if not given.
+    """
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = written(rows.where(F.col("id").isNotNull() & takes_part(F.col("vector"))).withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    queries = rows.where("is_query").select("uid", "vector")
+    total = rows.count()
+    projections, probes = choice or _fit(rows, k, total)
+    found, asking = None, queries
+    while True:
+        more = _visited(rows, asking, projections, probes, k, total)
+        found = more if found is None else found.unionByName(more)
+        if projections == 1:
+            break
+        asking = _short(queries, found, rows, k)
+        if asking.isEmpty():
+            break
+        projections, probes = projections // 2, MOST_PROBES
     near = _nearest(found, k)
     near = near.join(rows.select("uid", F.col("id").alias("vec_id"), F.col("vector").alias("v")), "uid")
     near = near.join(queries.select(F.col("uid").alias("query"), F.col("vector").alias("q")), "query")
@@ -299,32 +309,5 @@ def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vect
     return told.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _exact(rows: DataFrame, queries: DataFrame, k: int, block: int = CELL) -> DataFrame:
-    """What may be among the k nearest, in each pair of a block of queries (with their bars) and a block of rows."""
-    blocks = [max(1, math.ceil(x.count() / n)) for x, n in ((queries, block // 8), (rows, block))]
-    q = queries.withColumn("a", F.pmod(F.xxhash64("uid"), F.lit(blocks[0])).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))))
-    r = rows.withColumn("b", F.pmod(F.xxhash64("uid"), F.lit(blocks[1])).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))))
-    both = q.withColumn("kind", F.lit(1)).unionByName(r.withColumn("kind", F.lit(0)).withColumn("bar", F.lit(None).cast("float")))
-    both = both.repartition(parts(rows.sparkSession), "a", "b").sortWithinPartitions("a", "b", "kind", "uid")
-
-    def compare(batches):
-        for t in grouped(batches, ["a", "b"]):
-            kind, uids, least = (np.asarray(t[c].combine_chunks()) for c in ("kind", "uid", "bar"))
-            n, out = int((kind == 0).sum()), []
-            for _, at, m in by_dimension(t["vector"].combine_chunks()):
-                own = at < n
-                if not own.any() or own.all():
-                    continue
-                held, asked = unit(m[own]).T, unit(m[~own])
-                for some in range(0, len(asked), 64):
-                    near = asked[some : some + 64] @ held
-                    for i, row in enumerate(at[~own][some : some + 64]):
-                        places, s = _best(near[i], uids[at[own]], int(uids[row]), k, least[row])
-                        out.append((int(uids[row]), uids[at[own]][places], s))
-            yield _batch(out)
-
-    return both.mapInArrow(compare, "query long, uid long, about float")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
