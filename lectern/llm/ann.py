@@ -14,6 +14,8 @@ many cells it visits. Then it visits the others. Buckets are dealt to cells of a
 split over several. A cell holds its vectors in half precision once, and each query once that probes one of its
 buckets. What may be among the K nearest, with a margin for the precision, is then compared exactly, on the original vectors.
 
+Of equal vectors only the K + 1 with the smallest ids are indexed, as no query can have another of them.
+
 A query that has met fewer than K vectors by then, as in tiny tables, is hashed again with half as many projections, and so
 on down to one: nothing is ever compared but what shares a visited bucket.
 
@@ -279,10 +281,12 @@ def search(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vect
     rows = written(rows.where(F.col("id").isNotNull() & takes_part(F.col("vector"))).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     queries = rows.where("is_query").select("uid", "vector")
     total = rows.count()
+    copy = F.row_number().over(Window.partitionBy("vector").orderBy("id", "uid"))
+    indexed = written(rows.select("uid", "id", "vector").withColumn("_copy", copy).where(F.col("_copy") <= k + 1).select("uid", "vector"), "ann-indexed")
     projections, probes = choice or _fit(rows, k, total)
     found, asking = None, queries
     while True:
-        more = _visited(rows, asking, projections, probes, k, total)
+        more = _visited(indexed, asking, projections, probes, k, total)
         found = more if found is None else found.unionByName(more)
         if projections == 1:
             break

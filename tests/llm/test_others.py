@@ -162,6 +162,27 @@ def test_nearest(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_in_many_cells(spark, monkeypatch):
+    """Two dimensions with queries in each, cells of few entries, and buckets in several pieces."""
+    monkeypatch.setattr(ann, "CELL", 40)
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim, n, base in ((12, 260, 0), (5, 120, 1000)):
+        middle = rng.normal(size=(6, dim))
+        rows += [(base + i, (middle[i % 6] + rng.normal(size=dim) * 0.3).tolist()) for i in range(n)]
+    rows += [(2000, [1.0, 0.0]), (2001, [0.0, 1.0]), (2002, [3.0])]  # hardly any other vector, and none
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = ann.search(df, (F.col("vec_id") % 20 == 0) | (F.col("vec_id") > 2000)).toPandas()
+    hit = asked = 0
+    for q, v in rows:
+        if q % 20 == 0 or q > 2000:
+            near = sorted(((-float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), i) for i, w in rows if len(w) == len(v) and i != q))[:5]
+            own = found[found.query_id == q].sort_values("rank")
+            assert list(own["rank"]) == list(range(1, len(near) + 1)), q
+            hit, asked = hit + len({i for _, i in near} & set(own.vec_id)), asked + len(near)
+    assert hit >= 0.9 * asked and asked > 90
+
+
 def test_nearest_ties_and_repeats(spark):
     at = {"a": [1.0, 0.0, 0.0], "b": [2.0, 0.0, 0.0], "c": [1.0, 1.0, 0.0], "d": [-1.0, 0.0, 0.0], "e": [1e200, 0.0, 0.0]}
     rows = [(0, at["a"]), (7, at["b"]), (3, at["b"]), (5, at["c"]), (5, at["c"]), (6, at["d"]), (8, at["e"]), (0, at["c"]), (None, at["a"])]
