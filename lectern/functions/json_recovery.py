@@ -1,7 +1,8 @@
 """Study cards from what a language model wrote as JSON, well-formed or not.
 
-Fences and misspelt keys are put right by expressions. The cards are then read by a Python function over batches:
-objects nest and strings escape, which no expression tells, and replies are few beside the model calls they cost.
+Fences and misspelt keys are put right by expressions. Replies that are then well-formed, with strings where strings
+belong, are read as variants, in expressions too. Only the others go to a Python function over batches: objects nest and
+strings escape, and no expression tells where a broken one can be taken up again.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import strip
+from lectern.plans.session import cut
+
 CARDS = "struct<question:string,answer:string,topic:string,difficulty:string>"
 QUESTIONS = "struct<question:string,options:map<string,string>,correct_answer:string,explanation:string,topic:string>"
 REPLY = f"struct<flashcards:array<{CARDS}>,quiz:array<{QUESTIONS}>>"
@@ -90,7 +94,7 @@ def recover(text: str | None, strict_compat: bool = False) -> dict[str, list[dic
 
     def of(x) -> dict[str, list[dict]] | None:
         if isinstance(x, dict) and ("flashcards" in x or "quiz" in x):
-            return {k: [c for c in x.get(k) or [] if isinstance(c, dict)] for k in empty}
+            return {k: [c for c in x[k] if isinstance(c, dict)] if isinstance(x.get(k), list) else [] for k in empty}
         return None
 
     try:
@@ -115,8 +119,8 @@ def recover(text: str | None, strict_compat: bool = False) -> dict[str, list[dic
 
 
 def options_map(raw: dict) -> dict[str, str] | None:
-    """Options given as keys A to D beside the question, as a map, or as a list of four, as a map."""
-    if own := {k: str(raw[k]) for k in "ABCD" if k in raw}:
+    """Options given as keys A to D beside the question, as a map, or as a list of four, as a map (T19). A null key is no option."""
+    if own := {k: str(raw[k]) for k in "ABCD" if raw.get(k) is not None}:
         return own
     given = raw.get("options")
     if isinstance(given, dict):
@@ -143,8 +147,62 @@ def normalised(text: str | None, strict_compat: bool = False) -> dict:
     return {"flashcards": [c for x in found["flashcards"] if (c := card(x))], "quiz": [q for x in found["quiz"] if (q := question(x))]}
 
 
+_NAME = r"(?:`[^`<>]+`|\w+)"
+
+
+def _object(*fields: str) -> str:
+    one = f"(?:{'|'.join(fields)})"
+    return f"OBJECT<{one}(?:, {one})*>"
+
+
+_TEXTS = f"{_NAME}: STRING"
+_OPTIONS = f"options: (?:ARRAY<STRING>|{_object(_TEXTS)})"
+_ITEMS = f"(?:flashcards|quiz): ARRAY<(?:VOID|{_object(_TEXTS, _OPTIONS)})>"
+#: Schema of a variant that expressions read just as recover() does: strings only, and options as strings by key or in a list.
+WELL_FORMED = f"^{_object(_ITEMS, '(?!(?:flashcards|quiz):)' + _TEXTS)}$"
+_FIELDS = "question:string,answer:string,topic:string"
+
+
+def well_formed(reply: Column) -> Column:
+    """Whether a reply is an object of cards or questions with nothing to recover."""
+    schema = F.schema_of_variant(reply)
+    return F.coalesce(schema.rlike(WELL_FORMED) & schema.rlike(r"^OBJECT<(?:.*, )?(?:flashcards|quiz): ARRAY<"), F.lit(False))
+
+
+def _or(*values: Column | str) -> Column:
+    """The first that is neither null nor empty; the last one is a literal."""
+    *found, default = values
+    return F.coalesce(*(F.nullif(v, F.lit("")) for v in found), F.lit(default))
+
+
+def _card(x: Column) -> Column:
+    return F.struct(strip(_or(x["question"], "")).alias("question"), _or(x["answer"], "").alias("answer"), _or(x["topic"], "").alias("topic"), _or(x["difficulty"], "medium").alias("difficulty"))
+
+
+def _question(x: Column) -> Column:
+    own = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), x[k].alias("value")) for k in "ABCD")), lambda e: e["value"].isNotNull())
+    by_key, listed = F.try_variant_get(x["options"], "$", "map<string,string>"), F.try_variant_get(x["options"], "$", "array<string>")
+    four = F.map_from_arrays(F.array(*map(F.lit, "ABCD")), F.slice(listed, 1, 4))
+    options = F.when(F.size(own) > 0, F.map_from_entries(own)).when(by_key.isNotNull(), by_key).when(F.size(listed) >= 4, four)
+    return F.struct(strip(_or(x["question"], "")).alias("question"), options.alias("options"), _or(x["correct_answer"], x["answer"], "").alias("correct_answer"), _or(x["explanation"], "").alias("explanation"), _or(x["topic"], "").alias("topic"))
+
+
+def _read(reply: Column) -> Column:
+    """The cards of a well-formed reply."""
+
+    def all_of(path: str, given: str, one, kind: str) -> Column:
+        items = F.coalesce(F.variant_get(reply, path, given), F.array().cast(given))
+        return F.filter(F.transform(items, one), lambda c: c["question"] != "").cast(f"array<{kind}>")
+
+    card_, question_ = (f"array<struct<{_FIELDS},{more}>>" for more in ("difficulty:string", "correct_answer:string,explanation:string,options:variant,A:string,B:string,C:string,D:string"))
+    return F.struct(all_of("$.flashcards", card_, _card, CARDS).alias("flashcards"), all_of("$.quiz", question_, _question, QUESTIONS).alias("quiz"))
+
+
 def replies(rows: DataFrame, column: str = "reply", strict_compat: bool = False) -> DataFrame:
-    """rows with cards: the flashcards and quiz questions of each reply, normalised."""
+    """rows with cards: the flashcards and quiz questions of each reply, normalised.
+
+    The rows are checkpointed, as they are read twice and a model may have made them.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", cards {REPLY}"
 
     def run(batches):
@@ -153,4 +211,9 @@ def replies(rows: DataFrame, column: str = "reply", strict_compat: bool = False)
             out["cards"] = [normalised(t, strict_compat) for t in pdf["_text"]]
             yield out
 
-    return rows.withColumn("_text", repaired(unfenced(F.col(column)))).mapInPandas(run, schema)
+    names = rows.columns
+    texts = cut(rows).withColumn("_text", repaired(unfenced(F.col(column))))
+    parsed = texts.withColumn("_v", F.try_parse_json("_text"))
+    good = parsed.where(well_formed(F.col("_v"))).select(*names, _read(F.col("_v")).alias("cards"))
+    broken = parsed.where(~well_formed(F.col("_v"))).select(*names, "_text").mapInPandas(run, schema)
+    return good.unionByName(broken)
