@@ -3,12 +3,14 @@
 A table is a folder. Its rows lie in BUCKETS buckets by the hash of one column, each bucket a folder of Parquet
 files, and one small file names the folders that are the table now. A write puts the buckets that it touches into
 new folders and then replaces that file in one atomic step: a reader sees the old or the new contents, a write that
-dies leaves the old ones, and a repeated write changes nothing. One writer at a time.
+dies leaves the old ones, and a repeated write changes nothing. One writer at a time. A write deletes nothing, so
+DataFrames made before it stay good; vacuum() deletes what no reader can be at any more.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,9 +77,17 @@ def _replace(path: str, by: str, buckets: list[str], rows: DataFrame) -> None:
     there = {s.getPath().getName().removeprefix("_b=") for s in fs.listStatus(made) if s.isDirectory()}
     folders = {b: f for b, f in current["folders"].items() if b not in buckets} | {b: f"{version}/_b={b}" for b in there}
     _publish(spark, path, {"by": by, "folders": folders})
-    for b, f in current["folders"].items():
-        if folders.get(b) != f:  # nothing names it any more
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{f}"), True)
+
+
+def vacuum(spark: SparkSession, path: str, keep_seconds: float = 24 * 3600) -> int:
+    """Deletes the folders that the table doesn't name and that are older than any reader; how many those were."""
+    fs, p = _at(spark, path)
+    named, before, gone = set(_current(spark, path)["folders"].values()), (time.time() - keep_seconds) * 1000, 0
+    for version in fs.listStatus(p):
+        buckets = fs.listStatus(version.getPath()) if version.isDirectory() else []
+        old = [b for b in buckets if b.isDirectory() and b.getModificationTime() <= before and f"{version.getPath().getName()}/{b.getPath().getName()}" not in named]
+        gone += sum(bool(fs.delete(b.getPath(), True)) for b in old)
+    return gone
 
 
 def upserted(old: DataFrame, change: DataFrame, keys: list[str]) -> DataFrame:
