@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import strip
+from lectern.functions.text import paragraphs, strip
 
 
 def _filled(text: Column) -> Column:
@@ -61,3 +61,84 @@ def report(media: DataFrame, frames: DataFrame, transcripts: DataFrame) -> DataF
     slides = notable(frames).groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("position", "slide_title", "key_concepts"))).alias("slides"))
     base = media.select(F.col("id").alias("media_id"), F.coalesce("lecture_title", "batch_stem").alias("title"), "subject_area")
     return base.join(slides, "media_id", "left").join(transcripts, "media_id", "left")
+
+
+def definitions(frames: DataFrame) -> DataFrame:
+    """media_id, position, term and definition: the first of terms equal in any case, in order of frames (T12). frames: with definitions."""
+    rows = frames.select("media_id", "frame_id", F.posexplode("definitions").alias("pos", "d"))
+    rows = rows.select("media_id", F.struct("frame_id", "pos").alias("at"), strip(F.col("d.term")).alias("term"), strip(F.coalesce("d.definition", F.lit(""))).alias("definition"))
+    first = rows.where("term <> ''").groupBy("media_id", F.lower("term").alias("k")).agg(F.min_by(F.struct("at", "term", "definition"), "at").alias("f"))
+    return first.select("media_id", F.row_number().over(Window.partitionBy("media_id").orderBy("f.at")).alias("position"), "f.term", "f.definition")
+
+
+def formulas(frames: DataFrame) -> DataFrame:
+    """media_id, position and formula: each once, in order of frames (T13). frames: with formulas."""
+    rows = frames.select("media_id", "frame_id", F.posexplode("formulas").alias("pos", "f")).select("media_id", F.struct("frame_id", "pos").alias("at"), strip(F.col("f")).alias("formula"))
+    first = rows.where("formula <> ''").groupBy("media_id", "formula").agg(F.min("at").alias("at"))
+    return first.select("media_id", F.row_number().over(Window.partitionBy("media_id").orderBy("at")).alias("position"), "formula")
+
+
+#: A transcript longer than this is said to go on.
+EXCERPT = 10_000
+
+
+def report_lines(summaries: DataFrame, frames: DataFrame, transcripts: DataFrame, cards: DataFrame) -> DataFrame:
+    """The contents of each medium's report, a row a line: media_id, section, part, position, head and body.
+
+    Sections: 1 overview, 2 definitions, 3 formulas if there are any, then slides, transcript, cards and suggested reading, each with
+    the next number. summaries: media_id, summary, main_topics, learning_outcomes, suggested_reading; one row a medium that has a
+    report. frames: with definitions and formulas; transcripts: full_text; cards: card_index, question, answer, topic, difficulty.
+    """
+    has = formulas(frames).select("media_id").distinct().withColumn("_f", F.lit(1))
+    base = summaries.select("media_id").join(has, "media_id", "left").select("media_id", F.coalesce("_f", F.lit(0)).alias("_f"))
+    none = F.lit(None).cast("string")
+
+    def lines(rows: DataFrame, number: Column, part: str, position: Column, head: Column, body: Column) -> DataFrame:
+        rows = rows.join(base, "media_id")
+        return rows.select("media_id", number.cast("int").alias("section"), F.lit(part).alias("part"), position.cast("long").alias("position"), head.cast("string").alias("head"), body.cast("string").alias("body"))
+
+    def listed(column: str) -> DataFrame:
+        return summaries.select("media_id", F.posexplode(column).alias("pos", "item"))
+
+    shift, at, item = 3 + F.col("_f"), F.col("pos") + 1, F.col("item")
+    slides = notable(frames).withColumn("_title", F.when(_filled(F.col("slide_title")), F.col("slide_title")).otherwise(F.concat(F.lit("Frame "), F.col("frame_id"))))
+    told = transcripts.where(_filled(F.col("full_text")))
+    order = Window.partitionBy("media_id").orderBy("card_index")
+    asked = cards.withColumn("_n", F.row_number().over(order))
+    meta = F.array_join(F.filter(F.array("topic", "difficulty"), _filled), " | ")
+    return (
+        lines(summaries.where(_filled(F.col("summary"))), F.lit(1), "overview", F.lit(1), none, F.col("summary"))
+        .unionByName(lines(listed("main_topics"), F.lit(1), "topics", at, none, item))
+        .unionByName(lines(listed("learning_outcomes"), F.lit(1), "outcomes", at, none, item))
+        .unionByName(lines(definitions(frames), F.lit(2), "definitions", F.col("position"), F.col("term"), F.col("definition")))
+        .unionByName(lines(formulas(frames), F.lit(3), "formulas", F.col("position"), none, F.col("formula")))
+        .unionByName(lines(slides, shift, "slides", F.col("position"), F.col("_title"), F.array_join("key_concepts", ", ")))
+        .unionByName(lines(told.select("media_id", F.posexplode(paragraphs(F.col("full_text"))).alias("pos", "item")), shift + 1, "transcript", at, none, item))
+        .unionByName(lines(told.where(F.length("full_text") > EXCERPT), shift + 1, "continues", F.lit(1), none, none))
+        .unionByName(lines(asked, shift + 2, "cards", F.col("_n"), meta, F.concat(F.lit("Q"), "_n", F.lit(": "), "question", F.lit("\nA: "), "answer")))
+        .unionByName(lines(listed("suggested_reading"), shift + 3, "reading", at, none, item))
+    )
+
+
+def image_notes(summaries: DataFrame, images: DataFrame) -> DataFrame:
+    """media_id and Markdown notes of a batch of images without a model's notes.
+
+    summaries: media_id, lecture_title, summary, main_topics, key_concepts; images: media_id, batch_index, image_title, filename,
+    description, bullet_points, importance. Images of low importance are left out; a batch is one document, so its images meet.
+    """
+
+    def listed(items: Column) -> Column:
+        return F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x))
+
+    def part(head: str, body: Column) -> Column:
+        return F.when(F.size(body) > 0, F.concat(F.array(F.lit(f"## {head}"), F.lit("")), body, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
+
+    title = F.concat(F.lit("### "), F.coalesce("image_title", "filename", F.lit("Image")))
+    described = F.when(_filled(F.col("description")), F.array("description")).otherwise(F.array().cast("array<string>"))
+    shown = images.where(~F.col("importance").eqNullSafe("low")).select("media_id", "batch_index", F.concat(F.array(title), described, listed(F.col("bullet_points")), F.array(F.lit(""))).alias("lines"))
+    shown = shown.groupBy("media_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("batch_index", "lines"))), lambda x: x["lines"])).alias("_images"))
+    rows = summaries.join(shown, "media_id", "left")
+    summary = F.when(_filled(F.col("summary")), F.array("summary")).otherwise(F.array().cast("array<string>"))
+    head = F.array(F.concat(F.lit("# Study Notes: "), F.coalesce("lecture_title", F.lit(""))), F.lit(""))
+    body = [part("Overview", summary), part("Topics", listed(F.col("main_topics"))), part("Key Concepts", listed(F.col("key_concepts"))), F.array(F.lit("## Image Analyses"), F.lit("")), F.coalesce("_images", F.array().cast("array<string>"))]
+    return rows.select("media_id", F.array_join(F.concat(head, *body), "\n").alias("content"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import json_recovery, prompts, text
-from lectern.operators import dashboard, dedup, engagement, graph, lecture, library, media, recommendations, writes
+from lectern.operators import dashboard, dedup, engagement, graph, lecture, library, media, recommendations, search, writes
 from lectern.plans.bindings import Tables, sql
 from lectern.plans.session import new_path
 from lectern.sources import artifacts, files, models
@@ -273,6 +273,90 @@ query("graph_nodes", sql("with d as (select media_id, concept as term from conce
 query("graph_covers", sql("select distinct media_id, '__lecture__' as a, concept as b, 1 as weight from concepts where pos = 2", "concepts"))(lambda t: graph.covers(t.concepts().where("pos = 2").select("media_id", F.upper("concept").alias("topic")), graph.nodes(t.concepts())))
 query("graph_defines", sql("select distinct media_id, concept as a, 'def:' || concept as b, 1 as weight from concepts where pos = 1", "concepts"))(lambda t: graph.defines(t.concepts().where("pos = 1").select("media_id", F.col("concept").alias("term")), graph.nodes(t.concepts())))
 
+def _report_frames(t: Tables) -> DataFrame:
+    """Frames with definitions and formulas made of their words; a formula often comes again."""
+    f, k = t.frames(), F.col("key_concepts")
+    term = F.struct(F.get(k, 0).alias("term"), F.get(k, 1).alias("definition"))
+    return f.withColumns({"definitions": F.when(F.size(k) > 1, F.array(term)).otherwise(F.array().cast("array<struct<term:string,definition:string>>")), "formulas": F.when(F.col("frame_id") % 3 == 0, F.array(F.lit(" "), F.concat(F.get(k, 0), F.lit(" = "), F.col("frame_id") % 5)))})
+
+
+def _report_lines(t: Tables) -> DataFrame:
+    frames = _report_frames(t)
+    summaries = frames.groupBy("media_id").agg(F.max("slide_title").alias("summary"), F.array(F.min("importance"), F.max("importance")).alias("main_topics"), F.array(F.count("*").cast("string")).alias("learning_outcomes"), F.array().cast("array<string>").alias("suggested_reading"))
+    cards = t.flashcards().withColumns({"topic": F.when(F.col("card_index") > 0, F.col("answer")), "difficulty": F.lit("medium")})
+    return lecture.report_lines(summaries, frames, library.transcripts(t.segments()), cards)
+
+
+_PACKED = "list_reduce(list_transform(list_filter(regexp_split_to_array(regexp_replace(trim(full_text, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(0), 'g'), chr(0)), lambda x: x <> ''), lambda x: [x]), lambda acc, x: case when length(acc[-1]) + length(x[1]) < 700 then acc[:-2] || [acc[-1] || ' ' || x[1]] else acc || x end)[1:15]"
+query("report_lines", sql(f"""
+with f as (
+  select media_id, frame_id, slide_title, key_concepts, importance, case when frame_id % 3 = 0 then key_concepts[1] || ' = ' || frame_id % 5 end as formula
+  from frames),
+sums as (select media_id, max(slide_title) as summary, min(importance) as a, max(importance) as b, count(*) as n from f group by 1),
+forms as (
+  select media_id, formula, row_number() over (partition by media_id order by min(frame_id)) as position
+  from (select media_id, frame_id, trim(formula) as formula from f where trim(formula) <> '') group by media_id, formula),
+shift as (select media_id, 3 + (media_id in (select media_id from forms))::int as s from sums),
+defs as (
+  select media_id, term, definition, row_number() over (partition by media_id order by frame_id) as position
+  from (select *, row_number() over (partition by media_id, lower(term) order by frame_id) as rn
+        from (select media_id, frame_id, trim(key_concepts[1]) as term, trim(key_concepts[2]) as definition from f where len(key_concepts) > 1) where term <> '')
+  where rn = 1),
+slides as (
+  select * from (select *, row_number() over (partition by media_id order by frame_id) as position from f
+                 where importance in ('high', 'medium') and (trim(coalesce(slide_title, '')) <> '' or len(key_concepts) > 0))
+  where position <= 35),
+tr as (select media_id, string_agg(text, ' ' order by segment_index) as full_text from segments group by 1),
+paras as (select media_id, full_text, {_PACKED} as p from tr where trim(full_text) <> ''),
+cards as (select *, row_number() over (partition by media_id order by card_index) as k from flashcards),
+all_lines as (
+  select media_id, 1 as section, 'overview' as part, 1 as position, null as head, summary as body from sums where trim(coalesce(summary, '')) <> ''
+  union all select media_id, 1, 'topics', 1, null, a from sums
+  union all select media_id, 1, 'topics', 2, null, b from sums
+  union all select media_id, 1, 'outcomes', 1, null, n::varchar from sums
+  union all select media_id, 2, 'definitions', position, term, definition from defs
+  union all select media_id, 3, 'formulas', position, null, formula from forms
+  union all select media_id, 0, 'slides', position, case when trim(coalesce(slide_title, '')) <> '' then slide_title else 'Frame ' || frame_id end, array_to_string(key_concepts, ', ') from slides
+  union all select media_id, 1, 'transcript', unnest(range(1, len(p) + 1)), null, unnest(p) from paras
+  union all select media_id, 1, 'continues', 1, null, null from paras where length(full_text) > 10000
+  union all select media_id, 2, 'cards', k, case when card_index > 0 then answer || ' | ' else '' end || 'medium', 'Q' || k || ': ' || question || chr(10) || 'A: ' || answer from cards)
+select media_id, (section + case when part in ('slides', 'transcript', 'continues', 'cards') then s else 0 end)::int as section, part, position::bigint as position, head, body
+from all_lines join shift using (media_id)""", "frames", "segments", "flashcards"))(_report_lines)
+
+
+def _image_notes(t: Tables) -> DataFrame:
+    """Notes of frames as images of a batch, in order."""
+    f = t.frames()
+    summaries = f.groupBy("media_id").agg(F.max("slide_title").alias("summary"), F.array(F.min("importance"), F.max("importance")).alias("main_topics"), F.array().cast("array<string>").alias("key_concepts"), F.concat(F.lit("Batch "), F.count("*").cast("string")).alias("lecture_title"))
+    images = f.select("media_id", F.col("frame_id").alias("batch_index"), F.col("slide_title").alias("image_title"), F.concat("frame_id", F.lit(".png")).alias("filename"), F.when(F.col("frame_id") % 2 == 0, F.col("ocr_text")).alias("description"), F.when(F.col("frame_id") % 5 > 0, F.col("key_concepts")).alias("bullet_points"), F.when(F.col("frame_id") % 7 > 0, F.col("importance")).otherwise("low").alias("importance"))
+    return lecture.image_notes(summaries, images)
+
+
+query("image_notes", sql("""
+with shown as (
+  select media_id, string_agg(
+    '### ' || coalesce(slide_title, frame_id || '.png') || chr(10)
+    || case when frame_id % 2 = 0 and trim(ocr_text, ' ' || chr(9) || chr(10) || chr(13)) <> '' then ocr_text || chr(10) else '' end
+    || case when frame_id % 5 > 0 then array_to_string(list_transform(key_concepts, lambda x: '- ' || x || chr(10)), '') else '' end, chr(10) order by frame_id) as body
+  from frames where frame_id % 7 > 0 and importance <> 'low' group by 1)
+select media_id,
+       '# Study Notes: Batch ' || count(*) || chr(10) || chr(10)
+       || case when trim(coalesce(max(slide_title), '')) <> '' then '## Overview' || chr(10) || chr(10) || max(slide_title) || chr(10) || chr(10) else '' end
+       || '## Topics' || chr(10) || chr(10) || '- ' || min(importance) || chr(10) || '- ' || max(importance) || chr(10) || chr(10)
+       || '## Image Analyses' || chr(10) || coalesce(chr(10) || any_value(body), '') as content
+from frames left join shown using (media_id) group by media_id""", "frames"))(_image_notes)
+
+
+def _searched(t: Tables) -> DataFrame:
+    """Segments by an index of their trigrams."""
+    rows = t.segments().withColumn("id", F.concat_ws("-", "media_id", "segment_index"))
+    path = new_path(t.spark, "trigrams")
+    search.write_index(rows, path)
+    return search.search(rows, path, "ING Th").select("media_id", "segment_index", "text")
+
+
+query("indexed_search", sql("select media_id, segment_index, text from segments where contains(lower(text), 'ing th')", "segments"))(_searched)
+
 # --- live sessions -----------------------------------------------------------------------------------------------
 
 _LIVE = "segs as (select 's' || conv_id as session_id, (turn % 4)::int as chunk_index, turn::int as id, (turn // 2)::double as start, (turn // 2 + 1)::double as \"end\", text from conversations)"
