@@ -20,7 +20,9 @@ def trigrams(text: Column) -> Column:
     """The distinct trigrams of a text in lower case; none for null and for shorter texts."""
     letters = F.split(F.lower(text), "")
     letters = F.filter(letters, lambda c: c != "")
-    some = F.transform(F.sequence(F.lit(1), F.size(letters) - 2), lambda i: F.concat(F.get(letters, i - 1), F.get(letters, i), F.get(letters, i + 1)))
+    from_ = lambda i: F.slice(letters, F.lit(i), F.greatest(F.size(letters) - (SIZE - 1), F.lit(0)))
+    joined = lambda a, b: F.concat(a, b)
+    some = F.zip_with(F.zip_with(from_(1), from_(2), joined), from_(3), joined)
     return F.when(F.size(letters) >= SIZE, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -53,7 +54,12 @@ def _latest(pdf: pd.DataFrame) -> int:
 
 
 def _arriving(rows: DataFrame, late: str, *columns: str) -> DataFrame:
-    """The columns and arrived, with its watermark; rows later than that are dropped."""
+    """The columns and arrived, with its watermark; rows later than that are dropped.
+
+    A stream with a stateful processor also starts a Python process on the driver, which isn't given what was shipped to the
+    executors and finds this package by its path.
+    """
+    rows.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return rows.select(*columns, F.col("arrived").cast("timestamp").alias("arrived")).withWatermark("arrived", late)
 
 
