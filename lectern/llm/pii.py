@@ -9,15 +9,21 @@ different ones apart; never a fixed point; and undone by the shift -c for a hold
 Kinds: e-mail addresses (letters and digits of the local part and of the domain's labels but the last; domains of
 public mail providers stay), IBANs in any case, payment card numbers, social security numbers, telephone numbers,
 IPv4 and IPv6 addresses, dates in digits, in timestamps and with month names in English, German, French and Spanish.
-A number of ten digits alone is a telephone number only after a word that says so. Values that fail their validation
-are left as they are.
+A number of ten digits alone is a telephone number, and one of nine a social security number, only after a word that
+says so. Card numbers must be of an issuer's range and length; without separators and without a word for cards before
+them only those of 15 and 16 digits are taken for cards. Values that fail their validation are left as they are, and so
+are dotted numbers after a word for versions.
+
+Telephone numbers are linked whether they are written with + or 00, and with or without a trunk zero in brackets; those
+without a country code among themselves. Dates with years of two digits are linked among themselves (1930 to 2029).
 
 There is no default key, as anybody could undo what a published one made: the caller gives it, or session_key()
 takes it from the session's configuration.
 
 Defined cases: a null text stays null; texts without personal data are returned unchanged; equal rows are
-treated alike; an empty table gives an empty result; other columns are kept as they are. Undoing gives back values;
-of their writing it may change a day of two digits below 10, and an English month that was abbreviated and is May.
+treated alike; an empty table gives an empty result; other columns are kept as they are. Letters of addresses that
+aren't in ASCII stay. Undoing gives back values; of their writing it may change zeros before days and months below 10,
+zeros that fill the groups of an IPv6 address, an English month that was abbreviated and is May, and the language of a month's name that two languages share.
 """
 
 from __future__ import annotations
@@ -54,32 +60,46 @@ COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 4
 #: Domains of public mail providers.
 PROVIDERS = frozenset("aol.com gmail.com gmx.de gmx.net hotmail.com icloud.com live.com mail.com outlook.com proton.me web.de yahoo.com".split())
 
+#: First digits of card numbers by issuer, least and largest, and the numbers' lengths.
+ISSUERS = [
+    ("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("300", "305", (14,)), ("36", "36", (14,)), ("38", "39", (14,)),
+    ("6011", "6011", (16, 19)), ("644", "649", (16, 19)), ("65", "65", (16, 19)), ("3528", "3589", (16,)), ("62", "62", (16, 17, 18, 19)), ("5018", "5018", (16,)), ("5020", "5020", (16,)), ("5038", "5038", (16,)), ("6304", "6304", (16, 18, 19)), ("6759", "6763", (16, 18, 19)),
+]
+#: Words before a card number, and before a version.
+CARD_WORD = re.compile(r"(?<!\w)(?:(?:credit|debit|bank)? ?cards?|visa|mastercard|maestro|amex|american express|diners|discover|jcb|unionpay|(?:kredit|bank)?karten?|cartes?|tarjetas?|cc|pan)(?!\w)[^\n\d]{0,24}$", re.I)
+VERSION_WORD = re.compile(r"(?<!\w)(?:version|ver|v|release|build|firmware|section|chapter)\.?:? ?$", re.I)
+
 _NAMED = {k: "|".join(v) for k, v in MONTHS.items()}
 #: Formats. A group v is the value, where a pattern takes more into account.
 PATTERNS = {
-    "email": [re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")],
+    "email": [re.compile(r"(?<![\w.+-])[^\W_](?:[\w.%+-]{0,62}[\w%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")],
     "iban": [re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])")],
     "card": [re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])(?!\.\d)")],
-    "ssn": [re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?<!\d )\d{3} \d{2} \d{4}(?! \d))(?![\w-])")],
+    "ssn": [re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|(?<!\d )\d{3} \d{2} \d{4}(?! \d))(?![\w-])"), re.compile(r"(?<!\w)(?:ssn|social security(?: number| no\.?)?)(?:\.|:| no\.?| number| is)? ?:? ?(?P<v>\d{9})(?![\w-])(?!\.\d)", re.I)],
     "ip": [re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w-])(?!\.\d)")],
     "ip6": [re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::?)(?:[0-9A-Fa-f]{0,4}:){1,7}[0-9A-Fa-f]{0,4}(?![\w:])(?!\.\d)")],
     "phone": [
+        re.compile(r"(?<![\w+.-])(?:00[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(0\d{2,4}\) ?\d{4,8}|0\d{2,4}/ ?\d{4,8}|0[1-9](?:([ .-])\d{2})(?:\1\d{2}){3})(?![\w-])(?!\.\d)"),
         re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4}|(?<!\d )[2-9]\d\d [2-9]\d\d \d{4}(?! \d))(?![\w-])"),
         re.compile(r"(?<!\w)(?:tel|phone|telephone|call|fax|mobile|cell|telefon|handy|téléphone|teléfono|móvil)(?:\.|:| no\.?| nr\.?| number)? ?:? ?(?P<v>[2-9]\d\d[2-9]\d{6})(?![\w-])(?!\.\d)", re.I),
     ],
     "date": [
-        re.compile(r"(?<![\w./-])(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{2})(?P=s)(?P<d>\d{2})(?:(?=T\d{2}:)|(?![\w/-]))(?!\.\d)"),
-        re.compile(r"(?<![\w./-])(?P<a>\d{2})(?P<s>[-/.])(?P<b>\d{2})(?P=s)(?P<y>\d{4})(?![\w/-])(?!\.\d)"),
-        re.compile(rf"(?<!\w)(?:(?P<en>{_NAMED['en']})|(?P<en3>{_NAMED['en3']}))(?P<s>\.? )(?P<d>\d{{1,2}})(?P<o>st|nd|rd|th)?(?P<t>,? )(?P<y>\d{{4}})(?!\w)", re.I),
+        re.compile(r"(?<![\w./-])(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})(?:(?=T\d{2}:)|(?![\w/-]))(?!\.\d)"),
+        re.compile(r"(?<![\w./-])(?P<a>\d{1,2})(?P<s>[-/.])(?P<b>\d{1,2})(?P=s)(?P<y>\d{4})(?![\w/-])(?!\.\d)"),
+        re.compile(r"(?<![\w./-])(?P<a>\d{2})(?P<s>/)(?P<b>\d{2})/(?P<y>\d{2})(?![\w/-])(?!\.\d)"),
+        re.compile(rf"(?<!\w)(?:(?P<en>{_NAMED['en']})|(?P<de>{_NAMED['de']})|(?P<en3>{_NAMED['en3']}))(?P<s>\.? )(?P<d>\d{{1,2}})(?P<o>st|nd|rd|th)?(?P<t>,? )(?P<y>\d{{4}})(?!\w)", re.I),
         re.compile(rf"(?<![\w.])(?P<d>\d{{1,2}})(?P<o>st|nd|rd|th)?(?P<s> )(?:(?P<en>{_NAMED['en']})|(?P<en3>{_NAMED['en3']})|(?P<fr>{_NAMED['fr']}))(?P<t>\.?,? )(?P<y>\d{{4}})(?!\w)", re.I),
         re.compile(rf"(?<![\w.])(?P<d>\d{{1,2}})(?P<s>\. ?)(?P<de>{_NAMED['de']})(?P<t> )(?P<y>\d{{4}})(?!\w)", re.I),
         re.compile(rf"(?<![\w.])(?P<d>\d{{1,2}})(?P<s> de )(?P<es>{_NAMED['es']})(?P<t> del? )(?P<y>\d{{4}})(?!\w)", re.I),
     ],
 }
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: The first of the hundred years that two digits stand for.
+FIRST_SHORT = 1930
 #: Days up to and after the 12th of a month, which are permuted among themselves, so that a date in digits is read
 #: again in the order (day first or month first) in which it was.
 _EARLY, _LATE = ([d for d in range(FIRST_DAY, LAST_DAY + 1) if (datetime.date.fromordinal(d).day > 12) == late] for late in (False, True))
+_SHORT_EARLY, _SHORT_LATE = ([d for d in days if FIRST_SHORT <= datetime.date.fromordinal(d).year < FIRST_SHORT + 100] for days in (_EARLY, _LATE))
 
 
 class Permutation:
@@ -127,6 +147,11 @@ def _iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _issuer(digits: str) -> tuple[str, str] | None:
+    """The range of first digits that a card number is in."""
+    return next(((low, high) for low, high, sizes in ISSUERS if len(digits) in sizes and low <= digits[: len(low)] <= high), None)
+
+
 def _in_plan(ten: str) -> bool:
     return ten[0] > "1" and ten[3] > "1"
 
@@ -153,7 +178,7 @@ class Pseudonyms:
 
     def _characters(self, s: str, tweak: str) -> str:
         """Letters become letters of the same case and digits become digits, all permuted as one number."""
-        sizes = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in s]
+        sizes = [10 if c in "0123456789" else 26 if c.isascii() and c.isalpha() else 1 for c in s]
         x, n = 0, 1
         for c, k in zip(s, sizes, strict=True):
             x, n = x * k + (int(c) if k == 10 else ord(c.lower()) - 97 if k == 26 else 0), n * k
@@ -184,26 +209,41 @@ class Pseudonyms:
 
     def card(self, m: re.Match) -> str | None:
         digits = re.sub(r"\D", "", m[0])
-        if not 13 <= len(digits) <= 19 or luhn(digits) % 10 or len(set(digits)) == 1:
+        found = _issuer(digits)
+        if not found or luhn(digits) % 10 or len(set(digits)) == 1:
+            return None
+        if m[0] == digits and len(digits) not in (15, 16) and not CARD_WORD.search(m.string[max(0, m.start() - 48) : m.start()]):
             return None
-        body = digits[0] + f"{self._map(int(digits[1:-1]), 10 ** (len(digits) - 2), f'card {len(digits)}'):0{len(digits) - 2}}"
+        low, high = found
+        rest = len(digits) - 1 - len(low)
+        x = self._map((int(digits[: len(low)]) - int(low)) * 10**rest + int(digits[len(low) : -1]), (int(high) - int(low) + 1) * 10**rest, f"card {low} {len(digits)}")
+        body = f"{int(low) + x // 10**rest}{x % 10**rest:0{rest}}"
         return _filled(m[0], body + str(-luhn(f"{body}0") % 10))
 
     def ssn(self, m: re.Match) -> str | None:
-        area, group, serial = map(int, re.split("[- ]", m[0]))
+        written = m.groupdict().get("v") or m[0]
+        digits = re.sub(r"\D", "", written)
+        area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
         if area in (0, 666) or area > 899 or not group or not serial:
             return None
         x = self._map(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, "ssn")
         x, serial = divmod(x, 9999)
         area, group = divmod(x, 99)
-        return _filled(m[0], f"{area + 1 + (area >= 665):03}{group + 1:02}{serial + 1:04}")
+        return m[0][: len(m[0]) - len(written)] + _filled(written, f"{area + 1 + (area >= 665):03}{group + 1:02}{serial + 1:04}")
 
     def phone(self, m: re.Match) -> str | None:
         written = m.groupdict().get("v") or m[0]
-        digits = re.sub(r"\D", "", written)
-        if not 8 <= len(digits) <= 15:
+        shape = written.replace("(0)", "(\0)")  # a trunk zero is no part of the number
+        digits = re.sub(r"[^0-9]", "", shape)
+        abroad = "00" if digits.startswith("00") else ""
+        if not 8 <= len(digits) - len(abroad) <= 15:
             return None
-        head = "" if written[0] != "+" else next((digits[:k] for k in (1, 2) if digits[:k] in COUNTRY_CODES), digits[:3])
+        if not abroad and digits[0] == "0" and written[0] != "+":  # without a country's code, and with its trunk zero
+            n = len(digits) - 2
+            x = self._map((int(digits[1]) - 1) * 10**n + int(digits[2:]), 9 * 10**n, "phone 0") if digits[1] != "0" else None
+            return None if x is None else _filled(written, f"0{1 + x // 10**n}{x % 10**n:0{n}}")
+        digits = digits[len(abroad) :]
+        head = "" if written[0] != "+" and not abroad else next((digits[:k] for k in (1, 2) if digits[:k] in COUNTRY_CODES), digits[:3])
         body = digits[len(head) :]
         code = head or "1"  # a number without a code is one of the North American plan
         tweak, plan = f"phone {code}", code == "1" and len(body) == 10
@@ -216,59 +256,69 @@ class Pseudonyms:
                 body = f"{self._map(int(body), 10 ** len(body), tweak):0{len(body)}}"
                 if not plan or not _in_plan(body):
                     break
-        return m[0][: len(m[0]) - len(written)] + _filled(written, head + body)
+        return m[0][: len(m[0]) - len(written)] + _filled(shape, abroad + head + body).replace("\0", "0")
 
     def ip(self, m: re.Match) -> str | None:
         octets = m[0].split(".")
-        if any(int(o) > 255 or o != str(int(o)) for o in octets):
+        if any(int(o) > 255 or o != str(int(o)) for o in octets) or VERSION_WORD.search(m.string[max(0, m.start() - 16) : m.start()]):
             return None
         x = self._map(int.from_bytes(bytes(map(int, octets))), 1 << 32, "ip")
         return ".".join(map(str, x.to_bytes(4)))
 
     def ip6(self, m: re.Match) -> str | None:
-        """The groups that aren't zero are permuted, so that the short form stays as short."""
-        if not re.search(r"\d", m[0]) or len(re.findall("[0-9A-Fa-f]+", m[0])) < 3:
+        """The groups that aren't zero are permuted, so that the short form stays as short; of two groups the second one.
+
+        Two groups must be of a global, local or link-local network, and groups of two digits only are no address.
+        """
+        given = re.findall("[0-9A-Fa-f]+", m[0])
+        network = len(given) == 2 and "::" in m[0][1:] and re.match("(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):", m[0], re.I)
+        if not re.search(r"\d", m[0]) or len(given) < 3 and not network or "::" not in m[0] and max(map(len, given)) < 3:
             return None
         try:
             groups = ipaddress.IPv6Address(m[0]).exploded.split(":")
         except ValueError:
             return None
         kept = [g for g in groups if g != "0000"]
+        fixed = [kept.pop(0)] if network and len(kept) > 1 else []
         x = 0
         for g in kept:
             x = x * 65535 + int(g, 16) - 1
-        x, made = self._map(x, 65535 ** len(kept), f"ip6 {[g != '0000' for g in groups]}"), []
+        x, made = self._map(x, 65535 ** len(kept), f"ip6 {fixed} {[g != '0000' for g in groups]}"), []
         for _ in kept:
             x, g = divmod(x, 65535)
             made.append(g + 1)
         made.reverse()
-        given = re.findall("[0-9A-Fa-f]+", m[0])
-        width, upper = 4 if all(len(g) == 4 for g in given) else 1, m[0] != m[0].lower()
+        made = [int(g, 16) for g in fixed] + made
+        width, upper = 4 if any(len(g) == 4 and g[0] == "0" for g in given) else 1, m[0] != m[0].lower()
         told = iter(made)
         out = re.sub("[0-9A-Fa-f]+", lambda g: g[0] if int(g[0], 16) == 0 else f"{next(told):0{width}x}", m[0])
         return out.upper() if upper else out
 
-    def _moved(self, year: int, month: int, day: int) -> datetime.date | None:
-        """The pseudonym of a day, none of a date that doesn't exist or is out of range."""
+    def _moved(self, year: int, month: int, day: int, short: bool = False) -> datetime.date | None:
+        """The pseudonym of a day, none of a date that doesn't exist or is out of range. short: a year of two digits."""
         try:
             at = datetime.date(year, month, day).toordinal()
         except ValueError:
             return None
         if not FIRST_DAY <= at <= LAST_DAY:
             return None
-        days = _LATE if day > 12 else _EARLY
-        return datetime.date.fromordinal(days[self._map(bisect_left(days, at), len(days), f"date {day > 12}")])
+        days = (_SHORT_LATE if day > 12 else _SHORT_EARLY) if short else _LATE if day > 12 else _EARLY
+        return datetime.date.fromordinal(days[self._map(bisect_left(days, at), len(days), f"date {day > 12}{' short' if short else ''}")])
 
     def date(self, m: re.Match) -> str | None:
         g = m.groupdict()
         if "m" in g:
-            made = self._moved(int(g["y"]), int(g["m"]), int(g["d"]))
-            return made and f"{made.year:04}{g['s']}{made.month:02}{g['s']}{made.day:02}"
+            made, width = self._moved(int(g["y"]), int(g["m"]), int(g["d"])), min(len(g["m"]), len(g["d"]))
+            return made and f"{made.year:04}{g['s']}{made.month:0{width}}{g['s']}{made.day:0{width}}"
         if "a" in g:
-            first, second = int(g["a"]), int(g["b"])
-            day_first = second <= 12
-            made = self._moved(int(g["y"]), *((second, first) if day_first else (first, second)))
-            return made and "{:02}{s}{:02}{s}{:04}".format(*((made.day, made.month) if day_first else (made.month, made.day)), made.year, s=g["s"])
+            first, second, year, short = int(g["a"]), int(g["b"]), int(g["y"]), len(g["y"]) == 2
+            year = FIRST_SHORT + (year - FIRST_SHORT) % 100 if short else year
+            day_first, width = second <= 12, min(len(g["a"]), len(g["b"]))
+            made = self._moved(year, *((second, first) if day_first else (first, second)), short)
+            if made is None:
+                return None
+            one, two = (made.day, made.month) if day_first else (made.month, made.day)
+            return f"{one:0{width}}{g['s']}{two:0{width}}{g['s']}{made.year % 100 if short else made.year:0{len(g['y'])}}"
         language = next(k for k in MONTHS if g.get(k))
         name = g[language]
         made = self._moved(int(g["y"]), 1 + MONTHS[language].index(name.lower()), int(g["d"]))

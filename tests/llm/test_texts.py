@@ -158,6 +158,46 @@ def test_equal_values_in_any_two_ways():
     assert time.perf_counter() - start < 1.0  # under a millisecond a date
 
 
+#: Values that must be found in any text, written by hand, and what must stay.
+FOUND = [
+    "21.3.1987", "3/21/1987", "1987-3-21", "21/03/87", "märz 3, 1987", "(030) 1234567", "030/1234567", "0049 30 1234567", "06 12 34 56 78", "06.12.34.56.78", "max.müller@firma.de", "fe80::1",
+    "+49 (0)30 1234567", "2001:db8::1", "4845168114407329", "371449635398431", "3782 822463 10005", "6011 1111 1111 1117", "5555-5555-5555-4444",
+]
+STAY = [
+    "version 1.2.3.4", "v1.2.3.4", "release 10.0.0.1", "10:20:30:40:50:60:70:80", "9807915762804490", "1700000000000", "4222222222222", "36227206271667", "ratio 3/4/5", "2024-13-01", "12/34/56", "00:00:00", "std::a1", "de::ad", "0 12 34", "078051120", "chapter 3.1.2.4", "10/13/2",
+]
+
+
+def test_formats():
+    there, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    for value in FOUND:
+        made, kinds = there.replace(f"x {value} y")
+        assert len(kinds) == 1 and made != f"x {value} y" and made.startswith("x ") and made.endswith(" y"), value
+        plain = lambda t: re.sub(r"(?<!\d)0(?=\d)", "", t)  # noqa: E731  zeros before days and months may differ
+        assert plain(back.replace(made)[0]) == plain(f"x {value} y"), (value, made)
+    for value in STAY:
+        assert there.replace(f"x {value} y") == (f"x {value} y", []), value
+    for text, kind in (("card 4222222222222", "card"), ("Kreditkarte: 36227206271667", "card"), ("SSN 078051120", "ssn"), ("ssn: 078-05-1120", "ssn")):
+        made, kinds = there.replace(text)
+        assert kinds == [kind] and back.replace(made)[0] == text
+    phone = lambda t: re.sub(r"\D", "", t.replace("(0)", "")).removeprefix("00")
+    digits = lambda t: re.sub(r"\D", "", t)
+    day = lambda t: sorted(map(int, re.findall(r"\d+", t)))
+    for one, two, read in (
+        ("+49 (0)30 1234567", "0049 30 1234567", phone), ("+49 30 1234567", "+49 (0)30 1234567", phone), ("SSN 078051120", "SSN 078-05-1120", digits), ("card 4222222222222", "card 4222 2222 2222 2", digits),
+        ("21.3.1987", "21/03/1987", day), ("3/21/1987", "1987-3-21", day), ("(030) 1234567", "030/1234567", digits),
+    ):
+        assert read(there.replace(one)[0]) == read(there.replace(two)[0]), (one, two)
+
+
+def test_numbers_that_are_none():
+    """Of random numbers few are in an issuer's range and pass its check digit."""
+    rng, told = random.Random(4), pii.Pseudonyms(b"k")
+    changed = {n: sum(bool(told.replace(f"order {rng.randrange(10 ** (n - 1), 10**n)} of")[1]) for _ in range(4000)) for n in (13, 14, 15, 16, 19)}
+    assert changed[13] == changed[14] == changed[19] == 0 and changed[15] < 4000 * 0.005 and changed[16] < 4000 * 0.035, changed
+    assert not any(told.replace(f"at {1_600_000_000_000 + rng.randrange(10**11)} ms")[1] for _ in range(2000))  # epoch milliseconds
+
+
 def test_pii_key_and_cases(spark):
     docs = spark.createDataFrame([(1, "at 10.0.0.255 " + "word " * 50_000), (1, "at 10.0.0.255 " + "word " * 50_000), (2, "10.0.0.255")], "doc_id long, text string")
     one, two, three = (r["text"] for r in pii.pseudonymised(docs, pii.session_key(spark)).orderBy("doc_id").collect())
