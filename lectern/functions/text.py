@@ -22,15 +22,18 @@ def words(text: Column) -> Column:
     return F.when(text.isNotNull(), F.size(F.filter(F.split(text, f"{SPACE}+"), lambda x: x != ""))).cast("long")
 
 
+#: Letters that have a case; between others a new run begins.
+CASED = "[\\p{IsLowercase}\\p{IsUppercase}\\p{Lt}]"
+
+
 def title(text: Column) -> Column:
-    """Each run of letters capitalised, after an apostrophe too."""
-    runs = F.regexp_extract_all(text, F.lit("(\\p{L}+|[^\\p{L}]+)"), F.lit(1))
-    first = lambda r: F.when(F.substring(r, 1, 1) == "ß", "Ss").otherwise(F.upper(F.substring(r, 1, 1)))
-    return F.array_join(F.transform(runs, lambda r: F.concat(first(r), F.lower(F.substring(r, 2, 1 << 20)))), "")
+    """Each run of letters with a case capitalised, after an apostrophe too (T9), as str.title() does but for a sigma before a combining mark."""
+    runs = F.regexp_extract_all(text, F.lit(f"({CASED}+|{CASED.replace('[', '[^')}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def title_of_text(text: Column) -> Column:
-    """title() of long texts (T9). It leaves the JVM in Arrow batches, as the expression's list of runs costs more."""
+    """The same of long texts (T9). It leaves the JVM in Arrow batches, as the expression's list of runs costs more."""
 
     @F.pandas_udf("string")
     def titled(texts: pd.Series) -> pd.Series:

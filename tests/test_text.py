@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -79,3 +80,13 @@ def test_small_ones(spark):
     options = F.create_map(F.lit("A"), F.lit("one"), F.lit("B"), F.lit("two"))
     assert values(spark, ["B", " two ", "1", "three", "b"], lambda x: text.answer(options, x)) == ["B", "B", "B", "three", "b"]
     assert values(spark, ["x" * 45], text.middle_cut) == ["x" * 20 + "…" + "x" * 20]
+
+
+def test_one_title_case(spark):
+    """The expression and the Arrow function are str.title()."""
+    rng = random.Random(1)
+    letters = list("aAzZ'é ÉßﬁŉǆǄςΑα中日1_-İıªºⅷⓐ𝒜𐐀𐐨")
+    rows = ["中abc", "ΑΣ", "ΑΣ Α", "ﬁne", "newton's LAWS", "", None] + ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(1500)]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    for r in df.select("t", text.title(F.col("t")).alias("a"), text.title_of_text(F.col("t")).alias("b")).collect():
+        assert r["a"] == r["b"] == (None if r["t"] is None else r["t"].title()), r["t"]
