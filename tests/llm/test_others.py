@@ -458,3 +458,15 @@ def test_ids_of_whole_documents():
 def test_packing_adds_two_columns(spark):
     cut = written(packing.pieces(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")), "t")
     assert packing.pack(cut).columns == [*cut.columns, "sequence_id", "offset"]
+
+
+def test_scratch_tables_go(spark):
+    from lectern.llm.common import scratch
+
+    kept = new_path(spark, "kept")
+    with scratch(spark):
+        inner = written(spark.range(5), "inner")
+        path = inner.inputFiles()[0].rsplit("/", 1)[0].replace("file:", "").replace("///", "/")
+        inner.write.parquet(kept)
+        assert os.path.isdir(path)
+    assert not os.path.exists(path) and spark.read.parquet(kept).count() == 5
