@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import mixing, ngram_join, packing, pii, quality
-from lectern.llm.common import written
+from lectern.llm.common import delete, new_path, scratch, written
 from lectern.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -69,9 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage-{i}")
-    return docs
+    """The last stage's rows. What a stage writes for itself goes when its result is written, and that when the next one is."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        path = new_path(spark, f"stage-{i}")
+        with scratch(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
+    return STAGES[-1][1](spark, docs, sf_dir)
