@@ -70,25 +70,42 @@ def write_transcripts(segments: DataFrame, path: str, checkpoint: str, seconds:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def write_counters(segments: DataFrame, path: str, checkpoint: str, once: bool = False, late: str = "6 hours"):
+def write_counters(segments: DataFrame, path: str, checkpoint: str, once: bool = False, late: str = "6 hours", compact: int = 20):
     """Starts the stream that appends the counters of each session and hour of arrival below a path.
 
-    State is one row for each session and hour within the watermark; sums by session are a batch query, counted().
+    State is one row for each session and hour within the watermark; sums by session are a batch query, counted(). Each
+    batch is a folder; after every so many batches one folder with the last state of all takes their place. Those before
+    the one merged last are deleted, so that readers of the newest find what they listed.
     """
     hours = segments.withWatermark("arrived", late).groupBy("session_id", F.window("arrived", "1 hour").alias("hour"))
     rows = hours.agg(F.count("*").alias("segments"), F.coalesce(F.sum(words(F.col("text"))), F.lit(0)).alias("words"))
 
     def put(batch: DataFrame, number: int) -> None:  # a repeated batch replaces itself
-        batch.select("session_id", F.col("hour.start").alias("hour"), "segments", "words").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.select("session_id", F.col("hour.start").alias("hour"), "segments", "words").write.mode("overwrite").parquet(f"{path}/batch={2 * number}")
+        if number % compact == compact - 1:
+            _last(batch.sparkSession.read.parquet(path).where(F.col("batch") <= 2 * number)).select("session_id", "hour", "c.*").write.mode("overwrite").parquet(f"{path}/batch={2 * number + 1}")
+            _drop_batches(batch.sparkSession, path, 2 * (number - compact) + 1)
 
     writer = rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _last(counters_: DataFrame) -> DataFrame:
+    return counters_.groupBy("session_id", "hour").agg(F.max_by(F.struct("segments", "words"), "batch").alias("c"))
+
+
+def _drop_batches(spark: SparkSession, path: str, before: int) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.listStatus(folder):
+        name = found.getPath().getName()
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) < before:
+            fs.delete(found.getPath(), True)
+
+
 def counted(spark: SparkSession, path: str) -> DataFrame:
     """Counters of each session from what write_counters() has written: the last state of each hour."""
-    last = spark.read.parquet(path).groupBy("session_id", "hour").agg(F.max_by(F.struct("segments", "words"), "batch").alias("c"))
-    return last.groupBy("session_id").agg(F.sum("c.segments").alias("segments"), F.sum("c.words").alias("words")).withColumn("too_short", F.col("words") < LEAST_WORDS)
+    return _last(spark.read.parquet(path)).groupBy("session_id").agg(F.sum("c.segments").alias("segments"), F.sum("c.words").alias("words")).withColumn("too_short", F.col("words") < LEAST_WORDS)
 
 
 #: State after each event, for the states in which it is allowed.

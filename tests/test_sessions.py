@@ -184,3 +184,16 @@ def test_slides_of_a_batch_and_a_stream(keyed, tmp_path):
     found = [r for _, r in streamed(keyed, tmp_path, [random.Random(1).sample(b, len(b)) for b in batches], FRAME, sessions.slide_stream, "append")]
     assert len(found) == len(rows) and {(r["stream"], r["at"]) for r in found if r["accepted"]} == told
     assert slides.slide_changes(keyed.createDataFrame([], FRAME)).count() == 0
+
+
+def test_counters_are_compacted(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f"s{rng.randrange(4)}", i % 3, i, float(i), i + 1.0, "w " * rng.randint(0, 5)) for i in range(60)]
+    for i in range(12):
+        spark.createDataFrame(rows[i * 5 : i * 5 + 5], live.TABLES["live_segments"]).coalesce(1).write.json(str(tmp_path / f"in/at={i:02}"))
+    source = spark.readStream.schema(live.TABLES["live_segments"]).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in/at=*")).withColumn("arrived", F.col("_metadata.file_modification_time"))
+    out = tmp_path / "out"
+    live.write_counters(source, str(out), str(tmp_path / "state"), once=True, compact=4).awaitTermination(120)
+    assert sorted(map(tuple, live.counted(spark, str(out)).collect())) == sorted(map(tuple, live.counters(spark.createDataFrame(rows, live.TABLES["live_segments"])).collect()))
+    folders = sorted(int(p.name.removeprefix("batch=")) for p in out.iterdir() if p.name.startswith("batch="))
+    assert folders[0] == 15 and 23 in folders and len(folders) < 12  # of 12 batches and 3 merges
