@@ -1,13 +1,15 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Every word of the labelled examples is a term; none is left out. A term weighs (1 + ln tf) * idf, times what the
-labels say of it: FLOOR + z^4 / (z^4 + LEVEL^4), where z is the score of the log ratio of its shares in toxic and
-other examples. So words that occur alike in both classes count little, but count, and any text that shares a word
-with an example has neighbours. Examples are unit vectors of these weights; their postings are cut into blocks of
-BLOCK examples with the largest weight of each term in each block. A search adds up these bounds, visits blocks
-from the largest bound down and ends when no block can hold a nearer example, so its K nearest are exact. Their
-labels vote, the nearer the more; a logistic curve fitted on the votes of the examples, each without itself,
-turns votes into scores. The neighbours and their similarities are the evidence.
+Every word of the labelled examples is a term; none is left out. Texts are unit vectors of (1 + ln tf) * idf. The
+examples' postings are cut into blocks of BLOCK examples with the largest weight of each term in each block. A search
+adds up these bounds, visits blocks from the largest bound down and ends when no block can hold a nearer example, so
+its K nearest by cosine are exact.
+
+Their labels vote. A neighbour's vote weighs the more the nearer it is, and by what the labels say of the words that
+it shares with the text: the part of the cosine that is due to telling words, each taken z^4 / (z^4 + LEVEL^4) times,
+where z is the score of the log ratio of its shares in toxic and other examples. Prose is alike in words that tell nothing, so
+neighbours alone find half as much. A logistic curve is fitted on the votes of the examples, each without itself and with what
+the labels of the other folds say of words, and turns votes into scores. The neighbours and their similarities are the evidence.
 
 Bounds, all parameters: at most MAX_EXAMPLES labelled documents are learned from, those with the smallest hashes of
 their ids; that bounds the index, which goes to every executor. Near copies among them (NEAR of SEEDS word minima
@@ -34,8 +36,11 @@ from pyspark.sql import functions as F
 from .common import small, written
 from .quality import labelled, remainder
 
-MAX_EXAMPLES, K, BLOCK = 8000, 16, 128
-FLOOR, LEVEL = 0.01, 5.0
+MAX_EXAMPLES, K, BLOCK = 8000, 64, 128
+#: Words below LEAST tell nothing; EVEN is what each vote weighs at least, and DOUBT pulls sums of weak votes towards 0.
+LEVEL, LEAST, EVEN, DOUBT, FOLDS = 5.0, 0.02, 1e-4, 0.01, 4
+#: Neighbours that are told as evidence, and texts whose common words are multiplied at a time.
+EVIDENCE, TOGETHER = 16, 32
 COMMON = 1 / 16
 SEEDS, NEAR = 16, 10
 #: ASCII letters stay and so do bytes of other letters; all else separates words.
@@ -68,11 +73,11 @@ def apart(rows: list[tuple[int, list[int]]]) -> list[int]:
 
 
 def told_apart(df: np.ndarray, toxic: np.ndarray, n: int, positive: int) -> np.ndarray:
-    """FLOOR to FLOOR + 1 for each term: how surely its share differs between the classes."""
+    """0 to 1 for each term: how surely its share differs between the classes."""
     other = df - toxic
     ratio = np.log((toxic + 0.5) / (positive + 1)) - np.log((other + 0.5) / (n - positive + 1))
     z4 = (ratio**2 / (1 / (toxic + 0.5) + 1 / (other + 0.5))) ** 2
-    return FLOOR + z4 / (z4 + LEVEL**4)
+    return z4 / (z4 + LEVEL**4)
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -94,9 +99,17 @@ class Index:
         coded = terms.dictionary_encode()
         term, self.vocabulary = np.asarray(coded.indices, np.int64), coded.dictionary.to_pylist()
         row = np.repeat(np.arange(n), sizes)
-        df, toxic = np.bincount(term, minlength=len(self.vocabulary)), np.bincount(term, y[row], minlength=len(self.vocabulary))
-        sure = told_apart(df, toxic, n, int(y.sum()))
-        self.scale = ((np.log((1 + n) / (1 + df)) + 1) * sure).astype(np.float32)
+        size = len(self.vocabulary)
+        df, toxic = np.bincount(term, minlength=size), np.bincount(term, y[row], minlength=size)
+        fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids.tolist()], np.int64)
+        sure = [told_apart(df, toxic, n, int(y.sum()))]
+        for f in range(FOLDS):
+            out = fold[row] == f
+            sure.append(told_apart(df - np.bincount(term[out], minlength=size), toxic - np.bincount(term[out], y[row[out]], minlength=size), int((fold != f).sum()), int(y[fold != f].sum())))
+        self.sure = np.array(sure, np.float32)  # by all examples, and by those out of each fold
+        self.sure[self.sure < LEAST] = 0
+        sure = sure[0]
+        self.scale = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
         self.base = float((y.sum() + 1) / (n + 2))
         weight = (1 + np.log(counts)) * self.scale[term].astype(np.float64)
         weight = (weight / np.sqrt(np.bincount(row, weight**2, minlength=n))[row]).astype(np.float32)
@@ -109,7 +122,7 @@ class Index:
             return found
 
         common = df >= max(2, n * COMMON)
-        order = np.lexsort((ids, sizes, top(np.where(common[term], counts, 0), 1), top(sure[term], FLOOR + 0.25)))
+        order = np.lexsort((ids, sizes, top(np.where(common[term], counts, 0), 1), top(sure[term], 0.25)))
         new = np.empty(n, np.int64)
         new[order] = np.arange(n)
         self.ids, self.y = ids[order], y[order].astype(float)
@@ -133,15 +146,20 @@ class Index:
         self.most = np.maximum.reduceat(self.weight, self.starts[:-1]) if len(self.size) else np.zeros(0, np.float32)
         self.wide = np.full(len(self.vocabulary), -1)
         self.wide[self.common] = np.arange(len(self.common))
-        self.full = np.zeros((len(self.common), self.blocks * BLOCK), np.float32)
-        for i, t in enumerate(self.common):
-            cells = np.arange(self.first[t], self.first[t + 1])
-            postings = slice(self.starts[cells[0]], self.starts[cells[-1] + 1])
-            self.full[i, np.repeat(self.block[cells] * BLOCK, self.size[cells]) + self.offset[postings]] = self.weight[postings]
-        self.widest = self.full.reshape(len(self.common), self.blocks, BLOCK).max(2, initial=0)
+        self.full = np.zeros((self.blocks * BLOCK, len(self.common)), np.float32)
+        posting_term = np.repeat(np.arange(len(self.vocabulary)), self.starts[self.first[1:]] - self.starts[self.first[:-1]])
+        posting_row = np.repeat(self.block.astype(np.int64) * BLOCK, self.size) + self.offset
+        wide = np.flatnonzero(self.wide[posting_term] >= 0)
+        self.full[posting_row[wide], self.wide[posting_term[wide]]] = self.weight[wide]
+        self.widest = self.full.reshape(self.blocks, BLOCK, len(self.common)).max(1, initial=0)
+        telling = np.flatnonzero((self.sure > 0).any(0)[posting_term])
+        telling = telling[np.argsort(posting_row[telling], kind="stable")]
+        self.told_at = np.searchsorted(posting_row[telling], np.arange(self.blocks * BLOCK + 1))
+        self.told_term, self.told_weight = posting_term[telling], self.weight[telling].astype(np.float64)
+        self.asked = np.zeros(len(self.vocabulary))
 
     def __getstate__(self) -> dict:
-        names = "scale base ids y weight offset size block cells common a b".split()
+        names = "scale sure base ids y weight offset size block cells common a b".split()
         return {k: getattr(self, k) for k in names} | {"vocabulary": zlib.compress(pickle.dumps(self.vocabulary), 1)}
 
     def __setstate__(self, state: dict) -> None:
@@ -156,19 +174,29 @@ class Index:
         weight = (1 + np.log(np.fromiter(count.values(), np.float64, len(count)))) * self.scale[term].astype(np.float64)
         return term, (weight / (np.sqrt(weight @ weight) or 1.0)).astype(np.float32).astype(np.float64)
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and similarities of the k nearest examples that share a term, nearest first. without: an id to leave out."""
-        wide = self.wide[term]
-        full, full_weight = wide[wide >= 0], weight[wide >= 0]
-        term, weight = term[wide < 0], weight[wide < 0]
+    def dense(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The common terms' weights of each vector."""
+        out = np.zeros((len(vectors), len(self.common)))
+        for i, (term, weight) in enumerate(vectors):
+            wide = self.wide[term]
+            out[i, wide[wide >= 0]] = weight[wide >= 0]
+        return out
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, without: int | None = None, dense: np.ndarray | None = None, about: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and similarities of the k nearest examples that share a term, nearest first. without: an id to leave out.
+
+        dense and about: what dense() gives, and its products with all examples in single precision.
+        """
+        dense = self.dense([(term, weight)])[0] if dense is None else dense
+        about = self.full @ dense.astype(np.float32) if about is None else about  # to choose whose sum is taken in double
+        rare = self.wide[term] < 0
+        term, weight = term[rare], weight[rare]
         sizes = self.first[term + 1] - self.first[term]
         cells, weights = _ranges(self.first[term], sizes), np.repeat(weight, sizes)
         block = self.block[cells]
-        bound = np.bincount(block, weights * self.most[cells], minlength=self.blocks) + full_weight @ self.widest[full]
-        weights_of = self.full[full]
-        about = full_weight.astype(np.float32) @ weights_of  # in single precision, to choose whose sum is taken in double
+        bound = np.bincount(block, weights * self.most[cells], minlength=self.blocks) + self.widest @ dense
         order = np.argsort(-bound, kind="stable")
-        rows, sims, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 8
+        rows, sims, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 16
         while at < self.blocks and bound[order[at]] > 0 and not (len(rows) == k and bound[order[at]] < least - 1e-9):
             visited = order[at : at + step]
             at, step = at + step, step * 2
@@ -182,22 +210,31 @@ class Index:
             postings = _ranges(self.starts[some], sizes)
             score = np.bincount(np.repeat(place[block[here]] * BLOCK, sizes) + self.offset[postings], self.weight[postings] * np.repeat(weights[here], sizes), minlength=len(visited) * BLOCK)
             near = score + about.reshape(-1, BLOCK)[visited].ravel()
-            new = np.flatnonzero(near > 0)
-            if len(new) > 4 * k:
+            new = np.flatnonzero(near > max(0.0, least - 1e-5))
+            if len(new) > k + 1:
                 new = new[near[new] >= np.partition(near[new], len(new) - k - 1)[len(new) - k - 1] - 1e-5]  # one more, if one is left out
             found = visited[new // BLOCK] * BLOCK + new % BLOCK
-            if without >= 0:
+            if without is not None:
                 new, found = (x[self.ids[found] != without] for x in (new, found))
-            rows, sims = np.concatenate([rows, found]), np.concatenate([sims, score[new] + full_weight @ weights_of[:, found].astype(np.float64)])
+            rows, sims = np.concatenate([rows, found]), np.concatenate([sims, score[new] + self.full[found].astype(np.float64) @ dense])
             best = np.lexsort((self.ids[rows], -sims.round(9)))[:k]
             rows, sims = rows[best], sims[best]
             least = sims[-1] if len(rows) == k else 0.0
         return rows, sims
 
-    def vote(self, rows: np.ndarray, sims: np.ndarray) -> float:
-        """Between -1 and 1; few or far neighbours pull it towards 0."""
-        near = 1 / (1.001 - np.minimum(sims, 1.0))
-        return float((near * (2 * self.y[rows] - 1)).sum() / (near.sum() + 1))
+    def vote(self, term: np.ndarray, weight: np.ndarray, rows: np.ndarray, sims: np.ndarray, without: int | None = None) -> float:
+        """Between -1 and 1; neighbours that share no telling word, and far ones, pull it towards 0.
+
+        without: an example's id, whose fold's labels say nothing of words.
+        """
+        sure = self.sure[0 if without is None else 1 + zlib.crc32(str(without).encode()) % FOLDS]
+        self.asked[term] = weight * sure[term]
+        sizes = self.told_at[rows + 1] - self.told_at[rows]
+        at = _ranges(self.told_at[rows], sizes)
+        telling = np.bincount(np.repeat(np.arange(len(rows)), sizes), self.told_weight[at] * self.asked[self.told_term[at]], minlength=len(rows))
+        self.asked[term] = 0
+        near = (telling + EVEN) / (1.001 - np.minimum(sims, 1.0))
+        return float((near * (2 * self.y[rows] - 1)).sum() / (near.sum() + DOUBT))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """The curve from the votes x to the labels y, by Newton's method with a weak pull towards a = 4, b = 0."""
@@ -211,21 +248,29 @@ class Index:
             a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
         self.a, self.b = max(float(a), 0.0), float(b)
 
-    def score(self, text: str | None, told: dict | None = None) -> tuple[float, list[int], list[float]]:
-        """The score, and as evidence the neighbours' ids and similarities. told: what exact copies were told before."""
-        if told is not None:
-            key = hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest()
-            if len(told) > 10_000:
-                told.clear()
-            if key not in told:
-                told[key] = self.score(text)
-            return told[key]
-        term, weight = self.vector(words(text))
-        if not len(term):
-            return self.base, [], []
-        rows, sims = self.nearest(term, weight)
-        p = 1 / (1 + np.exp(-np.clip(self.a * self.vote(rows, sims) + self.b, -30, 30)))
-        return float(p), self.ids[rows].tolist(), sims.tolist()
+    def scores(self, texts: list[str | None], told: dict | None = None) -> list[tuple[float, list[int], list[float]]]:
+        """The score of each text, and as evidence the neighbours' ids and similarities. told: what exact copies were told before."""
+        told = {} if told is None else told
+        if len(told) > 10_000:
+            told.clear()
+        keys = [hashlib.blake2b((t or "").encode("utf-8", "replace"), digest_size=16).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in told}
+        asked = [(k, *self.vector(words(t))) for k, t in new.items()]
+        for at in range(0, len(asked), TOGETHER):
+            some = asked[at : at + TOGETHER]
+            dense = self.dense([(t, w) for _, t, w in some])
+            about = dense.astype(np.float32) @ self.full.T
+            for i, (k, term, weight) in enumerate(some):
+                if not len(term):
+                    told[k] = self.base, [], []
+                    continue
+                rows, sims = self.nearest(term, weight, dense=dense[i], about=about[i])
+                p = 1 / (1 + np.exp(-np.clip(self.a * self.vote(term, weight, rows, sims) + self.b, -30, 30)))
+                told[k] = float(p), self.ids[rows[:EVIDENCE]].tolist(), sims[:EVIDENCE].tolist()
+        return [told[k] for k in keys]
+
+    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        return self.scores([text])[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_EXAMPLES) -> Index:
@@ -258,7 +303,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_
         index = shared.value
         for b in small(batches):
             ids = b.column("doc_id").cast(pa.int64()).to_pylist()
-            x = [index.vote(*index.nearest(*index.vector(words(t)), without=i)) for i, t in zip(ids, b.column("text").to_pylist(), strict=True)]
+            vectors = [index.vector(words(t)) for t in b.column("text").to_pylist()]
+            x = [index.vote(*v, *index.nearest(*v, without=i), without=i) for i, v in zip(ids, vectors, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("_label").cast(pa.float64())], ["x", "y"])
 
     told = sample.mapInArrow(votes, "x double, y double").toArrow()
@@ -278,7 +324,7 @@ def scored(docs: DataFrame, index: Index, keep: list[str] | None = None) -> Data
         index = shared.value
         (index.a, index.b), told = curve, {}
         for b in small(batches):
-            done = [index.score(t, told) for t in b.column("_text").to_pylist()]
+            done = index.scores(b.column("_text").to_pylist(), told)
             columns = [pa.array([d[0] for d in done], pa.float64()), pa.array([d[1] for d in done], pa.list_(pa.int64())), pa.array([d[2] for d in done], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *columns], [*keep, "_score", "_near", "_similar"])
 

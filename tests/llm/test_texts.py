@@ -109,6 +109,18 @@ def test_block_max_is_exact():
         told = [x for x in told if x[0] > 0][: toxicity.K]
         rows, sims = index.nearest(term, weight, without=n)
         assert [(round(s, 9), -int(index.ids[r])) for r, s in zip(rows, sims, strict=True)] == told
+    # the cosine is that of plain TF-IDF, worked out without the index, and the labels change no neighbour
+    df = Counter(t for c in counts for t in c)
+    plain = [{t: (1 + np.log(k)) * (np.log(501 / (1 + df[t])) + 1) for t, k in c.items()} for c in counts]
+    size = lambda v: np.sqrt(sum(w * w for w in v.values()))
+    for n in range(30):
+        asked = index.vector([t for t, k in counts[n].items() for _ in range(k)])
+        best = sorted((-round(sum(w * o.get(t, 0) for t, w in plain[n].items()) / size(plain[n]) / size(o), 5), i) for i, o in enumerate(plain) if i != n)[: toxicity.K]
+        rows, sims = index.nearest(*asked, without=n)
+        assert np.allclose([-b[0] for b in best], sims, atol=2e-5)
+    other = toxicity.Index(np.arange(500), 1 - y, np.array([len(c) for c in counts]), pa.array([t for c in counts for t in c], pa.binary()), np.array([float(k) for c in counts for k in c.values()]))
+    ids = lambda x: sorted(x.ids[x.nearest(*x.vector([b"t001", b"t020", b"t039"]))[0]].tolist())
+    assert ids(index) == ids(other)
 
 
 def test_feistel():
