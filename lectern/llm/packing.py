@@ -199,7 +199,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") ->
     slots = slots.select("length", (F.col("rank0") + F.col("_n")).alias("_rank"), (F.col("sequence0") + F.col("_n")).alias("sequence_id"), "offset")
 
     buckets = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], "length long, _of long")  # at most capacity rows
-    keyed = cut.join(F.broadcast(buckets), "length").withColumn("_b", F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), F.col("_of"))).drop("_of")
+    # With a number of the row, so that repeats of one row are spread too; written, as the number is read twice.
+    keyed = cut.join(F.broadcast(buckets), "length").withColumn("_b", F.pmod(F.xxhash64(id_column, "piece", "ids_crc32", F.monotonically_increasing_id()), F.col("_of"))).drop("_of")
+    keyed = written(keyed, "pack-buckets")
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     firsts = written(keyed.groupBy("length", "_b").count().select("length", "_b", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first")), "pack-ranks")
     within = Window.partitionBy("length", "_b").orderBy(id_column, "piece", "start", "ids_crc32")

@@ -470,3 +470,15 @@ def test_scratch_tables_go(spark):
         inner.write.parquet(kept)
         assert os.path.isdir(path)
     assert not os.path.exists(path) and spark.read.parquet(kept).count() == 5
+
+
+def test_packing_of_one_row_many_times(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 50)
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same words in each row").alias("text"))
+    cut = written(packing.pieces(docs), "same-pieces")
+    found = packing.pack(cut).collect()
+    size = found[0]["length"]
+    places = {(r["sequence_id"], r["offset"]) for r in found}
+    assert len(found) == len(places) == 3000 and {r["length"] for r in found} == {size}
+    per = packing.CAPACITY // size
+    assert len({s for s, _ in places}) == -(-3000 // per) and all(o % size == 0 for _, o in places)
