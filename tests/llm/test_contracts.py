@@ -163,3 +163,26 @@ def test_stages_of_nothing(spark, docs):
     for name, stage in p.STAGES:
         out = stage(spark, docs.where("false"), SF)
         assert out.count() == 0 and (name == "best-fit packing" or out.columns == COLUMNS)
+
+
+def test_tables_with_copies(spark, db, tmp_path):
+    """The registered queries of archives and vectors against their SQL, on tables that have revisits and links."""
+    rng = np.random.default_rng(7)
+    e = db.sql("select vec_id, embedding, label from embeddings order by vec_id limit 120").df()
+    rows = [(int(i), [float(x) for x in v], int(l)) for i, v, l in e.itertuples(index=False)]
+    for n, (_, v, l) in enumerate(rows[:60]):  # chains of ever less alike vectors, copies, and the same in another label
+        for k in range(3):
+            rows.append((10_000 + 10 * n + k, [x + float(rng.normal()) * 0.07 * k * abs(x) for x in v], l if n % 4 else (l + 1) % 10))
+    rows += [(20_000, None, 1), (20_001, [0.0] * 64, 1), (20_002, rows[0][1], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    pages = [(int(r.page_id), r.url, r.html) for r in db.sql("select page_id, url, html from pages order by page_id limit 30").df().itertuples()]
+    pages += [(5_000 + i, f"http://copy.example/{i}", pages[i % 4][2]) for i in range(20)] + [(6_000, "http://empty.example/", None), (6_001, None, None), (6_002, "http://empty.example/2", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    own = duckdb.connect()
+    for name, some in (("op9_vector_dedup", "n_links > 0"), ("op8_warc", "record_type = 'revisit'")):
+        table = "embeddings" if "vector" in name else "pages"
+        own.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+        found = queries.queries()[name](spark, str(tmp_path))
+        columns = sorted(found.columns)
+        assert found.where(some).count() > 15
+        assert sorted(map(tuple, found.select(*columns).collect()), key=repr) == sorted(own.sql(f"select {', '.join(columns)} from ({queries.oracle_sql()[name]})").fetchall(), key=repr), name
