@@ -99,17 +99,42 @@ class Tables:
 _LINE_SQL = ", ".join(_LINE)
 #: The same in SQL.
 CTE = {
-    "media": "select o_orderkey as id, o_custkey as user_id, case o_orderpriority[1] when '1' then 'video' when '2' then 'image' when '3' then 'document' when '4' then 'live' when '5' then 'audio' end as media_type, 'lec_' || (o_orderkey % 97) as batch_stem, 'up/' || o_orderkey || '_clip.v1.mp4' as storage_path, o_orderdate as uploaded_at, o_orderstatus as status from orders",
-    "details": "select id as media_id, case when media_type = 'live' then 'video' else media_type end as kind, batch_index, case when status <> 'P' then 'Lecture ' || id || '.' || batch_index end as lecture_title, (['Physics - Kinematics', 'math:algebra - linear', 'CS > AI', 'bio-chem/organic', 'newton''s laws', ''])[(id % 6 + 1)::int] as subject_area, case when id % 3 = 0 then 'r/' || id || '.pdf' end as pdf_report_path from (select *, unnest(case when media_type = 'image' then [1, 0] else [0] end) as batch_index from media where media_type <> 'audio')",
+    "media": (
+        "select o_orderkey as id, o_custkey as user_id, "
+        "case o_orderpriority[1] when '1' then 'video' when '2' then 'image' when '3' then 'document' when '4' then 'live' when '5' then 'audio' end as media_type, 'lec_' || (o_orderkey % 97) as batch_stem, 'up/' || o_orderkey || '_clip.v1.mp4' as storage_path, o_orderdate as uploaded_at, o_orderstatus as status "
+        "from orders"
+    ),
+    "details": (
+        "select id as media_id, case when media_type = 'live' then 'video' else media_type end as kind, batch_index, "
+        "case when status <> 'P' then 'Lecture ' || id || '.' || batch_index end as lecture_title, (['Physics - Kinematics', 'math:algebra - linear', 'CS > AI', 'bio-chem/organic', 'newton''s laws', ''])[(id % 6 + 1)::int] as subject_area, "
+        "case when id % 3 = 0 then 'r/' || id || '.pdf' end as pdf_report_path "
+        "from (select *, unnest(case when media_type = 'image' then [1, 0] else [0] end) as batch_index from media where media_type <> 'audio')"
+    ),
     "flashcards": f"select l_orderkey as media_id, row_number() over (partition by l_orderkey order by {_LINE_SQL}) - 1 as card_index, 'Q' || l_partkey as question, 'A' || l_suppkey as answer from lineitem where l_returnflag = 'N'",
     "quiz_questions": f"select l_orderkey as media_id, row_number() over (partition by l_orderkey order by {_LINE_SQL}) - 1 as question_index, 'Q' || l_partkey as question, 'A' || l_suppkey as answer from lineitem where l_returnflag = 'R'",
     "notes": "select o_orderkey as media_id, '# Notes' || chr(10) || 'Status ' || o_orderstatus || chr(10) || 'Priority ' || o_orderpriority as content from orders where o_orderkey % 4 = 0",
     "quiz_sessions": "select o_custkey as user_id, l_orderkey as media_id, 10 as total_questions, round(l_discount * 100)::int as correct_answers, (round(l_discount * 100)::int * 10)::double as accuracy_score, l_shipdate as completed_at from lineitem join orders on l_orderkey = o_orderkey where l_returnflag = 'A'",
     "owned": "select o_custkey as user_id, o_orderkey as media_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as at_, count(*) over (partition by o_custkey) as of_ from orders",
-    "progress": "select event_id, e.user_id, m.media_id, case event_type when 'click' then 'flashcard' when 'purchase' then 'quiz_question' else 'other' end as item_type, (event_id % 7)::int as card_index, case when event_id % 11 <> 0 then (1 + event_id % 5)::int end as confidence, value > 50 as correct, json_extract_string(props, '$.k') as session_id, ts as reviewed_at from events e join (select user_id, of_ from owned where at_ = 0) s on s.user_id = e.user_id join owned m on m.user_id = e.user_id and m.at_ = e.event_id % s.of_",
-    "segments": "select conv_id as media_id, row_number() over w - 1 as segment_index, (sum(n) over (w rows between unbounded preceding and current row) - n)::double as start_time, (sum(n) over (w rows between unbounded preceding and current row))::double as end_time, text from (select *, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) as n from conversations) window w as (partition by conv_id order by turn, role, text)",
+    "progress": (
+        "select event_id, e.user_id, m.media_id, "
+        "case event_type when 'click' then 'flashcard' when 'purchase' then 'quiz_question' else 'other' end as item_type, (event_id % 7)::int as card_index, "
+        "case when event_id % 11 <> 0 then (1 + event_id % 5)::int end as confidence, value > 50 as correct, json_extract_string(props, '$.k') as session_id, ts as reviewed_at "
+        "from events e join (select user_id, of_ from owned where at_ = 0) s on s.user_id = e.user_id "
+        "join owned m on m.user_id = e.user_id and m.at_ = e.event_id % s.of_"
+    ),
+    "segments": (
+        "select conv_id as media_id, "
+        "row_number() over w - 1 as segment_index, (sum(n) over (w rows between unbounded preceding and current row) - n)::double as start_time, (sum(n) over (w rows between unbounded preceding and current row))::double as end_time, text "
+        "from (select *, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) as n "
+        "from conversations) window w as (partition by conv_id order by turn, role, text)"
+    ),
     "live_lectures": "select id, user_id, 's' || id as session_id, 'Live ' || id as title, case when status = 'F' then 'done' else 'recording' end as state, uploaded_at as started_at from media where media_type = 'live'",
-    "frames": "select doc_id // 50 as media_id, doc_id as frame_id, case when doc_id % 4 <> 0 then text[1:30] end as slide_title, string_split(text, ' ')[1:3] as key_concepts, case when length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) < 30 then 'low' when length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) < 50 then 'medium' else 'high' end as importance, text as ocr_text from documents",
+    "frames": (
+        "select doc_id // 50 as media_id, doc_id as frame_id, "
+        "case when doc_id % 4 <> 0 then text[1:30] end as slide_title, string_split(text, ' ')[1:3] as key_concepts, "
+        "case when length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) < 30 then 'low' when length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g')) < 50 then 'medium' else 'high' end as importance, text as ocr_text "
+        "from documents"
+    ),
     "concepts": "select l_orderkey % 50 as media_id, l_orderkey as frame_id, l_linenumber as pos, lower(p_brand) as concept from lineitem join part on l_partkey = p_partkey",
 }
 _NEEDS = {"details": ["media"], "progress": ["owned"], "live_lectures": ["media"]}
