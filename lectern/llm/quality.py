@@ -113,7 +113,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column,
     known = known.groupBy("doc_id").agg(F.max(label).alias("_label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", *columns).join(F.broadcast(known), "doc_id")
-    return rows.groupBy("doc_id").agg(F.max("_label").alias("_label"), *(F.max(c).alias(c) for c in columns))
+    one = rows.groupBy("doc_id").agg(F.max("_label").alias("_label"), F.max(F.struct(*columns)).alias("_row"))  # of one row
+    return one.select("doc_id", "_label", *(F.col(f"_row.{c}").alias(c) for c in columns))
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, limit: int = MAX_TRAIN) -> Machine:
