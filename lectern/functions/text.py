@@ -285,6 +285,11 @@ def ocr_langs(code: Column) -> Column:
     return _of_language(code, {c: F.array(*map(F.lit, langs)) for c, _, langs, _ in LANGUAGES})
 
 
+def right_to_left(code: Column) -> Column:
+    """Whether a language is written from right to left, by code."""
+    return _of_language(code, {c: F.lit(mark) for c, _, _, mark in LANGUAGES})
+
+
 def in_language(prompt: Column, code: Column) -> Column:
     """Asks for the answer in the language unless it is English."""
     name = language(code)

@@ -539,6 +539,40 @@ def _searched(t: Tables) -> DataFrame:
 
 query("indexed_search", sql("select media_id, segment_index, text from segments where contains(lower(text), 'ing th')", "segments"))(_searched)
 
+#: Codes as users write them, all of the table and two that aren't in it.
+_CODES = [c for c, _, _, _ in text.LANGUAGES] + ["xx", ""]
+
+
+def _code():
+    return F.element_at(F.array(*map(F.lit, _CODES)), (F.col("doc_id") % len(_CODES) + 1).cast("int"))
+
+
+on_documents(
+    "language_table",
+    lambda: {"code": _code(), "name": text.language(F.concat(F.lit(" "), F.upper(_code()))), "ocr": F.array_join(text.ocr_langs(_code()), "+"), "rtl": text.right_to_left(_code())},
+    f"{_CODES!r}[(doc_id % {len(_CODES)} + 1)::int] as code, "
+    + ", ".join(
+        f"case {_CODES!r}[(doc_id % {len(_CODES)} + 1)::int] " + " ".join(f"when '{row[0]}' then {value(row)}" for row in text.LANGUAGES) + f" else {value(text.LANGUAGES[0])} end as {name}"
+        for name, value in (("name", lambda r: f"'{r[1]}'"), ("ocr", lambda r: f"'{'+'.join(r[2])}'"), ("rtl", lambda r: str(r[3]).lower()))
+    ),
+)
+on_documents(
+    "ocr_texts",  # recognised parts of a text, some of them blank or missing
+    lambda: {"text": text.ocr_text(F.transform(F.split(_text(), " "), lambda x: F.when(F.length(x) == 3, F.lit(None).cast("string")).when(F.length(x) == 2, "").otherwise(x)))},
+    "trim(array_to_string(list_filter(string_split(text, ' '), lambda x: length(x) not in (0, 2, 3)), ' '), ' ' || chr(9) || chr(10) || chr(13)) as text",
+)
+
+
+def _decoded(t: Tables) -> DataFrame:
+    """Texts as files in Latin-1 where it has all their characters, with a mark in UTF-8 elsewhere."""
+    latin = ~F.col("text").rlike("[^\\x00-\\xFF]") & (F.col("doc_id") % 3 > 0)
+    marked = F.concat(F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.lit(b"")), F.encode("text", "UTF-8"))
+    rows = t.documents().where("text is not null").select(F.concat(F.col("doc_id"), F.lit(".txt")).alias("path"), F.when(latin, F.encode(F.regexp_replace("text", "[^\\x00-\\xFF]", ""), "ISO-8859-1")).otherwise(marked).alias("content"))
+    return files.pages(rows).select("path", "page_num", "text")
+
+
+query("decoded_texts", "select doc_id || '.txt' as path, 1 as page_num, text from documents where text is not null")(_decoded)
+
 # --- live sessions -----------------------------------------------------------------------------------------------
 
 _LIVE = "segs as (select 's' || conv_id as session_id, (turn % 4)::int as chunk_index, turn::int as id, (turn // 2)::double as start, (turn // 2 + 1)::double as \"end\", text from conversations)"
