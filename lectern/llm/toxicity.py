@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import small, written
 from .quality import labelled, remainder
 
-MAX_EXAMPLES, K, BLOCK = 8000, 64, 128
+MAX_EXAMPLES, K, BLOCK = 8000, 64, 256
 #: Words below LEAST tell nothing; EVEN is what each vote weighs at least, and DOUBT pulls sums of weak votes towards 0.
-LEVEL, LEAST, EVEN, DOUBT, FOLDS = 5.0, 0.02, 1e-4, 0.01, 4
+LEVEL, LEAST, EVEN, DOUBT, FOLDS = 5.0, 0.1, 1e-4, 0.01, 4
 #: Neighbours that are told as evidence, and texts whose common words are multiplied at a time.
 EVIDENCE, TOGETHER = 16, 32
 COMMON = 1 / 16
@@ -130,7 +130,7 @@ class Index:
         at, self.weight = new[row][by], weight[by]
         cell = term[by] * (n // BLOCK + 1) + at // BLOCK
         starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
-        self.offset, self.size = (at % BLOCK).astype(np.uint8), np.diff(np.append(starts, len(cell))).astype(np.uint8)
+        self.offset, self.size = (at % BLOCK).astype(np.uint8), np.diff(np.append(starts, len(cell))).astype(np.uint16)
         self.block = (at[starts] // BLOCK).astype(np.int32)
         self.cells = np.bincount(term[by][starts], minlength=len(self.vocabulary)).astype(np.int32)
         self.common = np.flatnonzero(common)
