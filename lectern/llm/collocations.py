@@ -51,14 +51,20 @@ def by_lang(batches, size: int):
     """(lang, texts as bytes) of about so many bytes each; one text may be longer."""
     held: dict[str, list[bytes]] = {}
     sizes: Counter = Counter()
+    total = 0
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
             text = text.as_py() or b""
             held.setdefault(lang, []).append(text)
-            sizes[lang] += len(text)
+            sizes[lang] += len(text) + 1
+            total += len(text) + 1
             if sizes[lang] >= size:
+                total -= sizes.pop(lang)
                 yield lang, held.pop(lang)
-                del sizes[lang]
+            elif total >= 16 * size:  # of many languages
+                yield from held.items()
+                held, total = {}, 0
+                sizes.clear()
     yield from held.items()
 
 
