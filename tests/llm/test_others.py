@@ -355,7 +355,7 @@ def test_registered(spark):
     from lectern.llm import queries
 
     names = queries.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert set(queries.oracle_sql()) <= set(names)
 
 
