@@ -439,6 +439,42 @@ def test_votes_against_brute_force(spark):
         assert text == "\n".join(kept)
 
 
+def article(i: int, *more: str) -> str:
+    table = f"<table><tr><td>Weight<td>{i} kg</table><ul><li>Share it<li>Print it</ul>"
+    return f"<article><h1>Title {i}</h1><div class='cmp-tos'>Follow us everywhere</div><p>Own text of {i}</p>{''.join(more)}<h2>Summary</h2><p>In short: {i}</p>{table}<div class='outbrain'><h3>From the web</h3><p>Ten tricks</p></div></article>"
+
+
+def article_lines(i: int, *more: str) -> list[str]:
+    return [f"Title {i}", f"Own text of {i}", *more, "Summary", f"In short: {i}", "Weight", f"{i} kg"]
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_articles_are_differenced(spark, monkeypatch, most):
+    """Site text inside articles goes by differencing; quotations, headings and labels of tables stay."""
+    monkeypatch.setattr(html_diff, "BROADCAST_ROWS", most, raising=False)
+    quote = [("<p>A licence that some share</p>",) if i % 3 == 0 else () for i in range(70)]
+    told = told_apart(spark, [article(i, *quote[i]) for i in range(70)] + ["", ""])
+    assert [t.split("\n") for t in told[:70]] == [article_lines(i, *(["A licence that some share"] if quote[i] else [])) for i in range(70)] and told[70:] == ["", ""]
+
+
+def test_few_articles_keep_all_lines(spark):
+    site = ["Follow us everywhere", "Share it", "Print it", "From the web", "Ten tricks"]
+    for told in told_apart(spark, [article(i) for i in range(4)]):
+        assert set(site) < set(told.split("\n"))
+
+
+def test_lines_of_a_run_of_articles_stay(spark):
+    told = told_apart(spark, [f"<article><div class='cmp-tos'>Follow us everywhere</div><p>Text {i} of its own</p>{'<p>Run</p>' * (12 <= i < 33)}</article>" for i in range(40)])
+    assert told == [f"Text {i} of its own" + "\nRun" * (12 <= i < 33) for i in range(40)]
+
+
+def test_copies_of_an_article_have_one_vote(spark):
+    copied = "".join(f"<p>Sentence {i} of an article with copies</p>" for i in range(20))
+    bodies = [f"<article><p>Quoted line</p>{copied}<p>Seen {i} times</p></article>" for i in range(12)] + [f"<article><p>Text {i} of its own</p>{'<p>Quoted line</p>' * (i == 0)}</article>" for i in range(7)]
+    told = told_apart(spark, bodies)
+    assert told[12] == "Text 0 of its own\nQuoted line" and all(t.startswith("Quoted line\nSentence 0 of") and t.count("\n") == 21 for t in told[:12])
+
+
 def test_equal_pages_keep_their_text(spark):
     assert told_apart(spark, ["<div>Menu</div><div>The only text</div>"] * 20) == ["Menu\nThe only text"] * 20
 
