@@ -3,13 +3,15 @@
 Items of a group are scanned in order. An item that is similar to a leader before it joins the first such leader;
 else it becomes a leader. That isn't transitive, so connected components would be wrong.
 
-Similar vectors are found in cells around pivots, and similar texts by the rare terms that they must share; large cells and
-frequent terms are dealt to pairs of blocks. Equal texts are one class, as a copy has its representative's leader. The scan is a fold
+Similar vectors are found in cells around pivots where these save work, and similar texts by the rare terms that they must share;
+large cells and frequent terms are dealt to pairs of blocks. Equal texts are one class, as a copy has its representative's leader. The scan is a fold
 over sorted pairs, in one task for each group, of a large group for each component, and only of larger ones in rounds of joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +32,36 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-#: Pivots of vectors of one dimension, at most so many dimensions with pivots, and blocks from which a group has cells.
+#: Rows from which a group of vectors is cut into blocks; a block has as many, or LARGE times as many at most once there are FEW.
+BLOCK, LARGE, FEW = 1024, 32, 3
+#: Pivots of vectors of one dimension, at most so many dimensions with pivots, and blocks from which a group may have cells.
 PIVOTS, DIMENSIONS, CELLS_FROM = 64, 16, 4
+#: Groups whose counts are broadcast, and rows of a block that are multiplied at a time.
+BROADCAST, TILE = 100_000, 1024
+
+
+def _usable(items: DataFrame) -> DataFrame:
+    """The vectors that have a group and a direction. Floats stay floats, as tasks make them doubles."""
+    kind = items.schema["vector"].dataType.elementType.simpleString()
+    vector = F.col("vector") if kind in ("float", "double") else F.transform("vector", lambda x: x.cast("double"))
+    return items.where(F.col("group").isNotNull() & (F.sqrt(dot(vector, vector)) > 0)).select("group", "id", vector.alias("vector"))
+
+
+def _sizes(rows: DataFrame) -> tuple[DataFrame, int, float]:
+    """Vectors of each group and their weight, in which those of over 64 dimensions count as several; the groups; the largest weight."""
+    weight = F.count("*") * F.greatest(F.lit(1.0), F.max(F.size("vector")) / 64)
+    sizes = cut(rows.groupBy("group").agg(F.count("*").alias("n"), weight.alias("weight")))
+    groups, most = sizes.agg(F.count("*"), F.max("weight")).first()
+    return sizes, groups, most or 0.0
+
+
+def _blocks(weight: Column, block: int) -> Column:
+    """Few blocks, and more only if they would be too large: a vector is sent once for each block of its group."""
+    return F.greatest(F.ceil(weight / (LARGE * block)), F.least(F.ceil(weight / block), F.lit(FEW))).cast("int")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST else df
 
 
 def _pivots(unit: DataFrame) -> dict[int, np.ndarray]:
@@ -50,28 +80,15 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _by_dimension(vectors: pa.ListArray):
-    sizes, flat = np.diff(np.asarray(vectors.offsets)), np.asarray(vectors.flatten())
+    sizes, flat = np.diff(np.asarray(vectors.offsets)), np.asarray(vectors.flatten()).astype(float)
     ends = np.cumsum(sizes)
     for d in np.unique(sizes):
         at = np.flatnonzero(sizes == d)
         yield int(d), at, _unit(flat[(ends[at] - d)[:, None] + np.arange(d)])
 
 
-def cells(items: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """The vectors with cell and guest, once for each cell in which they are compared, and the blocks of their group.
-
-    A vector's home is the cell of its nearest pivot. With t as the threshold's angle, a vector at the angle a from its home's
-    pivot can only be similar to vectors of cells whose pivots are within a + 2t of it, by the triangle inequality
-    between the two and both pivots. It is a guest in those after its home, so each pair meets once. Groups of few blocks are a cell each.
-    """
-    unit = items.withColumn("_n", F.sqrt(dot(F.col("vector"), F.col("vector")))).where("_n > 0")
-    unit = unit.select("group", "id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    sizes = cut(unit.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_of")))
-    rows = unit.join(sizes, "group")
-    one = rows.withColumns({"cell": F.lit(0), "guest": F.lit(False)})
-    if not threshold > 0 or sizes.where(F.col("_of") > CELLS_FROM).isEmpty():
-        return one
-    pivots, reach = _pivots(unit), 2 * float(np.arccos(min(threshold, 1.0))) + 1e-9
+def _dealt(rows: DataFrame, pivots: dict[int, np.ndarray], reach: float, *columns: str) -> DataFrame:
+    """The columns of rows with cell and guest, once for each cell in which the row's vector is compared."""
 
     def deal(batches):
         for b in batches:
@@ -86,11 +103,44 @@ def cells(items: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
                 x, y = np.nonzero(meets)
                 at, cell, guest = [*at, rows[x]], [*cell, y], [*guest, y != home[x]]
             if at:
-                kept = b.take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(guest), pa.bool_())], [*b.schema.names, "cell", "guest"])
+                kept = b.select(list(columns)).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(guest), pa.bool_())], [*columns, "cell", "guest"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", cell int, guest boolean"
+    return rows.mapInArrow(deal, schema)
+
+
+def cells(items: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """The vectors with cell and guest, once for each cell in which they are compared, and the blocks of that cell.
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", cell int, guest boolean"
-    return one.where(F.col("_of") <= CELLS_FROM).unionByName(rows.where(F.col("_of") > CELLS_FROM).mapInArrow(deal, schema))
+    A vector's home is the cell of its nearest pivot. With t as the threshold's angle, a vector at the angle a from its home's
+    pivot can only be similar to vectors of cells whose pivots are within a + 2t of it, by the triangle inequality
+    between the two and both pivots. It is a guest in those after its home, so each pair meets once. What cells would save is
+    counted first: a group is one cell if it is small, if over half of its pairs would meet all the same, or if guests would be
+    sent more than three times as many rows.
+    """
+    unit = _usable(items)
+    sizes, groups, most = _sizes(unit)
+    at_once = {"cell": F.lit(0), "guest": F.lit(False)}
+    if most <= block:
+        return unit.withColumn("_blocks", F.lit(1)).withColumns(at_once)
+    one = unit.join(_small(sizes.select("group", _blocks(F.col("weight"), block).alias("_blocks")), groups), "group").withColumns(at_once)
+    if not threshold > 0 or most <= CELLS_FROM * block:
+        return one
+    pivots, reach = _pivots(unit), 2 * float(np.arccos(min(threshold, 1.0))) + 1e-9
+    large = sizes.where(F.col("weight") > CELLS_FROM * block)
+    rows = unit.join(_small(large.select("group"), groups), "group", "left_semi")
+    counts = _dealt(rows, pivots, reach, "group").groupBy("group", "cell").agg(F.count_if(~F.col("guest")).alias("h"), F.count_if("guest").alias("g"))
+    counts = counts.join(_small(large, groups), "group").withColumn("_blocks", _blocks((F.col("h") + F.col("g")) * F.col("weight") / F.col("n"), block))
+    meet, sent = F.sum(F.expr("h * (h - 1) / 2 + h * g")), F.sum(F.expr("(h + g) * _blocks"))
+    worth = counts.groupBy("group", "n", "weight").agg(meet.alias("meet"), sent.alias("sent")).where(F.col("meet") <= F.expr("n * (n - 1) / 4"))
+    worth = cut(worth.where(F.col("sent") <= 3 * F.col("n") * _blocks(F.col("weight"), block)).select("group"))
+    if not (n := worth.count()):
+        return one
+    blocks = cut(counts.join(_small(worth, n), "group", "left_semi").select("group", "cell", "_blocks"))
+    in_cells = _dealt(rows.join(_small(worth, n), "group", "left_semi"), pivots, reach, "group", "id", "vector")
+    in_cells = in_cells.join(_small(blocks, n * PIVOTS), ["group", "cell"]).select(*one.columns)
+    return one.join(_small(worth, n), "group", "left_anti").unionByName(in_cells)
 
 
 def compared(items: DataFrame, threshold: float) -> DataFrame:
@@ -99,36 +149,40 @@ def compared(items: DataFrame, threshold: float) -> DataFrame:
     return sizes.groupBy("group").agg(F.sum("h").alias("vectors"), F.sum(F.expr("h * (h - 1) div 2 + h * g")).alias("compared")).withColumn("pairs", F.expr("vectors * (vectors - 1) div 2"))
 
 
-def vector_pairs(items: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+def vector_pairs(items: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """group, i < j and sim for vectors of a group at least so similar.
 
-    Vectors meet in cells; a cell is cut into blocks, and each pair of blocks is a matrix product of its own.
+    Vectors meet in cells; a cell is cut into blocks, and each pair of blocks is a task of matrix products, tile by tile.
     """
-    rows = cut(cells(items, threshold, block))
-    sizes = rows.groupBy("group", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    dealt = rows.drop("_of").join(sizes, ["group", "cell"]).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    dealt = cells(items, threshold, block).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")}).drop("_other", "_blocks")
     group, id_ = (items.schema[c].dataType.simpleString() for c in ("group", "id"))
 
-    def similar(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id").combine_chunks()
-        own, guest, lo, hi, out = np.asarray(t["_own"]), np.asarray(t["guest"]), t["_lo"][0].as_py(), t["_hi"][0].as_py(), ([], [], [])
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).sort_by("id").combine_chunks()
+        own, guest, lo, hi = np.asarray(t["_own"]), np.asarray(t["guest"]), t["_lo"][0].as_py(), t["_hi"][0].as_py()
+        groups, ids = (t[c].combine_chunks() for c in ("group", "id"))
         for _, at, m in _by_dimension(t["vector"].combine_chunks()):
             left, right = np.flatnonzero(own[at] == lo), np.flatnonzero(own[at] == hi)
-            sims = m[left] @ m[right].T
-            near = (sims >= threshold) & ~(guest[at[left]][:, None] & guest[at[right]])
-            if lo == hi:
-                near = np.triu(near, 1)
-            a, b = np.nonzero(near)
-            one, two = at[left[a]], at[right[b]]
-            for x, y in zip(out, (np.minimum(one, two), np.maximum(one, two), sims[a, b]), strict=True):
-                x.append(y)
-        i, j, sim = (np.concatenate(x) if x else np.zeros(0) for x in out)
-        i, j = pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64))
-        return pa.table({"group": t["group"].take(i), "i": t["id"].take(i), "j": t["id"].take(j), "sim": pa.array(sim.astype(float))})
-
-    return dealt.groupBy("group", "cell", "_lo", "_hi").applyInArrow(similar, f"group {group}, i {id_}, j {id_}, sim double")
+            a, b = m[left], m[right]
+            left, right = at[left], at[right]
+            for x in range(0, len(left), TILE):
+                for y in range(x if lo == hi else 0, len(right), TILE):
+                    one, two = left[x : x + TILE], right[y : y + TILE]
+                    sims = a[x : x + TILE] @ b[y : y + TILE].T
+                    near = sims >= threshold
+                    if guest[one].any():
+                        near &= ~(guest[one][:, None] & guest[two])
+                    if lo == hi and x == y:
+                        near = np.triu(near, 1)
+                    found = np.flatnonzero(near)
+                    if len(found):
+                        one, two = one[found // len(two)], two[found % len(two)]
+                        i, j = pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))
+                        yield pa.RecordBatch.from_arrays([groups.take(i), ids.take(i), ids.take(j), pa.array(sims.ravel()[found])], ["group", "i", "j", "sim"])
+
+    return dealt.groupBy("group", "cell", "_lo", "_hi").applyInArrow(similar, f"group {group}, i {id_}, j {id_}, sim double").where("i < j")
 
 
 def text_classes(items: DataFrame) -> DataFrame:

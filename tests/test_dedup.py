@@ -115,3 +115,24 @@ def test_vectors_in_cells(spark):
         r = dedup.compared(many, threshold).where("group = 0").first()
         shares.append(r["compared"] / r["pairs"])
     assert shares == sorted(shares, reverse=True) and shares[-1] < 0.2 < shares[0], shares
+
+
+def test_cells_only_where_they_save_work(spark):
+    rows = vectors(5, 6000)
+    df = spark.createDataFrame(rows, "group int, id long, vector array<double>")
+    held = len(rows) - 1  # without the zero vector
+    assert dedup.cells(df, 0.3).count() == held  # 64 pivots made 32 guests of each vector, though all cells met
+    assert dedup.cells(df, 0.995).count() > held
+
+
+@pytest.mark.parametrize("block", [4, 300])
+def test_few_large_blocks(spark, block):
+    rows = vectors(6, 900)
+    df = spark.createDataFrame(rows, "group int, id long, vector array<double>").withColumn("vector", F.col("vector").cast("array<float>"))
+    blocks = {r["group"]: r["_blocks"] for r in dedup.cells(df, 0.3, block).where("size(vector) = 16").select("group", "_blocks").distinct().collect()}
+    assert blocks == {4: {0: 8, 1: 3}, 300: {0: 3, 1: 1}}[block]
+    found = [(r["group"], r["i"], r["j"]) for r in dedup.vector_pairs(df, 0.3, block=block).collect()]
+    rows = [(r["group"], r["id"], r["vector"]) for r in df.collect()]
+    assert len(found) == len(set(found)) and set(found) == brute(rows, 0.3)
+    again = df.where("id < 20").unionByName(df.where("id < 20"))
+    assert not [r for r in dedup.vector_pairs(again, 0.3).collect() if r["i"] == r["j"]]  # a repeated id is no pair, as in SQL
