@@ -319,6 +319,121 @@ def _in_rounds(pairs: DataFrame) -> DataFrame:
     return pairs.join(leaders, ["group", "i"], "left_semi").groupBy("group", F.col("j").alias("id")).agg(F.min("i").alias("leader"))
 
 
+#: Undecided vectors of a group, the first by id, that one task scans at a time, of up to 64 dimensions; and vectors that are compared with the leaders found.
+HEAD, FOLLOWERS = 8192, 16384
+
+
+def _scanned(vectors: pa.ListArray, ids: np.ndarray, threshold: float, leaders: tuple[pa.ListArray, np.ndarray] | None = None, step: int = 256) -> np.ndarray:
+    """For each vector, in the order of ids, the row of its first similar leader, or -1.
+
+    Without leaders it is the greedy scan itself. Rows of one id are one item, similar to what any of them is similar to.
+    """
+    dims, m = _padded(vectors)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]]))
+    ends = np.append(starts[1:], len(ids))
+    first = np.full(len(starts), -1)
+
+    def near(rows, of, other):
+        out = m[rows] @ other.T >= threshold
+        return out if (dims[0] == of).all() and (dims[0] == dims[rows]).all() else out & (dims[rows][:, None] == of)
+
+    by_id = lambda hit, at, axis: np.logical_or.reduceat(hit, at, axis)
+    if leaders:
+        of, other = _padded(leaders[0], m.shape[1])
+        m, n = (np.pad(m, ((0, 0), (0, other.shape[1] - m.shape[1]))), len(other))
+    else:
+        of, other, n = dims.copy(), np.empty_like(m), 0
+        rows_of = np.empty(len(ids), int)
+    for k in range(0, len(starts), step):
+        to = min(k + step, len(starts))
+        lo, at, own = starts[k], starts[k:to] - starts[k], first[k:to]
+        rows = slice(lo, ends[to - 1])
+        for x in range(0, n, 16 * step):
+            hit = by_id(near(rows, of[x : min(n, x + 16 * step)], other[x : min(n, x + 16 * step)]), at, 0)
+            new = hit.any(1) & (own < 0)
+            own[new] = hit.argmax(1)[new] + x
+        if leaders:
+            continue
+        own[own >= 0] = rows_of[own[own >= 0]]
+        hit = by_id(by_id(near(rows, dims[rows], m[rows]), at, 0), at, 1)
+        for r in np.flatnonzero(own < 0):
+            if own[r] < 0:
+                new = hit[r] & (own < 0)
+                new[: r + 1] = False
+                own[new] = lo + at[r]
+        led = np.concatenate([np.arange(starts[k + r], ends[k + r]) for r in np.flatnonzero(own < 0)] or [np.zeros(0, int)])
+        of[n : n + len(led)], other[n : n + len(led)], rows_of[n : n + len(led)] = dims[led], m[led], led
+        n += len(led)
+    return np.repeat(first, ends - starts)
+
+
+def _padded(vectors: pa.ListArray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions and unit vectors, filled up with zeros to the longest one."""
+    dims = np.diff(np.asarray(vectors.offsets))
+    m = np.zeros((len(dims), max([least, *dims])))
+    for d, at, rows in _by_dimension(vectors):
+        m[at, :d] = rows
+    return dims, m
+
+
+def vector_clusters(items: DataFrame, threshold: float, head: int = HEAD, followers: int = FOLLOWERS) -> DataFrame:
+    """group, id, leader as clusters() gives them from vector_pairs(), in work that grows with the leaders and without a list of pairs.
+
+    The first undecided vectors of each group are scanned in a task. All later ones are compared with the leaders among these, in
+    blocks: a leader that is similar is the first one, as those found later have larger ids. What is still undecided goes the
+    same way, until the rest of each group is one task's. Without any similar vectors that takes a round for each head of a group.
+    """
+    rest, led = _usable(items), None
+    group, id_, vector = (rest.schema[c].dataType.simpleString() for c in ("group", "id", "vector"))
+    schema = f"group {group}, id {id_}, leader {id_}, vector {vector}"
+
+    def told(t: pa.Table, at: np.ndarray, leaders: pa.Array) -> pa.Table:
+        """Rows with their leaders, and the vectors of those that have none."""
+        leader = leaders.take(pa.array(at, mask=at < 0))
+        undecided = t["vector"].combine_chunks().take(pa.array(np.arange(len(at)), mask=at >= 0))
+        return pa.table({"group": t["group"], "id": t["id"], "leader": leader, "vector": undecided})
+
+    def scan(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        ids = t["id"].combine_chunks()
+        return told(t, _scanned(t["vector"].combine_chunks(), ids.to_numpy(False), threshold), ids)
+
+    def follow(t: pa.Table, leaders: pa.Table) -> pa.Table:
+        t, leaders = (x.sort_by("id").combine_chunks() for x in (t, leaders))
+        if not len(t) or not len(leaders):
+            return told(t, np.full(len(t), -1), leaders["id"].combine_chunks())
+        ids, other = (x["id"].combine_chunks() for x in (t, leaders))
+        found = _scanned(t["vector"].combine_chunks(), ids.to_numpy(False), threshold, (leaders["vector"].combine_chunks(), other.to_numpy(False)))
+        return told(t, found, other)
+
+    def add(rows: DataFrame) -> None:
+        nonlocal led
+        rows = rows.where(F.col("leader").isNotNull()).select("group", "id", "leader")
+        led = rows if led is None else led.unionByName(rows)
+
+    while True:
+        sizes, groups, most = _sizes(rest)
+        if most <= head:
+            add(rest.groupBy("group").applyInArrow(scan, schema))
+            break
+        rank = F.row_number().over(Window.partitionBy("group").orderBy("id"))
+        heads = rest.select("group", "id").withColumn("_rn", rank).where(F.col("_rn") <= head)
+        heads = heads.join(_small(sizes, groups), "group").where(F.col("_rn") <= F.greatest(F.lit(1.0), head * F.col("n") / F.col("weight")))
+        bounds = heads.groupBy("group").agg(F.max("id").alias("_to"), F.first("weight").alias("weight"))
+        bounds = _small(cut(bounds.select("group", "_to", F.ceil(F.col("weight") / followers).cast("int").alias("_of"))), groups)
+        rows = rest.join(bounds, "group")
+        scanned = cut(rows.where("id <= _to").select("group", "id", "vector").groupBy("group").applyInArrow(scan, schema))
+        later = rows.where("id > _to").select("group", "id", "vector", F.pmod(F.xxhash64("id"), F.col("_of")).cast("int").alias("_block"))
+        leaders = scanned.where("leader is null").select("group", "id", "vector").join(bounds, "group")
+        leaders = leaders.select("group", "id", "vector", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_block"))
+        followed = cut(later.groupBy("group", "_block").cogroup(leaders.groupBy("group", "_block")).applyInArrow(follow, schema))
+        add(cut(scanned.where(F.col("leader").isNotNull()).select("group", "id", "leader")))
+        add(cut(followed.where(F.col("leader").isNotNull()).select("group", "id", "leader")))
+        rest = followed.where("leader is null").select("group", "id", "vector")
+    led = led.groupBy("group", "id").agg(F.min("leader").alias("leader"))
+    return items.select("group", "id").join(led, ["group", "id"], "left").select("group", "id", F.coalesce("leader", "id").alias("leader"))
+
+
 def deduplicate(items: DataFrame, pairs: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """The leaders in order, each shown by the longest text of its cluster, the earliest of equals.
 

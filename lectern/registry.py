@@ -354,7 +354,7 @@ query("embedding_dedup",
     f"case when list_has_any(acc, x[2:]) then acc else acc || [x[1]] end, []::bigint[]) as leaders from near group by 1) "
     f"select grp as \"group\", unnest(leaders) as leader from scans"
 )(
-    lambda t: dedup.clusters(t.embeddings(), dedup.vector_pairs(t.embeddings(), 0.3)).select("group", "leader").distinct()
+    lambda t: dedup.vector_clusters(t.embeddings(), 0.3).select("group", "leader").distinct()
 )
 
 

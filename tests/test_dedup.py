@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import registry
 from lectern.operators import dedup
 from lectern.operators.components import components
 
@@ -136,3 +137,31 @@ def test_few_large_blocks(spark, block):
     assert len(found) == len(set(found)) and set(found) == brute(rows, 0.3)
     again = df.where("id < 20").unionByName(df.where("id < 20"))
     assert not [r for r in dedup.vector_pairs(again, 0.3).collect() if r["i"] == r["j"]]  # a repeated id is no pair, as in SQL
+
+
+def led(rows, threshold):
+    """Leaders by definition, of vectors by id: a repeated id is one item."""
+    pairs = {p for p in brute(rows, threshold) if p[1] < p[2]}
+    return scanned({r[:2] for r in rows}, pairs)
+
+
+@pytest.mark.parametrize(("head", "followers"), [(dedup.HEAD, dedup.FOLLOWERS), (120, 64)])
+def test_leaders_without_pairs(spark, head, followers):
+    rows = vectors(7, 500)
+    schema = "group int, id long, vector array<double>"
+    odd = [(None, 9000, rows[0][2]), (None, 9001, rows[0][2]), (3, 9002, [0.0, 0.0]), (3, 9003, None)]
+    repeated = [(0, i, rows[i + 3][2]) for i in range(0, 300, 17)]
+    for more, threshold in ((odd, 0.3), (odd + repeated, 0.9), (odd, 0.999)):
+        df = spark.createDataFrame(rows + more, schema).repartition(3)
+        found = dedup.vector_clusters(df, threshold, head, followers).distinct().collect()
+        told = led(rows + [r for r in more if r not in odd], threshold) | {r[:2]: r[1] for r in odd}
+        assert {(r["group"], r["id"]): r["leader"] for r in found} == told and len(found) == len(told)
+
+
+def test_near_copies_are_no_pairs(spark, tmp_path):
+    n = 12_000  # 72 million pairs, which were listed, checkpointed and folded
+    near = F.array(*((F.lit(float(k + 1)) + 1e-3 * F.rand(k)).cast("float") for k in range(8)))
+    spark.range(n).select(F.col("id").alias("vec_id"), near.alias("embedding"), F.lit(1).alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    began = time.time()
+    assert [tuple(r) for r in registry.queries()["embedding_dedup"](spark, str(tmp_path)).collect()] == [(1, 0)]
+    assert time.time() - began < 30
