@@ -37,14 +37,16 @@ TYPOS = {
 
 def unfenced(text: Column) -> Column:
     """Without a code fence (T4)."""
-    return F.regexp_replace(F.regexp_replace(text, "(?is)^\\s*```[a-z]*\\s*", ""), "(?s)\\s*```\\s*$", "")
+    fenced = F.regexp_replace(F.regexp_replace(text, "(?is)^\\s*```[a-z]*\\s*", ""), "(?s)\\s*```\\s*$", "")
+    return F.when(text.contains("```"), fenced).otherwise(text)
 
 
 def repaired(text: Column) -> Column:
     """Misspelt keys, missing commas between lines, and trailing commas put right (T5)."""
-    for wrong, right in TYPOS.items():
-        text = F.regexp_replace(text, f'(?i)"{wrong}"(\\s*:)', f'"{right}"$1')
-    text = F.regexp_replace(text, '("|\\}|\\])[ \\t]*\\n(\\s*)("|\\{)', "$1,\n$2$3")
+    for right in dict.fromkeys(TYPOS.values()):
+        wrong = "|".join(k for k, v in TYPOS.items() if v == right)
+        text = F.regexp_replace(text, f'(?i)"(?:{wrong})"(\\s*:)', f'"{right}"$1')
+    text = F.regexp_replace(text, '(["}\\]])[ \\t]*\\n(\\s*)(["{])', "$1,\n$2$3")
     return F.regexp_replace(text, ",(\\s*[\\}\\]])", "$1")
 
 
@@ -159,14 +161,13 @@ _TEXTS = f"{_NAME}: STRING"
 _OPTIONS = f"options: (?:ARRAY<STRING>|{_object(_TEXTS)})"
 _ITEMS = f"(?:flashcards|quiz): ARRAY<(?:VOID|{_object(_TEXTS, _OPTIONS)})>"
 #: Schema of a variant that expressions read just as recover() does: strings only, and options as strings by key or in a list.
-WELL_FORMED = f"^{_object(_ITEMS, '(?!(?:flashcards|quiz):)' + _TEXTS)}$"
+WELL_FORMED = f"^(?=OBJECT<(?:.*, )?(?:flashcards|quiz): ARRAY<){_object(_ITEMS, '(?!(?:flashcards|quiz):)' + _TEXTS)}$"
 _FIELDS = "question:string,answer:string,topic:string"
 
 
 def well_formed(reply: Column) -> Column:
     """Whether a reply is an object of cards or questions with nothing to recover."""
-    schema = F.schema_of_variant(reply)
-    return F.coalesce(schema.rlike(WELL_FORMED) & schema.rlike(r"^OBJECT<(?:.*, )?(?:flashcards|quiz): ARRAY<"), F.lit(False))
+    return F.coalesce(F.schema_of_variant(reply).rlike(WELL_FORMED), F.lit(False))
 
 
 def _or(*values: Column | str) -> Column:
@@ -201,7 +202,7 @@ def _read(reply: Column) -> Column:
 def replies(rows: DataFrame, column: str = "reply", strict_compat: bool = False) -> DataFrame:
     """rows with cards: the flashcards and quiz questions of each reply, normalised.
 
-    The rows are checkpointed, as they are read twice and a model may have made them.
+    The rows are checkpointed with what they were parsed to or else their repaired texts, as they are read twice and a model may have made them.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", cards {REPLY}"
 
@@ -212,8 +213,9 @@ def replies(rows: DataFrame, column: str = "reply", strict_compat: bool = False)
             yield out
 
     names = rows.columns
-    texts = cut(rows).withColumn("_text", repaired(unfenced(F.col(column))))
-    parsed = texts.withColumn("_v", F.try_parse_json("_text"))
-    good = parsed.where(well_formed(F.col("_v"))).select(*names, _read(F.col("_v")).alias("cards"))
-    broken = parsed.where(~well_formed(F.col("_v"))).select(*names, "_text").mapInPandas(run, schema)
+    texts = rows.withColumn("_text", repaired(unfenced(F.col(column)))).withColumn("_v", F.try_parse_json("_text"))
+    texts = texts.withColumn("_good", well_formed(F.col("_v")))
+    texts = cut(texts.select(*names, "_good", F.when(F.col("_good"), F.col("_v")).alias("_v"), F.when(~F.col("_good"), F.col("_text")).alias("_text")))
+    good = texts.where("_good").select(*names, _read(F.col("_v")).alias("cards"))
+    broken = texts.where(~F.col("_good")).select(*names, "_text").mapInPandas(run, schema)
     return good.unionByName(broken)

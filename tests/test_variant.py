@@ -42,3 +42,17 @@ def test_like_the_python_function(spark):
     assert 250 < good < 700
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "variant_get" in plan and plan.index("MapInPandas") < plan.rindex("Filter NOT")  # only the others leave the JVM
+
+
+def test_texts_are_repaired_and_parsed_once(spark):
+    df = spark.createDataFrame([(1, '```json\n{"flashcards": [{"QUESTIN": "q", "answr": "a",}],}\n```'), (2, 'So: {"quiz": [{"questoin": "z", "optons": {"A": "1"}}]} Bye'), (3, None)], "id long, reply string")
+    found = json_recovery.replies(df)
+    assert {r["id"]: (len(r["cards"]["flashcards"]), len(r["cards"]["quiz"])) for r in found.collect()} == {1: (1, 0), 2: (0, 1), 3: (0, 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "questoin" not in plan and "parse_json" not in plan  # they were in both branches, in their filters too
+
+
+def test_every_way_of_a_fence_and_a_comma(spark):
+    texts = ["```json\n{}\n```", " ```\n{}", "{} ``` ", "{}", "", None, '"a" \t\n "b"', '}\n\n{', ']\n"x"', ")\n{", '{"a": [1, ] , }']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", json_recovery.repaired(json_recovery.unfenced(F.col("t"))).alias("t")).orderBy("id")
+    assert [r["t"] for r in rows.collect()] == ["{}", "{}", "{}", "{}", "", None, '"a",\n "b"', "},\n\n{", '],\n"x"', ")\n{", '{"a": [1 ]  }']
