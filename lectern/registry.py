@@ -667,8 +667,8 @@ query("slide_stats", _FOLD + _SLIDE_STATS)(lambda t: live.slide_stats(_pictures(
 def _arriving(t: Tables, rows: DataFrame, name: str) -> DataFrame:
     """The rows as files in no order, of which a stream takes a third at a time; arrived is the time of the file."""
     path, files = new_path(t.spark, name), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(files, F.xxhash64(*rows.columns)).write.json(path)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 3)).json(path)
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(path)
     return stream.withColumn("arrived", F.col("_metadata.file_modification_time"))
 
 

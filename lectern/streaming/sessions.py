@@ -117,13 +117,7 @@ class Machine(_Timed):
         yield from self._go(key, state, due, waiting, held, arrived)
 
     def _go(self, key, state, due, waiting, held, arrived, skip: bool = False) -> Iterator[pd.DataFrame]:
-        out = []
-        if skip and waiting:
-            due = min(waiting)
-        while due in waiting:
-            state, allowed = step(state, waiting.pop(due))
-            out.append((key[0], due, state, allowed))
-            due += 1
+        state, due, out = _advanced(state, due, waiting, skip)
         for seq in held - set(waiting):
             self.early.removeKey((seq,))
         for seq in set(waiting) - held:
@@ -131,7 +125,7 @@ class Machine(_Timed):
         self.now.update((state, due))
         self.wake(arrived, self.gap if waiting else self.keep)
         if out:
-            yield pd.DataFrame(out, columns=["session_id", "seq", "state", "allowed"])
+            yield pd.DataFrame([(key[0], *x) for x in out], columns=["session_id", "seq", "state", "allowed"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         waiting = {k[0]: v[0] for k, v in self.early.iterator()}
@@ -141,11 +135,101 @@ class Machine(_Timed):
             self.now.clear()
 
 
-def machine(events: DataFrame, late: str = LATE, keep: int = KEEP, gap: int = GAP) -> DataFrame:
-    """State after each event of a stream of session_id, seq (from 1), event and arrived, each once."""
+def _advanced(state: str, due: int, waiting: dict, skip: bool = False) -> tuple[str, int, list[tuple]]:
+    """State and number due after the events of waiting that follow each other, which are taken out, and what each of them did."""
+    out = []
+    if skip and waiting:
+        due = min(waiting)
+    while due in waiting:
+        state, allowed = step(state, waiting.pop(due))
+        out.append((due, state, allowed))
+        due += 1
+    return state, due, out
+
+
+class Machines(_Timed):
+    """Machine for many short sessions: a key is a bucket of sessions, read and written at once.
+
+    A call of the processor and each use of its state cost much more than an event. The state holds for each session
+    its state, the number due and the time when it is to be woken, and the early events of all; the one timer is that of the first to be woken.
+    """
+
+    def __init__(self, keep: int = KEEP, gap: int = GAP):
+        super().__init__(keep)
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getValueState("held", "session_id array<string>, state array<string>, due array<long>, wake array<long>, early_of array<int>, early_seq array<long>, early_event array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, latest = self._read(), {}
+        for pdf in rows:
+            ids, events = (pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in ("session_id", "event"))
+            at = pdf["arrived"].to_numpy("datetime64[ms]").astype("int64").tolist()
+            for session, seq, event, arrived in zip(ids, pdf["seq"].tolist(), events, at, strict=True):
+                if session not in held:
+                    held[session] = ["created", 1, 0, {}]
+                latest[session] = max(arrived, latest.get(session, 0))
+                if seq >= held[session][1]:
+                    held[session][3].setdefault(seq, event)
+        yield from self._go(held, latest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = self._read()
+        due = {session: x[2] for session, x in held.items() if x[2] <= now}
+        for session in [s for s in due if not held[s][3]]:
+            del held[session], due[session]
+        yield from self._go(held, due, skip=True)
+
+    def _go(self, held: dict, latest: dict, skip: bool = False) -> Iterator[pd.DataFrame]:
+        """Takes the sessions of latest on, which has the time of each one's last row, and writes all that are held."""
+        out = []
+        for session, arrived in latest.items():
+            state, due, _, waiting = held[session]
+            state, due, told = _advanced(state, due, waiting, skip)
+            held[session] = [state, due, arrived + (self.gap if waiting else self.keep), waiting]
+            out += [(session, *x) for x in told]
+        self.sleep()
+        if held:
+            early = [(n, seq, event) for n, x in enumerate(held.values()) for seq, event in x[3].items()]
+            self.held.update((list(held), *(list(x) for x in list(zip(*held.values(), strict=True))[:3]), *([e[k] for e in early] for k in range(3))))
+            self.handle.registerTimer(min(x[2] for x in held.values()))
+        else:
+            self.held.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "seq", "state", "allowed"])
+
+    def _read(self) -> dict:
+        """By session its state, the number due, when it is to be woken, and its early events."""
+        if not self.held.exists():
+            return {}
+        sessions, state, due, wake, of, seq, event = self.held.get()
+        held = {session: [*x, {}] for session, *x in zip(sessions, state, due, wake, strict=True)}
+        for n, q, e in zip(of, seq, event, strict=True):
+            held[sessions[n]][3][q] = e
+        return held
+
+
+#: Buckets of sessions, the keys of a stream's state. A row brings the state of its whole bucket in and out: more buckets suit more sessions.
+BUCKETS = 1024
+
+
+def machine(events: DataFrame, late: str = LATE, keep: int = KEEP, gap: int = GAP, buckets: int = BUCKETS) -> DataFrame:
+    """State after each event of a stream of session_id, seq (from 1), event and arrived, each once.
+
+    Sessions are held in buckets, whose number is that of the stream for ever; with 0 each session is a key, which suits few long ones;
+    their ids, if numbers, must not be null then.
+    """
     kind = events.schema["session_id"].dataType.simpleString()
-    rows = _arriving(events.withColumn("seq", F.col("seq").cast("long")), late, "session_id", "seq", "event")
-    return rows.groupBy("session_id").transformWithStateInPandas(Machine(keep, gap), f"session_id {kind}, seq long, state string, allowed boolean", "Append", "EventTime")
+    rows = _arriving(events.withColumn("seq", F.col("seq").cast("long")).where("seq is not null"), late, "session_id", "seq", "event")
+    told = "seq long, state string, allowed boolean"
+    if not buckets:
+        return rows.groupBy("session_id").transformWithStateInPandas(Machine(keep, gap), f"session_id {kind}, {told}", "Append", "EventTime")
+    rows = rows.withColumn("session_id", F.col("session_id").cast("string")).withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+    out = rows.groupBy("bucket").transformWithStateInPandas(Machines(keep, gap), f"session_id string, {told}", "Append", "EventTime")
+    return out.withColumn("session_id", F.col("session_id").cast(kind))
 
 
 # --- transcript (L4, L6, L9) -------------------------------------------------------------------------------------

@@ -197,3 +197,48 @@ def test_counters_are_compacted(spark, tmp_path):
     assert sorted(map(tuple, live.counted(spark, str(out)).collect())) == sorted(map(tuple, live.counters(spark.createDataFrame(rows, live.TABLES["live_segments"])).collect()))
     folders = sorted(int(p.name.removeprefix("batch=")) for p in out.iterdir() if p.name.startswith("batch="))
     assert folders[0] == 15 and 23 in folders and len(folders) < 12  # of 12 batches and 3 merges
+
+
+class Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def told(frames):
+    return [tuple(r) for pdf in frames for r in pdf.values.tolist()]
+
+
+def test_a_bucket_of_sessions():
+    m, h = sessions.Machines(keep=1000, gap=10), Handle()
+    m.init(h)
+
+    def rows(at, *events):
+        return iter([pd.DataFrame(events, columns=["session_id", "seq", "event"]).assign(arrived=pd.Timestamp(at, unit="ms"))])
+
+    many = [(f"s{s}", seq, event) for s in range(300) for seq, event in ((2, "stop"), (1, "start"), (2, "stop"))]
+    out = list(m.handleInputRows((0,), rows(5, *many), None))
+    assert len(out) == 1 and len(out[0]) == 600 and h.timers == {1005}  # one table and one timer, not one for each session
+    assert not list(m.handleInputRows((0,), rows(7, ("t", 3, "end"), ("t", 2, "stop"), (None, 2, "x")), None)) and h.timers == {17}
+    assert told(m.handleInputRows((0,), rows(8, ("s7", 3, "end"), ("s7", 1, "start"), (None, 1, "start")), None)) == [("s7", 3, "processing", True), (None, 1, "recording", True), (None, 2, "recording", False)]
+    assert told(m.handleExpiredTimer((0,), Now(20), Due(17))) == [("t", 2, "created", False), ("t", 3, "processing", True)] and h.timers == {1005}
+    assert not list(m.handleInputRows((0,), rows(30, ("t", 1, "start"), ("t", 3, "end")), None))  # too late, and a repeat
+    assert not list(m.handleExpiredTimer((0,), Now(1006), Due(1005))) and h.timers == {1008} and len(m.held.get()[0]) == 3
+    assert not list(m.handleExpiredTimer((0,), Now(1030), Due(1008))) and not h.timers and not m.held.exists()
+
+
+@pytest.mark.parametrize("buckets", [0, 3])
+def test_buckets_say_the_same(keyed, tmp_path, buckets):
+    rng = random.Random(5)
+    events = [(s if s or not buckets else None, i + 1, rng.choice([*live.STEPS, None])) for s in range(20) for i in range(rng.randint(1, 9))]
+    rows = [e for e in events for _ in range(rng.choice([1, 2]))] + [(3, None, "start")]  # an event without a number is none
+    rng.shuffle(rows)
+    found = streamed(keyed, tmp_path, [rows[i::3] for i in range(3)], "session_id long, seq long, event string", lambda e: sessions.machine(e, buckets=buckets), "append")
+    state, expected = {}, []
+    for s, i, e in events:
+        state[s], allowed = live.step(state.get(s, "created"), e)
+        expected.append((s, i, state[s], allowed))
+    by = lambda r: (r[0] or 0, r[1])
+    assert sorted((tuple(r) for _, r in found), key=by) == sorted(expected, key=by)
