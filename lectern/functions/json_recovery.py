@@ -51,14 +51,15 @@ def repaired(text: Column) -> Column:
 
 
 _SPACE = re.compile(r"\s*")
+_DECODER = json.JSONDecoder(strict=False)
 
 
 def _objects(text: str, at: int = 0) -> list[dict]:
     """Complete objects from a place on, nested ones only where the outer one is cut off."""
-    decoder, out = json.JSONDecoder(strict=False), []
+    out = []
     while (at := text.find("{", at)) >= 0:
         try:
-            found, at = decoder.raw_decode(text, at)
+            found, at = _DECODER.raw_decode(text, at)
             out.append(found)
         except ValueError:
             at += 1
@@ -70,7 +71,7 @@ def _array(text: str, key: str) -> list[dict]:
     m = re.search(rf'"{key}"\s*:\s*\[', text)
     if not m:
         return []
-    decoder, at, out = json.JSONDecoder(strict=False), m.end(), []
+    at, out = m.end(), []
     while True:
         at = _SPACE.match(text, at).end()
         if text[at : at + 1] == ",":
@@ -79,7 +80,7 @@ def _array(text: str, key: str) -> list[dict]:
         if text[at : at + 1] != "{":
             return out
         try:
-            found, at = decoder.raw_decode(text, at)
+            found, at = _DECODER.raw_decode(text, at)
         except ValueError:
             return out
         out.append(found)
@@ -100,7 +101,7 @@ def recover(text: str | None, strict_compat: bool = False) -> dict[str, list[dic
         return None
 
     try:
-        whole = json.loads(text, strict=False)
+        whole = _DECODER.decode(text)
         if isinstance(whole, list) and not strict_compat:
             return empty | {"flashcards": [c for c in whole if isinstance(c, dict)]}
         if (found := of(whole)) is not None:
@@ -199,12 +200,13 @@ def _read(reply: Column) -> Column:
     return F.struct(all_of("$.flashcards", card_, _card, CARDS).alias("flashcards"), all_of("$.quiz", question_, _question, QUESTIONS).alias("quiz"))
 
 
-def replies(rows: DataFrame, column: str = "reply", strict_compat: bool = False) -> DataFrame:
-    """rows with cards: the flashcards and quiz questions of each reply, normalised.
+def replies(rows: DataFrame, column: str = "reply", strict_compat: bool = False, keep: bool = True) -> DataFrame:
+    """rows with cards: the flashcards and quiz questions of each reply, normalised; without keep, the reply itself goes.
 
     The rows are checkpointed with what they were parsed to or else their repaired texts, as they are read twice and a model may have made them.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", cards {REPLY}"
+    names = [c for c in rows.columns if keep or c != column]
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names), f"cards {REPLY}"])
 
     def run(batches):
         for pdf in batches:
@@ -212,7 +214,6 @@ def replies(rows: DataFrame, column: str = "reply", strict_compat: bool = False)
             out["cards"] = [normalised(t, strict_compat) for t in pdf["_text"]]
             yield out
 
-    names = rows.columns
     texts = rows.withColumn("_text", repaired(unfenced(F.col(column)))).withColumn("_v", F.try_parse_json("_text"))
     texts = texts.withColumn("_good", well_formed(F.col("_v")))
     texts = cut(texts.select(*names, "_good", F.when(F.col("_good"), F.col("_v")).alias("_v"), F.when(~F.col("_good"), F.col("_text")).alias("_text")))

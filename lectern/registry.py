@@ -339,7 +339,7 @@ query("json_replies", sql(
     "select media_id, card_index, 1 as cards, question, answer, 'medium' as difficulty, "
     "case (media_id + card_index) % 3 when 0 then 2 when 1 then 4 else 3 end as options, 'B' as correct, 'so' as explanation from flashcards",
 "flashcards"))(
-    lambda t: json_recovery.replies(_replies(t)).selectExpr("media_id", "card_index", "size(cards.flashcards) as cards", "cards.flashcards[0].question as question", "cards.flashcards[0].answer as answer", "cards.flashcards[0].difficulty as difficulty", "size(cards.quiz[0].options) as options", "cards.quiz[0].correct_answer as correct", "cards.quiz[0].explanation as explanation")
+    lambda t: json_recovery.replies(_replies(t), keep=False).selectExpr("media_id", "card_index", "size(cards.flashcards) as cards", "cards.flashcards[0].question as question", "cards.flashcards[0].answer as answer", "cards.flashcards[0].difficulty as difficulty", "size(cards.quiz[0].options) as options", "cards.quiz[0].correct_answer as correct", "cards.quiz[0].explanation as explanation")
 )
 
 # --- deduplication -----------------------------------------------------------------------------------------------

@@ -48,6 +48,7 @@ def test_texts_are_repaired_and_parsed_once(spark):
     df = spark.createDataFrame([(1, '```json\n{"flashcards": [{"QUESTIN": "q", "answr": "a",}],}\n```'), (2, 'So: {"quiz": [{"questoin": "z", "optons": {"A": "1"}}]} Bye'), (3, None)], "id long, reply string")
     found = json_recovery.replies(df)
     assert {r["id"]: (len(r["cards"]["flashcards"]), len(r["cards"]["quiz"])) for r in found.collect()} == {1: (1, 0), 2: (0, 1), 3: (0, 0)}
+    assert sorted(json_recovery.replies(df, keep=False).collect()) == sorted(found.drop("reply").collect())
     plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "questoin" not in plan and "parse_json" not in plan  # they were in both branches, in their filters too
 
